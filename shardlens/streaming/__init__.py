@@ -1,0 +1,6 @@
+"""Streaming.
+
+The profiled tool is batch-only: it has no event time, watermark, state or
+incremental query, so this package holds no operator. Every job here is a bounded
+batch over the files present when the dataset is opened.
+"""
