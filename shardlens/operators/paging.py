@@ -88,16 +88,20 @@ def number_rows(frame: DataFrame, order_col: str, out_col: str, page_index: int
     offsets = counts.withColumn("__off", F.sum("__n").over(w) - F.col("__n"))
     body = frame.withColumn("__bucket", bucket)
     if page_index is not None:
-        total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
-        first = clamp_page(page_index, page_size, int(total)) * page_size + 1
+        # One small job: the per-bucket offsets (one row per 2^20 positions).
+        table = offsets.collect()
+        total = sum(int(r["__n"]) for r in table)
+        first = clamp_page(page_index, page_size, total) * page_size + 1
         last = first + page_size - 1
-        keep = offsets.where((F.col("__off") < last) & (F.col("__off") + F.col("__n") >= first))
-        buckets = [r["__bucket"] for r in keep.select("__bucket").collect()]
-        body = body.where(F.col("__bucket").isin(buckets))
-        offsets = keep
-    small = offsets.select("__bucket", "__off")
-    # One row per bucket of 2^20 positions: broadcast unless the count says otherwise.
-    n_buckets = len(buckets) if page_index is not None else small.count()
+        keep = [(int(r["__bucket"]), int(r["__off"])) for r in table
+                if r["__off"] < last and r["__off"] + r["__n"] >= first]
+        body = body.where(F.col("__bucket").isin([b for b, _ in keep]))
+        small = frame.sparkSession.createDataFrame(keep, "__bucket long, __off long")
+        n_buckets = len(keep)
+    else:
+        small = offsets.select("__bucket", "__off")
+        n_buckets = small.count()
+    # One row per bucket: broadcast unless the count says otherwise.
     small = F.broadcast(small) if n_buckets <= MAX_BROADCAST_RANGES else small
     rank = F.row_number().over(Window.partitionBy("__bucket").orderBy(order_col))
     out = body.join(small, "__bucket").withColumn(out_col, (F.col("__off") + rank).cast("long"))

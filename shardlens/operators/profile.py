@@ -104,7 +104,8 @@ def duplicate_texts(ds: Dataset, aliases: str | Sequence[str] = "report", sample
 
 # ---------------------------------------------------------------------- histograms
 
-def histogram_stats(hist: DataFrame, measure: str = "m", value: str = "v", count: str = "n") -> DataFrame:
+def histogram_stats(hist: DataFrame, measure: str = "m", value: str = "v", count: str = "n",
+                    exact_value: int | None = None) -> DataFrame:
     """Per measure: ``rows, total, min, max, median`` from a (value, count) histogram.
 
     The histogram has one row per distinct value, so the running sum that finds the
@@ -124,16 +125,19 @@ def histogram_stats(hist: DataFrame, measure: str = "m", value: str = "v", count
         F.max("v").cast("long").alias("max"),
         ((F.max(F.when((before < lo_idx) & (lo_idx <= F.col("cum")), F.col("v")))
           + F.max(F.when((before < hi_idx) & (hi_idx <= F.col("cum")), F.col("v")))) / 2.0).alias("median"),
+        F.coalesce(F.sum(F.when(F.col("v") == F.lit(exact_value), F.col("n"))), F.lit(0)).cast("long").alias("exact"),
     )
 
 
-def _stats_columns(prefix: str, st: DataFrame) -> DataFrame:
+def _stats_columns(prefix: str, st: DataFrame, exact: bool = False) -> DataFrame:
+    extra = [F.col("exact").alias("exact_length")] if exact else []
     return st.select(
         F.col("rows").alias(f"{prefix}_rows"),
         (F.col("total") / F.col("rows")).alias(f"{prefix}_avg"),
         F.col("median").cast("double").alias(f"{prefix}_median"),
         F.col("min").alias(f"{prefix}_min"),
         F.col("max").alias(f"{prefix}_max"),
+        *extra,
     )
 
 
@@ -148,14 +152,8 @@ def token_stats(ds: Dataset, seq_len: int = DEFAULT_SEQ_LEN, sample_rows: int |
     """One row of token count statistics over rows whose token field is a list (A2, A3)."""
     f = facts(ds, "report", sample_rows).where(F.col("ntok").isNotNull())
     hist = f.groupBy(F.lit("tok").alias("m"), F.col("ntok").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    st = histogram_stats(hist)
-    exact = hist.agg(F.coalesce(F.sum(F.when(F.col("v") == seq_len, F.col("n"))), F.lit(0)).cast("long").alias("x"))
-    out = _stats_columns("token", st)
-    # Both frames hold at most one row; an aggregate over their union folds them.
-    long = out.select(*[F.col(c) for c in out.columns], F.lit(None).cast("long").alias("exact_length")).unionByName(
-        exact.select(*[F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns],
-                     F.col("x").alias("exact_length")))
-    return long.agg(*[F.max(c).alias(c) for c in long.columns])
+    st = histogram_stats(hist, exact_value=seq_len)
+    return _stats_columns("token", st, exact=True)
 
 
 def role_counts(ds: Dataset, aliases: str | Sequence[str] = "report", sample_rows: int | None = None) -> DataFrame:
@@ -177,6 +175,12 @@ def analytics_report(ds: Dataset, seq_len: int = DEFAULT_SEQ_LEN, aliases: str |
     Columns: ``rows, files, bytes, columns, sample_size, duplicate_texts,
     token_avg, token_median, token_min, token_max, exact_length, text_avg,
     text_median, text_min, text_max, detected_roles``.
+
+    Plan: facts → ``posexplode_outer`` of the role markers (one row per marker, the
+    other facts kept on the first) → ``GROUPING SETS ((), (len), (tokens),
+    (digest), (role))`` with partial aggregation → one window partitioned by
+    (set, digest) for the running sums the medians need (digest rows each sit
+    alone, the histograms are small) → one final aggregate.
     """
     f = facts(ds, aliases, sample_rows)
     e = f.select(
@@ -195,62 +199,58 @@ def analytics_report(ds: Dataset, seq_len: int = DEFAULT_SEQ_LEN, aliases: str |
     )
     agg = e2.groupingSets([[], ["tv"], ["ntok"], ["dk"], ["role"]], "tv", "ntok", "dk", "role").agg(
         F.count_if("is_first").alias("nf"), F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
-
-    hist = agg.where(((F.col("gid") == _GID["text"]) & F.col("tv").isNotNull())
-                     | ((F.col("gid") == _GID["tok"]) & F.col("ntok").isNotNull())).select(
-        F.when(F.col("gid") == _GID["text"], F.lit("text")).otherwise(F.lit("tok")).alias("m"),
-        F.coalesce("tv", "ntok").alias("v"), F.col("nf").alias("n"))
-    st = histogram_stats(hist)
-    exact = hist.where((F.col("m") == "tok") & (F.col("v") == seq_len)).agg(F.sum("n").alias("x"))
-
-    def part(key: str, num: Column | None = None, txt: Column | None = None) -> list[Column]:
-        return [F.lit(key).alias("key"), (num if num is not None else F.lit(None)).cast("double").alias("num"),
-                (txt if txt is not None else F.lit(None)).cast("string").alias("txt")]
-
-    parts = [
-        agg.where(F.col("gid") == _GID["all"]).select(*part("sample_size", F.col("nf"))),
-        agg.where((F.col("gid") == _GID["dup"]) & F.col("dk").isNotNull())
-        .agg(F.sum(F.col("nf") - 1).alias("d")).select(*part("duplicate_texts", F.coalesce("d", F.lit(0)))),
-        exact.select(*part("exact_length", F.col("x"))),
-    ]
-    for m, prefix in (("text", "text"), ("tok", "token")):
-        one = st.where(F.col("m") == m)
-        for name, expr in (("avg", F.col("total") / F.col("rows")), ("median", F.col("median")),
-                           ("min", F.col("min")), ("max", F.col("max"))):
-            parts.append(one.select(*part(f"{prefix}_{name}", expr)))
-    roles = agg.where((F.col("gid") == _GID["role"]) & F.col("role").isNotNull()).select("role", "n")
-    roles_txt = roles.agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col("role"), F.col("n")))),
-        lambda x: F.concat(x["role"], F.lit(": "), x["n"].cast("string"))), ", ").alias("r"))
-    parts.append(roles_txt.where(F.col("r") != "").select(*part("detected_roles", txt=F.col("r"))))
-
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-
-    def num(key: str, typ: str) -> Column:
-        return F.max(F.when(F.col("key") == key, F.col("num"))).cast(typ).alias(key)
-
-    report = long.agg(
-        num("sample_size", "long"), num("duplicate_texts", "long"),
-        num("token_avg", "double"), num("token_median", "double"), num("token_min", "long"), num("token_max", "long"),
-        num("exact_length", "long"),
-        num("text_avg", "double"), num("text_median", "double"), num("text_min", "long"), num("text_max", "long"),
-        F.max(F.when(F.col("key") == "detected_roles", F.col("txt"))).alias("detected_roles"),
+    gid = F.col("gid")
+    keep = ((gid == _GID["all"]) | ((gid == _GID["text"]) & F.col("tv").isNotNull())
+            | ((gid == _GID["tok"]) & F.col("ntok").isNotNull()) | ((gid == _GID["dup"]) & F.col("dk").isNotNull())
+            | ((gid == _GID["role"]) & F.col("role").isNotNull()))
+    g = agg.where(keep).select(
+        "gid", "dk", "role",
+        F.coalesce("tv", "ntok").alias("v"),
+        F.when(gid == _GID["role"], F.col("n")).otherwise(F.col("nf")).alias("c"),
     )
-    report = report.withColumn("sample_size", F.coalesce("sample_size", F.lit(0)).cast("long"))
-    report = report.withColumn("duplicate_texts", F.coalesce("duplicate_texts", F.lit(0)).cast("long"))
-    report = report.withColumn("exact_length", F.when(F.col("token_min").isNotNull(),
-                                                      F.coalesce("exact_length", F.lit(0))).cast("long"))
-    head = [F.lit(ds.count() if sample_rows is None else None).cast("long").alias("rows")]
+    part = Window.partitionBy("gid", "dk")
+    g = g.withColumn("cum", F.sum("c").over(part.orderBy("v").rowsBetween(Window.unboundedPreceding,
+                                                                             Window.currentRow)))
+    g = g.withColumn("tot", F.sum("c").over(part))
+    before = F.col("cum") - F.col("c")
+
+    def stats(code: int, prefix: str) -> list[Column]:
+        on = gid == code
+        lo_idx = F.floor((F.col("tot") + 1) / 2)
+        hi_idx = F.floor(F.col("tot") / 2) + 1
+        rows = F.max(F.when(on, F.col("tot")))
+        total = F.sum(F.when(on, F.col("v") * F.col("c")))
+        lo = F.max(F.when(on & (before < lo_idx) & (lo_idx <= F.col("cum")), F.col("v")))
+        hi = F.max(F.when(on & (before < hi_idx) & (hi_idx <= F.col("cum")), F.col("v")))
+        return [
+            (total / rows).cast("double").alias(f"{prefix}_avg"),
+            ((lo + hi) / 2.0).cast("double").alias(f"{prefix}_median"),
+            F.min(F.when(on, F.col("v"))).cast("long").alias(f"{prefix}_min"),
+            F.max(F.when(on, F.col("v"))).cast("long").alias(f"{prefix}_max"),
+        ]
+
+    role_items = F.array_sort(F.collect_list(F.when(gid == _GID["role"], F.struct(
+        (-F.col("c")).alias("k"), F.col("role").alias("r"), F.col("c").alias("n")))))
+    roles_txt = F.array_join(F.transform(role_items, lambda x: F.concat(x["r"], F.lit(": "), x["n"].cast("string"))),
+                             ", ")
+    tok = stats(_GID["tok"], "token")
+    report = g.agg(
+        F.coalesce(F.max(F.when(gid == _GID["all"], F.col("c"))), F.lit(0)).cast("long").alias("sample_size"),
+        F.coalesce(F.sum(F.when(gid == _GID["dup"], F.col("c") - 1)), F.lit(0)).cast("long").alias("duplicate_texts"),
+        *tok,
+        F.when(F.max(F.when(gid == _GID["tok"], F.col("tot"))).isNotNull(),
+               F.coalesce(F.sum(F.when((gid == _GID["tok"]) & (F.col("v") == seq_len), F.col("c"))), F.lit(0)))
+        .cast("long").alias("exact_length"),
+        *stats(_GID["text"], "text"),
+        F.when(F.size(role_items) > 0, roles_txt).alias("detected_roles"),
+    )
+    total_rows = ds.count()
+    head = [F.lit(total_rows).cast("long").alias("rows")]
     if with_files:
         n_files, n_bytes = ds.file_stats()
         head += [F.lit(n_files).cast("long").alias("files"), F.lit(n_bytes).cast("long").alias("bytes")]
     head += [F.lit(", ".join(ds.columns)).alias("columns")]
-    out = report.select(*head, *report.columns)
-    if sample_rows is not None:
-        out = out.withColumn("rows", F.lit(ds.count()).cast("long"))
-    return out
+    return report.select(*head, *report.columns)
 
 
 # ---------------------------------------------------------------------- summary
