@@ -46,8 +46,13 @@ def read_parquet(spark: SparkSession, source: str, is_dir: bool) -> DataFrame:
 def _text_lines(spark: SparkSession, source: str, wholetext: bool = False) -> DataFrame:
     # ``text()`` has its own ``wholetext`` argument, which overrides an option.
     raw = spark.read.text(source, wholetext=wholetext)
+    value = F.col("value")
+    if wholetext:
+        # One value per file: drop a UTF-8 byte order mark at its start (the line
+        # reader already skips it).
+        value = F.when(value.startswith("\ufeff"), F.substring(value, 2, 1 << 30)).otherwise(value)
     return raw.select(
-        F.col("value").alias("__line"),
+        value.alias("__line"),
         metadata_path().alias("__path"),
         F.col("_metadata.file_block_start").alias("__block"),
     )
@@ -190,28 +195,34 @@ def first_seen_columns(base: DataFrame) -> list[str]:
     return [r["key"] for r in ordered.collect()]
 
 
-# Fixed value: never equal to any CSV field, so empty fields stay ''.
-_CSV_NO_NULL = "\u0000\u0001shardlens-no-null\u0001\u0000"
+CSV_CORRUPT = "_corrupt_record"
 
 
 def read_csv(spark: SparkSession, source: str) -> DataFrame:
     """Header row, every value a string, quoted newlines and doubled quotes.
 
     Empty fields (quoted or not) read as ``''``; a missing trailing field is null.
-    When a header repeats a name the last such column wins.
+    Spark reads empty fields as null, so the file is read with an explicit
+    all-string schema plus ``_corrupt_record``: rows with the header's field count
+    get ``''`` for their nulls, ragged rows keep them. When a header repeats a name
+    the last such column wins.
     """
-    raw = (
-        spark.read.option("header", "true").option("inferSchema", "false").option("multiLine", "true")
-        .option("escape", '"').option("nullValue", _CSV_NO_NULL).option("emptyValue", "")
-        .option("mode", "PERMISSIVE").csv(source)
-    )
-    names = raw.columns
+    def reader():
+        return (spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
+                .option("mode", "PERMISSIVE"))
+
+    names = reader().option("inferSchema", "false").csv(source).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
+                          + [T.StructField(CSV_CORRUPT, T.StringType())])
+    raw = reader().option("columnNameOfCorruptRecord", CSV_CORRUPT).schema(schema).csv(source)
     header = _csv_header_names(names)
     keep: dict[str, str] = {}
     for actual, logical in zip(names, header):
         keep[logical] = actual  # later duplicates overwrite earlier ones
     ordered_logical = list(dict.fromkeys(header))
-    cols = [F.col(f"`{keep[n]}`").alias(n) for n in ordered_logical]
+    whole = F.col(CSV_CORRUPT).isNull()
+    cols = [F.when(whole, F.coalesce(F.col(f"`{keep[n]}`"), F.lit(""))).otherwise(F.col(f"`{keep[n]}`")).alias(n)
+            for n in ordered_logical]
     base = raw.select(
         *cols,
         metadata_path().alias("__path"),
