@@ -113,7 +113,7 @@ def number_rows(frame: DataFrame, order_col: str, out_col: str, page_index: int
 def inspect_fields(ds: Dataset, row_no: int) -> DataFrame:
     """``(ordinal, field, value)`` for one row: every field with a 600-character
     preview, in the row's own key order (P7)."""
-    schema = {f.name: f.dataType for f in ds.df.schema.fields}
+    schema = {f.name: f.dataType for f in ds.schema.fields}
     row = ds.rows_between(row_no, row_no)
     if not ds.has_presence:
         items = [F.struct(F.lit(i + 1).alias("ordinal"), F.lit(c).alias("field"),
@@ -135,7 +135,7 @@ def inspect_record(ds: Dataset, row_no: int) -> DataFrame:
     ``display`` is the rendered text, or the whole row as indented JSON when the
     row has no text field.
     """
-    schema = ds.df.schema
+    schema = ds.schema
     row = ds.rows_between(row_no, row_no)
     whole = py_json(F.struct(*[F.col(f"`{c}`") for c in ds.columns]), schema, indent=2)
     display = resolve_apply(ds, TEXT_ALIASES_BROWSER,

@@ -22,7 +22,7 @@ from ..sources.readers import KEYS_COL
 def resolve_apply(ds: Dataset, aliases: Sequence[str], fn: Callable[[Column, T.DataType], Column],
                   missing: Column) -> Column:
     """``fn(value, type)`` of the resolved field; ``missing`` when no alias matches."""
-    schema = {f.name: f.dataType for f in ds.df.schema.fields}
+    schema = {f.name: f.dataType for f in ds.schema.fields}
     if not ds.has_presence:
         name = resolve(ds.columns, aliases)
         if name is None:

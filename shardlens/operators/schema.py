@@ -97,7 +97,7 @@ def column_types(ds: Dataset) -> DataFrame:
     """
     from pyspark.sql import types as T
 
-    fields = ds.df.schema.fields
+    fields = ds.schema.fields
     if ds.kind == "parquet":
         rows = [(i + 1, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)]
         return ds.spark.createDataFrame(rows, "ordinal int, column_name string, type_name string")

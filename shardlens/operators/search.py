@@ -29,7 +29,7 @@ def normalise_query(query: str) -> str:
 
 def row_search_text(ds: Dataset, match_names: bool = False, match_nulls: bool = False) -> Column:
     """``key value key value …`` over all columns, lower-cased."""
-    schema = {f.name: f.dataType for f in ds.df.schema.fields}
+    schema = {f.name: f.dataType for f in ds.schema.fields}
     chunks = []
     for name in ds.columns:
         val = value_text(F.col(f"`{name}`"), schema[name], "None" if match_nulls else None)
@@ -49,7 +49,7 @@ def row_search_text(ds: Dataset, match_names: bool = False, match_nulls: bool =
 def column_haystack(ds: Dataset, column: str, match_nulls: bool = False) -> Column:
     """Text of one column (lists/dicts rendered), lower-cased; null when the row has
     no such column (F2)."""
-    schema = {f.name: f.dataType for f in ds.df.schema.fields}
+    schema = {f.name: f.dataType for f in ds.schema.fields}
     if column not in schema:
         return F.lit(None).cast("string")
     val = F.lower(value_text(F.col(f"`{column}`"), schema[column], "None" if match_nulls else None))

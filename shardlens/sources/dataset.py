@@ -36,7 +36,9 @@ class Dataset:
     listing: DataFrame  # path, name, bytes, modified — every file of the dataset
     _ranges: DataFrame | None = field(default=None, repr=False)
     _range_count: int | None = field(default=None, repr=False)
+    _range_rows: list | None = field(default=None, repr=False)
     _file_stats: tuple[int, int] | None = field(default=None, repr=False)
+    _schema: object = field(default=None, repr=False)
 
     # ------------------------------------------------------------------ basics
     @property
@@ -44,6 +46,13 @@ class Dataset:
         """The data as a plain DataFrame (user columns only)."""
         return self.base.select(*[F.col(f"`{c}`") for c in self.columns])
 
+    @property
+    def schema(self):
+        """Schema of the user columns (resolved once)."""
+        if self._schema is None:
+            self._schema = self.df.schema
+        return self._schema
+
     @property
     def has_presence(self) -> bool:
         return KEYS_COL in self.base.columns
@@ -56,12 +65,15 @@ class Dataset:
         return self._file_stats
 
     def count(self) -> int:
-        """Total rows (S9). For Parquet this reads footers only."""
-        return self.df.count()
+        """Total rows (S9), from the range table (for Parquet: footers only)."""
+        rows = self.range_rows()
+        if rows is not None:
+            return sum(int(r["rows"]) for r in rows)
+        return int(self.ranges().agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
 
     def schema_report(self) -> DataFrame:
         """(ordinal, column, type, nullable) per column."""
-        schema = self.df.schema
+        schema = self.schema
         rows = [(i + 1, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(schema.fields)]
         return self.spark.createDataFrame(rows, "ordinal int, column string, type string, nullable boolean")
 
@@ -84,9 +96,19 @@ class Dataset:
             ranges = units.withColumn("start", F.sum("rows").over(w) - F.col("rows"))
             work_dir(self.spark)  # makes sure a checkpoint folder is set
             self._ranges = ranges.checkpoint(eager=True)
-            self._range_count = self._ranges.count()
+            head = self._ranges.limit(MAX_BROADCAST_RANGES + 1).collect()
+            if len(head) <= MAX_BROADCAST_RANGES:
+                self._range_rows, self._range_count = head, len(head)
+            else:
+                self._range_count = self._ranges.count()
         return self._ranges
 
+    def range_rows(self) -> list | None:
+        """The range table on the driver when it is small (one row per file/split,
+        at most ``MAX_BROADCAST_RANGES``); ``None`` for larger datasets."""
+        self.ranges()
+        return self._range_rows
+
     def _join_ranges(self, frame: DataFrame, ranges: DataFrame | None = None, count: int | None = None) -> DataFrame:
         ranges = self.ranges() if ranges is None else ranges
         count = self._range_count if count is None else count
@@ -118,9 +140,17 @@ class Dataset:
         overlapping ranges are looked up in the (small) range table first.
         """
         ranges = self.ranges()
-        hit = ranges.where((F.col("start") < F.lit(last)) & (F.col("start") + F.col("rows") >= F.lit(first)))
+        cached = self.range_rows()
+        if cached is not None:
+            picked = [r for r in cached if r["start"] < last and r["start"] + r["rows"] >= first]
+            hit = self.spark.createDataFrame(picked, ranges.schema) if picked else ranges.limit(0)
+            hit_paths = sorted({r["__path"] for r in picked})
+        else:
+            hit = ranges.where((F.col("start") < F.lit(last)) & (F.col("start") + F.col("rows") >= F.lit(first)))
+            hit_paths = None
         if self.kind == "parquet":
-            paths = [r["__path"] for r in hit.select("__path").distinct().collect()]
+            paths = hit_paths if hit_paths is not None else [
+                r["__path"] for r in hit.select("__path").distinct().collect()]
             if not paths:
                 return self.positioned().limit(0)
             sub = read_parquet(self.spark, paths[0], False) if len(paths) == 1 else self.spark.read.parquet(*paths)
