@@ -9,7 +9,7 @@ column runs vectorised inside Spark like any other projection.
 * ``py_repr``  – ``repr(value)`` for items of nested lists
 * ``py_json``  – ``json.dumps(value, ensure_ascii=False[, indent=2])``
 * ``render``   – conversation rendering (messages → ``role: text`` blocks)
-* ``search_haystack`` – the text a single-column search looks in
+* ``value_text`` – the text a search looks in for one value
 """
 
 from __future__ import annotations
@@ -92,6 +92,9 @@ def py_float_repr(c: Column) -> Column:
 
 def py_str(c: Column, dt: T.DataType) -> Column:
     """``str(value)``; null stays null (callers decide between ``''`` and ``'None'``)."""
+    if isinstance(dt, T.VariantType):
+        from .variant import str_variant
+        return F.when(c.isNotNull(), str_variant(c))
     if isinstance(dt, T.StringType):
         return c
     if isinstance(dt, T.BooleanType):
@@ -267,6 +270,9 @@ def _list_item(m: Column, dt: T.DataType) -> Column:
 
 def render(c: Column, dt: T.DataType) -> Column:
     """Conversation rendering; never null (null renders as ``''``)."""
+    if isinstance(dt, T.VariantType):
+        from .variant import render_variant
+        return render_variant(c)
     if isinstance(dt, T.StringType):
         return F.coalesce(c, _lit(""))
     if isinstance(dt, T.ArrayType):
@@ -288,7 +294,11 @@ def is_container(dt: T.DataType) -> bool:
 
 def value_text(c: Column, dt: T.DataType, null_text: str | None = "None") -> Column:
     """Text a search sees for one value: lists/dicts rendered, scalars ``str``-ed."""
-    body = render(c, dt) if is_container(dt) else py_str(c, dt)
+    if isinstance(dt, T.VariantType):
+        from .variant import variant_value_text
+        body = variant_value_text(c)
+    else:
+        body = render(c, dt) if is_container(dt) else py_str(c, dt)
     if null_text is None:
         return F.when(c.isNotNull(), body)
     return F.when(c.isNull(), _lit(null_text)).otherwise(body)
@@ -296,5 +306,9 @@ def value_text(c: Column, dt: T.DataType, null_text: str | None = "None") -> Col
 
 def preview_source(c: Column, dt: T.DataType) -> Column:
     """What a preview starts from: lists/dicts as JSON, scalars as ``str``, null as ''."""
+    if isinstance(dt, T.VariantType):
+        js = F.to_json(c)
+        body = F.when(js.startswith("{") | js.startswith("["), js).otherwise(py_str(c, dt))
+        return F.when(c.isNull(), _lit("")).otherwise(body)
     body = py_json(c, dt) if is_container(dt) else py_str(c, dt)
     return F.when(c.isNull(), _lit("")).otherwise(body)

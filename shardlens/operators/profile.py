@@ -255,6 +255,17 @@ def analytics_report(ds: Dataset, seq_len: int = DEFAULT_SEQ_LEN, aliases: str |
 
 # ---------------------------------------------------------------------- summary
 
+DASHBOARD_SAMPLE = 100
+
+
+def dashboard(ds: Dataset, sample_rows: int | None = DASHBOARD_SAMPLE) -> DataFrame:
+    """The dashboard card (A1, A2, A4): totals plus token and text statistics over
+    the first ``sample_rows`` rows (``None``: all rows), dashboard alias list."""
+    r = analytics_report(ds, aliases="dashboard", sample_rows=sample_rows)
+    return r.select("rows", "files", "bytes", "columns", "sample_size", "token_avg", "token_median", "token_min",
+                    "token_max", "text_avg", "text_median")
+
+
 def dataset_summary(ds: Dataset) -> DataFrame:
     """One row: ``source_type, rows, files, bytes, n_columns, columns, token_column``."""
     n_files, n_bytes = ds.file_stats()

@@ -120,3 +120,21 @@ def column_types(ds: Dataset) -> DataFrame:
     items = [F.struct(F.lit(i + 1).alias("ordinal"), F.lit(f.name).alias("column_name"),
                       F.col(f"`{f.name}`").alias("type_name")) for i, f in enumerate(fields)]
     return one.select(F.explode(F.array(*items)).alias("x")).select("x.*")
+
+
+def malformed_rows(ds: Dataset) -> DataFrame:
+    """``row_no, record, <columns>`` for CSV rows whose field count differs from the header.
+
+    Their missing fields stay null and extra fields are not turned into a column;
+    the raw record is reported here instead.
+    """
+    from ..sources.readers import CORRUPT_COL
+
+    if CORRUPT_COL not in ds.base.columns:
+        return ds.spark.createDataFrame([], "row_no long, record string")
+    pos = ds.positioned()
+    # The parsed fields come along: Spark refuses a CSV scan that reads only the
+    # corrupt-record column.
+    return pos.where(F.col(CORRUPT_COL).isNotNull()).select(
+        F.col("__row_no").alias("row_no"), F.col(CORRUPT_COL).alias("record"),
+        *[F.col(f"`{c}`") for c in ds.columns])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import work_dir
 from . import files as FS
-from .readers import HIDDEN, KEYS_COL, first_seen_columns, read_csv, read_json_document, read_jsonl, read_parquet, typed_columns
+from .readers import EXTRA_COLS, HIDDEN, KEYS_COL, first_seen_columns, read_csv, read_json_document, read_jsonl, read_parquet, typed_columns
 
 # Largest number of row ranges (files, or splits for text sources) joined by
 # broadcast; one row per range (a path and three longs). Beyond it the join is a
@@ -129,7 +129,7 @@ class Dataset:
         """User columns plus ``__row_no`` (1-based position) and ``__shard``."""
         j = self._join_ranges(self.base)
         row_no = (F.col("start") + F.col("__local") - F.col("base") + 1).alias("__row_no")
-        extra = [F.col(KEYS_COL)] if self.has_presence else []
+        extra = [F.col(c) for c in EXTRA_COLS if c in self.base.columns]
         return j.select(*[F.col(f"`{c}`") for c in self.columns], *extra, row_no,
                         self.shard_label().alias("__shard"), F.col("__path"))
 
@@ -162,7 +162,7 @@ class Dataset:
             frame = self.base
         j = self._join_ranges(frame, hit, len(paths) if self.kind == "parquet" else None)
         row_no = F.col("start") + F.col("__local") - F.col("base") + 1
-        extra = [F.col(KEYS_COL)] if self.has_presence else []
+        extra = [F.col(c) for c in EXTRA_COLS if c in self.base.columns]
         out = j.select(*[F.col(f"`{c}`") for c in self.columns], *extra, row_no.alias("__row_no"),
                        self.shard_label().alias("__shard"), F.col("__path"))
         return out.where(F.col("__row_no").between(first, last))
@@ -246,7 +246,7 @@ def _open_parquet(spark: SparkSession, source: str, listing: DataFrame, is_dir:
 def _open_small(spark: SparkSession, source: str, kind: str, listing: DataFrame) -> Dataset:
     if kind == "csv":
         base = read_csv(spark, source)
-        columns = [c for c in base.columns if c not in HIDDEN]
+        columns = [c for c in base.columns if c not in HIDDEN and c not in EXTRA_COLS]
         return Dataset(spark, source, kind, base, columns, listing)
     base = read_jsonl(spark, source) if kind == "jsonl" else read_json_document(spark, source)
     columns = first_seen_columns(base)

@@ -26,6 +26,8 @@ from .files import metadata_path
 
 HIDDEN = ["__path", "__block", "__local"]
 KEYS_COL = "__keys"
+CORRUPT_COL = "__corrupt"
+EXTRA_COLS = [KEYS_COL, CORRUPT_COL]
 
 
 def read_parquet(spark: SparkSession, source: str, is_dir: bool) -> DataFrame:
@@ -87,28 +89,41 @@ def read_jsonl(spark: SparkSession, source: str) -> DataFrame:
 
 def read_json_document(spark: SparkSession, source: str) -> DataFrame:
     """A whole JSON document: a list of rows, ``{"data": [...]}``, ``{"rows": [...]}``
-    or a single object. The document is parsed in one task (it is one value)."""
+    or a single object. The document is parsed in one task (it is one value).
+
+    Values come from the parsed variant; the key order of each object comes from
+    its own JSON text (``from_json`` to ``array<string>`` keeps it), so every row
+    keeps its keys in the order written.
+    """
     docs = _text_lines(spark, source, wholetext=True)
-    v = F.parse_json(F.col("__line"))
+    doc = F.col("__line")
+    v = F.parse_json(doc)
     kind = F.schema_of_variant(v)
-    data_kind = F.schema_of_variant(F.variant_get(v, "$.data", "variant"))
-    rows_kind = F.schema_of_variant(F.variant_get(v, "$.rows", "variant"))
-    as_list = (
-        F.when(kind.startswith("ARRAY"), F.variant_get(v, "$", "array<variant>"))
-        .when(kind.startswith("OBJECT") & F.coalesce(data_kind.startswith("ARRAY"), F.lit(False)),
-              F.variant_get(v, "$.data", "array<variant>"))
-        .when(kind.startswith("OBJECT") & F.coalesce(rows_kind.startswith("ARRAY"), F.lit(False)),
-              F.variant_get(v, "$.rows", "array<variant>"))
-        .otherwise(F.array(v))
+
+    def is_list(path: str) -> Column:
+        return F.coalesce(F.schema_of_variant(F.variant_get(v, path, "variant")).startswith("ARRAY"), F.lit(False))
+
+    def pick(path: str | None) -> Column:
+        if path is None:
+            return F.struct(F.variant_get(v, "$", "array<variant>").alias("v"),
+                            F.from_json(doc, "array<string>").alias("t"))
+        return F.struct(F.variant_get(v, path, "array<variant>").alias("v"),
+                        F.from_json(F.get_json_object(doc, path), "array<string>").alias("t"))
+
+    chosen = (
+        F.when(kind.startswith("ARRAY"), pick(None))
+        .when(kind.startswith("OBJECT") & is_list("$.data"), pick("$.data"))
+        .when(kind.startswith("OBJECT") & is_list("$.rows"), pick("$.rows"))
+        .otherwise(F.struct(F.array(v).alias("v"), F.array(doc).alias("t")))
     )
-    items = docs.select("__path", "__block", F.posexplode(as_list).alias("__local", "__item"))
-    item = F.col("__item")
+    # Values come from the variant array; each object's key order from its own text.
+    items = docs.select("__path", "__block",
+                        F.posexplode(F.arrays_zip(chosen["v"].alias("v"), chosen["t"].alias("t"))).alias("__local", "__it"))
+    item = F.col("__it.v")
     is_obj = F.schema_of_variant(item).startswith("OBJECT")
-    # Key order of an item: re-read it from its own JSON text is not possible (variant
-    # objects keep keys sorted), so the document's text order is recovered per item.
     return items.select(
         _object_of(item).alias("__obj"),
-        F.when(is_obj, F.json_object_keys(F.to_json(item))).otherwise(F.array(F.lit("value"))).alias(KEYS_COL),
+        F.when(is_obj, F.json_object_keys(F.col("__it.t"))).otherwise(F.array(F.lit("value"))).alias(KEYS_COL),
         "__path", "__block", "__local",
     )
 
@@ -225,6 +240,7 @@ def read_csv(spark: SparkSession, source: str) -> DataFrame:
             for n in ordered_logical]
     base = raw.select(
         *cols,
+        F.col(CSV_CORRUPT).alias(CORRUPT_COL),
         metadata_path().alias("__path"),
         F.col("_metadata.file_block_start").alias("__block"),
     )

@@ -153,3 +153,39 @@ def test_csv_rules(spark, tmp_path):
     rows = [tuple(r) for r in ds.rows_between(1, 10).orderBy("__row_no").select("id", "text").collect()]
     # The later duplicate header wins; empty fields read as ''; a missing trailing field is null.
     assert rows == [("x", 'multi\nline "q"'), ("y", ""), ("z", ""), (None, "short")]
+
+
+def test_variant_conversations_render_like_typed(spark, tmp_path):
+    rows = [{"id": 1, "conversation": [{"from": "user", "value": "hi"}, {"role": "bot", "content": "yo"}]},
+            {"id": 2, "conversation": "plain text"},
+            {"id": 3, "conversation": [{"from": "a", "value": None, "content": "x"}]},
+            {"id": 4, "conversation": {"role": "assistant", "content": "ok"}},
+            {"id": 5, "conversation": [1, "two", None]}]
+    p = str(tmp_path / "v.jsonl")
+    _write(p, "\n".join(json.dumps(r) for r in rows) + "\n")
+    ds = open_dataset(spark, p)
+    text = resolve_apply(ds, TEXT_ALIASES_REPORT, lambda c, dt: render(c, dt), F.lit(""))
+    got = {r["id"]: r["t"] for r in ds.base.select("id", text.alias("t")).collect()}
+    assert got == {1: "user: hi\n\nbot: yo", 2: "plain text", 3: "a: a: x", 4: "assistant: ok",
+                   5: "1\n\ntwo\n\nNone"}
+    from shardlens.operators import search as S
+    assert sorted(r["id"] for r in S.search(ds, "bot: yo", column="conversation").collect()) == [1]
+
+
+def test_json_document_keeps_key_order(spark, tmp_path):
+    p = str(tmp_path / "k.json")
+    _write(p, '{"data": [{"zeta": 1, "alpha": "a"}, {"mid": null, "zeta": 2}, "x"]}')
+    ds = open_dataset(spark, p)
+    assert ds.columns == ["zeta", "alpha", "mid", "value"]
+    assert [tuple(r) for r in ds.rows_between(1, 3).orderBy("__row_no").select("zeta", "alpha", "value").collect()] == [
+        (1, "a", None), (2, None, None), (None, None, "x")]
+
+
+def test_csv_malformed_rows_reported(spark, tmp_path):
+    from shardlens.operators.schema import malformed_rows
+    p = str(tmp_path / "m.csv")
+    _write(p, "a,b\n1,2\n3\n4,5,6\n")
+    ds = open_dataset(spark, p)
+    assert ds.columns == ["a", "b"]
+    got = sorted((r["row_no"], r["record"]) for r in malformed_rows(ds).collect())
+    assert [g[0] for g in got] == [2, 3]
