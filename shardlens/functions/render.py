@@ -28,65 +28,38 @@ def _lit(s: str) -> Column:
 
 # --------------------------------------------------------------------------- str()
 
-def _bind(value: Column, fn) -> Column:
-    """Evaluate ``fn`` over ``value`` bound to one lambda variable, so the parts it
-    reuses are computed once instead of being copied into the expression tree."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
 def py_float_repr(c: Column) -> Column:
     """Python ``repr(float)`` from Spark's shortest round-trip digits.
 
-    Spark prints ``1.0E7``; Python prints ``10000000.0`` and switches to exponent
-    form only below 1e-4 or from 1e16 (``1e+16``, ``1e-05``).
+    Spark (Java) prints plain decimals for 1e-3 <= |x| < 1e7 — exactly what Python
+    prints there — and ``d.dddE±n`` elsewhere. Only the ``E`` form is rewritten:
+    Python keeps plain decimals up to 1e16 and down to 1e-4 and otherwise writes
+    ``1e+16``, ``1.5e-05``. Plain column expressions, so it stays in codegen.
     """
     d = c.cast("double")
-
-    def parts(s: Column) -> Column:
-        a = F.regexp_replace(s, "^-", "")
-        mant = F.regexp_extract(a, r"^([0-9.]+)", 1)
-        return F.struct(
-            s.startswith("-").alias("neg"),
-            F.substring_index(mant, ".", 1).alias("ip"),
-            F.when(F.instr(mant, ".") > 0, F.substring_index(mant, ".", -1)).otherwise(_lit("")).alias("fp"),
-            F.coalesce(F.regexp_extract(a, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0)).alias("e"),
-        )
-
-    def digits(p: Column) -> Column:
-        raw = F.concat(p["ip"], p["fp"])
-        d1 = F.regexp_replace(raw, "^0+", "")
-        return F.struct(
-            p["neg"].alias("neg"),
-            F.regexp_replace(d1, "0+$", "").alias("dig"),
-            (F.length(p["ip"]) - 1 + p["e"] - (F.length(raw) - F.length(d1))).alias("x"),
-        )
-
-    def fmt(q: Column) -> Column:
-        dig, x = q["dig"], q["x"]
-        n = F.length(dig)
-        int_part = F.substring(F.rpad(dig, F.greatest(n, x + 1), "0"), 1, x + 1)
-        frac_part = F.substring(dig, x + 2, 1 << 30)
-        fixed_pos = F.concat(int_part, _lit("."), F.when(frac_part == "", _lit("0")).otherwise(frac_part))
-        fixed_neg = F.concat(_lit("0."), F.repeat(_lit("0"), -x - 1), dig)
-        ax = F.abs(x).cast("string")
-        sci = F.concat(
-            F.substring(dig, 1, 1),
-            F.when(n > 1, F.concat(_lit("."), F.substring(dig, 2, 1 << 30))).otherwise(_lit("")),
-            _lit("e"), F.when(x < 0, _lit("-")).otherwise(_lit("+")),
-            F.when(F.length(ax) < 2, F.concat(_lit("0"), ax)).otherwise(ax),
-        )
-        body = (F.when(dig == "", _lit("0.0"))
-                .when((x >= -4) & (x < 16), F.when(x >= 0, fixed_pos).otherwise(fixed_neg))
-                .otherwise(sci))
-        return F.concat(F.when(q["neg"], _lit("-")).otherwise(_lit("")), body)
-
-    text = _bind(_bind(_bind(d.cast("string"), parts), digits), fmt)
+    s = d.cast("string")
+    n = F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int")
+    dig = F.regexp_replace(F.replace(F.regexp_extract(s, r"^-?([0-9.]+)E", 1), _lit("."), _lit("")), "0+$", "")
+    sign = F.when(s.startswith("-"), _lit("-")).otherwise(_lit(""))
+    an = F.abs(n).cast("string")
+    sci = F.concat(
+        sign, F.substring(dig, 1, 1),
+        F.when(F.length(dig) > 1, F.concat(_lit("."), F.substring(dig, 2, 1 << 30))).otherwise(_lit("")),
+        _lit("e"), F.when(n < 0, _lit("-")).otherwise(_lit("+")),
+        F.when(F.length(an) < 2, F.concat(_lit("0"), an)).otherwise(an),
+    )
+    frac = F.substring(dig, n + 2, 1 << 30)
+    big = F.concat(sign, F.substring(F.rpad(dig, F.greatest(F.length(dig), n + 1), "0"), 1, n + 1), _lit("."),
+                   F.when(frac == "", _lit("0")).otherwise(frac))
+    small = F.concat(sign, _lit("0.000"), dig)
+    rewritten = F.when((n >= 7) & (n < 16), big).when(n == -4, small).otherwise(sci)
     return (
         F.when(d.isNull(), F.lit(None).cast("string"))
         .when(F.isnan(d), _lit("nan"))
         .when(d == float("inf"), _lit("inf"))
         .when(d == float("-inf"), _lit("-inf"))
-        .otherwise(text)
+        .when(~F.contains(s, _lit("E")), s)
+        .otherwise(rewritten)
     )
 
 

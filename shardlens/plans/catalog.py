@@ -29,6 +29,9 @@ PAGE_SIZE = 100
 SEARCH_PAGE_SIZE = 25
 CAP = 50
 INSPECT_ROW = 42
+EVENTS_WORD = "12.3"
+# The viewer's head sample for analytics and quality (parity mode, D1).
+REFERENCE_SAMPLE = 5000
 
 
 def _r6(c: str) -> F.Column:
@@ -276,6 +279,29 @@ def q_json_props(spark, sf):
     return ds.df.select("event_id", F.col("props.k").cast("long").alias("k"))
 
 
+# ---------------------------------------------------------------------- mixed types, samples
+
+def q_search_events(spark, sf):
+    ds = open_dataset(spark, f"{sf.rstrip('/')}/events.parquet")
+    hits = search.search(ds, EVENTS_WORD, match_names=True, match_nulls=True)
+    return hits.select("event_id", F.col("__row_no").cast("long").alias("row_no"))
+
+
+def q_inspect_order(spark, sf):
+    ds = open_dataset(spark, f"{sf.rstrip('/')}/orders.parquet")
+    return paging.inspect_fields(ds, INSPECT_ROW)
+
+
+def q_quality_scan_head(spark, sf):
+    return profile.quality_scan(X.documents(spark, sf), sample_rows=REFERENCE_SAMPLE)
+
+
+def q_dashboard(spark, sf):
+    r = profile.dashboard(X.token_documents(spark, sf), sample_rows=profile.DASHBOARD_SAMPLE)
+    return r.select("rows", "columns", "sample_size", _r6("token_avg"), "token_median", "token_min", "token_max",
+                    _r6("text_avg"), "text_median")
+
+
 # ---------------------------------------------------------------------- registry
 
 QUERIES: dict[str, QueryFn] = {
@@ -322,6 +348,10 @@ QUERIES: dict[str, QueryFn] = {
     "ragged_columns": q_ragged_columns,
     "resolve_fields": q_resolve_fields,
     "json_props": q_json_props,
+    "search_events": q_search_events,
+    "inspect_order": q_inspect_order,
+    "quality_scan_head": q_quality_scan_head,
+    "dashboard": q_dashboard,
 }
 
 
@@ -489,5 +519,39 @@ SELECT doc_id, CASE WHEN lang IN ('en', 'fr', 'de') THEN length(text) END::BIGIN
     "json_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
 }
 
+ORACLES["search_events"] = f"""
+SELECT event_id, row_no::BIGINT AS row_no
+FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS row_no FROM events)
+WHERE contains(lower(concat_ws(' ',
+    'event_id', coalesce(CAST(event_id AS VARCHAR), 'None'),
+    'ts', coalesce({S.py_timestamp('ts')}, 'None'),
+    'user_id', coalesce(CAST(user_id AS VARCHAR), 'None'),
+    'event_type', coalesce(event_type, 'None'),
+    'value', coalesce(CAST(value AS VARCHAR), 'None'),
+    'props', coalesce(props, 'None'))), '{EVENTS_WORD}')"""
+
+ORACLES["inspect_order"] = f"""
+WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS row_no FROM orders)
+           WHERE row_no = {INSPECT_ROW})
+SELECT 1 AS ordinal, 'o_orderkey' AS field, CAST(o_orderkey AS VARCHAR) AS value FROM r
+UNION ALL SELECT 2, 'o_custkey', CAST(o_custkey AS VARCHAR) FROM r
+UNION ALL SELECT 3, 'o_orderstatus', {S.preview('o_orderstatus', paging.INSPECT_PREVIEW)} FROM r
+UNION ALL SELECT 4, 'o_totalprice', CAST(o_totalprice AS VARCHAR) FROM r
+UNION ALL SELECT 5, 'o_orderdate', {S.py_timestamp('o_orderdate')} FROM r
+UNION ALL SELECT 6, 'o_orderpriority', {S.preview('o_orderpriority', paging.INSPECT_PREVIEW)} FROM r"""
+
+ORACLES["quality_scan_head"] = _quality_sql(
+    f"SELECT text AS s FROM ({S.NUMBERED_DOCS}) WHERE row_no <= {REFERENCE_SAMPLE}", None, 1024)
+
+ORACLES["dashboard"] = f"""
+WITH d AS (SELECT text, len({S.TOKENS}) AS ntok FROM ({S.NUMBERED_DOCS})
+           WHERE row_no <= {profile.DASHBOARD_SAMPLE})
+SELECT (SELECT count(*) FROM documents)::BIGINT AS rows, 'doc_id, text, lang, source, n_chars, tokens' AS columns,
+       count(*)::BIGINT AS sample_size, round(avg(ntok), 6) AS token_avg, median(ntok)::DOUBLE AS token_median,
+       min(ntok)::BIGINT AS token_min, max(ntok)::BIGINT AS token_max,
+       round(avg(length(text)) FILTER (WHERE text IS NOT NULL), 6) AS text_avg,
+       (median(length(text)) FILTER (WHERE text IS NOT NULL))::DOUBLE AS text_median
+FROM d"""
+
 # Results that depend on names or sizes Spark picks for written files: rows-only check.
 NO_ORACLE = {"file_manifest"}

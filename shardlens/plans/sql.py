@@ -49,3 +49,10 @@ CONVERSATION_TEXT = (
 )
 
 NUMBERED_DOCS = "SELECT *, row_number() OVER (ORDER BY doc_id) AS row_no FROM documents"
+
+
+def py_timestamp(x: str) -> str:
+    """``str(datetime)``: six fraction digits unless the microseconds are zero."""
+    us = f"(epoch_us({x}) % 1000000)"
+    return (f"(strftime({x}, '%Y-%m-%d %H:%M:%S') || "
+            f"CASE WHEN {us} = 0 THEN '' ELSE '.' || lpad(CAST({us} AS VARCHAR), 6, '0') END)")
