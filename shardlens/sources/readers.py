@@ -79,8 +79,11 @@ def read_jsonl(spark: SparkSession, source: str) -> DataFrame:
     lines = _text_lines(spark, source)
     lines = lines.where(py_strip(F.col("__line")) != "")
     lines = lines.withColumn("__local", F.monotonically_increasing_id())
-    v = F.parse_json(F.col("__line"))
-    return lines.select(
+    # Parse once into its own column; the derived columns below reuse it (Catalyst
+    # does not inline a non-trivial expression that is referenced several times).
+    parsed = lines.select(F.parse_json(F.col("__line")).alias("__v"), "__line", "__path", "__block", "__local")
+    v = F.col("__v")
+    return parsed.select(
         _object_of(v).alias("__obj"),
         _keys_of(F.col("__line"), v).alias(KEYS_COL),
         "__path", "__block", "__local",
