@@ -26,7 +26,6 @@ from ..functions.fields import TOKEN_ALIASES, text_aliases, token_column
 from ..functions.render import render
 from ..functions.text import has_no_markers, py_strip, role_markers
 from ..sources.dataset import Dataset
-from ..sources.readers import KEYS_COL
 from .resolve import resolve_apply
 
 DEFAULT_SEQ_LEN = 1024
@@ -46,8 +45,7 @@ def source_frame(ds: Dataset, sample_rows: int | None = None) -> DataFrame:
     """The rows a report looks at: everything, or the first ``sample_rows`` in order."""
     if sample_rows is not None:
         return ds.rows_between(1, sample_rows)
-    extra = [F.col(KEYS_COL)] if ds.has_presence else []
-    return ds.base.select(*[F.col(f"`{c}`") for c in ds.columns], *extra)
+    return ds.data()
 
 
 def facts(ds: Dataset, aliases: str | Sequence[str] = "report", sample_rows: int | None = None,

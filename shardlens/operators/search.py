@@ -81,9 +81,7 @@ def search_stats(ds: Dataset, query: str, column: str = ALL_COLUMNS, match_names
                  match_nulls: bool = False) -> DataFrame:
     """One row ``matches, scanned`` (F10) in one pass."""
     cond = match_condition(ds, query, column, match_names, match_nulls)
-    extra = [F.col(KEYS_COL)] if ds.has_presence else []
-    frame = ds.base.select(*[F.col(f"`{c}`") for c in ds.columns], *extra)
-    return frame.agg(F.count_if(cond).cast("long").alias("matches"), F.count(F.lit(1)).cast("long").alias("scanned"))
+    return ds.data().agg(F.count_if(cond).cast("long").alias("matches"), F.count(F.lit(1)).cast("long").alias("scanned"))
 
 
 def search_page(ds: Dataset, query: str, page_index: int, page_size: int = 100, column: str = ALL_COLUMNS,

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..session import work_dir
 from . import files as FS
-from .readers import EXTRA_COLS, HIDDEN, KEYS_COL, first_seen_columns, read_csv, read_json_document, read_jsonl, read_parquet, typed_columns
+from .readers import (EXTRA_COLS, HIDDEN, KEYS_COL, first_seen_columns, parquet_reader, read_csv,
+                      read_json_document, read_jsonl, read_parquet, typed_columns)
 
 # Largest number of row ranges (files, or splits for text sources) joined by
 # broadcast; one row per range (a path and three longs). Beyond it the join is a
@@ -39,12 +40,21 @@ class Dataset:
     _range_rows: list | None = field(default=None, repr=False)
     _file_stats: tuple[int, int] | None = field(default=None, repr=False)
     _schema: object = field(default=None, repr=False)
+    # The plain scan without position columns (Parquet): full scans read only data columns.
+    plain: DataFrame | None = field(default=None, repr=False)
 
     # ------------------------------------------------------------------ basics
     @property
     def df(self) -> DataFrame:
         """The data as a plain DataFrame (user columns only)."""
-        return self.base.select(*[F.col(f"`{c}`") for c in self.columns])
+        src = self.plain if self.plain is not None else self.base
+        return src.select(*[F.col(f"`{c}`") for c in self.columns])
+
+    def data(self) -> DataFrame:
+        """User columns plus the per-row key list of JSON sources, for full scans."""
+        if not self.has_presence:
+            return self.df
+        return self.base.select(*[F.col(f"`{c}`") for c in self.columns], F.col(KEYS_COL))
 
     @property
     def schema(self):
@@ -240,7 +250,7 @@ def _open_parquet(spark: SparkSession, source: str, listing: DataFrame, is_dir:
     base = read_parquet(spark, source, is_dir)
     columns = [c for c in base.columns if c not in HIDDEN]
     _check_case_duplicates(spark, columns)
-    return Dataset(spark, source, "parquet", base, columns, listing)
+    return Dataset(spark, source, "parquet", base, columns, listing, plain=parquet_reader(spark, source, is_dir))
 
 
 def _open_small(spark: SparkSession, source: str, kind: str, listing: DataFrame) -> Dataset:

@@ -30,12 +30,17 @@ CORRUPT_COL = "__corrupt"
 EXTRA_COLS = [KEYS_COL, CORRUPT_COL]
 
 
-def read_parquet(spark: SparkSession, source: str, is_dir: bool) -> DataFrame:
+def parquet_reader(spark: SparkSession, source: str, is_dir: bool) -> DataFrame:
+    """The plain Parquet scan (user columns only)."""
     reader = spark.read
     if is_dir:
         # A file list, not a partitioned table: no partition columns are inferred.
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-    raw = reader.parquet(source)
+    return reader.parquet(source)
+
+
+def read_parquet(spark: SparkSession, source: str, is_dir: bool) -> DataFrame:
+    raw = parquet_reader(spark, source, is_dir)
     cols = [F.col(f"`{c}`") for c in raw.columns]
     return raw.select(
         *cols,
