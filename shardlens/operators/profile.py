@@ -242,8 +242,9 @@ def analytics_report(ds: Dataset, seq_len: int = DEFAULT_SEQ_LEN, aliases: str |
         *stats(_GID["text"], "text"),
         F.when(F.size(role_items) > 0, roles_txt).alias("detected_roles"),
     )
-    total_rows = ds.count()
-    head = [F.lit(total_rows).cast("long").alias("rows")]
+    # A full scan counts every row itself; only a head sample needs the total (footers).
+    total = F.col("sample_size") if sample_rows is None else F.lit(ds.count())
+    head = [total.cast("long").alias("rows")]
     if with_files:
         n_files, n_bytes = ds.file_stats()
         head += [F.lit(n_files).cast("long").alias("files"), F.lit(n_bytes).cast("long").alias("bytes")]
