@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import parallelism, scratch_path
 from ..sources.dataset import Dataset, from_frame, open_dataset
 from ..sources.sinks import export
 
@@ -69,7 +69,7 @@ def write_shards(spark: SparkSession, sf_dir: str, drift_shard: int | None = Non
     rows = _with_position(ds)
     folder = F.lpad(F.col("__shard_no").cast("string"), 6, "0").alias("shard")
     data = rows.select(*[F.col(c) for c in ds.columns], folder, "__row_no", "__shard_no")
-    n_tasks = max(1, spark.sparkContext.defaultParallelism)
+    n_tasks = parallelism(spark)
     target = scratch_path(spark, "shards")
 
     def write(frame: DataFrame, mode: str) -> None:

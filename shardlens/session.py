@@ -42,15 +42,29 @@ def work_dir(spark: SparkSession) -> str:
     shared storage). Only when the session names none (local tests) do we make our own
     folder and register it as the checkpoint folder, so ``checkpoint()`` works too.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session has no SparkContext here
+        sc = None
+    current = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = tempfile.mkdtemp(prefix="shardlens-")
-        sc.setCheckpointDir(current)
-        current = sc.getCheckpointDir() or current
+        if sc is not None:
+            sc.setCheckpointDir(current)
+            current = sc.getCheckpointDir() or current
+        else:
+            spark.conf.set("spark.checkpoint.dir", current)
     return current.rstrip("/")
 
 
+def parallelism(spark: SparkSession, default: int = 8) -> int:
+    """Default task parallelism of the session (falls back when it cannot be read)."""
+    try:
+        return max(1, int(spark.sparkContext.defaultParallelism))
+    except Exception:
+        return max(1, int(spark.conf.get("spark.default.parallelism", str(default))))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused path under the work folder."""
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -94,3 +94,18 @@ def test_export_roundtrip_and_read_only(spark, tmp_path):
     part = [f for f in os.listdir(arr) if f.startswith("part-")][0]
     assert json.loads(open(f"{arr}/{part}", encoding="utf-8").read()) == [{"id": 1, "text": "é"},
                                                                           {"id": 2, "text": None}]
+
+
+def test_page_count_and_clamp():
+    from shardlens.sources.dataset import clamp_page, page_count
+    assert page_count(0, 100) == 1 and page_count(100, 100) == 1 and page_count(101, 100) == 2
+    assert clamp_page(-3, 100, 250) == 0 and clamp_page(7, 100, 250) == 2 and clamp_page(1, 100, 0) == 0
+    assert paging.PAGE_SIZES == [25, 50, 100, 250, 500]
+
+
+def test_json_array_export_is_bounded(spark, tmp_path, monkeypatch):
+    from shardlens.sources import sinks
+    monkeypatch.setattr(sinks, "JSON_ARRAY_MAX_ROWS", 2)
+    df = spark.range(3).withColumnRenamed("id", "k")
+    with pytest.raises(DatasetError, match="JSON Lines"):
+        sinks.export(df, str(tmp_path / "big"), "json")

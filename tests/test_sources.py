@@ -189,3 +189,20 @@ def test_csv_malformed_rows_reported(spark, tmp_path):
     assert ds.columns == ["a", "b"]
     got = sorted((r["row_no"], r["record"]) for r in malformed_rows(ds).collect())
     assert [g[0] for g in got] == [2, 3]
+
+
+def test_case_duplicate_columns_raise(spark, tmp_path):
+    p = str(tmp_path / "case.jsonl")
+    _write(p, '{"Text": "a", "text": "b"}\n')
+    with pytest.raises(DatasetError, match="differ only by case"):
+        open_dataset(spark, p)
+
+
+def test_hidden_files_are_skipped(spark, tmp_path):
+    base = tmp_path / "hid"
+    _parquet(str(base / "a.parquet"), pa.table({"x": [1]}))
+    _parquet(str(base / "_b.parquet"), pa.table({"x": [2]}))
+    _parquet(str(base / ".c.parquet"), pa.table({"x": [3]}))
+    ds = open_dataset(spark, str(base))
+    assert [r["x"] for r in ds.df.collect()] == [1]
+    assert ds.file_stats()[0] == 1
