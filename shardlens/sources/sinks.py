@@ -35,17 +35,23 @@ def check_target(target: str, sources: list[str]) -> None:
 
 
 def export(rows: DataFrame, target: str, fmt: str = "jsonl", ds: Dataset | None = None, mode: str = "overwrite",
-           order_col: str | None = None) -> None:
+           order_col: str | None = None, skip_empty: bool = True) -> bool:
     """Write ``rows`` (user columns only) as JSON Lines (``fmt='jsonl'``, a folder of
-    part files) or one JSON array document with indent 2 (``fmt='json'``)."""
+    part files) or one JSON array document with indent 2 (``fmt='json'``).
+
+    Nothing is written when there are no rows (``skip_empty``); returns whether
+    anything was written.
+    """
     if ds is not None:
         check_target(target, [ds.source])
+    if skip_empty and rows.isEmpty():
+        return False
     data_cols = [c for c in rows.columns if not c.startswith("__")]
     if fmt == "jsonl":
         out = rows.orderBy(order_col) if order_col else rows
         (out.select(*[F.col(f"`{c}`") for c in data_cols]).write.mode(mode)
          .option("ignoreNullFields", "false").json(target))
-        return
+        return True
     if fmt != "json":
         raise ValueError(f"unknown export format {fmt!r}")
     n = rows.count()
@@ -59,3 +65,4 @@ def export(rows: DataFrame, target: str, fmt: str = "jsonl", ds: Dataset | None
     text = doc.select(F.when(F.col("b") == "", F.lit("[]"))
                       .otherwise(F.concat(F.lit("[\n  "), F.col("b"), F.lit("\n]"))).alias("value"))
     text.coalesce(1).write.mode(mode).text(target)
+    return True

@@ -109,3 +109,10 @@ def test_json_array_export_is_bounded(spark, tmp_path, monkeypatch):
     df = spark.range(3).withColumnRenamed("id", "k")
     with pytest.raises(DatasetError, match="JSON Lines"):
         sinks.export(df, str(tmp_path / "big"), "json")
+
+
+def test_export_of_no_hits_writes_nothing(spark, tmp_path, rows_ds):
+    hits = search.search(rows_ds, "no such text anywhere")
+    target = str(tmp_path / "none")
+    assert export(hits, target, "jsonl") is False
+    assert not os.path.exists(target)
