@@ -157,7 +157,7 @@ def variant_type_to_spark(type_text: str) -> T.DataType | None:
     ddl = t.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
     ddl = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", ddl)
     try:
-        return T._parse_datatype_string(ddl)
+        return T.DataType.fromDDL(ddl)
     except Exception:
         return None
 

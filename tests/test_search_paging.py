@@ -6,7 +6,6 @@ import os
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
 
 from shardlens import DatasetError, open_dataset
 from shardlens.operators import paging, search

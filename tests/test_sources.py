@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shardlens import DatasetError, open_dataset
-from shardlens.operators import paging, profile, schema
+from shardlens.operators import paging, schema
 from shardlens.operators.resolve import resolve_apply
 from shardlens.functions.fields import TEXT_ALIASES_REPORT
 from shardlens.functions.render import render
