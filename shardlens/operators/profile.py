@@ -93,6 +93,24 @@ def quality_scan(ds: Dataset, seq_len: int = DEFAULT_SEQ_LEN, aliases: str | Seq
     )
 
 
+def quality_report(ds: Dataset, seq_len: int = DEFAULT_SEQ_LEN, aliases: str | Sequence[str] = "report",
+                   sample_rows: int | None = None) -> DataFrame:
+    """The quality scan plus ``schema_consistent`` and ``source_modified``.
+
+    Consistency is a real check for Parquet folders: the footer job of
+    ``schema.schema_drift`` (one type per column, every column in every shard).
+    Other sources have one discovered schema by construction. Nothing here writes
+    to the source, so ``source_modified`` is false.
+    """
+    from .schema import schema_drift
+
+    consistent = True
+    if ds.kind == "parquet":
+        consistent = schema_drift(ds.spark, ds.source).where(~F.col("consistent")).isEmpty()
+    scan = quality_scan(ds, seq_len, aliases, sample_rows)
+    return scan.select("*", F.lit(consistent).alias("schema_consistent"), F.lit(False).alias("source_modified"))
+
+
 def duplicate_texts(ds: Dataset, aliases: str | Sequence[str] = "report", sample_rows: int | None = None) -> DataFrame:
     """One row ``dup_count``: rows whose stripped non-blank text appeared before (A5)."""
     f = facts(ds, aliases, sample_rows).where(F.col("has_text"))

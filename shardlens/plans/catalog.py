@@ -44,6 +44,10 @@ def q_quality_scan(spark, sf):
     return profile.quality_scan(X.documents(spark, sf))
 
 
+def q_quality_report(spark, sf):
+    return profile.quality_report(X.documents(spark, sf))
+
+
 def q_quality_scan_tokens(spark, sf):
     return profile.quality_scan(X.token_documents(spark, sf), seq_len=X.TEST_SEQ_LEN)
 
@@ -306,6 +310,7 @@ def q_dashboard(spark, sf):
 
 QUERIES: dict[str, QueryFn] = {
     "quality_scan": q_quality_scan,
+    "quality_report": q_quality_report,
     "quality_scan_tokens": q_quality_scan_tokens,
     "quality_scan_conversations": q_quality_scan_conversations,
     "analytics_report": q_analytics_report,
@@ -540,6 +545,9 @@ UNION ALL SELECT 4, 'o_totalprice', CAST(o_totalprice AS VARCHAR) FROM r
 UNION ALL SELECT 5, 'o_orderdate', {S.py_timestamp('o_orderdate')} FROM r
 UNION ALL SELECT 6, 'o_orderpriority', {S.preview('o_orderpriority', paging.INSPECT_PREVIEW)} FROM r"""
 
+ORACLES["quality_report"] = (f"SELECT *, true AS schema_consistent, false AS source_modified "
+                             f"FROM ({_quality_sql(_DOC_TEXT, None, 1024)})")
+
 ORACLES["quality_scan_head"] = _quality_sql(
     f"SELECT text AS s FROM ({S.NUMBERED_DOCS}) WHERE row_no <= {REFERENCE_SAMPLE}", None, 1024)
 

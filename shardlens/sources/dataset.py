@@ -196,7 +196,22 @@ def page_count(total: int, page_size: int) -> int:
 
 # ---------------------------------------------------------------------- opening
 
-def open_dataset(spark: SparkSession, source: str, strict: bool = True, kind: str | None = None) -> Dataset:
+def open_dataset(spark: SparkSession, source: str, strict: bool = True, kind: str | None = None,
+                 check_schema: bool = False) -> Dataset:
+    """See ``_open``; with ``check_schema`` a Parquet dataset whose shards disagree on a
+    column's type (or lack a column) is refused before any data is read (A9)."""
+    ds = _open(spark, source, strict, kind)
+    if check_schema and ds.kind == "parquet":
+        from ..operators.schema import schema_drift
+
+        bad = schema_drift(spark, source).where(~F.col("consistent")).limit(20).collect()
+        if bad:
+            detail = "; ".join(f"{r['column']}: {r['types']} in {r['files']} files" for r in bad)
+            raise DatasetError(f"Shards disagree on their schema: {detail}")
+    return ds
+
+
+def _open(spark: SparkSession, source: str, strict: bool = True, kind: str | None = None) -> Dataset:
     """Open a file or folder as one dataset.
 
     A folder with any ``*.parquet`` below it is read as those Parquet shards and

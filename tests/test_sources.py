@@ -206,3 +206,17 @@ def test_hidden_files_are_skipped(spark, tmp_path):
     ds = open_dataset(spark, str(base))
     assert [r["x"] for r in ds.df.collect()] == [1]
     assert ds.file_stats()[0] == 1
+
+
+def test_check_schema_refuses_drift(spark, tmp_path):
+    from shardlens.operators.profile import quality_report
+    base = tmp_path / "drift2"
+    _parquet(str(base / "p0.parquet"), pa.table({"id": [1], "text": ["a"]}))
+    _parquet(str(base / "p1.parquet"), pa.table({"id": ["2"], "text": ["b"]}))
+    with pytest.raises(DatasetError, match="id: int64, string"):
+        open_dataset(spark, str(base), check_schema=True)
+    good = tmp_path / "good"
+    _parquet(str(good / "p0.parquet"), pa.table({"id": [1], "text": ["a"]}))
+    _parquet(str(good / "p1.parquet"), pa.table({"id": [2], "text": ["a"]}))
+    r = quality_report(open_dataset(spark, str(good), check_schema=True)).first()
+    assert (r["schema_consistent"], r["source_modified"], r["duplicate_texts"]) == (True, False, 1)
