@@ -136,8 +136,43 @@ class Dataset:
         return FS.file_name(F.col("__path"))
 
     def positioned(self) -> DataFrame:
-        """User columns plus ``__row_no`` (1-based position) and ``__shard``."""
-        j = self._join_ranges(self.base)
+        """User columns plus ``__row_no`` (1-based position) and ``__shard``.
+
+        Up to ``MAX_BROADCAST_RANGES`` files the range table is broadcast. Past it, a
+        Parquet dataset is processed as a union of hash chunks of its files: each
+        chunk's scan reads only its own files (the filter on ``_metadata.file_path``
+        prunes the file listing) and joins a broadcast of only its own ranges, whose
+        size is counted first. No data is shuffled either way.
+        """
+        self.ranges()
+        if self._range_count <= MAX_BROADCAST_RANGES or self.kind != "parquet":
+            return self._finish_positions(self._join_ranges(self.base))
+        k = self._chunk_count()
+        parts = []
+        for i in range(k):
+            mine = F.pmod(F.xxhash64("__path"), F.lit(k)) == i
+            small = self._ranges.where(mine).select("__path", "__block", "start", "base")
+            parts.append(self._finish_positions(self.base.where(mine).join(F.broadcast(small), ["__path", "__block"])))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def _chunk_count(self) -> int:
+        """Smallest power-of-two chunk count whose largest chunk of the range table
+        fits the broadcast bound (counted on the range table, one small job each)."""
+        k = 1
+        while k < self._range_count:
+            k *= 2
+            if k * MAX_BROADCAST_RANGES < self._range_count:
+                continue
+            biggest = (self._ranges.groupBy(F.pmod(F.xxhash64("__path"), F.lit(k)).alias("c")).count()
+                       .agg(F.max("count")).first()[0])
+            if biggest <= MAX_BROADCAST_RANGES:
+                return k
+        return k
+
+    def _finish_positions(self, j: DataFrame) -> DataFrame:
         row_no = (F.col("start") + F.col("__local") - F.col("base") + 1).alias("__row_no")
         extra = [F.col(c) for c in EXTRA_COLS if c in self.base.columns]
         return j.select(*[F.col(f"`{c}`") for c in self.columns], *extra, row_no,

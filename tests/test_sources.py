@@ -220,3 +220,17 @@ def test_check_schema_refuses_drift(spark, tmp_path):
     _parquet(str(good / "p1.parquet"), pa.table({"id": [2], "text": ["a"]}))
     r = quality_report(open_dataset(spark, str(good), check_schema=True)).first()
     assert (r["schema_consistent"], r["source_modified"], r["duplicate_texts"]) == (True, False, 1)
+
+
+def test_positions_past_the_broadcast_bound(spark, tmp_path, monkeypatch):
+    """More files than the broadcast bound: hash chunks, each joined by broadcast."""
+    from shardlens.sources import dataset as D
+    base = tmp_path / "many"
+    for i in range(7):
+        _parquet(str(base / f"f{i}.parquet"), pa.table({"x": list(range(i * 5, i * 5 + 5))}))
+    monkeypatch.setattr(D, "MAX_BROADCAST_RANGES", 2)
+    ds = open_dataset(spark, str(base))
+    pos = ds.positioned()
+    assert sorted((r["__row_no"], r["x"]) for r in pos.collect()) == [(x + 1, x) for x in range(35)]
+    assert "BroadcastHashJoin" in pos._jdf.queryExecution().executedPlan().toString()
+    assert [r["x"] for r in ds.page(3, 4).orderBy("__row_no").collect()] == [12, 13, 14, 15]
