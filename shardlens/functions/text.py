@@ -68,9 +68,11 @@ def role_markers(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(ROLE_PATTERN_JAVA), F.lit(1))
 
 
-def has_no_markers(s: Column) -> Column:
-    """Text is non-empty and holds neither marker anywhere (case-insensitive via upper)."""
-    up = F.upper(s)
+def has_no_markers(s: Column, upper: Column | None = None) -> Column:
+    """Text is non-empty and holds neither marker anywhere (case-insensitive via upper).
+
+    ``upper`` may pass an already computed ``upper(s)``."""
+    up = F.upper(s) if upper is None else upper
     cond = s != F.lit("")
     for m in QUALITY_MARKERS:
         cond = cond & ~F.contains(up, F.lit(m))

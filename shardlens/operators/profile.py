@@ -57,14 +57,18 @@ def facts(ds: Dataset, aliases: str | Sequence[str] = "report", sample_rows: int
     s = resolve_apply(ds, names, lambda c, dt: render(c, dt), F.lit(""))
     ntok = resolve_apply(ds, TOKEN_ALIASES, _token_count, F.lit(None).cast("long"))
     step = frame.select(has_text.alias("has_text"), s.alias("s"), ntok.alias("ntok"))
-    key = py_strip(F.col("s"))
+    # The stripped key and the upper-cased text are projected once each and reused:
+    # Catalyst keeps a non-trivial expression referenced several times in its own
+    # projection instead of copying it into every use.
+    step = step.select("*", py_strip(F.col("s")).alias("__key"), F.upper(F.col("s")).alias("__up"))
+    key = F.col("__key")
     return step.select(
         "has_text", "s", "ntok",
         F.length("s").cast("long").alias("tlen"),
         # 128-bit digest of the stripped text: the duplicate key that is shuffled.
         F.when(key != "", F.unhex(F.md5(key))).alias("dupkey"),
         (key == "").alias("empty_text"),
-        has_no_markers(F.col("s")).alias("no_markers"),
+        has_no_markers(F.col("s"), F.col("__up")).alias("no_markers"),
     )
 
 

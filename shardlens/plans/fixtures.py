@@ -36,6 +36,14 @@ def token_documents(spark: SparkSession, sf_dir: str) -> Dataset:
     return from_frame(spark, docs.select("*", tokens.alias("tokens")), "documents+tokens")
 
 
+def write_token_documents(spark: SparkSession, sf_dir: str) -> str:
+    """``documents`` with its ``tokens`` column stored as Parquet (the X1 shape:
+    text plus a token list per row), as a real tokenized dataset would be."""
+    target = scratch_path(spark, "token-docs")
+    token_documents(spark, sf_dir).df.write.parquet(target)
+    return target
+
+
 def conversation_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per conversation: ``conv_id, conversation`` as a list of
     ``{from, value}`` messages in turn order."""
