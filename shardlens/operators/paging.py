@@ -75,12 +75,14 @@ def head_sample(ds: Dataset, n: int) -> DataFrame:
 
 
 def number_rows(frame: DataFrame, order_col: str, out_col: str, page_index: int | None = None,
-                page_size: int | None = None) -> DataFrame:
+                page_size: int | None = None, max_order: int | None = None) -> DataFrame:
     """Number the rows of ``frame`` 1.. by ``order_col`` (distinct, increasing);
     optionally keep one page of the numbering.
 
     Offsets per bucket of ``order_col`` come from a small aggregate; ranks inside
-    a bucket come from a window partitioned by bucket.
+    a bucket come from a window partitioned by bucket. ``max_order`` (the largest
+    possible ``order_col``, e.g. the dataset's row count) bounds the number of
+    buckets without a counting job.
     """
     bucket = F.floor((F.col(order_col) - 1) / F.lit(BUCKET_ROWS)).cast("long")
     counts = frame.groupBy(bucket.alias("__bucket")).agg(F.count(F.lit(1)).alias("__n"))
@@ -100,7 +102,7 @@ def number_rows(frame: DataFrame, order_col: str, out_col: str, page_index: int
         n_buckets = len(keep)
     else:
         small = offsets.select("__bucket", "__off")
-        n_buckets = small.count()
+        n_buckets = max_order // BUCKET_ROWS + 1 if max_order is not None else small.count()
     # One row per bucket: broadcast unless the count says otherwise.
     small = F.broadcast(small) if n_buckets <= MAX_BROADCAST_RANGES else small
     rank = F.row_number().over(Window.partitionBy("__bucket").orderBy(order_col))
@@ -174,3 +176,44 @@ def row_to_shard(ds: Dataset) -> DataFrame:
     n_files, _ = ds.file_stats()
     shards = F.broadcast(shards) if n_files <= MAX_BROADCAST_RANGES else shards
     return pos.join(shards, "__path").drop("__path")
+
+
+class Pager:
+    """Page navigation over ``total`` rows (L3): first, previous, next, last and jump
+    all resolve to a clamped 0-based page index; ``rows`` reads that page."""
+
+    def __init__(self, total: int, page_size: int = 100, index: int = 0):
+        if page_size <= 0:
+            raise ValueError("page_size must be positive")
+        self.total, self.page_size = total, page_size
+        self.index = clamp_page(index, page_size, total)
+
+    @property
+    def pages(self) -> int:
+        return max(1, (self.total + self.page_size - 1) // self.page_size)
+
+    def go(self, index: int) -> int:
+        self.index = clamp_page(index, self.page_size, self.total)
+        return self.index
+
+    def first(self) -> int:
+        return self.go(0)
+
+    def previous(self) -> int:
+        return self.go(self.index - 1)
+
+    def next(self) -> int:
+        return self.go(self.index + 1)
+
+    def last(self) -> int:
+        return self.go(self.pages - 1)
+
+    def jump(self, page_number: int) -> int:
+        """Jump to a 1-based page number, as typed by a user."""
+        return self.go(page_number - 1)
+
+    @property
+    def bounds(self) -> tuple[int, int]:
+        """1-based first and last position of the current page."""
+        first = self.index * self.page_size + 1
+        return first, first + self.page_size - 1

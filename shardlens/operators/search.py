@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.render import value_text
 from ..sources.dataset import Dataset
 from ..sources.readers import KEYS_COL
-from .paging import number_rows
+from .paging import Pager, number_rows
 
 ALL_COLUMNS = "__all__"
 
@@ -89,3 +89,43 @@ def search_page(ds: Dataset, query: str, page_index: int, page_size: int = 100,
     """One page of search results, numbered 1.. in row order."""
     hits = search(ds, query, column, max_results, match_names, match_nulls)
     return number_rows(hits, "__row_no", "__match_no", page_index, page_size)
+
+
+class SearchResults:
+    """Search hits numbered once and kept for paging.
+
+    The first use runs the search over the whole dataset, numbers the hits in row
+    order (bucketed, see ``number_rows``) and writes them with ``checkpoint()`` to the
+    session's checkpoint folder. Every page after that reads only the written
+    hits, not the dataset.
+    """
+
+    def __init__(self, ds: Dataset, query: str, column: str = ALL_COLUMNS, max_results: int | None = None,
+                 match_names: bool = False, match_nulls: bool = False):
+        self.ds, self.query = ds, normalise_query(query)
+        self._args = (query, column, max_results, match_names, match_nulls)
+        self._hits: DataFrame | None = None
+        self._count: int | None = None
+
+    @property
+    def hits(self) -> DataFrame:
+        if self._hits is None:
+            from ..session import work_dir
+
+            numbered = number_rows(search(self.ds, *self._args), "__row_no", "__match_no",
+                                   max_order=self.ds.count())
+            work_dir(self.ds.spark)
+            self._hits = numbered.checkpoint(eager=True)
+        return self._hits
+
+    def count(self) -> int:
+        if self._count is None:
+            self._count = self.hits.count()
+        return self._count
+
+    def pager(self, page_size: int = 100) -> Pager:
+        return Pager(self.count(), page_size)
+
+    def page(self, page_index: int, page_size: int = 100) -> DataFrame:
+        first, last = Pager(self.count(), page_size, page_index).bounds
+        return self.hits.where(F.col("__match_no").between(first, last))

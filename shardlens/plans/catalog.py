@@ -189,6 +189,12 @@ def q_search_page(spark, sf):
     return page.select(F.col("__match_no").alias("match_no"), F.col("__row_no").cast("long").alias("row_no"), "doc_id")
 
 
+def q_search_results_last_page(spark, sf):
+    res = search.SearchResults(X.documents(spark, sf), SEARCH_WORD, match_names=True, match_nulls=True)
+    page = res.page(1 << 30, SEARCH_PAGE_SIZE)  # clamped to the last page
+    return page.select(F.col("__match_no").alias("match_no"), F.col("__row_no").cast("long").alias("row_no"), "doc_id")
+
+
 # ---------------------------------------------------------------------- projections, pages
 
 def q_preview(spark, sf):
@@ -335,6 +341,7 @@ QUERIES: dict[str, QueryFn] = {
     "search_capped": q_search_capped,
     "search_stats": q_search_stats,
     "search_page": q_search_page,
+    "search_results_last_page": q_search_results_last_page,
     "preview": q_preview,
     "flag_rows": q_flag_rows,
     "browse_page": q_browse_page,
@@ -545,6 +552,13 @@ UNION ALL SELECT 4, 'o_totalprice', CAST(o_totalprice AS VARCHAR) FROM r
 UNION ALL SELECT 5, 'o_orderdate', {S.py_timestamp('o_orderdate')} FROM r
 UNION ALL SELECT 6, 'o_orderpriority', {S.preview('o_orderpriority', paging.INSPECT_PREVIEW)} FROM r"""
 
+ORACLES["search_results_last_page"] = f"""
+WITH m AS (SELECT doc_id, row_no FROM ({S.NUMBERED_DOCS})
+           WHERE contains({S.doc_haystack(True, True)}, '{SEARCH_WORD}')),
+n AS (SELECT row_number() OVER (ORDER BY row_no) AS match_no, row_no, doc_id FROM m)
+SELECT match_no::BIGINT AS match_no, row_no::BIGINT AS row_no, doc_id FROM n
+WHERE match_no > (SELECT (greatest(1, ceil(count(*) / {SEARCH_PAGE_SIZE}.0)) - 1) * {SEARCH_PAGE_SIZE} FROM m)"""
+
 ORACLES["quality_report"] = (f"SELECT *, true AS schema_consistent, false AS source_modified "
                              f"FROM ({_quality_sql(_DOC_TEXT, None, 1024)})")
 

@@ -115,3 +115,24 @@ def test_export_of_no_hits_writes_nothing(spark, tmp_path, rows_ds):
     target = str(tmp_path / "none")
     assert export(hits, target, "jsonl") is False
     assert not os.path.exists(target)
+
+
+def test_pager_navigation():
+    p = paging.Pager(total=250, page_size=100)
+    assert (p.pages, p.index) == (3, 0)
+    assert p.previous() == 0 and p.next() == 1 and p.next() == 2 and p.next() == 2
+    assert p.first() == 0 and p.last() == 2 and p.jump(2) == 1 and p.jump(99) == 2 and p.jump(0) == 0
+    assert paging.Pager(0, 25).pages == 1 and paging.Pager(251, 100, 7).bounds == (201, 300)
+
+
+def test_search_results_are_kept_for_paging(spark, tmp_path):
+    path = str(tmp_path / "docs2")
+    os.makedirs(path)
+    for i in range(3):
+        ids = list(range(i * 10, i * 10 + 10))
+        pq.write_table(pa.table({"id": ids, "text": [f"r{k} {'hit' if k % 4 == 0 else ''}" for k in ids]}),
+                       f"{path}/p{i}.parquet")
+    res = search.SearchResults(open_dataset(spark, path), "HIT")
+    assert res.count() == 8
+    pages = [[r["id"] for r in res.page(i, 3).orderBy("__match_no").collect()] for i in range(4)]
+    assert pages == [[0, 4, 8], [12, 16, 20], [24, 28], [24, 28]]
