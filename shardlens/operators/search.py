@@ -28,21 +28,29 @@ def normalise_query(query: str) -> str:
 
 
 def row_search_text(ds: Dataset, match_names: bool = False, match_nulls: bool = False) -> Column:
-    """``key value key value …`` over all columns, lower-cased."""
+    """``key value key value …`` over all columns, lower-cased.
+
+    For JSON sources the row's own keys are walked in the order that row wrote
+    them; a key the row lacks contributes nothing, a present null contributes
+    ``None`` (with ``match_nulls``).
+    """
     schema = {f.name: f.dataType for f in ds.schema.fields}
+    null_text = "None" if match_nulls else None
+    if ds.has_presence:
+        # (position of the key in this row, key, text) per column, sorted by position;
+        # absent keys (position 0) dropped. Texts are built outside any lambda (a
+        # VARIANT column's text comes from an Arrow UDF, which cannot run in one).
+        items = F.array(*[F.struct(F.array_position(F.col(KEYS_COL), F.lit(name)).alias("p"), F.lit(name).alias("k"),
+                                   value_text(F.col(f"`{name}`"), schema[name], null_text).alias("t"))
+                          for name in ds.columns])
+        present = F.filter(F.array_sort(items), lambda x: x["p"] > 0)
+        words = F.transform(present, lambda x: F.concat_ws(" ", x["k"], x["t"]) if match_names else x["t"])
+        return F.lower(F.array_join(words, " "))
     chunks = []
     for name in ds.columns:
-        val = value_text(F.col(f"`{name}`"), schema[name], "None" if match_nulls else None)
-        if ds.has_presence:
-            # A key missing from a JSON row contributes nothing, a present null does.
-            present = F.array_contains(F.col(KEYS_COL), F.lit(name))
-            val = F.when(present, F.coalesce(val, F.lit("") if not match_nulls else val))
-            name_part = F.when(present, F.lit(name)) if match_names else None
-        else:
-            name_part = F.lit(name) if match_names else None
-        if name_part is not None:
-            chunks.append(name_part)
-        chunks.append(val)
+        if match_names:
+            chunks.append(F.lit(name))
+        chunks.append(value_text(F.col(f"`{name}`"), schema[name], null_text))
     return F.lower(F.concat_ws(" ", *chunks)) if chunks else F.lit("")
 
 

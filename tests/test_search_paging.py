@@ -136,3 +136,25 @@ def test_search_results_are_kept_for_paging(spark, tmp_path):
     assert res.count() == 8
     pages = [[r["id"] for r in res.page(i, 3).orderBy("__match_no").collect()] for i in range(4)]
     assert pages == [[0, 4, 8], [12, 16, 20], [24, 28], [24, 28]]
+
+
+def test_json_search_follows_each_rows_key_order(spark, tmp_path):
+    p = str(tmp_path / "order.jsonl")
+    with open(p, "w", encoding="utf-8") as fh:
+        fh.write('{"a": "x", "b": "y"}\n{"b": "y", "a": "x"}\n{"a": null}\n')
+    ds = open_dataset(spark, p)
+    rows = ds.rows_between(1, 3)
+    hit = lambda q, **kw: sorted(r["__row_no"] for r in rows.where(search.match_condition(ds, q, **kw)).collect())
+    assert hit("a x b y", match_names=True) == [1]
+    assert hit("b y a x", match_names=True) == [2]
+    assert hit("a none", match_names=True, match_nulls=True) == [3]
+    assert hit("none") == []
+
+
+def test_all_column_search_over_variant_column(spark, tmp_path):
+    p = str(tmp_path / "mixed.jsonl")
+    with open(p, "w", encoding="utf-8") as fh:
+        fh.write('{"id": 1, "conv": [{"from": "user", "value": "Hello"}]}\n{"id": 2, "conv": "plain"}\n')
+    ds = open_dataset(spark, p)
+    assert sorted(r["id"] for r in search.search(ds, "user: hello").collect()) == [1]
+    assert sorted(r["id"] for r in search.search(ds, "conv plain", match_names=True).collect()) == [2]
