@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.render import py_json
 from .dataset import Dataset, DatasetError
 
-# Largest result written as one JSON array document: the document is one value,
-# so it is assembled by one task. Bigger results go to JSON Lines, which any number
+# Largest result written as one JSON array document: the document is one file,
+# so one task streams it (sorted lines, constant memory). Bigger results go to JSON Lines, which any number
 # of tasks write in parallel.
 JSON_ARRAY_MAX_ROWS = 1_000_000
 
@@ -59,10 +59,15 @@ def export(rows: DataFrame, target: str, fmt: str = "jsonl", ds: Dataset | None
         raise DatasetError(f"{n} rows is too many for one JSON array document; export JSON Lines instead.")
     struct = F.struct(*[F.col(f"`{c}`") for c in data_cols])
     item = py_json(struct, rows.select(struct.alias("s")).schema["s"].dataType, indent=2, level=1)
-    key = F.col(order_col) if order_col else F.monotonically_increasing_id()
-    doc = rows.select(key.alias("k"), item.alias("j")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "j"))), lambda x: x["j"]), ",\n  ").alias("b"))
-    text = doc.select(F.when(F.col("b") == "", F.lit("[]"))
-                      .otherwise(F.concat(F.lit("[\n  "), F.col("b"), F.lit("\n]"))).alias("value"))
-    text.coalesce(1).write.mode(mode).text(target)
+    keyed = rows.select((F.col(order_col) if order_col else F.monotonically_increasing_id()).alias("k"),
+                        item.alias("j"))
+    last = keyed.agg(F.max("k")).first()[0]
+    # One line per row: "[" first, rows with a trailing comma but the last, "]" at the end.
+    # Sorted, then one task streams the lines into the file (the document is one file);
+    # no row set is held in memory.
+    lines = keyed.select(F.lit(1).alias("edge"), F.col("k").cast("long").alias("k"), F.concat(
+        F.lit("  "), F.col("j"), F.when(F.col("k") != F.lit(last), F.lit(",")).otherwise(F.lit(""))).alias("value"))
+    edges = rows.sparkSession.createDataFrame([(0, 0, "["), (2, 0, "]")], "edge int, k long, value string")
+    (lines.unionByName(edges).orderBy("edge", "k").select("value").coalesce(1)
+     .write.mode(mode).text(target))
     return True
