@@ -104,12 +104,18 @@ def read_json_document(spark: SparkSession, source: str) -> DataFrame:
     keeps its keys in the order written.
     """
     docs = _text_lines(spark, source, wholetext=True)
-    doc = F.col("__line")
-    v = F.parse_json(doc)
-    kind = F.schema_of_variant(v)
+    # Parse once, classify once (each in its own projection, so the document is not
+    # re-parsed for every use).
+    docs = docs.select("__line", "__path", "__block", F.parse_json("__line").alias("__v"))
+    doc, v = F.col("__line"), F.col("__v")
+    docs = docs.select("*", F.schema_of_variant(v).alias("__kind"),
+                       F.schema_of_variant(F.try_variant_get(v, "$.data", "variant")).alias("__dkind"),
+                       F.schema_of_variant(F.try_variant_get(v, "$.rows", "variant")).alias("__rkind"))
+    kind = F.col("__kind")
+    sub_kinds = {"$.data": F.col("__dkind"), "$.rows": F.col("__rkind")}
 
     def is_list(path: str) -> Column:
-        return F.coalesce(F.schema_of_variant(F.variant_get(v, path, "variant")).startswith("ARRAY"), F.lit(False))
+        return F.coalesce(sub_kinds[path].startswith("ARRAY"), F.lit(False))
 
     def pick(path: str | None) -> Column:
         if path is None:
