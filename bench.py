@@ -3,7 +3,8 @@
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
 Timed (each over the whole table, result fully collected; median of three runs):
-  quality_scan      – full quality scan of ``documents`` (the flagship)
+  quality_scan      – full quality scan of ``documents`` (the flagship; one file, one row group)
+  quality_scan_shards – the same over ``documents`` cut into Parquet shards (many tasks)
   analytics_report  – one-pass analytics report of ``documents`` + stored token lists (written untimed)
   search_all        – all-column search for a common word, all matches
   search_page       – page 2 of that search's results
@@ -48,6 +49,7 @@ def main() -> None:
 
     jobs = {
         "quality_scan": lambda: profile.quality_scan(docs).collect(),
+        "quality_scan_shards": lambda: profile.quality_scan(sharded).collect(),
         "analytics_report": lambda: profile.analytics_report(tokens, seq_len=1024).collect(),
         "search_all": lambda: search.search(docs, "the", match_names=True, match_nulls=True).select("__row_no").collect(),
         "search_page": lambda: search.search_page(docs, "the", 1, 100).collect(),
