@@ -14,10 +14,17 @@ from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, app: str = "shardlens", shuffle_partitions: int | None = None) -> SparkSession:
-    """Build (or reuse) a session with the settings this library is tested with."""
-    master = master or os.environ.get("SHARDLENS_MASTER", "local[*]")
+    """Build (or reuse) a session with the settings this library is tested with.
+
+    The master is, in order: the argument, ``SHARDLENS_MASTER``, the one the launcher
+    configured (``spark-submit``), and ``local[*]`` when nothing names one.
+    """
+    master = master or os.environ.get("SHARDLENS_MASTER") or (None if _configured_master() else "local[*]")
+    builder = SparkSession.builder
+    if master:
+        builder = builder.master(master)
     builder = (
-        SparkSession.builder.master(master)
+        builder
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.host", "127.0.0.1")
@@ -35,6 +42,15 @@ def get_spark(master: str | None = None, app: str = "shardlens", shuffle_partiti
     return spark
 
 
+def _configured_master() -> bool:
+    try:
+        from pyspark import SparkConf
+
+        return SparkConf().contains("spark.master")
+    except Exception:
+        return False
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables.
 
