@@ -55,8 +55,9 @@ def work_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables.
 
     On a cluster this is the folder named by ``spark.checkpoint.dir`` (it must be on
-    shared storage). Only when the session names none (local tests) do we make our own
-    folder and register it as the checkpoint folder, so ``checkpoint()`` works too.
+    shared storage); without one a cluster session is refused. Only a local session
+    that names none (tests) gets a folder of our own, registered as the checkpoint
+    folder so ``checkpoint()`` works too.
     """
     try:
         sc = spark.sparkContext
@@ -64,6 +65,10 @@ def work_dir(spark: SparkSession) -> str:
         sc = None
     current = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder on shared storage (executors "
+                               "must read what other executors wrote there).")
         current = tempfile.mkdtemp(prefix="shardlens-")
         if sc is not None:
             sc.setCheckpointDir(current)
