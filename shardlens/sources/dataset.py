@@ -203,10 +203,24 @@ class Dataset:
                 sub = sub.select(*[F.col(f"`{c}`") for c in sub.columns], FS.metadata_path().alias("__path"),
                                  F.lit(0).cast("long").alias("__block"), F.col("_metadata.row_index").alias("__local"))
             frame = sub
+            j = self._join_ranges(frame, hit, len(paths))
+            row_no = F.col("start") + F.col("__local") - F.col("base") + 1
         else:
-            frame = self.base
-        j = self._join_ranges(frame, hit, len(paths) if self.kind == "parquet" else None)
-        row_no = F.col("start") + F.col("__local") - F.col("base") + 1
+            # Text sources: keep only the splits the request overlaps. The filter sits
+            # below the JSON parse (only those splits are parsed); a row's place in its
+            # split is its rank there — a window over one split at most.
+            units = [(r["__path"], r["__block"]) for r in (picked if cached is not None
+                                                                        else hit.select("__path", "__block").collect())]
+            if not units:
+                return self.positioned().limit(0)
+            keep = None
+            for path, block in units:
+                one = (F.col("__path") == path) & (F.col("__block") == block)
+                keep = one if keep is None else keep | one
+            rank = F.row_number().over(Window.partitionBy("__path", "__block").orderBy("__local"))
+            frame = self.base.where(keep).withColumn("__rank", rank)
+            j = self._join_ranges(frame, hit, len(units))
+            row_no = F.col("start") + F.col("__rank")
         extra = [F.col(c) for c in EXTRA_COLS if c in self.base.columns]
         out = j.select(*[F.col(f"`{c}`") for c in self.columns], *extra, row_no.alias("__row_no"),
                        self.shard_label().alias("__shard"), F.col("__path"))

@@ -234,3 +234,25 @@ def test_positions_past_the_broadcast_bound(spark, tmp_path, monkeypatch):
     assert sorted((r["__row_no"], r["x"]) for r in pos.collect()) == [(x + 1, x) for x in range(35)]
     assert "BroadcastHashJoin" in pos._jdf.queryExecution().executedPlan().toString()
     assert [r["x"] for r in ds.page(3, 4).orderBy("__row_no").collect()] == [12, 13, 14, 15]
+
+
+def test_text_pages_across_many_splits(spark, tmp_path):
+    """A JSONL file cut into many scan splits: pages and positions follow line order."""
+    p = str(tmp_path / "big.jsonl")
+    _write(p, "".join(json.dumps({"i": i, "text": "w" * (i % 37)}) + "\n" for i in range(300)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        ds = open_dataset(spark, p)
+        assert len(ds.range_rows()) > 5  # several splits
+        for page in (0, 3, 7, 11):
+            got = [r["i"] for r in ds.page(page, 25).orderBy("__row_no").collect()]
+            assert got == list(range(page * 25, min(300, page * 25 + 25)))
+        full = sorted((r["__row_no"], r["i"]) for r in ds.positioned().collect())
+        assert full == [(i + 1, i) for i in range(300)]
+        csv_path = str(tmp_path / "big.csv")
+        _write(csv_path, "i,t\n" + "".join(f"{i},x{i}\n" for i in range(300)))
+        cds = open_dataset(spark, csv_path)
+        assert [r["i"] for r in cds.page(5, 25).orderBy("__row_no").collect()] == [str(i) for i in range(125, 150)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
