@@ -159,23 +159,19 @@ def inspect_record(ds: Dataset, row_no: int) -> DataFrame:
 
 def shard_ranges(ds: Dataset) -> DataFrame:
     """``shard_no, shard, path, start, rows`` per file in path order."""
-    per_file = ds.ranges().groupBy("__path").agg(F.sum("rows").cast("long").alias("rows"),
-                                                   F.min("start").cast("long").alias("start"))
-    w = Window.orderBy(FS.path_order(F.col("__path")))
+    per_file = ds.ranges().groupBy("__path", "shard_no").agg(F.sum("rows").cast("long").alias("rows"),
+                                                              F.min("start").cast("long").alias("start"))
     return per_file.select(
-        F.row_number().over(w).cast("long").alias("shard_no"),
+        F.col("shard_no").cast("long").alias("shard_no"),
         FS.file_name(F.col("__path")).alias("shard"),
         F.col("__path").alias("path"), "start", "rows",
     )
 
 
 def row_to_shard(ds: Dataset) -> DataFrame:
-    """Every row's position and the number of the shard holding it."""
-    shards = shard_ranges(ds).select(F.col("path").alias("__path"), "shard_no")
-    pos = ds.positioned()
-    n_files, _ = ds.file_stats()
-    shards = F.broadcast(shards) if n_files <= MAX_BROADCAST_RANGES else shards
-    return pos.join(shards, "__path").drop("__path")
+    """Every row's position and the number of the shard holding it (W2, W3); the shard
+    number rides along with the range table in the position join."""
+    return ds.positioned().withColumnRenamed("__shard_no", "shard_no").drop("__path")
 
 
 class Pager:

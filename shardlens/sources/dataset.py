@@ -89,7 +89,7 @@ class Dataset:
 
     # ------------------------------------------------------------------ positions
     def ranges(self) -> DataFrame:
-        """One row per scan unit: ``__path, __block, rows, base, start``.
+        """One row per scan unit: ``__path, __block, rows, base, start, shard_no``.
 
         ``start`` is the number of rows before the unit in path order. The frame is
         as small as the number of files (splits for text sources) and is written to
@@ -103,7 +103,8 @@ class Dataset:
             )
             w = Window.orderBy(FS.path_order(F.col("__path")), F.col("__block")).rowsBetween(
                 Window.unboundedPreceding, Window.currentRow)
-            ranges = units.withColumn("start", F.sum("rows").over(w) - F.col("rows"))
+            ranges = units.withColumn("start", F.sum("rows").over(w) - F.col("rows")).withColumn(
+                "shard_no", F.dense_rank().over(Window.orderBy(FS.path_order(F.col("__path")))).cast("long"))
             work_dir(self.spark)  # makes sure a checkpoint folder is set
             self._ranges = ranges.checkpoint(eager=True)
             head = self._ranges.limit(MAX_BROADCAST_RANGES + 1).collect()
@@ -122,7 +123,7 @@ class Dataset:
     def _join_ranges(self, frame: DataFrame, ranges: DataFrame | None = None, count: int | None = None) -> DataFrame:
         ranges = self.ranges() if ranges is None else ranges
         count = self._range_count if count is None else count
-        small = ranges.select("__path", "__block", "start", "base")
+        small = ranges.select("__path", "__block", "start", "base", "shard_no")
         if count is not None and count <= MAX_BROADCAST_RANGES:
             small = F.broadcast(small)
         return frame.join(small, ["__path", "__block"], "inner")
@@ -151,7 +152,7 @@ class Dataset:
         parts = []
         for i in range(k):
             mine = F.pmod(F.xxhash64("__path"), F.lit(k)) == i
-            small = self._ranges.where(mine).select("__path", "__block", "start", "base")
+            small = self._ranges.where(mine).select("__path", "__block", "start", "base", "shard_no")
             parts.append(self._finish_positions(self.base.where(mine).join(F.broadcast(small), ["__path", "__block"])))
         out = parts[0]
         for p in parts[1:]:
@@ -176,7 +177,7 @@ class Dataset:
         row_no = (F.col("start") + F.col("__local") - F.col("base") + 1).alias("__row_no")
         extra = [F.col(c) for c in EXTRA_COLS if c in self.base.columns]
         return j.select(*[F.col(f"`{c}`") for c in self.columns], *extra, row_no,
-                        self.shard_label().alias("__shard"), F.col("__path"))
+                        self.shard_label().alias("__shard"), F.col("__path"), F.col("shard_no").alias("__shard_no"))
 
     def rows_between(self, first: int, last: int) -> DataFrame:
         """Rows ``first..last`` (1-based, inclusive) in source order (L2).
