@@ -19,6 +19,7 @@ from ..functions.text import collapse_ws, cut, py_strip
 from ..sources import files as FS
 from ..sources.dataset import MAX_BROADCAST_RANGES, Dataset, clamp_page
 from ..sources.readers import KEYS_COL
+from .profile import token_count
 from .resolve import resolve_apply
 
 BROWSE_PREVIEW = 260
@@ -42,12 +43,6 @@ def _flag(c: Column, dt: T.DataType) -> Column:
     return F.coalesce(F.lower(py_str(c, dt)) == "true", F.lit(False))
 
 
-def token_count(c: Column, dt: T.DataType) -> Column:
-    if isinstance(dt, T.ArrayType):
-        return F.when(c.isNotNull(), F.size(c).cast("long"))
-    return F.lit(None).cast("long")
-
-
 def browse_projection(ds: Dataset, frame: DataFrame) -> DataFrame:
     """``row_no, model, preview, n_tokens, flagged, shard`` (P6) for positioned rows."""
     model = resolve_apply(ds, MODEL_ALIASES, lambda c, dt: F.coalesce(py_str(c, dt), F.lit("")), F.lit(""))
