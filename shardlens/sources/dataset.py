@@ -291,16 +291,18 @@ def _open(spark: SparkSession, source: str, strict: bool = True, kind: str | Non
             return _open_parquet(spark, source, parquet, is_dir=True)
         listing = FS.list_files(spark, source)
         data = listing.where(F.lower(F.col("name")).rlike(r"\.(json|jsonl|csv)$"))
-        found = data.select("path", "name").limit(2 if strict else 1 << 30).collect()
+        found = data.select("path", "name").limit(2).collect()
         if not found:
             raise DatasetError(FS.ERR_NO_FILES)
         if len(found) > 1:
             if strict:
                 raise DatasetError(FS.ERR_MANY_FILES)
-            kinds = {FS.suffix(r["name"]) for r in found}
+            # All files of one kind: the distinct suffixes (at most three) decide it.
+            kinds = [r["k"] for r in data.select(
+                F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).alias("k")).distinct().collect()]
             if len(kinds) > 1:
                 raise DatasetError(FS.ERR_MANY_FILES)
-            return _open_small(spark, source, kinds.pop(), data)
+            return _open_small(spark, source, kinds[0], data)
         return _open_small(spark, found[0]["path"], FS.suffix(found[0]["name"]), data)
 
     sfx = FS.suffix(source)
