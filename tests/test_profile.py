@@ -75,3 +75,23 @@ def test_duplicate_key_skew_stays_exact(spark):
                                .otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
     ds = from_frame(spark, df.repartition(7))
     assert profile.duplicate_texts(ds).first()["dup_count"] == n // 3 - 1
+
+
+def test_duplicates_plus_distinct_is_non_blank(spark):
+    from shardlens.functions.text import py_strip
+    from shardlens.plans import fixtures as X
+    ds = X.documents(spark, "/root/testdata/sf0.01")
+    dup = profile.duplicate_texts(ds).first()["dup_count"]
+    key = py_strip(F.coalesce(F.col("text"), F.lit("")))
+    stats = ds.df.where(key != "").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("d")).first()
+    assert dup + stats["d"] == stats["n"] and dup == 73
+
+
+def test_sampled_report_covering_everything_equals_full(spark):
+    from shardlens.plans import fixtures as X
+    ds = X.documents(spark, "/root/testdata/sf0.01")
+    full = profile.analytics_report(ds).first().asDict()
+    sampled = profile.analytics_report(ds, sample_rows=10_000).first().asDict()
+    assert full == sampled
+    head = profile.analytics_report(ds, sample_rows=10).first()
+    assert (head["rows"], head["sample_size"]) == (1000, 10)
