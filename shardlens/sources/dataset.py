@@ -199,11 +199,9 @@ class Dataset:
                 r["__path"] for r in hit.select("__path").distinct().collect()]
             if not paths:
                 return self.positioned().limit(0)
-            sub = read_parquet(self.spark, paths[0], False) if len(paths) == 1 else self.spark.read.parquet(*paths)
-            if len(paths) > 1:
-                sub = sub.select(*[F.col(f"`{c}`") for c in sub.columns], FS.metadata_path().alias("__path"),
-                                 F.lit(0).cast("long").alias("__block"), F.col("_metadata.row_index").alias("__local"))
-            frame = sub
+            # A filter on the file path prunes the file listing itself: only these files
+            # are opened (no re-read by name, so file names with glob characters are safe).
+            frame = self.base.where(F.col("__path").isin(paths))
             j = self._join_ranges(frame, hit, len(paths))
             row_no = F.col("start") + F.col("__local") - F.col("base") + 1
         else:

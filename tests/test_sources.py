@@ -256,3 +256,12 @@ def test_text_pages_across_many_splits(spark, tmp_path):
         assert [r["i"] for r in cds.page(5, 25).orderBy("__row_no").collect()] == [str(i) for i in range(125, 150)]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_pages_with_glob_characters_in_file_names(spark, tmp_path):
+    base = tmp_path / "glob"
+    _parquet(str(base / "a[1].parquet"), pa.table({"x": [1, 2]}))
+    _parquet(str(base / "b{2}*.parquet"), pa.table({"x": [3]}))
+    ds = open_dataset(spark, str(base))
+    assert [r["x"] for r in ds.page(0, 25).orderBy("__row_no").collect()] == [1, 2, 3]
+    assert [r["x"] for r in ds.rows_between(3, 3).collect()] == [3]
