@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import work_dir
 from . import files as FS
-from .readers import (EXTRA_COLS, HIDDEN, KEYS_COL, first_seen_columns, parquet_reader, read_csv,
+from .readers import (EXTRA_COLS, HIDDEN, KEYS_COL, json_columns, parquet_reader, read_csv,
                       read_json_document, read_jsonl, read_parquet, typed_columns)
 
 # Largest number of row ranges (files, or splits for text sources) joined by
@@ -324,9 +324,10 @@ def _open_small(spark: SparkSession, source: str, kind: str, listing: DataFrame)
         columns = [c for c in base.columns if c not in HIDDEN and c not in EXTRA_COLS]
         return Dataset(spark, source, kind, base, columns, listing)
     base = read_jsonl(spark, source) if kind == "jsonl" else read_json_document(spark, source)
-    columns = first_seen_columns(base)
+    profile = json_columns(base)
+    columns = [name for name, _ in profile]
     _check_case_duplicates(spark, columns)
-    return Dataset(spark, source, kind, typed_columns(base, columns), columns, listing)
+    return Dataset(spark, source, kind, typed_columns(base, profile), columns, listing)
 
 
 def _check_case_duplicates(spark: SparkSession, columns: list[str]) -> None:

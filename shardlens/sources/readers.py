@@ -168,40 +168,33 @@ def variant_type_to_spark(type_text: str) -> T.DataType | None:
         return None
 
 
-def split_top_level_fields(object_type: str) -> list[tuple[str, str]]:
-    """``OBJECT<a: T1, b: T2<...>>`` → ``[(a, T1), (b, T2<...>)]`` (top level only)."""
-    t = object_type.strip()
-    if not (t.startswith("OBJECT<") and t.endswith(">")):
-        return []
-    body = t[len("OBJECT<"):-1]
-    out, depth, start = [], 0, 0
-    for i, ch in enumerate(body + ","):
-        if ch in "<(":
-            depth += 1
-        elif ch in ">)":
-            depth -= 1
-        elif ch == "," and depth == 0:
-            part = body[start:i].strip()
-            if part:
-                name, _, typ = part.partition(": ")
-                out.append((name, typ))
-            start = i + 1
-    return out
-
+def json_columns(base: DataFrame) -> list[tuple[str, str]]:
+    """``(key, type text)`` of a JSON source, keys in first-seen order.
+
+    One pass: every row object is exploded into its fields (``variant_explode``);
+    grouping by key gives both the key's first position (row order, then the key's
+    place in that row as written) and its merged type (``schema_of_variant_agg``).
+    Only one partial row per key and task is shuffled, so the cost is the number of
+    distinct keys.
+    """
+    spark = base.sparkSession
+    rows = base.select("__obj", KEYS_COL, F.split("__path", "/").alias("__p"), "__block", "__local")
+    fields = rows.lateralJoin(spark.tvf.variant_explode(F.col("__obj").outer()))
+    per_key = fields.groupBy("key").agg(
+        F.min(F.struct("__p", "__block", "__local",
+                       F.array_position(F.col(KEYS_COL), F.col("key")).alias("kpos"))).alias("first"),
+        F.schema_of_variant_agg("value").alias("t"),
+    )
+    return [(r["key"], r["t"]) for r in per_key.orderBy("first").collect()]
 
-def typed_columns(base: DataFrame, column_order: list[str]) -> DataFrame:
-    """Turn the row objects of a JSON source into typed columns.
 
-    Types come from one distributed ``schema_of_variant_agg`` pass (partial
-    aggregation, one small row out). A key whose values disagree in type stays
-    ``VARIANT``.
-    """
-    merged = base.agg(F.schema_of_variant_agg("__obj").alias("t")).first()["t"] or ""
-    types = dict(split_top_level_fields(merged))
+def typed_columns(base: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+    """Turn the row objects of a JSON source into typed columns; a key whose values
+    disagree in type stays ``VARIANT``."""
     cols = []
-    for name in column_order:
+    for name, type_text in columns:
         path = "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
-        dtype = variant_type_to_spark(types.get(name, "VOID"))
+        dtype = variant_type_to_spark(type_text)
         if dtype is None:
             cols.append(F.try_variant_get("__obj", path, "variant").alias(name))
         else:
@@ -209,21 +202,6 @@ def typed_columns(base: DataFrame, column_order: list[str]) -> DataFrame:
     return base.select(*cols, KEYS_COL, *HIDDEN)
 
 
-def first_seen_columns(base: DataFrame) -> list[str]:
-    """Keys in first-seen order over the whole source.
-
-    Only (key, first position) pairs are shuffled, pre-aggregated per task, so the
-    result is as small as the number of distinct keys.
-    """
-    keyed = base.select(
-        F.posexplode(KEYS_COL).alias("kpos", "key"),
-        F.split("__path", "/").alias("p"), "__block", "__local",
-    )
-    firsts = keyed.groupBy("key").agg(F.min(F.struct("p", "__block", "__local", "kpos")).alias("first"))
-    ordered = firsts.orderBy("first").select("key")
-    return [r["key"] for r in ordered.collect()]
-
-
 CSV_CORRUPT = "_corrupt_record"
 
 
