@@ -21,6 +21,8 @@ from .readers import (EXTRA_COLS, HIDDEN, KEYS_COL, json_columns, parquet_reader
 # broadcast; one row per range (a path and three longs). Beyond it the join is a
 # shuffle join and AQE splits any range holding a large share of the rows.
 MAX_BROADCAST_RANGES = 200_000
+# Largest range table also kept on the driver (pages are then located without a job).
+MAX_DRIVER_RANGES = 50_000
 
 
 class DatasetError(RuntimeError):
@@ -107,8 +109,8 @@ class Dataset:
                 "shard_no", F.dense_rank().over(Window.orderBy(FS.path_order(F.col("__path")))).cast("long"))
             work_dir(self.spark)  # makes sure a checkpoint folder is set
             self._ranges = ranges.checkpoint(eager=True)
-            head = self._ranges.limit(MAX_BROADCAST_RANGES + 1).collect()
-            if len(head) <= MAX_BROADCAST_RANGES:
+            head = self._ranges.limit(MAX_DRIVER_RANGES + 1).collect()
+            if len(head) <= MAX_DRIVER_RANGES:
                 self._range_rows, self._range_count = head, len(head)
             else:
                 self._range_count = self._ranges.count()
@@ -116,7 +118,7 @@ class Dataset:
 
     def range_rows(self) -> list | None:
         """The range table on the driver when it is small (one row per file/split,
-        at most ``MAX_BROADCAST_RANGES``); ``None`` for larger datasets."""
+        at most ``MAX_DRIVER_RANGES``); ``None`` for larger datasets."""
         self.ranges()
         return self._range_rows
 

@@ -229,7 +229,9 @@ def test_positions_past_the_broadcast_bound(spark, tmp_path, monkeypatch):
     for i in range(7):
         _parquet(str(base / f"f{i}.parquet"), pa.table({"x": list(range(i * 5, i * 5 + 5))}))
     monkeypatch.setattr(D, "MAX_BROADCAST_RANGES", 2)
+    monkeypatch.setattr(D, "MAX_DRIVER_RANGES", 1)
     ds = open_dataset(spark, str(base))
+    assert ds.range_rows() is None
     pos = ds.positioned()
     assert sorted((r["__row_no"], r["x"]) for r in pos.collect()) == [(x + 1, x) for x in range(35)]
     assert "BroadcastHashJoin" in pos._jdf.queryExecution().executedPlan().toString()
