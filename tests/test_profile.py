@@ -95,3 +95,18 @@ def test_sampled_report_covering_everything_equals_full(spark):
     assert full == sampled
     head = profile.analytics_report(ds, sample_rows=10).first()
     assert (head["rows"], head["sample_size"]) == (1000, 10)
+
+
+def test_reports_over_variant_text(spark, tmp_path):
+    from shardlens import open_dataset
+    rows = ['{"text": [{"from": "user", "value": "hi"}, {"from": "gpt", "value": "yo"}]}',
+            '{"text": "USER: same"}', '{"text": "USER: same "}', '{"text": null}']
+    p = tmp_path / "v.jsonl"
+    p.write_text("\n".join(rows) + "\n", encoding="utf-8")
+    ds = open_dataset(spark, str(p))
+    q = profile.quality_scan(ds).first()
+    # Every non-empty text holds a marker once upper-cased ("user: hi" → "USER: HI").
+    assert (q["rows_checked"], q["empty_text"], q["duplicate_texts"], q["no_markers"]) == (4, 1, 1, 0)
+    a = profile.analytics_report(ds, with_files=False).first()
+    # Markers are counted as written: "user" and "gpt" in the conversation, "USER" in each plain text.
+    assert a["detected_roles"] == "USER: 2, gpt: 1, user: 1" and a["text_max"] == len("user: hi\n\ngpt: yo")
