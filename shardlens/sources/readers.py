@@ -222,7 +222,7 @@ def read_csv(spark: SparkSession, source: str) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
                           + [T.StructField(CSV_CORRUPT, T.StringType())])
     raw = reader().option("columnNameOfCorruptRecord", CSV_CORRUPT).schema(schema).csv(source)
-    header = _csv_header_names(names)
+    header = _csv_header_names(spark, source, names)
     keep: dict[str, str] = {}
     for actual, logical in zip(names, header):
         keep[logical] = actual  # later duplicates overwrite earlier ones
@@ -239,13 +239,17 @@ def read_csv(spark: SparkSession, source: str) -> DataFrame:
     return base.withColumn("__local", F.monotonically_increasing_id())
 
 
-def _csv_header_names(spark_names: list[str]) -> list[str]:
-    """Undo Spark's renaming of duplicate headers (``id`` → ``id0``, ``id2``)."""
-    out = []
-    for i, n in enumerate(spark_names):
-        m = re.fullmatch(r"(.*?)(\d+)", n)
-        if m and int(m.group(2)) == i and sum(1 for x in spark_names if x.startswith(m.group(1))) > 1:
-            out.append(m.group(1))
-        else:
-            out.append(n)
-    return out
+def _csv_header_names(spark: SparkSession, source: str, spark_names: list[str]) -> list[str]:
+    """The header as written, position by position.
+
+    Spark renames repeated header names (``id`` → ``id0``, ``id2``); the first record
+    read without header handling (by the same CSV parser, one row) gives the names
+    back. Blank names keep Spark's own.
+    """
+    first = (spark.read.option("header", "false").option("multiLine", "true").option("escape", '"')
+             .csv(source).limit(1).collect())
+    if not first:
+        return list(spark_names)
+    written = list(first[0])
+    return [w if w not in (None, "") and i < len(written) else n
+            for i, (n, w) in enumerate(zip(spark_names, written + [None] * len(spark_names)))]

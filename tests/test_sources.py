@@ -267,3 +267,20 @@ def test_pages_with_glob_characters_in_file_names(spark, tmp_path):
     ds = open_dataset(spark, str(base))
     assert [r["x"] for r in ds.page(0, 25).orderBy("__row_no").collect()] == [1, 2, 3]
     assert [r["x"] for r in ds.rows_between(3, 3).collect()] == [3]
+
+
+def test_csv_header_names_as_written(spark, tmp_path):
+    p = str(tmp_path / "h.csv")
+    _write(p, "a,a1,b\n1,2,3\n")
+    ds = open_dataset(spark, p)
+    assert ds.columns == ["a", "a1", "b"]
+    assert [tuple(r) for r in ds.df.collect()] == [("1", "2", "3")]
+
+
+def test_csv_with_byte_order_mark(spark, tmp_path):
+    p = str(tmp_path / "bom.csv")
+    with open(p, "w", encoding="utf-8-sig") as fh:
+        fh.write("id,text\n1,x\n")
+    ds = open_dataset(spark, p)
+    assert ds.columns == ["id", "text"]
+    assert [tuple(r) for r in ds.df.collect()] == [("1", "x")]
