@@ -11,13 +11,13 @@ the word ``none``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.render import value_text
-from ..sources.dataset import Dataset
+from ..sources.dataset import Dataset, clamp_page
 from ..sources.readers import KEYS_COL
-from .paging import Pager, number_rows
+from .paging import BUCKET_ROWS, Pager, number_rows
 
 ALL_COLUMNS = "__all__"
 
@@ -94,9 +94,37 @@ def search_stats(ds: Dataset, query: str, column: str = ALL_COLUMNS, match_names
 
 def search_page(ds: Dataset, query: str, page_index: int, page_size: int = 100, column: str = ALL_COLUMNS,
                 max_results: int | None = None, match_names: bool = False, match_nulls: bool = False) -> DataFrame:
-    """One page of search results, numbered 1.. in row order."""
-    hits = search(ds, query, column, max_results, match_names, match_nulls)
-    return number_rows(hits, "__row_no", "__match_no", page_index, page_size)
+    """One page of search results, numbered 1.. in row order.
+
+    Pass 1 counts matches per bucket of 2^20 positions (a small table). The page's
+    matches lie in one or two buckets, i.e. in one contiguous row range, so pass 2
+    reads only the files covering that range (``rows_between``) and ranks the
+    matches there — its cost does not grow with the dataset.
+    """
+    if max_results is not None:
+        hits = search(ds, query, column, max_results, match_names, match_nulls)
+        return number_rows(hits, "__row_no", "__match_no", page_index, page_size)
+    cond = match_condition(ds, query, column, match_names, match_nulls)
+    bucket = F.floor((F.col("__row_no") - 1) / F.lit(BUCKET_ROWS)).cast("long")
+    counts = (ds.positioned().where(cond).groupBy(bucket.alias("__bucket")).agg(F.count(F.lit(1)).alias("__n"))
+              .orderBy("__bucket").collect())
+    total = sum(int(r["__n"]) for r in counts)
+    first = clamp_page(page_index, page_size, total) * page_size + 1
+    last = first + page_size - 1
+    keep, before = [], 0
+    for r in counts:
+        b, n = int(r["__bucket"]), int(r["__n"])
+        if before < last and before + n >= first:
+            keep.append((b, before))
+        before += n
+    if not keep:
+        return ds.positioned().where(F.lit(False)).withColumn("__match_no", F.lit(None).cast("long"))
+    lo_row, hi_row = keep[0][0] * BUCKET_ROWS + 1, (keep[-1][0] + 1) * BUCKET_ROWS
+    sub = ds.rows_between(lo_row, hi_row).where(cond).withColumn("__bucket", bucket)
+    offsets = F.broadcast(ds.spark.createDataFrame(keep, "__bucket long, __off long"))
+    rank = F.row_number().over(Window.partitionBy("__bucket").orderBy("__row_no"))
+    out = sub.join(offsets, "__bucket").withColumn("__match_no", (F.col("__off") + rank).cast("long"))
+    return out.where(F.col("__match_no").between(first, last)).drop("__bucket", "__off")
 
 
 class SearchResults:

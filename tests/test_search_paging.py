@@ -158,3 +158,22 @@ def test_all_column_search_over_variant_column(spark, tmp_path):
     ds = open_dataset(spark, p)
     assert sorted(r["id"] for r in search.search(ds, "user: hello").collect()) == [1]
     assert sorted(r["id"] for r in search.search(ds, "conv plain", match_names=True).collect()) == [2]
+
+
+def test_search_pages_across_buckets(spark, tmp_path, monkeypatch):
+    """Tiny buckets: page ranks continue across bucket and file boundaries."""
+    monkeypatch.setattr(search, "BUCKET_ROWS", 4)
+    path = str(tmp_path / "buckets")
+    os.makedirs(path)
+    for i in range(5):
+        ids = list(range(i * 7, i * 7 + 7))
+        pq.write_table(pa.table({"id": ids, "text": ["hit" if k % 2 == 0 else "miss" for k in ids]}),
+                       f"{path}/p{i}.parquet")
+    ds = open_dataset(spark, path)
+    want = [k for k in range(35) if k % 2 == 0]
+    got = []
+    for p in range(4):
+        page = search.search_page(ds, "hit", p, 5).orderBy("__match_no").collect()
+        assert [r["__match_no"] for r in page] == list(range(p * 5 + 1, min(len(want), p * 5 + 5) + 1))
+        got += [r["id"] for r in page]
+    assert got == want
