@@ -49,8 +49,10 @@ def conversation_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``{from, value}`` messages in turn order."""
     conv = table(spark, sf_dir, "conversations")
     msgs = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    # Sorted by conversation so row positions are the same in every job that reads it
+    # (a shuffle alone leaves the order of rows inside a partition open).
     return msgs.select("conv_id", F.transform("m", lambda x: F.struct(
-        x["role"].alias("from"), x["text"].alias("value"))).alias("conversation"))
+        x["role"].alias("from"), x["text"].alias("value"))).alias("conversation")).orderBy("conv_id")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> Dataset:

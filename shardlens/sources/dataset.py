@@ -345,7 +345,11 @@ def _check_case_duplicates(spark: SparkSession, columns: list[str]) -> None:
 
 
 def from_frame(spark: SparkSession, frame: DataFrame, source: str = "<dataframe>") -> Dataset:
-    """Wrap a DataFrame Spark derived elsewhere (no files: positions follow its partitions)."""
+    """Wrap a DataFrame Spark derived elsewhere (no files: positions follow its partitions).
+
+    Positions are stable only when the frame's row order is: a plain scan or
+    projection, or a sorted frame. After a shuffle, sort it (or write it) first.
+    """
     cols = list(frame.columns)
     base = frame.select(*[F.col(f"`{c}`") for c in cols], F.lit("").alias("__path"),
                         F.spark_partition_id().cast("long").alias("__block"),

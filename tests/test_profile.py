@@ -110,3 +110,12 @@ def test_reports_over_variant_text(spark, tmp_path):
     a = profile.analytics_report(ds, with_files=False).first()
     # Markers are counted as written: "user" and "gpt" in the conversation, "USER" in each plain text.
     assert a["detected_roles"] == "USER: 2, gpt: 1, user: 1" and a["text_max"] == len("user: hi\n\ngpt: yo")
+
+
+def test_conversation_positions_are_stable(spark):
+    from shardlens.operators import paging
+    from shardlens.plans import fixtures as X
+    ds = X.conversations(spark, "/root/testdata/sf0.01")
+    first = [r["conv_id"] for r in ds.positioned().orderBy("__row_no").collect()]
+    assert first == sorted(first) and len(first) == 100
+    assert [r["conv_id"] for r in paging.head_sample(ds, 5).orderBy("__row_no").collect()] == first[:5]
