@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.render import value_text
-from ..sources.dataset import Dataset, clamp_page
+from ..sources.dataset import MAX_BROADCAST_RANGES, Dataset, clamp_page
 from ..sources.readers import KEYS_COL
 from .paging import BUCKET_ROWS, Pager, number_rows
 
@@ -77,12 +77,16 @@ def match_condition(ds: Dataset, query: str, column: str = ALL_COLUMNS, match_na
 
 def search(ds: Dataset, query: str, column: str = ALL_COLUMNS, max_results: int | None = None,
            match_names: bool = False, match_nulls: bool = False) -> DataFrame:
-    """Matching rows with their ``__row_no``; with ``max_results`` only the first
-    matches in row order (F1-F3). The cap is a top-k (``TakeOrderedAndProject``)."""
-    rows = ds.positioned().where(match_condition(ds, query, column, match_names, match_nulls))
-    if max_results is not None:
-        rows = rows.orderBy("__row_no").limit(max_results)
-    return rows
+    """Matching rows with their ``__row_no`` (F1, F2); with ``max_results`` only the
+    first matches in row order, numbered in ``__match_no`` (F3).
+
+    The cap is exact and distributed: no top-k of whole rows is merged in one task
+    (see ``_numbered_matches``).
+    """
+    cond = match_condition(ds, query, column, match_names, match_nulls)
+    if max_results is None:
+        return ds.positioned().where(cond)
+    return _numbered_matches(ds, cond, lambda total: (1, min(max_results, total)))
 
 
 def search_stats(ds: Dataset, query: str, column: str = ALL_COLUMNS, match_names: bool = False,
@@ -94,34 +98,43 @@ def search_stats(ds: Dataset, query: str, column: str = ALL_COLUMNS, match_names
 
 def search_page(ds: Dataset, query: str, page_index: int, page_size: int = 100, column: str = ALL_COLUMNS,
                 max_results: int | None = None, match_names: bool = False, match_nulls: bool = False) -> DataFrame:
-    """One page of search results, numbered 1.. in row order.
+    """One page of search results, numbered 1.. in row order (L6); with
+    ``max_results`` the page is taken from the first ``max_results`` matches."""
+    cond = match_condition(ds, query, column, match_names, match_nulls)
+
+    def bounds(total: int) -> tuple[int, int]:
+        total = total if max_results is None else min(total, max_results)
+        first = clamp_page(page_index, page_size, total) * page_size + 1
+        return first, min(first + page_size - 1, total)
 
-    Pass 1 counts matches per bucket of 2^20 positions (a small table). The page's
-    matches lie in one or two buckets, i.e. in one contiguous row range, so pass 2
-    reads only the files covering that range (``rows_between``) and ranks the
-    matches there — its cost does not grow with the dataset.
+    return _numbered_matches(ds, cond, bounds)
+
+
+def _numbered_matches(ds: Dataset, cond: Column, bounds) -> DataFrame:
+    """Matches number ``first..last`` (``bounds(total matches)``) with ``__match_no``.
+
+    Pass 1 counts matches per bucket of 2^20 positions (a small table). The wanted
+    matches lie in a run of buckets, i.e. one contiguous row range, so pass 2 reads
+    only the files covering that range (``rows_between``) and ranks the matches
+    inside each bucket (a window over one bucket at most) plus the bucket's offset.
     """
-    if max_results is not None:
-        hits = search(ds, query, column, max_results, match_names, match_nulls)
-        return number_rows(hits, "__row_no", "__match_no", page_index, page_size)
-    cond = match_condition(ds, query, column, match_names, match_nulls)
     bucket = F.floor((F.col("__row_no") - 1) / F.lit(BUCKET_ROWS)).cast("long")
     counts = (ds.positioned().where(cond).groupBy(bucket.alias("__bucket")).agg(F.count(F.lit(1)).alias("__n"))
               .orderBy("__bucket").collect())
     total = sum(int(r["__n"]) for r in counts)
-    first = clamp_page(page_index, page_size, total) * page_size + 1
-    last = first + page_size - 1
+    first, last = bounds(total)
     keep, before = [], 0
     for r in counts:
         b, n = int(r["__bucket"]), int(r["__n"])
         if before < last and before + n >= first:
             keep.append((b, before))
         before += n
-    if not keep:
+    if not keep or last < first:
         return ds.positioned().where(F.lit(False)).withColumn("__match_no", F.lit(None).cast("long"))
     lo_row, hi_row = keep[0][0] * BUCKET_ROWS + 1, (keep[-1][0] + 1) * BUCKET_ROWS
     sub = ds.rows_between(lo_row, hi_row).where(cond).withColumn("__bucket", bucket)
-    offsets = F.broadcast(ds.spark.createDataFrame(keep, "__bucket long, __off long"))
+    offsets = ds.spark.createDataFrame(keep, "__bucket long, __off long")
+    offsets = F.broadcast(offsets) if len(keep) <= MAX_BROADCAST_RANGES else offsets
     rank = F.row_number().over(Window.partitionBy("__bucket").orderBy("__row_no"))
     out = sub.join(offsets, "__bucket").withColumn("__match_no", (F.col("__off") + rank).cast("long"))
     return out.where(F.col("__match_no").between(first, last)).drop("__bucket", "__off")
@@ -148,8 +161,9 @@ class SearchResults:
         if self._hits is None:
             from ..session import work_dir
 
-            numbered = number_rows(search(self.ds, *self._args), "__row_no", "__match_no",
-                                   max_order=self.ds.count())
+            hits = search(self.ds, *self._args)
+            numbered = hits if "__match_no" in hits.columns else number_rows(
+                hits, "__row_no", "__match_no", max_order=self.ds.count())
             work_dir(self.ds.spark)
             self._hits = numbered.checkpoint(eager=True)
         return self._hits

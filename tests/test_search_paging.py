@@ -177,3 +177,16 @@ def test_search_pages_across_buckets(spark, tmp_path, monkeypatch):
         assert [r["__match_no"] for r in page] == list(range(p * 5 + 1, min(len(want), p * 5 + 5) + 1))
         got += [r["id"] for r in page]
     assert got == want
+
+
+def test_capped_search_is_exact_without_top_k(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "BUCKET_ROWS", 4)
+    path = str(tmp_path / "cap")
+    os.makedirs(path)
+    for i in range(4):
+        ids = list(range(i * 9, i * 9 + 9))
+        pq.write_table(pa.table({"id": ids, "text": ["hit" if k % 3 else "x" for k in ids]}), f"{path}/p{i}.parquet")
+    ds = open_dataset(spark, path)
+    capped = search.search(ds, "hit", column="text", max_results=10)
+    assert sorted(r["id"] for r in capped.collect()) == [k for k in range(36) if k % 3][:10]
+    assert "TakeOrderedAndProject" not in capped._jdf.queryExecution().executedPlan().toString()
