@@ -49,21 +49,23 @@ def source_frame(ds: Dataset, sample_rows: int | None = None) -> DataFrame:
 
 
 def facts(ds: Dataset, aliases: str | Sequence[str] = "report", sample_rows: int | None = None,
-          frame: DataFrame | None = None) -> DataFrame:
-    """Per-row facts: ``has_text, s, tlen, ntok, dupkey, empty_text, no_markers``."""
+          frame: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Per-row facts: ``has_text, s, tlen, ntok, dupkey, empty_text, no_markers``,
+    after the ``keep`` columns of ``frame`` (e.g. an id and ``__row_no``)."""
     names = text_aliases(aliases)
     frame = source_frame(ds, sample_rows) if frame is None else frame
     has_text = resolve_apply(ds, names, lambda c, dt: c.isNotNull(), F.lit(False))
     s = resolve_apply(ds, names, lambda c, dt: render(c, dt), F.lit(""))
     ntok = resolve_apply(ds, TOKEN_ALIASES, token_count, F.lit(None).cast("long"))
-    step = frame.select(has_text.alias("has_text"), s.alias("s"), ntok.alias("ntok"))
+    kept = [F.col(f"`{c}`") for c in keep]
+    step = frame.select(*kept, has_text.alias("has_text"), s.alias("s"), ntok.alias("ntok"))
     # The stripped key and the upper-cased text are projected once each and reused:
     # Catalyst keeps a non-trivial expression referenced several times in its own
     # projection instead of copying it into every use.
     step = step.select("*", py_strip(F.col("s")).alias("__key"), F.upper(F.col("s")).alias("__up"))
     key = F.col("__key")
     return step.select(
-        "has_text", "s", "ntok",
+        *kept, "has_text", "s", "ntok",
         F.length("s").cast("long").alias("tlen"),
         # 128-bit digest of the stripped text: the duplicate key that is shuffled.
         F.when(key != "", F.unhex(F.md5(key))).alias("dupkey"),

@@ -15,9 +15,8 @@ from pyspark.sql import types as T
 
 from ..operators import paging, profile, schema, search
 from ..operators.resolve import resolve_apply
-from ..functions.fields import FLAG_ALIASES, TEXT_ALIASES_REPORT, TOKEN_ALIASES
+from ..functions.fields import FLAG_ALIASES, TEXT_ALIASES_REPORT
 from ..functions.render import py_repr, render
-from ..functions.text import has_no_markers, py_strip
 from ..sources.dataset import open_dataset
 from . import fixtures as X
 from . import sql as S
@@ -110,13 +109,9 @@ def q_pruned_scan(spark, sf):
 # ---------------------------------------------------------------------- row predicates
 
 def _id_facts(ds):
-    """Per-row facts next to ``doc_id``: one projection over the positioned rows."""
-    frame = ds.positioned()
-    text = resolve_apply(ds, TEXT_ALIASES_REPORT, lambda c, dt: render(c, dt), F.lit(""))
-    ntok = resolve_apply(ds, TOKEN_ALIASES, profile.token_count, F.lit(None).cast("long"))
-    s = F.col("s")
-    return frame.select("doc_id", F.col("__row_no").alias("row_no"), text.alias("s"), ntok.alias("ntok")).select(
-        "doc_id", "row_no", "ntok", (py_strip(s) == "").alias("empty_text"), has_no_markers(s).alias("no_markers"))
+    """Per-row facts next to ``doc_id`` and the row number."""
+    frame = ds.positioned().withColumnRenamed("__row_no", "row_no")
+    return profile.facts(ds, frame=frame, keep=["doc_id", "row_no"])
 
 
 def q_no_marker_rows(spark, sf):
