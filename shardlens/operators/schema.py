@@ -29,14 +29,12 @@ def file_manifest(ds: Dataset) -> DataFrame:
 def _footer_schemas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Read only the Parquet footer of each listed file: ``(path, ordinal, column, type)``."""
     import pyarrow.parquet as pq
-    from pyarrow import fs as pafs
 
     for pdf in batches:
         out = []
         for path in pdf["path"]:
-            uri = path if "://" in path else "file://" + path[len("file:"):] if path.startswith("file:") else path
             try:
-                filesystem, inner = pafs.FileSystem.from_uri(uri)
+                filesystem, inner = FS.arrow_fs(path)
                 with filesystem.open_input_file(inner) as fh:
                     schema = pq.ParquetFile(fh).schema_arrow
                 for i, field in enumerate(schema):

@@ -50,12 +50,35 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+# Hadoop URI schemes and the PyArrow scheme for the same store.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def arrow_fs(path: str):
+    """``(PyArrow file system, path inside it)`` for a Spark/Hadoop path.
+
+    Local paths (``file:`` or none) go to the local file system as plain paths, so
+    spaces and other characters need no URI encoding; remote ones through a URI.
+    """
+    import os
+
+    from pyarrow import fs as pafs
+
+    if path.startswith("file:") or "://" not in path:
+        plain = path[len("file:"):] if path.startswith("file:") else path
+        while plain.startswith("//"):
+            plain = plain[1:]
+        return pafs.LocalFileSystem(), os.path.abspath(plain)
+    scheme, _, rest = path.partition("://")
+    return pafs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}://{rest}")
+
+
 def path_kind(source: str) -> str:
     """``'dir'``, ``'file'`` or ``'missing'`` for a local or remote path."""
     try:
         from pyarrow import fs as pafs
 
-        filesystem, inner = pafs.FileSystem.from_uri(source if "://" in source else _as_file_uri(source))
+        filesystem, inner = arrow_fs(source)
         info = filesystem.get_file_info(inner)
         if info.type == pafs.FileType.Directory:
             return "dir"
@@ -66,13 +89,6 @@ def path_kind(source: str) -> str:
         return "unknown"
 
 
-def _as_file_uri(path: str) -> str:
-    import os
-
-    path = path[len("file:"):] if path.startswith("file:") else path
-    return "file://" + os.path.abspath(path)
-
-
 def suffix(path: str) -> str:
     name = path.rstrip("/").rsplit("/", 1)[-1]
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""

@@ -284,3 +284,12 @@ def test_csv_with_byte_order_mark(spark, tmp_path):
     ds = open_dataset(spark, p)
     assert ds.columns == ["id", "text"]
     assert [tuple(r) for r in ds.df.collect()] == [("1", "x")]
+
+
+def test_schema_drift_with_spaces_in_paths(spark, tmp_path):
+    base = tmp_path / "with space"
+    _parquet(str(base / "a b.parquet"), pa.table({"id": [1]}))
+    _parquet(str(base / "c d.parquet"), pa.table({"id": [2]}))
+    rows = {r["column"]: (r["n_types"], r["files"], r["consistent"]) for r in schema.schema_drift(spark, str(base)).collect()}
+    assert rows == {"id": (1, 2, True)}
+    assert open_dataset(spark, str(base)).count() == 2
