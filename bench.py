@@ -12,6 +12,8 @@ Timed (each over the whole table, result fully collected; one warm run, then the
   last_page         – browse the last page (index clamped)
   last_page_shards  – last page of ``documents`` cut into Parquet shards (shards written untimed)
   role_counts       – role markers over rendered conversations
+  quality_scan_jsonl / last_page_jsonl – the same jobs over ``documents`` exported as JSON Lines
+                      (export untimed; the JSON is parsed in every run)
 """
 
 from __future__ import annotations
@@ -42,9 +44,11 @@ def main() -> None:
     tokens = open_dataset(spark, X.write_token_documents(spark, sf_dir))
     conv = X.conversations(spark, sf_dir)
     sharded = X.shards(spark, sf_dir)
+    jsonl = open_dataset(spark, X.export_documents(spark, sf_dir, "jsonl"), kind="jsonl")
     # Warm-up: JVM start, range tables (written once per dataset), code generation.
     docs.ranges()
     sharded.ranges()
+    jsonl.ranges()
     profile.quality_scan(docs).collect()
 
     jobs = {
@@ -57,6 +61,8 @@ def main() -> None:
         "last_page": lambda: paging.browse(docs, 1 << 30, 100).collect(),
         "last_page_shards": lambda: paging.browse(sharded, 1 << 30, 100).collect(),
         "role_counts": lambda: profile.role_counts(conv).collect(),
+        "quality_scan_jsonl": lambda: profile.quality_scan(jsonl).collect(),
+        "last_page_jsonl": lambda: paging.browse(jsonl, 1 << 30, 100).collect(),
     }
     times = {}
     for name, job in jobs.items():
