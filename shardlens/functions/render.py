@@ -77,8 +77,11 @@ def py_str(c: Column, dt: T.DataType) -> Column:
     if isinstance(dt, _FLOATING):
         return py_float_repr(c)
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        base = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-        frac = F.date_format(c, "SSSSSS")
+        # An instant prints as its UTC wall clock (Python gets it as an aware UTC
+        # datetime); ``date_format`` uses the session zone, so shift by it first.
+        wall = F.to_utc_timestamp(c, F.current_timezone()) if isinstance(dt, T.TimestampType) else c
+        base = F.date_format(wall, "yyyy-MM-dd HH:mm:ss")
+        frac = F.date_format(wall, "SSSSSS")
         out = F.concat(base, F.when(frac != "000000", F.concat(_lit("."), frac)).otherwise(_lit("")))
         if isinstance(dt, T.TimestampType):
             out = F.concat(out, _lit("+00:00"))

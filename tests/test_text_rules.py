@@ -121,3 +121,19 @@ def test_render_nested_content_list(one):
     nested = T.StructType([T.StructField("from", T.StringType()),
                            T.StructField("value", T.ArrayType(T.LongType()))])
     assert _render(one, [("u", [1, 2])], T.ArrayType(nested)) == "u: 1\n\n2"
+
+
+def test_timestamps_print_like_python(spark, one):
+    import datetime as dt
+    ntz = dt.datetime(2024, 1, 2, 3, 4, 5, 120)
+    assert one(py_str(F.col("t"), T.TimestampNTZType()), (ntz,), "t timestamp_ntz") == str(ntz)
+    assert one(py_str(F.col("t"), T.TimestampNTZType()), (ntz.replace(microsecond=0),), "t timestamp_ntz") == \
+        "2024-01-02 03:04:05"
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        aware = dt.datetime(2024, 6, 1, 12, 0, 0, tzinfo=dt.timezone.utc)
+        got = spark.createDataFrame([(aware,)], "t timestamp").select(py_str(F.col("t"), T.TimestampType()).alias("x"))
+        assert got.first()["x"] == "2024-06-01 12:00:00+00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
