@@ -44,6 +44,10 @@ class Dataset:
     _schema: object = field(default=None, repr=False)
     # The plain scan without position columns (Parquet): full scans read only data columns.
     plain: DataFrame | None = field(default=None, repr=False)
+    # Re-reads the source keeping only files that satisfy a condition on ``__path``,
+    # applied before row ids are given (JSONL, CSV): used to position large sources
+    # chunk by chunk.
+    reread: object = field(default=None, repr=False)
 
     # ------------------------------------------------------------------ basics
     @property
@@ -148,14 +152,23 @@ class Dataset:
         size is counted first. No data is shuffled either way.
         """
         self.ranges()
-        if self._range_count <= MAX_BROADCAST_RANGES or self.kind != "parquet":
+        intrinsic = self.kind in ("parquet", "json")  # positions fixed by the file itself
+        if self._range_count <= MAX_BROADCAST_RANGES or not (intrinsic or self.reread is not None):
             return self._finish_positions(self._join_ranges(self.base))
         k = self._chunk_count()
         parts = []
         for i in range(k):
             mine = F.pmod(F.xxhash64("__path"), F.lit(k)) == i
             small = self._ranges.where(mine).select("__path", "__block", "start", "base", "shard_no")
-            parts.append(self._finish_positions(self.base.where(mine).join(F.broadcast(small), ["__path", "__block"])))
+            if intrinsic:
+                chunk = self.base.where(mine)
+            else:
+                # Row ids of a re-read chunk differ from the full scan's: each split's
+                # first id in this chunk comes from a lines-only pass over the chunk.
+                chunk = self.reread(mine)
+                firsts = chunk.select(*HIDDEN).groupBy("__path", "__block").agg(F.min("__local").alias("cbase"))
+                small = small.drop("base").join(firsts.withColumnRenamed("cbase", "base"), ["__path", "__block"])
+            parts.append(self._finish_positions(chunk.join(F.broadcast(small), ["__path", "__block"])))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -324,12 +337,14 @@ def _open_small(spark: SparkSession, source: str, kind: str, listing: DataFrame)
     if kind == "csv":
         base = read_csv(spark, source)
         columns = [c for c in base.columns if c not in HIDDEN and c not in EXTRA_COLS]
-        return Dataset(spark, source, kind, base, columns, listing)
+        return Dataset(spark, source, kind, base, columns, listing,
+                       reread=lambda files: read_csv(spark, source, files))
     base = read_jsonl(spark, source) if kind == "jsonl" else read_json_document(spark, source)
     profile = json_columns(base)
     columns = [name for name, _ in profile]
     _check_case_duplicates(spark, columns)
-    return Dataset(spark, source, kind, typed_columns(base, profile), columns, listing)
+    reread = (lambda files: typed_columns(read_jsonl(spark, source, files), profile)) if kind == "jsonl" else None
+    return Dataset(spark, source, kind, typed_columns(base, profile), columns, listing, reread=reread)
 
 
 def _check_case_duplicates(spark: SparkSession, columns: list[str]) -> None:

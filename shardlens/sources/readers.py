@@ -79,9 +79,15 @@ def _keys_of(line: Column, v: Column) -> Column:
     return F.when(is_obj, F.json_object_keys(line)).otherwise(F.array(F.lit("value")))
 
 
-def read_jsonl(spark: SparkSession, source: str) -> DataFrame:
-    """One JSON value per non-blank line; a bad line fails the read."""
+def read_jsonl(spark: SparkSession, source: str, path_filter: Column | None = None) -> DataFrame:
+    """One JSON value per non-blank line; a bad line fails the read.
+
+    ``path_filter`` (a condition on ``__path``) selects files before row ids are
+    given, so the file listing is pruned to them.
+    """
     lines = _text_lines(spark, source)
+    if path_filter is not None:
+        lines = lines.where(path_filter)
     lines = lines.where(py_strip(F.col("__line")) != "")
     lines = lines.withColumn("__local", F.monotonically_increasing_id())
     # Parse once into its own column; the derived columns below reuse it (Catalyst
@@ -205,7 +211,7 @@ def typed_columns(base: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
 CSV_CORRUPT = "_corrupt_record"
 
 
-def read_csv(spark: SparkSession, source: str) -> DataFrame:
+def read_csv(spark: SparkSession, source: str, path_filter: Column | None = None) -> DataFrame:
     """Header row, every value a string, quoted newlines and doubled quotes.
 
     Empty fields (quoted or not) read as ``''``; a missing trailing field is null.
@@ -236,6 +242,8 @@ def read_csv(spark: SparkSession, source: str) -> DataFrame:
         metadata_path().alias("__path"),
         F.col("_metadata.file_block_start").alias("__block"),
     )
+    if path_filter is not None:
+        base = base.where(path_filter)
     return base.withColumn("__local", F.monotonically_increasing_id())
 
 

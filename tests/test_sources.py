@@ -293,3 +293,20 @@ def test_schema_drift_with_spaces_in_paths(spark, tmp_path):
     rows = {r["column"]: (r["n_types"], r["files"], r["consistent"]) for r in schema.schema_drift(spark, str(base)).collect()}
     assert rows == {"id": (1, 2, True)}
     assert open_dataset(spark, str(base)).count() == 2
+
+
+def test_text_positions_past_the_broadcast_bound(spark, tmp_path, monkeypatch):
+    """JSONL / CSV / JSON folders positioned chunk by chunk (files pruned per chunk)."""
+    from shardlens.sources import dataset as D
+    monkeypatch.setattr(D, "MAX_BROADCAST_RANGES", 2)
+    monkeypatch.setattr(D, "MAX_DRIVER_RANGES", 1)
+    jl, cs, js = tmp_path / "jl", tmp_path / "cs", tmp_path / "js"
+    for i in range(5):
+        _write(str(jl / f"part-{i}.jsonl"), "".join(json.dumps({"i": i * 10 + k}) + "\n" for k in range(10)))
+        _write(str(cs / f"part-{i}.csv"), "i\n" + "".join(f"{i * 10 + k}\n" for k in range(10)))
+        _write(str(js / f"part-{i}.json"), json.dumps([{"i": i * 10 + k} for k in range(10)]))
+    for folder, kind in ((jl, "jsonl"), (cs, None), (js, "json")):
+        ds = open_dataset(spark, str(folder), strict=False, kind=kind)
+        assert ds.range_rows() is None
+        got = sorted((r["__row_no"], int(r["i"])) for r in ds.positioned().collect())
+        assert got == [(n + 1, n) for n in range(50)], folder
