@@ -18,8 +18,9 @@ from .readers import (EXTRA_COLS, HIDDEN, KEYS_COL, json_columns, parquet_reader
                       read_json_document, read_jsonl, read_parquet, typed_columns)
 
 # Largest number of row ranges (files, or splits for text sources) joined by
-# broadcast; one row per range (a path and three longs). Beyond it the join is a
-# shuffle join and AQE splits any range holding a large share of the rows.
+# broadcast; one row per range (a path and four longs). Beyond it positions are
+# computed chunk by chunk (see ``positioned``); only a frame wrapped with
+# ``from_frame`` still joins by shuffle there.
 MAX_BROADCAST_RANGES = 200_000
 # Largest range table also kept on the driver (pages are then located without a job).
 MAX_DRIVER_RANGES = 50_000
