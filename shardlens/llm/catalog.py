@@ -1,10 +1,11 @@
-"""The queries of this package (``opN_<name>`` and ``pipeline``) and their DuckDB oracles."""
+"""The queries of this package (``opN_<name>``) and their DuckDB oracles."""
 
 from __future__ import annotations
 
-from shardlens.llm import sharding
+from shardlens.llm import bpe, sharding
 
 QUERIES = {
+    "op3_backtracking_bpe": bpe.op3_backtracking_bpe,
     "op6_rendezvous_sharding": sharding.op6_rendezvous_sharding,
 }
 
