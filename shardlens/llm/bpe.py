@@ -7,8 +7,8 @@ result of the merges, and a position that led nowhere is never entered again, so
 word. The pair-compatibility table is filled as pairs turn up. Decoding gathers token strings from one byte
 string by a table of offsets.
 
-Both directions are column expressions (:func:`encode`, :func:`decode`) over Arrow batches: no shuffle, rows
-keep their other columns, texts are taken whole. Null is the empty text and gives no ids; an empty id list
+Both directions are column expressions (:func:`encode`, :func:`decode`), or one pass (:func:`with_tokens`), over
+Arrow batches: no shuffle, rows keep their other columns, texts are taken whole. Null is the empty text and gives no ids; an empty id list
 decodes to the empty text; ids that the vocabulary lacks are passed over; null ids decode to null.
 """
 
@@ -20,15 +20,19 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shardlens.llm.common import table, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept with their ids in each Python worker, and the longest such word; a bound on memory alone.
-CACHED_WORDS, CACHED_LENGTH = 500_000, 64
-CACHED_PAIRS = 1_000_000
+CACHED_WORDS, CACHED_LENGTH = 250_000, 64
+CACHED_PAIRS = 250_000
+#: Bytes of decoded text in one outgoing batch.
+BATCH = 4 << 20
 END = 256  # symbol of a byte that ends a word: byte + END
 
 
@@ -234,10 +238,34 @@ def _integers(ids) -> np.ndarray:
     return ids.astype(np.int64, copy=False)
 
 
+def with_tokens(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with the ids of ``text`` and what they decode to; columns of these two names are replaced.
+    Both directions in one pass and one Python worker, in batches of bounded size."""
+    df = df.drop(*({ids, decoded} - {text}))
+    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        for batch in batches:
+            texts, first, lists, strings, size = batch.column(text), 0, [], [], 0
+            for i in range(batch.num_rows):
+                lists.append(bpe.encode(texts[i].as_py() or ""))
+                strings.append(bpe.decode(lists[-1].astype(np.int64)))
+                size += len(strings[-1])
+                if size >= BATCH or i == batch.num_rows - 1:
+                    ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+                    own = [pa.ListArray.from_arrays(ends, np.concatenate(lists)), pa.array(strings, pa.string())]
+                    rows = batch.slice(first, i + 1 - first)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *own], [*rows.schema.names, ids, decoded])
+                    first, lists, strings, size = i + 1, [], [], 0
+
+    return df.mapInArrow(run, schema)
+
+
 def digests(documents: DataFrame, path: str) -> DataFrame:
     """Per document: token count, and SHA-256 of the ids and of the decoded text."""
-    encoded = documents.select(F.col("doc_id").cast("long").alias("doc_id"), encode(F.col("text"), path).alias("ids"))
-    return (encoded.withColumn("decoded", decode(F.col("ids"), path))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return (with_tokens(texts, path)
             .select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                     F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                     F.sha2(F.col("decoded"), 256).alias("decoded_sha256")))
