@@ -7,6 +7,7 @@ one. ``get_spark`` is a convenience for scripts and tests.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -89,3 +90,17 @@ def parallelism(spark: SparkSession, default: int = 8) -> int:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused path under the work folder."""
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor (once per Spark context).
+
+    Functions given to ``mapInPandas`` or ``pandas_udf`` are loaded there by module name, so a package that only
+    the driver has on its path would fail. Not needed where it is installed or passed by ``--py-files``.
+    """
+    sc = spark.sparkContext
+    if any(os.path.basename(str(f)) == "shardlens.zip" for f in sc.listFiles):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="shardlens-package-")
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "shardlens"), "zip", root, "shardlens"))
