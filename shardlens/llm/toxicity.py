@@ -1,12 +1,12 @@
 """Toxicity by non-negative positive-unlabelled learning (operator 4).
 
 Confirmed toxic rows are the positives; everything else, labelled or not, is unlabelled. A linear model over
-word and word-beginning features is fitted with numpy on the class-prior-corrected risk
+words and word beginnings, each present, repeated or dense, is fitted with numpy on the class-prior-corrected risk
 
     prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)])
 
-with the logistic loss; while the corrected second term is negative its gradient is followed upwards, as the
-non-negative estimator asks. The prior is the share of toxic rows among all labelled rows of the fit fold.
+with the logistic loss; while the corrected second term is negative it is held at 0 and only the first one is
+followed (by the weights; the bias moves with the whole risk alone). The prior is the share of toxic rows among all labelled rows of the fit fold.
 
 Bounds, all parameters: the fit uses at most ``POSITIVES`` and ``UNLABELLED`` rows (those whose hashed id is
 smallest) and at most ``FEATURES`` features: those clearly commoner among positives (``LEAST_Z``) and, by the
@@ -37,7 +37,8 @@ POSITIVES, UNLABELLED = 4000, 8000
 FEATURES, LEAST_Z, LEAST_ROWS, LEAST_SHARE = 4096, 4.0, 4, 0.5
 STEPS, RATE, SHRINK = 400, 0.1, 1e-4
 BEGINNINGS = (4, 5, 6)
-CACHED_WORDS = 500_000
+REPEATED, DENSE = 2, 0.006
+CACHED_WORDS = 300_000
 words = re.compile(r"\w+").findall
 
 
@@ -50,8 +51,23 @@ def features(word: str) -> list[str]:
     return [word + " ", *(word[:n] for n in BEGINNINGS if len(word) > n)]
 
 
+def levels(feature: str, count: int, n_words: int) -> list[str]:
+    """What a feature that occurs ``count`` times among ``n_words`` words says: present, repeated, dense, both."""
+    out = [feature]
+    if count >= REPEATED:
+        out.append(feature + "\t2")
+    if count >= DENSE * n_words:
+        out += [feature + "\td", feature + "\t2d"] if count >= REPEATED else [feature + "\td"]
+    return out
+
+
 def text_features(text: str) -> set[str]:
-    return {f for w in set(words(text.lower())) for f in features(w)}
+    found = words(text.lower())
+    counts = Counter()
+    for word, n in Counter(found).items():
+        for f in features(word):
+            counts[f] += n
+    return {x for f, n in counts.items() for x in levels(f, n, len(found))}
 
 
 class Model:
@@ -59,18 +75,20 @@ class Model:
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias, self.seen = weights, bias, {}
+        self.known = {f.partition("\t")[0] for f in weights}
 
     def score(self, text: str) -> float:
-        seen, weights, found = self.seen, self.weights, set()
-        for word in set(words(text.lower())):
+        seen, counts, found = self.seen, {}, words(text.lower())
+        for word, n in Counter(found).items():
             own = seen.get(word)
             if own is None:
                 if len(seen) >= CACHED_WORDS:
                     seen.clear()
-                own = seen[word] = tuple(f for f in features(word) if f in weights)
-            if own:
-                found.update(own)
-        z = self.bias + math.fsum(weights[f] for f in found)
+                own = seen[word] = tuple(f for f in features(word) if f in self.known)
+            for f in own:
+                counts[f] = counts.get(f, 0) + n
+        shown = sorted(x for f, n in counts.items() for x in levels(f, n, len(found)))
+        z = self.bias + math.fsum(self.weights.get(x, 0.0) for x in shown)
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
@@ -90,8 +108,8 @@ def fit_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_features:
         corrected = loss[~is_p].mean() - prior * loss[is_p].mean()
         slope = np.where(is_p, prior * (up - 1) / n_p, 0.0)
         negative = np.where(is_p, -prior * up / n_p, up / n_u)
-        slope = slope + negative if corrected >= 0 else -negative
-        g = np.append(np.bincount(column, slope[row], n_features), slope.sum())
+        slope = slope + negative if corrected >= 0 else slope
+        g = np.append(np.bincount(column, slope[row], n_features), slope.sum() if corrected >= 0 else 0.0)
         g[:-1] += SHRINK * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
