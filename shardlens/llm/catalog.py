@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from shardlens.llm import bpe, html_text, sharding, suffix_dedup, toxicity
+from shardlens.llm import bpe, html_text, phrase_dedup, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_tree_scored_html": html_text.op2_tree_scored_html,
     "op3_backtracking_bpe": bpe.op3_backtracking_bpe,
     "op4_nnpu_toxicity": toxicity.op4_nnpu_toxicity,
+    "op5_phrase_automata": phrase_dedup.op5_phrase_automata,
     "op6_rendezvous_sharding": sharding.op6_rendezvous_sharding,
     "op8_run_length_dedup": suffix_dedup.op8_run_length_dedup,
 }

@@ -41,7 +41,7 @@ class RunLengthIndex:
         symbols, dense = np.unique(codes, return_inverse=True)  # 0 is there: rows end by it
         codes = dense.reshape(n, width)
         base = len(symbols)
-        per_word = max(1, int(62 / np.log2(base + 1)))
+        per_word = min(long, int(62 / np.log2(base + 1)))
         key = np.zeros((n, width), np.int64)
         for d in range(per_word):
             key = key * base + _ahead(codes, d)
