@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shardlens.llm import bpe, html_text, phrase_dedup, sharding, suffix_dedup, toxicity
+from shardlens.llm import bpe, code_search, html_text, jaccard_join, phrase_dedup, sharding, suffix_dedup, toxicity, vector_links
 
 QUERIES = {
     "op2_tree_scored_html": html_text.op2_tree_scored_html,
@@ -10,9 +10,14 @@ QUERIES = {
     "op4_nnpu_toxicity": toxicity.op4_nnpu_toxicity,
     "op5_phrase_automata": phrase_dedup.op5_phrase_automata,
     "op6_rendezvous_sharding": sharding.op6_rendezvous_sharding,
+    "op7_multi_index_search": code_search.op7_multi_index_search,
     "op8_run_length_dedup": suffix_dedup.op8_run_length_dedup,
+    "op9_collision_counting": vector_links.op9_collision_counting,
+    "op10_size_banded_jaccard": jaccard_join.op10_size_banded_jaccard,
 }
 
 ORACLES = {
     "op6_rendezvous_sharding": sharding.ORACLE_SQL,
+    "op7_multi_index_search": code_search.ORACLE_SQL,
+    "op9_collision_counting": vector_links.ORACLE_SQL,
 }

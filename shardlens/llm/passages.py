@@ -1,14 +1,15 @@
 """Where texts repeat each other: the Spark side shared by operators 5 and 8.
 
-1. Every text chooses anchors by content (:mod:`shardlens.llm.rolling`); only their hashes are shuffled.
-2. A window per anchor hash keeps those that more than one text shows (or one text twice, where that counts).
-3. Those go back to their texts by text key; each text sends the *context* of its shared anchors: all units a
-   repeated window around that anchor can reach. Equal texts send theirs once.
-4. Contexts meet by anchor hash, sorted, and are worked on in bounded batches that end between anchors.
-5. Marked spans go back to the texts. Both joins use one and the same shuffle of the texts.
-
-Only anchors that repeat are ever moved with content, so the volume follows the repeated part of the corpus.
-Texts are keyed by a 64-bit hash.
+1. The windows of every text are grouped by content (:mod:`shardlens.llm.rolling`): the anchor of a window is the
+   smallest gram hash in it. Only the hashes are shuffled.
+2. A window function per anchor keeps those that more than one text shows (or one text twice, where that counts).
+3. Those go back to their texts by text key; each text sends the *contexts* of its shared anchors: the units of the
+   windows in that group. Equal texts send theirs once.
+4. Contexts meet by anchor, sorted, and are worked on in bounded batches that end between anchors.
+5. Marked spans go back to the texts. Both joins use one and the same shuffle of the texts, which travel compressed.
+
+Only what has a shared anchor is moved with content, so the volume follows the repeated part of the corpus.
+Texts are keyed by a 64-bit hash; anchors have 48 bits, and a chance match only makes a context travel in vain.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shardlens.llm import rolling
 from shardlens.llm.common import text_or_empty
@@ -42,36 +44,71 @@ class Rule:
     def units(self, raw: bytes) -> np.ndarray:
         return rolling.word_units(raw) if self.words else rolling.byte_units(raw)
 
-    def anchors(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        return rolling.anchors(self.units(raw), self.gram, self.window)
-
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """Documents with a key of their text and an order of their ids."""
-    text = text_or_empty()
-    return documents.withColumns({"text": text, "__key": F.xxhash64(text),
-                                  "__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))})
+    """Documents with a key of their text, an order of their ids, and the text compressed (``__z``, null if it was)."""
+    rest = [c for c in documents.columns if c != "text"]
+    rows = documents.select(*rest, F.col("text").cast("string").alias("text"), F.xxhash64(text_or_empty()).alias("__key"),
+                            F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__doc"))
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField("__z", T.BinaryType())])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            packed = [None if (t := x.as_py()) is None else pack(t.encode()) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(packed, pa.binary())], names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def unpacked(column: pa.Array) -> Iterator[bytes]:
+    """The texts of a compressed column; null is empty."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return (b"" if (z := x.as_py()) is None else unpack(z) for x in column)
+
+
+def unkeyed(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows of :func:`keyed` as rows of ``documents`` again."""
+    schema, names = documents.schema, documents.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            null = batch.column("__z").is_null().to_pylist()
+            texts = pa.array([None if n else raw.decode() for n, raw in zip(null, unpacked(batch.column("__z")))], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(c) for c in names], names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def _anchor_rows(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("__key").to_numpy(zero_copy_only=False)
-            hashes, counts, owners = [], [], []
+            hashes, again, owners = [], [], []
             for key, text in zip(keys, batch.column("text")):
-                h, n = np.unique(rule.anchors(text.as_py().encode())[1], return_counts=True)
+                units = rule.units(text.as_py().encode())
+                h = np.unique(rolling.anchors(units, rule.gram, rule.window)[2])
                 hashes.append(h)
-                counts.append(n)
                 owners.append(np.full(len(h), key))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(owners)),
-                                              pa.array(np.concatenate(counts) > 1)], ["hash", "__key", "again"])
+                if rule.within:
+                    again.append(rolling.repeated(units, rule.gram, h))
+            columns = [pa.array(np.concatenate(hashes)), pa.array(np.concatenate(owners))]
+            if rule.within:
+                columns.append(pa.array(np.concatenate(again)))
+            yield pa.RecordBatch.from_arrays(columns, ["hash", "__key", "again"][:len(columns)])
 
     return run
 
 
-def shared_anchors(texts: DataFrame, rule: Rule) -> DataFrame:
+def shared_anchors(documents: DataFrame, rule: Rule) -> DataFrame:
     """Per text key the hashes of its anchors that repeat."""
-    rows = texts.select("__key", "text").mapInArrow(_anchor_rows(rule), "hash long, __key long, again boolean")
+    rows = (documents.select(F.xxhash64(text_or_empty()).alias("__key"), text_or_empty().alias("text"))
+            .mapInArrow(_anchor_rows(rule), "hash long, __key long" + ", again boolean" * rule.within))
     same = W.partitionBy("hash")
     repeats = (F.min("__key").over(same) != F.max("__key").over(same))
     if rule.within:
@@ -81,42 +118,50 @@ def shared_anchors(texts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _context_rows(rule: Rule):
-    reach = rule.window - rule.gram
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                raw = batch.column("text")[i].as_py().encode()
-                place, h = rule.anchors(raw)
-                known = np.sort(batch.column("hashes").slice(i, 1).values.slice(
-                    batch.column("hashes").offsets[i].as_py(), len(batch.column("hashes")[i])).to_numpy(zero_copy_only=False).view(np.uint64))
-                use = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-                place, h = place[use], h[use]
-                at, stop = np.maximum(place - reach, 0), place + rule.window
+            known = batch.column("hashes")
+            ends, flat = known.offsets.to_numpy(), known.values.to_numpy()
+            for i, raw in enumerate(unpacked(batch.column("__z"))):
+                at, n, h = rolling.anchors(rule.units(raw), rule.gram, rule.window)
+                own = np.sort(flat[ends[i]:ends[i + 1]])
+                use = own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h
+                at, stop, h = at[use], (at + n)[use] + rule.window - 1, h[use]
+                places = [[x] for x in at.tolist()]
                 if rule.words:
                     words = raw.split()
                     parts = [b" ".join(words[a:b]) for a, b in zip(at.tolist(), stop.tolist())]
                 else:
                     parts = [raw[a:b] for a, b in zip(at.tolist(), stop.tolist())]
-                n = len(parts)
+                if len(np.unique(h)) < len(h):  # repetitive text sends the same context once, with its places
+                    once: dict[tuple[int, bytes], list[int]] = {}
+                    for own, part, place in zip(h.tolist(), parts, at.tolist()):
+                        once.setdefault((own, part), []).append(place)
+                    h, parts, places = np.array([k[0] for k in once]), [k[1] for k in once], list(once.values())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(np.full(n, batch.column("__key")[i].as_py())),
-                     pa.array(np.full(n, batch.column("__doc")[i].as_py())), pa.array(at.astype(np.int32)), pa.array(parts, pa.binary())],
+                    [pa.array(h), pa.array(np.full(len(h), batch.column("__key")[i].as_py())),
+                     pa.array(np.full(len(h), batch.column("__doc")[i].as_py())), pa.array(places, pa.list_(pa.int32())), pa.array(parts, pa.binary())],
                     ["hash", "__key", "__doc", "at", "context"])
 
     return run
 
 
 def _by_anchor(work: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]]):
-    """Batches of whole anchors from rows sorted by hash, given to ``work``; it returns keys, starts and ends of spans."""
+    """Batches of whole anchors from rows sorted by hash, given to ``work``; it returns the numbers of the rows it
+    marks, and where in their contexts the marks start and end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
 
         def result(table: pa.Table) -> pa.RecordBatch:
-            key, start, end = work(table)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array((start.astype(np.int64) << 32) | end)], ["__key", "span"])
+            row, start, end = work(table)
+            at = table.column("at").combine_chunks().take(pa.array(row))
+            times = np.diff(at.offsets.to_numpy())
+            place = at.flatten().to_numpy().astype(np.int64)
+            span = (place + np.repeat(start, times) << 32) | (place + np.repeat(end, times))
+            key = np.repeat(table.column("__key").to_numpy()[row], times)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(span)], ["__key", "span"])
 
         for batch in batches:
             held.append(batch)
@@ -136,14 +181,17 @@ def _by_anchor(work: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def marked(documents: DataFrame, rule: Rule, work) -> DataFrame:
-    """``documents`` with ``__key``, ``__doc``, ``__first`` (smallest id of the text), ``__copies`` (rows with the
-    text) and ``__spans`` (start << 32 | end of the spans that ``work`` marked in it, null if none)."""
+    """``documents`` without ``text`` but with ``__z`` (the text compressed), ``__doc``, ``__first`` (smallest id of
+    the text), ``__copies`` (rows with the text) and ``__spans`` (start << 32 | end of the spans that ``work``
+    marked in it, null if none)."""
     texts = keyed(documents)
-    info = texts.groupBy("__key").agg(F.min("__doc").alias("__first"), F.count(F.lit(1)).alias("__copies"))
-    wanted = shared_anchors(texts, rule).join(info.hint("shuffle_hash"), "__key")
+    text_key = F.xxhash64(text_or_empty()).alias("__key")
+    info = (documents.select(text_key, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__doc")).groupBy("__key")
+            .agg(F.min("__doc").alias("__first"), F.count(F.lit(1)).alias("__copies")))
+    wanted = shared_anchors(documents, rule).join(info.hint("shuffle_hash"), "__key")
     contexts = (texts.join(wanted.hint("shuffle_hash"), "__key").filter("__doc = __first")
-                .select("__key", "__doc", "text", "hashes")
-                .mapInArrow(_context_rows(rule), "hash long, __key long, __doc long, at int, context binary"))
+                .select("__key", "__doc", "__z", "hashes")
+                .mapInArrow(_context_rows(rule), "hash long, __key long, __doc long, at array<int>, context binary"))
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spans = (contexts.repartition(n, "hash").sortWithinPartitions("hash")
              .mapInArrow(_by_anchor(work), "__key long, span long"))

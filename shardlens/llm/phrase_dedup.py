@@ -26,39 +26,27 @@ from pyspark.sql import types as T
 
 from shardlens.llm import rolling
 from shardlens.llm.common import table
-from shardlens.llm.passages import Rule, marked, mask_of, runs
+from shardlens.llm.passages import Rule, marked, mask_of, runs, unpacked
 
 LONG, GRAM = 35, 12
 RULE = Rule(words=True, window=LONG, gram=GRAM, within=True)
 
 
-def recurring(contexts: list[bytes], own: np.ndarray, key: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """Per distinct context, which of its windows start at two places (text, word) or more.
-    ``own``, ``key`` and ``at``: distinct context, text and first word of each row."""
+def recurring(contexts: list[bytes], rows: np.ndarray) -> list[np.ndarray]:
+    """Per distinct context, which of its windows start at two places or more; ``rows``: places of each context.
+    (The windows of two rows are never the same place: every window of a text is in one context.)"""
     windows = [rolling.grams(rolling.word_units(c), LONG) for c in contexts]
-    n = np.array([len(w) for w in windows], np.int64)
-    first = np.concatenate([[0], np.cumsum(n)])
-    flat = np.concatenate(windows) if windows else np.zeros(0, np.uint64)
-    per_row = n[own]
-    step = np.arange(per_row.sum()) - np.repeat(np.cumsum(per_row) - per_row, per_row)
-    which = np.repeat(first[own], per_row) + step
-    place = rolling.mix(rolling.mix(np.repeat(key, per_row).view(np.uint64)) + (np.repeat(at, per_row) + step).astype(np.uint64))
-    _, number = np.unique(flat, return_inverse=True)
-    number = number[which]
-    order = np.lexsort((place, number))
-    number, place = number[order], place[order]
-    fresh = np.concatenate([[True], (number[1:] != number[:-1]) | (place[1:] != place[:-1])]) if len(order) else np.zeros(0, bool)
-    places = np.bincount(number[fresh], minlength=int(number.max()) + 1 if len(number) else 0)
-    _, all_numbers = np.unique(flat, return_inverse=True)
-    again = places[all_numbers] > 1 if len(flat) else np.zeros(0, bool)
-    return [again[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+    n = [len(w) for w in windows]
+    _, number = np.unique(np.concatenate(windows), return_inverse=True)
+    places = np.bincount(number, np.repeat(rows, n))
+    return np.split(places[number] > 1, np.cumsum(n)[:-1])
 
 
 def locate(contexts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of words that recurring passages cover, from rows (hash, __key, __doc, at, context)."""
+    """Rows, and starts and ends in their contexts, of the words that recurring passages cover."""
     import ahocorasick
 
-    key, at = contexts.column("__key").to_numpy(), contexts.column("at").to_numpy().astype(np.int64)
+    times = np.diff(contexts.column("at").combine_chunks().offsets.to_numpy())
     numbers: dict[bytes, int] = {}
     own = np.array([numbers.setdefault(c, len(numbers)) for c in contexts.column("context").to_pylist()], np.int64)
     distinct = list(numbers)
@@ -66,7 +54,7 @@ def locate(contexts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words: dict[bytes, int] = {}
     sequences = [tuple(words.setdefault(w, len(words)) for w in c.split()) for c in distinct]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for sequence, again in zip(sequences, recurring(distinct, own, key, at)):
+    for sequence, again in zip(sequences, recurring(distinct, np.bincount(own, times).astype(np.int64))):
         for a, b in zip(*(x.tolist() for x in runs(again))):
             automaton.add_word(sequence[a:b + LONG - 1], b + LONG - 1 - a)
     start, end = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
@@ -74,29 +62,31 @@ def locate(contexts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         automaton.make_automaton()
         for i, sequence in enumerate(sequences):
             found = [(last + 1 - size, last + 1) for last, size in automaton.iter(sequence)]
-            if found:  # every window of a context holds its anchor, so these overlap
+            if found:  # a context is shorter than two windows, so these overlap
                 start[i], end[i] = min(found)[0], max(stop for _, stop in found)
-    keep = end[own] > 0
-    return key[keep], (at + start[own])[keep], (at + end[own])[keep]
+    rows = np.flatnonzero(end[own] > 0)
+    return rows, start[own[rows]], end[own[rows]]
 
 
 def remove_passages(documents: DataFrame) -> DataFrame:
-    """``documents`` with ``kept`` (remaining words joined by one space), ``n_words`` and ``n_removed``."""
+    """``documents`` with ``kept`` (remaining words joined by one space; null for a null text) in place of ``text``,
+    ``n_words`` and ``n_removed``."""
     documents = documents.drop("kept", "n_words", "n_removed")
-    schema = T.StructType([*documents.schema.fields, T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()),
-                           T.StructField("n_removed", T.LongType())])
-    names = documents.columns
-    rows = marked(documents, RULE, locate).select(*names, "__copies", "__spans")
+    rest = [f for f in documents.schema.fields if f.name != "text"]
+    names = [f.name for f in rest]
+    schema = T.StructType([*rest, T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    rows = marked(documents, RULE, locate).select(*names, "__z", "__copies", "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, sizes, removed = [], [], []
-            for text, copies, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "__copies", "__spans"))):
-                words = (text or "").encode().split()
-                mask = mask_of(len(words), spans)
+            for raw, z, copies, spans in zip(unpacked(batch.column("__z")), batch.column("__z").is_null().to_pylist(),
+                                             batch.column("__copies").to_pylist(), batch.column("__spans")):
+                words = raw.split()
+                mask = mask_of(len(words), spans.values)
                 if copies > 1 and len(words) >= LONG:
                     mask[:] = True
-                kept.append(b" ".join(words[i] for i in np.flatnonzero(~mask)).decode())
+                kept.append(None if z else b" ".join(words[i] for i in np.flatnonzero(~mask)).decode())
                 sizes.append(len(words))
                 removed.append(int(mask.sum()))
             own = [pa.array(kept, pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())]
@@ -107,4 +97,4 @@ def remove_passages(documents: DataFrame) -> DataFrame:
 
 def op5_phrase_automata(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_passages(documents).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return remove_passages(documents).select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

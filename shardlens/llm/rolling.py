@@ -1,4 +1,4 @@
-"""Rolling hashes over bytes or words, and anchors chosen by content, in numpy (used inside tasks)."""
+"""Rolling hashes over bytes or words, and windows grouped by content, in numpy (used inside tasks)."""
 
 from __future__ import annotations
 
@@ -76,17 +76,31 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[:n], x[width - span:width - span + n]) if width > span else x[:n]
 
 
-def anchors(units: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams that have the smallest hash within some ``window`` units (ties: all).
+def anchors(units: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows grouped by the smallest hash of a gram in them: first window, number of windows, that hash (48 bits).
 
-    Two equal windows choose the same gram at the same place inside, so whatever repeats over ``window`` units
-    shares an anchor.
+    Every window of ``window`` units is in one group. Two equal windows have the same smallest hash, wherever they
+    stand; a group is a run of windows, cut so that its units number under twice the window.
     """
     h = grams(units, gram)
     width = window - gram + 1
     if len(h) < width:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    least = _sliding(h, width, np.minimum)
-    edge = np.zeros(width - 1, U64)
-    place = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), width, np.maximum) == h)
-    return place, h[place]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least = _sliding(h, width, np.minimum) >> U64(16)
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    size = np.diff(np.append(first, len(least)))
+    pieces = -(-size // width)
+    if len(pieces) and pieces.max() > 1:  # a long run comes from repetitive text
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first, size = np.repeat(first, pieces) + nth * width, np.repeat(size, pieces) - nth * width
+        size = np.minimum(size, width)
+    return first, size, least[first].astype(np.int64)
+
+
+def repeated(units: np.ndarray, gram: int, hashes: np.ndarray) -> np.ndarray:
+    """Which of the group hashes belong to a gram that the text shows more than once."""
+    h = np.sort(grams(units, gram) >> U64(16)).astype(np.int64)
+    twice = h[1:][h[1:] == h[:-1]]
+    if not len(twice):
+        return np.zeros(len(hashes), bool)
+    return twice[np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)] == hashes

@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shardlens.llm.common import table
-from shardlens.llm.passages import Rule, marked, mask_of, runs
+from shardlens.llm.passages import Rule, marked, mask_of, runs, unpacked
 
 LONG, GRAM = 50, 16
 RULE = Rule(words=False, window=LONG, gram=GRAM, within=False)
-WIDTH = 2 * LONG - GRAM  # of a context
+WIDTH = 2 * LONG - GRAM  # bytes of a context at most
 
 
 class RunLengthIndex:
@@ -56,11 +56,15 @@ class RunLengthIndex:
 
         self.size, self.base, self.symbols = len(order), base, symbols
         last = np.where(column > 0, codes.ravel()[order - 1], 0)
-        change = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
+        begins = np.concatenate([[True], last[1:] != last[:-1]])
+        change = np.flatnonzero(begins)
+        self.run_of = np.cumsum(begins, dtype=np.int32) - 1  # rank over the bits that mark run starts
         self.run_start, self.run_symbol = change, last[change]
         length = np.diff(np.append(change, self.size))
         by_symbol = np.argsort(self.run_symbol, kind="stable")
         self.run_key = self.run_symbol[by_symbol] * len(change) + by_symbol
+        self.run_nth = np.empty(len(change), np.int64)
+        self.run_nth[by_symbol] = np.arange(len(change))
         self.before = np.concatenate([[0], np.cumsum(length[by_symbol])])
         self.first = np.searchsorted(codes.ravel()[order], np.arange(base))  # suffixes with a smaller first symbol
         self.symbol_runs = np.searchsorted(self.run_symbol[by_symbol], np.arange(base))
@@ -74,15 +78,19 @@ class RunLengthIndex:
         same &= whole[1:] & whole[:-1]
         classes = np.flatnonzero(np.concatenate([[True], ~same]))
         least = np.minimum.reduceat(documents[row], classes)
-        self.sample_at = np.union1d(classes, self.run_start)
-        self.sample = least[np.searchsorted(classes, self.sample_at, "right") - 1]
+        begins[classes] = True  # samples stand where a run or a class begins
+        self.sample_of = np.cumsum(begins, dtype=np.int32) - 1
+        self.sample = least[np.searchsorted(classes, np.flatnonzero(begins), "right") - 1]
 
     def back(self, place: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Backward step: where the suffixes that start with ``symbol`` and go on as those at ``place`` begin."""
-        run = np.searchsorted(self.run_start, place, "right") - 1
-        nth = np.searchsorted(self.run_key, symbol * len(self.run_start) + run)
+        run = self.run_of[place]
+        same = self.run_symbol[run] == symbol
+        nth = self.run_nth[run]
+        other = ~same
+        nth[other] = np.searchsorted(self.run_key, symbol[other] * len(self.run_start) + run[other])
         rank = self.before[nth] - self.before[self.symbol_runs[symbol]]
-        rank += np.where(self.run_symbol[run] == symbol, place - self.run_start[run], 0)
+        rank += np.where(same, place - self.run_start[run], 0)
         return self.first[symbol] + rank
 
     def repeats(self, codes: np.ndarray, sizes: np.ndarray, documents: np.ndarray, long: int = LONG) -> np.ndarray:
@@ -99,8 +107,7 @@ class RunLengthIndex:
             column = sizes - 1 - k
             place = self.back(place, codes[rows, column])
             if k + 1 >= long:
-                smallest = self.sample[np.searchsorted(self.sample_at, place, "right") - 1]
-                out[rows, column] = smallest < documents
+                out[rows, column] = self.sample[self.sample_of[place]] < documents
         return out
 
 
@@ -120,8 +127,8 @@ def _dense(key: np.ndarray) -> np.ndarray:
 
 
 def match(contexts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of whole contexts that a smaller document has too, from rows (hash, __key, __doc, at, context)."""
-    hashes, key, doc, at = (contexts.column(c).to_numpy() for c in ("hash", "__key", "__doc", "at"))
+    """Rows, and starts and ends in their contexts, of what a smaller document has too."""
+    hashes, doc = (contexts.column(c).to_numpy() for c in ("hash", "__doc"))
     column = contexts.column("context").combine_chunks()
     column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
@@ -151,27 +158,29 @@ def match(contexts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         use = (end == 0) & (mine >= 0)
         use[use] = some[mine[use]]
         start[use], end[use] = low[mine[use]], high[mine[use]] + LONG
-    keep = end > start
-    return key[keep], at[keep] + start[keep], at[keep] + end[keep]
+    rows = np.flatnonzero(end > start)
+    return rows, start[rows], end[rows]
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
-    """``documents`` with ``kept`` (remaining bytes), ``n_bytes`` and ``spans`` (removed runs as start, end)."""
+    """``documents`` with ``kept`` (remaining bytes; null for a null text) in place of ``text``, ``n_bytes`` and
+    ``spans`` (removed runs as start, end)."""
     documents = documents.drop("kept", "n_bytes", "spans")
-    schema = T.StructType([*documents.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()),
-                           T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
-    names = documents.columns
-    rows = marked(documents, RULE, match).select(*names, "__doc", "__first", "__spans")
+    rest = [f for f in documents.schema.fields if f.name != "text"]
+    names = [f.name for f in rest]
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    schema = T.StructType([*rest, T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(span))])
+    rows = marked(documents, RULE, match).select(*names, "__z", "__doc", "__first", "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, sizes, spans = [], [], []
-            for text, doc, first, found in zip(*(batch.column(c).to_pylist() for c in ("text", "__doc", "__first", "__spans"))):
-                raw = (text or "").encode()
-                mask = mask_of(len(raw), found)
+            for raw, z, doc, first, found in zip(unpacked(batch.column("__z")), batch.column("__z").is_null().to_pylist(),
+                                                 *(batch.column(c).to_pylist() for c in ("__doc", "__first")), batch.column("__spans")):
+                mask = mask_of(len(raw), found.values)
                 if doc > first and len(raw) >= LONG:  # a copy of a document with a smaller id
                     mask[:] = True
-                kept.append(np.frombuffer(raw, np.uint8)[~mask].tobytes())
+                kept.append(None if z else np.frombuffer(raw, np.uint8)[~mask].tobytes())
                 sizes.append(len(raw))
                 spans.append([{"start": a, "end": b} for a, b in zip(*(x.tolist() for x in runs(mask)))])
             own = [pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()),
@@ -185,18 +194,16 @@ def op8_run_length_dedup(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return remove_repeats(documents).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
-                                            F.sha2("kept", 256).alias("kept_sha256"))
+                                            F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
 
 
 def without_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts lose what a document with a smaller id has too; a document left without text goes.
     A cut inside a character takes the whole character."""
-    kept = remove_repeats(docs.withColumn("__null", F.col("text").isNull()))
 
     @F.pandas_udf("string")
     def readable(raw):
-        return raw.map(lambda b: b.decode("utf-8", "ignore"))
+        return raw.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
 
-    text = F.when(F.col("__null"), F.lit(None).cast("string")).otherwise(readable("kept"))
-    rows = kept.filter("size(spans) = 0 OR octet_length(kept) > 0").withColumn("text", F.when(F.size("spans") == 0, F.col("text")).otherwise(text))
-    return rows.withColumn("text", F.when(F.col("__null"), F.lit(None).cast("string")).otherwise(F.col("text"))).select(*docs.columns)
+    kept = remove_repeats(docs).filter("size(spans) = 0 OR octet_length(kept) > 0")
+    return kept.withColumn("text", readable("kept")).select(*docs.columns)
