@@ -273,3 +273,8 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
 
 def op3_backtracking_bpe(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY))
+
+
+def encoded(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage, the last one: every text as token ids, shown by their number and digests."""
+    return digests(docs, tokenizer_path(VOCABULARY))

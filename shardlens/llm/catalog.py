@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from shardlens.llm import bpe, code_search, html_text, jaccard_join, phrase_dedup, sharding, suffix_dedup, toxicity, vector_links
+from shardlens.llm import bpe, code_search, html_text, jaccard_join, mixing, phrase_dedup, sharding, suffix_dedup, toxicity, vector_links
 
 QUERIES = {
+    "op1_soft_mixing": mixing.op1_soft_mixing,
     "op2_tree_scored_html": html_text.op2_tree_scored_html,
     "op3_backtracking_bpe": bpe.op3_backtracking_bpe,
     "op4_nnpu_toxicity": toxicity.op4_nnpu_toxicity,

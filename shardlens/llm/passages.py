@@ -29,7 +29,7 @@ from shardlens.llm.common import text_or_empty
 
 LAST = (1 << 63) - 1  # documents without an id come after all others
 #: Contexts worked on at once; a batch ends at the next change of anchor.
-CONTEXTS = 40_000
+CONTEXTS = 10_000
 
 
 @dataclass(frozen=True)
@@ -184,13 +184,12 @@ def marked(documents: DataFrame, rule: Rule, work) -> DataFrame:
     """``documents`` without ``text`` but with ``__z`` (the text compressed), ``__doc``, ``__first`` (smallest id of
     the text), ``__copies`` (rows with the text) and ``__spans`` (start << 32 | end of the spans that ``work``
     marked in it, null if none)."""
-    texts = keyed(documents)
+    texts = keyed(documents)  # both joins below take all its columns, so that its shuffle is one
     text_key = F.xxhash64(text_or_empty()).alias("__key")
     info = (documents.select(text_key, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__doc")).groupBy("__key")
             .agg(F.min("__doc").alias("__first"), F.count(F.lit(1)).alias("__copies")))
     wanted = shared_anchors(documents, rule).join(info.hint("shuffle_hash"), "__key")
     contexts = (texts.join(wanted.hint("shuffle_hash"), "__key").filter("__doc = __first")
-                .select("__key", "__doc", "__z", "hashes")
                 .mapInArrow(_context_rows(rule), "hash long, __key long, __doc long, at array<int>, context binary"))
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spans = (contexts.repartition(n, "hash").sortWithinPartitions("hash")

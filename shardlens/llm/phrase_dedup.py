@@ -75,7 +75,7 @@ def remove_passages(documents: DataFrame) -> DataFrame:
     rest = [f for f in documents.schema.fields if f.name != "text"]
     names = [f.name for f in rest]
     schema = T.StructType([*rest, T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    rows = marked(documents, RULE, locate).select(*names, "__z", "__copies", "__spans")
+    rows = marked(documents, RULE, locate)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

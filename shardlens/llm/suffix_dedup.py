@@ -4,7 +4,7 @@ A byte goes if a string of ``LONG`` bytes that covers it also starts in a docume
 shared anchors (:mod:`shardlens.llm.passages`) are worked on in bounded batches:
 
 * equal contexts are one; all but the document with the smallest id match it whole;
-* where different contexts share an anchor, a Burrows-Wheeler transform of them is built and kept run by run.
+* of different contexts that may match, a Burrows-Wheeler transform is built and kept run by run.
   Sampled with the run ends, and with the ends of classes of suffixes that agree on ``LONG`` bytes, is the
   smallest document of the class;
 * each context is streamed backwards through the runs. The matching statistics at a byte, i.e. whether ``LONG``
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shardlens.llm import rolling
 from shardlens.llm.common import table
 from shardlens.llm.passages import Rule, marked, mask_of, runs, unpacked
 
@@ -128,7 +129,7 @@ def _dense(key: np.ndarray) -> np.ndarray:
 
 def match(contexts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, and starts and ends in their contexts, of what a smaller document has too."""
-    hashes, doc = (contexts.column(c).to_numpy() for c in ("hash", "__doc"))
+    doc = contexts.column("__doc").to_numpy()
     column = contexts.column("context").combine_chunks()
     column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
@@ -143,10 +144,13 @@ def match(contexts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start = np.zeros(len(doc), np.int64)
     end = np.where((doc > first[own]) & (size >= LONG), size, 0)
 
-    # Different contexts around one anchor: only those are indexed.
-    pair = np.unique(np.stack([hashes, own]), axis=1)
-    _, groups, n = np.unique(pair[0], return_inverse=True, return_counts=True)
-    index = np.unique(pair[1][n[groups] > 1])
+    # A context none of whose windows has the hash of a window of another context matches none: not indexed.
+    distinct = codes[one]
+    h = rolling.grams(distinct.ravel().astype(np.uint64), LONG)
+    h = np.append(h, np.zeros(LONG - 1, np.uint64)).reshape(distinct.shape)
+    whole = np.arange(distinct.shape[1]) + LONG <= size[one][:, None]
+    _, number, n = np.unique(h[whole], return_inverse=True, return_counts=True)
+    index = np.unique(np.nonzero(whole)[0][n[number] > 1])
     if len(index):
         strings, sizes, documents = codes[one[index]], size[one[index]], first[index]
         hit = RunLengthIndex(strings, sizes, documents).repeats(strings, sizes, documents)
@@ -170,7 +174,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     names = [f.name for f in rest]
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType([*rest, T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(span))])
-    rows = marked(documents, RULE, match).select(*names, "__z", "__doc", "__first", "__spans")
+    rows = marked(documents, RULE, match)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,4 +210,7 @@ def without_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         return raw.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
 
     kept = remove_repeats(docs).filter("size(spans) = 0 OR octet_length(kept) > 0")
-    return kept.withColumn("text", readable("kept")).select(*docs.columns)
+    kept = kept.withColumn("text", readable("kept"))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
