@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardlens.llm.common import table, tokenizer_path
+from shardlens.llm.common import frugal, table, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept with their ids in each Python worker, and the longest such word; a bound on memory alone.
@@ -259,7 +259,7 @@ def with_tokens(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
                     yield pa.RecordBatch.from_arrays([*rows.columns, *own], [*rows.schema.names, ids, decoded])
                     first, lists, strings, size = i + 1, [], [], 0
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def digests(documents: DataFrame, path: str) -> DataFrame:

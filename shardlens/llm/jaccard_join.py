@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shardlens.llm import rolling
-from shardlens.llm.common import kept, table, text_or_empty, written
+from shardlens.llm.common import frugal, kept, table, text_or_empty, written
 from shardlens.llm.components import components
 from shardlens.llm.passages import LAST, keyed, unkeyed, unpacked
 
@@ -47,7 +47,7 @@ def shingles(raw: bytes) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(units) < WORDS:
         return rolling.mix(rolling.grams(units, len(units)) + np.uint64(len(units)))
-    return np.unique(rolling.grams(units, WORDS))
+    return rolling.distinct(rolling.grams(units, WORDS))
 
 
 def prefix_length(n: int) -> int:
@@ -186,8 +186,9 @@ def _tokens(common: np.ndarray):
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(raw) for raw in unpacked(batch.column("__z"))]
-        yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array([len(s) for s in sets], pa.int64()),
-                                          pa.array([bitmap(s, bitmap_bits(len(s))).tobytes() for s in sets], pa.binary())], ["__key", "n", "bits"])
+        bits = pa.array([bitmap(s, bitmap_bits(len(s))).tobytes() for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array([len(s) for s in sets], pa.int64()), bits, batch.column("tokens")],
+                                         ["__key", "n", "bits", "tokens"])
 
 
 def _band_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,12 +243,12 @@ def with_components(documents: DataFrame) -> DataFrame:
     n_tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = text_or_empty()
     plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("__key"), text.alias("text"))
-    sets = kept(plain.mapInArrow(_sets, "doc_id long, __key long, n long, counts binary"))
+    sets = kept(plain.mapInArrow(frugal(_sets), "doc_id long, __key long, n long, counts binary"))
     rows = sets.filter("counts IS NULL").select("doc_id", "__key", "n")
     tile = W.partitionBy("token")
 
     # Prefix shingles that more than one text has, with the texts that have them: all that can link.
-    prefix = plain.select("__key", "text").mapInArrow(_tokens(_common_buckets(sets)), "token long, __key long")
+    prefix = plain.select("__key", "text").mapInArrow(frugal(_tokens(_common_buckets(sets))), "token long, __key long")
     shared = (prefix.withColumn("many", F.min("__key").over(tile) != F.max("__key").over(tile)).filter("many")
               .groupBy("__key").agg(F.sort_array(F.collect_set("token")).alias("tokens")))
     first = rows.groupBy("__key").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("__first"))
@@ -257,25 +258,25 @@ def with_components(documents: DataFrame) -> DataFrame:
 
     # First pass.
     tiles = (texts.select(F.col("tokens")[0].alias("token"), "__key", "__z")
-             .mapInArrow(_whole_sets(["token", "__key"]), "token long, __key long, n long, items binary"))
+             .mapInArrow(frugal(_whole_sets(["token", "__key"])), "token long, __key long, n long, items binary"))
     near = kept(tiles.repartition(n_tasks, "token").sortWithinPartitions("token", "n", "__key")
-                .mapInArrow(_leader_links, "a long, b long").distinct())
+                .mapInArrow(frugal(_leader_links), "a long, b long").distinct())
     roots = components(near)
 
-    # Second pass.
-    signs = texts.select("__key", "__z").mapInArrow(_bitmaps, "__key long, n long, bits binary")
-    signs = signs.join(roots.select(F.col("node").alias("__key"), "root"), "__key", "left").withColumn("root", F.coalesce("root", "__key"))
-    of_token = texts.select("__key", F.explode("tokens").alias("token")).join(signs.select("__key", "root"), "__key")
-    several = of_token.withColumn("many", F.min("root").over(tile) != F.max("root").over(tile)).filter("many").select("token", "__key")
-    pairs = kept(several.join(signs, "__key").select("token", "root", "__key", "n", "bits")
+    # Second pass. Roots go to the texts' rows, so that their shingles carry them.
+    signs = kept(texts.mapInArrow(frugal(_bitmaps), "__key long, n long, bits binary, tokens array<long>")
+                 .join(roots.select(F.col("node").alias("__key"), "root"), "__key", "left").withColumn("root", F.coalesce("root", "__key")))
+    several = (signs.select("__key", "root", F.explode("tokens").alias("token"))
+               .withColumn("many", F.min("root").over(tile) != F.max("root").over(tile)).filter("many").select("token", "__key"))
+    pairs = kept(several.join(signs.select("__key", "root", "n", "bits").hint("shuffle_hash"), "__key").select("token", "root", "__key", "n", "bits")
                  .repartition(n_tasks, "token").sortWithinPartitions("token", "n", "__key")
-                 .mapInArrow(_band_pairs, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+                 .mapInArrow(frugal(_band_pairs), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("__key")).distinct()
     items = (texts.join(asked, "__key").select("__key", "__z")
-             .mapInArrow(_whole_sets(["__key"]), "__key long, n long, items binary").select("__key", "items"))
+             .mapInArrow(frugal(_whole_sets(["__key"])), "__key long, n long, items binary").select("__key", "items"))
     settled = (pairs.join(items.withColumnRenamed("__key", "a"), "a")
                .join(items.select(F.col("__key").alias("b"), F.col("items").alias("others")), "b")
-               .select("a", "b", "items", "others").mapInArrow(_exact, "a long, b long"))
+               .select("a", "b", "items", "others").mapInArrow(frugal(_exact), "a long, b long"))
     roots = components(near.union(settled)).select(F.col("node").alias("__key"), "root")
 
     named = rows.join(roots, "__key", "left").withColumn("root", F.coalesce("root", "__key"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shardlens.llm import rolling
-from shardlens.llm.common import kept, table, text_or_empty, written
+from shardlens.llm.common import frugal, kept, table, text_or_empty, written
 
 DOMAINS = ("good", "poor", "toxic")
 WEIGHTS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
@@ -78,7 +78,7 @@ def train(documents: DataFrame, labels: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([batch.column("domain"), pa.array(ids, pa.list_(pa.int32()))], ["domain", "ids"])
 
     sample = written(documents.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
-                     .select("domain", "text").mapInArrow(active, "domain int, ids array<int>"), "mixing-sample")
+                     .select("domain", "text").mapInArrow(frugal(active), "domain int, ids array<int>"), "mixing-sample")
     rows = sorted(((r["domain"], r["ids"]) for r in sample.collect()))  # bounded by the sample
     if not rows:
         return np.zeros((BUCKETS + 1, len(DOMAINS)))
@@ -102,7 +102,7 @@ def with_posteriors(documents: DataFrame, weights: np.ndarray, columns: list[str
             lists = pa.ListArray.from_arrays(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32), p.ravel())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(tokens), lists], [*columns, "__tokens", "__posterior"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def _dot(posterior: Column, g: Column) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shardlens.llm import rolling
-from shardlens.llm.common import text_or_empty
+from shardlens.llm.common import frugal, text_or_empty
 
 LAST = (1 << 63) - 1  # documents without an id come after all others
 #: Contexts worked on at once; a batch ends at the next change of anchor.
@@ -56,12 +56,12 @@ def keyed(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             packed = [None if (t := x.as_py()) is None else pack(t.encode()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(packed, pa.binary())], names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def unpacked(column: pa.Array) -> Iterator[bytes]:
@@ -82,7 +82,7 @@ def unkeyed(rows: DataFrame, documents: DataFrame) -> DataFrame:
             texts = pa.array([None if n else raw.decode() for n, raw in zip(null, unpacked(batch.column("__z")))], pa.string())
             yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(c) for c in names], names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def _anchor_rows(rule: Rule):
@@ -92,7 +92,7 @@ def _anchor_rows(rule: Rule):
             hashes, again, owners = [], [], []
             for key, text in zip(keys, batch.column("text")):
                 units = rule.units(text.as_py().encode())
-                h = np.unique(rolling.anchors(units, rule.gram, rule.window)[2])
+                h = rolling.distinct(rolling.anchors(units, rule.gram, rule.window)[2])
                 hashes.append(h)
                 owners.append(np.full(len(h), key))
                 if rule.within:
@@ -108,7 +108,7 @@ def _anchor_rows(rule: Rule):
 def shared_anchors(documents: DataFrame, rule: Rule) -> DataFrame:
     """Per text key the hashes of its anchors that repeat."""
     rows = (documents.select(F.xxhash64(text_or_empty()).alias("__key"), text_or_empty().alias("text"))
-            .mapInArrow(_anchor_rows(rule), "hash long, __key long" + ", again boolean" * rule.within))
+            .mapInArrow(frugal(_anchor_rows(rule)), "hash long, __key long" + ", again boolean" * rule.within))
     same = W.partitionBy("hash")
     repeats = (F.min("__key").over(same) != F.max("__key").over(same))
     if rule.within:
@@ -127,21 +127,22 @@ def _context_rows(rule: Rule):
                 own = np.sort(flat[ends[i]:ends[i + 1]])
                 use = own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h
                 at, stop, h = at[use], (at + n)[use] + rule.window - 1, h[use]
-                places = [[x] for x in at.tolist()]
+                more = pa.nulls(len(h), pa.list_(pa.int32()))
                 if rule.words:
                     words = raw.split()
                     parts = [b" ".join(words[a:b]) for a, b in zip(at.tolist(), stop.tolist())]
                 else:
                     parts = [raw[a:b] for a, b in zip(at.tolist(), stop.tolist())]
-                if len(np.unique(h)) < len(h):  # repetitive text sends the same context once, with its places
+                if len(rolling.distinct(h)) < len(h):  # repetitive text sends the same context once, with its places
                     once: dict[tuple[int, bytes], list[int]] = {}
                     for own, part, place in zip(h.tolist(), parts, at.tolist()):
                         once.setdefault((own, part), []).append(place)
-                    h, parts, places = np.array([k[0] for k in once]), [k[1] for k in once], list(once.values())
+                    h, parts, at = np.array([k[0] for k in once]), [k[1] for k in once], np.array([x[0] for x in once.values()])
+                    more = pa.array([x[1:] or None for x in once.values()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h), pa.array(np.full(len(h), batch.column("__key")[i].as_py())),
-                     pa.array(np.full(len(h), batch.column("__doc")[i].as_py())), pa.array(places, pa.list_(pa.int32())), pa.array(parts, pa.binary())],
-                    ["hash", "__key", "__doc", "at", "context"])
+                     pa.array(np.full(len(h), batch.column("__doc")[i].as_py())), pa.array(at.astype(np.int32)), more, pa.array(parts, pa.binary())],
+                    ["hash", "__key", "__doc", "at", "more", "context"])
 
     return run
 
@@ -156,11 +157,12 @@ def _by_anchor(work: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarr
 
         def result(table: pa.Table) -> pa.RecordBatch:
             row, start, end = work(table)
-            at = table.column("at").combine_chunks().take(pa.array(row))
-            times = np.diff(at.offsets.to_numpy())
-            place = at.flatten().to_numpy().astype(np.int64)
-            span = (place + np.repeat(start, times) << 32) | (place + np.repeat(end, times))
-            key = np.repeat(table.column("__key").to_numpy()[row], times)
+            more = table.column("more").combine_chunks().take(pa.array(row))
+            other = np.repeat(np.arange(len(row)), times_more(more))
+            place = np.concatenate([table.column("at").to_numpy()[row], more.flatten().to_numpy(zero_copy_only=False)]).astype(np.int64)
+            row, start, end = (np.concatenate([x, x[other]]) for x in (row, start, end))
+            span = (place + start << 32) | (place + end)
+            key = table.column("__key").to_numpy()[row]
             return pa.RecordBatch.from_arrays([pa.array(key), pa.array(span)], ["__key", "span"])
 
         for batch in batches:
@@ -189,16 +191,22 @@ def marked(documents: DataFrame, rule: Rule, work) -> DataFrame:
     info = (documents.select(text_key, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__doc")).groupBy("__key")
             .agg(F.min("__doc").alias("__first"), F.count(F.lit(1)).alias("__copies")))
     wanted = shared_anchors(documents, rule).join(info.hint("shuffle_hash"), "__key")
-    contexts = (texts.join(wanted.hint("shuffle_hash"), "__key").filter("__doc = __first")
-                .mapInArrow(_context_rows(rule), "hash long, __key long, __doc long, at array<int>, context binary"))
+    # (The filter is not an equality, which would become a join key and give this join a shuffle of its own.)
+    contexts = (texts.join(wanted.hint("shuffle_hash"), "__key").filter("NOT (__doc > __first)")
+                .mapInArrow(frugal(_context_rows(rule)), "hash long, __key long, __doc long, at int, more array<int>, context binary"))
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spans = (contexts.repartition(n, "hash").sortWithinPartitions("hash")
-             .mapInArrow(_by_anchor(work), "__key long, span long"))
+             .mapInArrow(frugal(_by_anchor(work), CONTEXTS), "__key long, span long"))
     found = spans.groupBy("__key").agg(F.collect_list("span").alias("__spans"))
     both = info.join(found, "__key", "left")
     return texts.join(both.hint("shuffle_hash"), "__key")
 
 
+def times_more(more: pa.Array) -> np.ndarray:
+    """Lengths of lists, null as 0."""
+    return more.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+
+
 def mask_of(n: int, spans) -> np.ndarray:
     """Which of ``n`` units the spans cover."""
     edges = np.zeros(n + 1, np.int32)

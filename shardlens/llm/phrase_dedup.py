@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shardlens.llm import rolling
-from shardlens.llm.common import table
-from shardlens.llm.passages import Rule, marked, mask_of, runs, unpacked
+from shardlens.llm.common import frugal, table
+from shardlens.llm.passages import Rule, marked, mask_of, runs, times_more, unpacked
 
 LONG, GRAM = 35, 12
 RULE = Rule(words=True, window=LONG, gram=GRAM, within=True)
@@ -46,7 +46,7 @@ def locate(contexts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, and starts and ends in their contexts, of the words that recurring passages cover."""
     import ahocorasick
 
-    times = np.diff(contexts.column("at").combine_chunks().offsets.to_numpy())
+    times = 1 + times_more(contexts.column("more").combine_chunks())
     numbers: dict[bytes, int] = {}
     own = np.array([numbers.setdefault(c, len(numbers)) for c in contexts.column("context").to_pylist()], np.int64)
     distinct = list(numbers)
@@ -92,7 +92,7 @@ def remove_passages(documents: DataFrame) -> DataFrame:
             own = [pa.array(kept, pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *own], [*names, "kept", "n_words", "n_removed"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def op5_phrase_automata(spark, sf_dir):

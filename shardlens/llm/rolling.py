@@ -20,6 +20,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (quicker than ``np.unique`` on 64-bit hashes)."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
+
+
 def byte_units(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).astype(U64) + U64(1)
 

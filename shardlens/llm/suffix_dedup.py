@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shardlens.llm import rolling
-from shardlens.llm.common import table
+from shardlens.llm.common import frugal, table
 from shardlens.llm.passages import Rule, marked, mask_of, runs, unpacked
 
 LONG, GRAM = 50, 16
@@ -191,7 +191,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
                    pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *own], [*names, "kept", "n_bytes", "spans"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def op8_run_length_dedup(spark, sf_dir):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardlens.llm.common import kept, table
+from shardlens.llm.common import frugal, kept, table
 from shardlens.llm.components import components
 
 COSINE = 0.95
@@ -186,9 +186,9 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = kept(rows.filter("node IS NOT NULL").groupBy("node").agg(F.any_value("embedding").alias("embedding"), F.count("*").alias("weight")))
     bits, count = cuttings(classes.count())
     kind = classes.schema["embedding"].dataType.simpleString()
-    cells = (classes.select("node", "weight", "embedding").mapInArrow(_with_keys(bits, count), f"node long, weight long, embedding {kind}, keys array<long>")
+    cells = (classes.select("node", "weight", "embedding").mapInArrow(frugal(_with_keys(bits, count)), f"node long, weight long, embedding {kind}, keys array<long>")
              .select("*", F.posexplode("keys").alias("cutting", "key")))
-    sizes = (classes.select("node", "weight", "embedding").mapInArrow(_with_keys(bits, count), f"node long, weight long, embedding {kind}, keys array<long>")
+    sizes = (classes.select("node", "weight", "embedding").mapInArrow(frugal(_with_keys(bits, count)), f"node long, weight long, embedding {kind}, keys array<long>")
              .select(F.posexplode("keys").alias("cutting", "key")).groupBy("cutting", "key").count().filter(f"count > {SLICE}")
              .select("cutting", "key", F.ceil(F.col("count") / SLICE).cast("int").alias("slices")))
     cells = cells.join(sizes, ["cutting", "key"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
@@ -196,7 +196,7 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     cells = cells.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     low, high = F.least("slice", "with"), F.greatest("slice", "with")
     cells = cells.select(F.xxhash64("cutting", "key", low, high).alias("tile"), "node", "weight", "slice", low.alias("low"), high.alias("high"), "cutting", "keys", "embedding")
-    found = kept(cells.repartition(n_tasks, "tile").sortWithinPartitions("tile", "node").mapInArrow(_tiles(cosine), "node long, links long, other long"))
+    found = kept(cells.repartition(n_tasks, "tile").sortWithinPartitions("tile", "node").mapInArrow(frugal(_tiles(cosine)), "node long, links long, other long"))
 
     n_links = found.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.filter("other IS NOT NULL"), "node", "other")
