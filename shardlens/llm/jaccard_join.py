@@ -6,11 +6,13 @@ that a fixed-size count over all documents shows to be common come last, the res
 and n then share one of the first ``n - ceil(3n/4) + 1`` shingles of each (their prefixes), so a tile is what has
 one prefix shingle in common, sorted by size; only sizes within 3/4 of each other are compared.
 
-* First pass, over the first shingle of each prefix that another set has: near copies are found and joined at once.
-  A tile is streamed past a bounded number of leaders; this pass may miss links and only makes the next one cheap.
-* Second pass, over whole prefixes: in tiles that different components share, every pair of the size band is
-  bounded from above by hashed bitmaps: |A and B| <= |A| - bits of A that B lacks. What passes is settled by exact
-  intersection of the sorted arrays. No tile is cut short, so no link is lost.
+* A pair of a tile within the size band is a candidate unless the prefix that ends first has too many shingles that
+  no other text has (they can't be shared).
+* Candidates are bounded from above by hashed bitmaps, |A and B| <= |A| - bits of A that B lacks, and what passes is
+  settled by exact intersection of the sorted arrays.
+* A first pass tries for each text of a tile only the nearest and the farthest candidate in size; that joins groups of
+  near copies without all their pairs. The second pass tries every candidate pair between different components. No
+  tile is cut short, so no link that matters to the components is lost.
 
 Texts are keyed by a 64-bit hash, so equal texts are one; shingle hashes have 64 bits. Components come from links
 between texts, by rounds of joins. Defined results: null, empty and blank texts have an empty set and link with
@@ -20,6 +22,7 @@ component but never name it; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shardlens.llm import rolling
-from shardlens.llm.common import frugal, kept, table, text_or_empty, written
+from shardlens.llm.common import frugal, kept, table, text_or_empty
 from shardlens.llm.components import components
 from shardlens.llm.passages import LAST, keyed, unkeyed, unpacked
 
@@ -37,7 +40,6 @@ WORDS = 5
 #: Links need FEWEST/100 of the union; other thresholds are asked for by parameter of the functions.
 FEWEST = 75
 SKETCH_BITS = 18  # of the count of shingles by the top bits of their hash: a fixed size
-LEADERS = 64  # of a tile of the first pass
 
 
 def shingles(raw: bytes) -> np.ndarray:
@@ -60,6 +62,12 @@ def ordered(sorted_hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([sorted_hashes[~late], sorted_hashes[late]])
 
 
+def order_of_last(prefix: np.ndarray, common: np.ndarray) -> int:
+    """Where in the global order a prefix ends, as a number."""
+    late = bool(common[int(prefix[-1] >> np.uint64(64 - SKETCH_BITS))])
+    return int(prefix[-1] >> np.uint64(2)) | late << 62
+
+
 def bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
     """Hashed bitmap of ``bits`` (a power of two of at least 64) as words."""
     set_bits = np.zeros(bits, np.uint8)
@@ -131,40 +139,6 @@ def _common_buckets(sets: DataFrame) -> np.ndarray:
     return counts.ravel() > mean + 10 * np.sqrt(mean) + 10
 
 
-def _whole_sets(names: list[str]):
-    """Rows of the columns ``names`` with the set of the text as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(raw) for raw in unpacked(batch.column("__z"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array([s.tobytes() for s in sets], pa.binary())], [*names, "n", "items"])
-
-    return run
-
-
-def _leader_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the first pass, from rows (token, __key, n, items) sorted by token and size."""
-    token, leaders = None, []
-    for batch in batches:
-        found = []
-        for t, key, n, items in zip(*(batch.column(c).to_pylist() for c in ("token", "__key", "n", "items"))):
-            if t != token:
-                token, leaders = t, []
-            own = np.frombuffer(items, np.uint64)
-            bits = bitmap(own, bitmap_bits(n))
-            for other, m, theirs, their_bits in leaders:
-                if other == key:
-                    break
-                size = 64 * min(len(bits), len(their_bits))
-                if links(min(m, n), m, n) and links(most_shared(folded(bits, size), n, folded(their_bits, size), m), m, n) and links(overlap(own, theirs), m, n):
-                    found.append((key, other))
-                    break
-            else:
-                leaders = [x for x in leaders if links(x[1], x[1], n)][-LEADERS + 1:] + [(key, n, own, bits)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
-
-
 def _tokens(common: np.ndarray):
     packed = np.packbits(common)
 
@@ -175,7 +149,7 @@ def _tokens(common: np.ndarray):
             for key, text in zip(batch.column("__key").to_numpy(), batch.column("text")):
                 s = shingles(text.as_py().encode())
                 if len(s):
-                    tokens.append(ordered(s, late)[:prefix_length(len(s))])
+                    tokens.append(ordered(s, late)[:prefix_length(len(s))] >> np.uint64(16))
                     owners.append(np.full(len(tokens[-1]), key))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners))], ["token", "__key"])
@@ -183,59 +157,76 @@ def _tokens(common: np.ndarray):
     return run
 
 
-def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingles(raw) for raw in unpacked(batch.column("__z"))]
-        bits = pa.array([bitmap(s, bitmap_bits(len(s))).tobytes() for s in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array([len(s) for s in sets], pa.int64()), bits, batch.column("tokens")],
-                                         ["__key", "n", "bits", "tokens"])
+def _signs(common: np.ndarray):
+    """Per text (__key, __z, tokens) its set size, how many prefix shingles no other text has, and where its prefix ends."""
+    packed = np.packbits(common)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = np.unpackbits(packed).astype(bool)
+        for batch in batches:
+            sets = [shingles(raw) for raw in unpacked(batch.column("__z"))]
+            n = [len(s) for s in sets]
+            alone = np.array([prefix_length(x) for x in n]) - batch.column("tokens").value_lengths().to_numpy()
+            ends = [order_of_last(ordered(s, late)[:prefix_length(len(s))], late) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(n, pa.int64()), pa.array(alone, pa.int64()), pa.array(ends, pa.int64()),
+                                              batch.column("tokens")], ["__key", "n", "alone", "ends", "tokens"])
 
-def _band_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components whose bitmaps allow a link, from rows (token, root, __key, n, bits) sorted by
-    token and size. Held: the rows of the token that are at least 3/4 of the current size, by bitmap length."""
-    token, band = None, {}
-    for batch in batches:
-        a, b = [], []
-        for t, root, key, n, raw in zip(*(batch.column(c).to_pylist() for c in ("token", "root", "__key", "n", "bits"))):
-            if t != token:
-                token, band = t, {}
-            own = np.frombuffer(raw, np.uint64)
-            for size in list(band):
-                block = band[size]
-                if not links(int(block.n[block.used - 1]), int(block.n[block.used - 1]), n):
-                    del band[size]
-                    continue
-                first = int(np.searchsorted(100 * block.n[:block.used], FEWEST * n))
-                other = block.root[first:block.used] != root
-                if other.any():
-                    place = first + np.flatnonzero(other)
-                    most = most_shared(folded(own, 64 * size), n, block.bits[place], block.n[place])
-                    hit = place[links(most, n, block.n[place])]
-                    a += [key] * len(hit)
-                    b += block.key[hit].tolist()
-            band.setdefault(len(own), _Block(len(own))).add(root, key, n, own)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-class _Block:
-    """Rows of one tile with bitmaps of one length, in growing arrays."""
-
-    def __init__(self, words: int):
-        self.used, self.root, self.key, self.n = 0, *(np.zeros(8, np.int64) for _ in range(3))
-        self.bits = np.zeros((8, words), np.uint64)
-
-    def add(self, root: int, key: int, n: int, bits: np.ndarray) -> None:
-        if self.used == len(self.n):
-            self.root, self.key, self.n, self.bits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.root, self.key, self.n, self.bits))
-        self.root[self.used], self.key[self.used], self.n[self.used], self.bits[self.used] = root, key, n, bits
+    return run
+
+
+class _Band:
+    """Rows of one tile (root, __key, n, alone, ends), in growing columns sorted by n."""
+
+    def __init__(self):
+        self.used, self.rows = 0, np.zeros((5, 8), np.int64)
+
+    def add(self, row: tuple) -> None:
+        if self.used == self.rows.shape[1]:
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)], axis=1)
+        self.rows[:, self.used] = row
         self.used += 1
 
+    def partners(self, row: tuple) -> np.ndarray:
+        """Keys of earlier (smaller) texts of other components that may link with ``row``: sizes allow it, and the
+        one whose prefix ends first has not too many shingles that no other text has."""
+        root, _, n, alone, ends = row
+        first = int(np.searchsorted(100 * self.rows[2, :self.used], FEWEST * n))
+        roots, keys, m, theirs, their_ends = self.rows[:, first:self.used]
+        most = np.where(ends < their_ends, n - alone, np.where(their_ends < ends, m - theirs, np.minimum(m, n)))
+        return keys[(roots != root) & links(np.minimum(most, np.minimum(m, n)), m, n)]
+
+
+def _band_pairs(every: bool):
+    """Pairs of texts that may link, from rows (token, root, __key, n, alone, ends) sorted by token and size: every
+    pair of a tile, or for each text only the nearest and the farthest in size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, band = None, _Band()
+        for batch in batches:
+            a, b = [], []
+            for t, *row in zip(*(batch.column(c).to_pylist() for c in ("token", "root", "__key", "n", "alone", "ends"))):
+                if t != token:
+                    token, band = t, _Band()
+                if band.used:
+                    hit = band.partners(row)
+                    hit = hit if every or len(hit) < 3 else hit[[0, -1]]
+                    a += [row[1]] * len(hit)
+                    b += hit.tolist()
+                band.add(row)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, __z, others) the pairs whose sets link: bitmaps bound the overlap, then arrays settle it."""
     for batch in batches:
-        left, right = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("items", "others"))
-        yield batch.filter(pa.array([bool(links(overlap(x, y), len(x), len(y))) for x, y in zip(left, right)], pa.bool_())).select(["a", "b"])
+        keep = []
+        for x, y in zip(map(shingles, unpacked(batch.column("__z"))), map(shingles, unpacked(batch.column("others")))):
+            size = min(bitmap_bits(len(x)), bitmap_bits(len(y)))
+            most = most_shared(bitmap(x, size), len(x), bitmap(y, size), len(y))
+            keep.append(bool(links(most, len(x), len(y)) and links(overlap(x, y), len(x), len(y))))
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
 def with_components(documents: DataFrame) -> DataFrame:
@@ -247,37 +238,38 @@ def with_components(documents: DataFrame) -> DataFrame:
     rows = sets.filter("counts IS NULL").select("doc_id", "__key", "n")
     tile = W.partitionBy("token")
 
-    # Prefix shingles that more than one text has, with the texts that have them: all that can link.
-    prefix = plain.select("__key", "text").mapInArrow(frugal(_tokens(_common_buckets(sets))), "token long, __key long")
+    # Prefix shingles that more than one text has, with the texts that have them: all that can link. The texts are
+    # kept in buckets of their key, so that the joins below do not shuffle them again.
+    common = _common_buckets(sets)
+    prefix = plain.select("__key", "text").mapInArrow(frugal(_tokens(common)), "token long, __key long")
     shared = (prefix.withColumn("many", F.min("__key").over(tile) != F.max("__key").over(tile)).filter("many")
-              .groupBy("__key").agg(F.sort_array(F.collect_set("token")).alias("tokens")))
+              .groupBy("__key").agg(F.collect_list("token").alias("tokens")))
     first = rows.groupBy("__key").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("__first"))
     wanted = shared.join(first.hint("shuffle_hash"), "__key")
-    texts = written(keyed(documents.select("doc_id", "text")).join(wanted.hint("shuffle_hash"), "__key")
-                    .filter("__doc = __first").select("__key", "__z", "tokens"), "jaccard-texts")
-
-    # First pass.
-    tiles = (texts.select(F.col("tokens")[0].alias("token"), "__key", "__z")
-             .mapInArrow(frugal(_whole_sets(["token", "__key"])), "token long, __key long, n long, items binary"))
-    near = kept(tiles.repartition(n_tasks, "token").sortWithinPartitions("token", "n", "__key")
-                .mapInArrow(frugal(_leader_links), "a long, b long").distinct())
-    roots = components(near)
-
-    # Second pass. Roots go to the texts' rows, so that their shingles carry them.
-    signs = kept(texts.mapInArrow(frugal(_bitmaps), "__key long, n long, bits binary, tokens array<long>")
-                 .join(roots.select(F.col("node").alias("__key"), "root"), "__key", "left").withColumn("root", F.coalesce("root", "__key")))
-    several = (signs.select("__key", "root", F.explode("tokens").alias("token"))
-               .withColumn("many", F.min("root").over(tile) != F.max("root").over(tile)).filter("many").select("token", "__key"))
-    pairs = kept(several.join(signs.select("__key", "root", "n", "bits").hint("shuffle_hash"), "__key").select("token", "root", "__key", "n", "bits")
-                 .repartition(n_tasks, "token").sortWithinPartitions("token", "n", "__key")
-                 .mapInArrow(frugal(_band_pairs), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("__key")).distinct()
-    items = (texts.join(asked, "__key").select("__key", "__z")
-             .mapInArrow(frugal(_whole_sets(["__key"])), "__key long, n long, items binary").select("__key", "items"))
-    settled = (pairs.join(items.withColumnRenamed("__key", "a"), "a")
-               .join(items.select(F.col("__key").alias("b"), F.col("items").alias("others")), "b")
-               .select("a", "b", "items", "others").mapInArrow(frugal(_exact), "a long, b long"))
-    roots = components(near.union(settled)).select(F.col("node").alias("__key"), "root")
+    bucketed = f"jaccard_texts_{uuid.uuid4().hex[:12]}"
+    (keyed(documents.select("doc_id", "text")).join(wanted.hint("shuffle_hash"), "__key").filter("NOT (__doc > __first)")
+     .select("__key", "__z", "tokens").write.bucketBy(n_tasks, "__key").format("parquet").saveAsTable(bucketed))
+    texts = documents.sparkSession.table(bucketed)
+    signs = kept(texts.mapInArrow(frugal(_signs(common)), "__key long, n long, alone long, ends long, tokens array<long>"))
+
+    def candidates(roots: DataFrame, every: bool) -> DataFrame:
+        rows = (signs.join(roots, "__key", "left").select(F.coalesce("root", "__key").alias("root"), "__key", "n", "alone", "ends", F.explode("tokens").alias("token"))
+                .repartition(n_tasks, "token").sortWithinPartitions("token", "n", "__key"))
+        return (rows.mapInArrow(frugal(_band_pairs(every)), "a long, b long")
+                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return (pairs.join(texts.select(F.col("__key").alias("b"), F.col("__z").alias("others")), "b")
+                .join(texts.select(F.col("__key").alias("a"), "__z"), "a")
+                .select("a", "b", "__z", "others").mapInArrow(frugal(_linked), "a long, b long"))
+
+    nobody = signs.select("__key", F.col("__key").alias("root")).limit(0)
+    tried = kept(candidates(nobody, every=False))
+    near = kept(linked(tried))
+    roots = components(near).select(F.col("node").alias("__key"), "root")
+    rest = kept(linked(candidates(roots, every=True).join(tried, ["a", "b"], "left_anti")))
+    roots = components(near.union(rest)).select(F.col("node").alias("__key"), "root")
+    documents.sparkSession.sql(f"DROP TABLE {bucketed}")
 
     named = rows.join(roots, "__key", "left").withColumn("root", F.coalesce("root", "__key"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
