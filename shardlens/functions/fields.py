@@ -30,23 +30,18 @@ def text_aliases(which: str | Sequence[str]) -> list[str]:
     return list(which)
 
 
-def resolve(columns: Sequence[str], aliases: Sequence[str]) -> str | None:
-    """First alias (in list order) naming a column, ignoring case.
+def _by_name(columns: Sequence[str]) -> dict[str, str]:
+    """Columns by lower-cased name; of two that differ only by case the later one is meant."""
+    return {c.lower(): c for c in columns}
+
 
-    When two columns differ only by case the later one wins, as a dict keyed by the
-    lower-cased name would keep it.
-    """
-    by_lower: dict[str, str] = {}
-    for c in columns:
-        by_lower[c.lower()] = c
-    for a in aliases:
-        hit = by_lower.get(a.lower())
-        if hit is not None:
-            return hit
-    return None
+def resolve(columns: Sequence[str], aliases: Sequence[str]) -> str | None:
+    """First alias (in list order) naming a column, ignoring case."""
+    index = _by_name(columns)
+    return next((index[a.lower()] for a in aliases if a.lower() in index), None)
 
 
 def token_column(columns: Sequence[str]) -> str | None:
-    """Token column as the summary detects it: the first column whose name is a token alias."""
-    names = {a.lower() for a in TOKEN_ALIASES}
-    return next((c for c in columns if c.lower() in names), None)
+    """Token column of a summary: of the columns that token aliases name, the one that stands first."""
+    index = _by_name(columns)
+    return min((index[a] for a in TOKEN_ALIASES if a in index), key=list(columns).index, default=None)

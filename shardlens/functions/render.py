@@ -18,6 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .mixed import Ragged, mixed_text
+
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATING = (T.FloatType, T.DoubleType)
 
@@ -66,8 +68,7 @@ def py_float_repr(c: Column) -> Column:
 def py_str(c: Column, dt: T.DataType) -> Column:
     """``str(value)``; null stays null (callers decide between ``''`` and ``'None'``)."""
     if isinstance(dt, T.VariantType):
-        from .variant import str_variant
-        return F.when(c.isNotNull(), str_variant(c))
+        return mixed_text(c, dt, py_repr, "None")
     if isinstance(dt, T.StringType):
         return c
     if isinstance(dt, T.BooleanType):
@@ -109,6 +110,8 @@ def py_repr(c: Column, dt: T.DataType) -> Column:
         out = F.concat(_lit("["), F.array_join(inner, ", "), _lit("]"))
     elif isinstance(dt, T.StructType):
         parts = [F.concat(_lit(repr(f.name) + ": "), py_repr(c[f.name], f.dataType)) for f in dt.fields]
+        if isinstance(dt, Ragged):
+            parts = [F.when(c[f.name].isNotNull(), part) for f, part in zip(dt.fields, parts)]
         out = F.concat(_lit("{"), F.concat_ws(", ", *parts), _lit("}")) if parts else _lit("{}")
     elif isinstance(dt, T.MapType):
         inner = F.transform(F.map_entries(c), lambda e: F.concat(
@@ -142,7 +145,11 @@ def py_json(c: Column, dt: T.DataType, indent: int | None = None, level: int = 0
         pad_in = "\n" + " " * (indent * (level + 1))
         pad_out = "\n" + " " * (indent * level)
         item_sep, key_sep, open_pad, close_pad = "," + pad_in, ": ", pad_in, pad_out
-    if isinstance(dt, T.StringType):
+    if isinstance(dt, T.VariantType):
+        inner = mixed_text(c, dt, lambda x, t: py_json(x, t, indent, level), "null")
+        plain = F.schema_of_variant(c).isin("STRING", "BOOLEAN")  # Spark writes these two as Python does
+        out = F.when(plain, F.when(F.schema_of_variant(c) == "STRING", _json_string(F.try_variant_get(c, "$", "string"))).otherwise(F.to_json(c))).otherwise(inner)
+    elif isinstance(dt, T.StringType):
         out = _json_string(c)
     elif isinstance(dt, T.BooleanType):
         out = F.when(c, _lit("true")).otherwise(_lit("false"))
@@ -166,7 +173,10 @@ def py_json(c: Column, dt: T.DataType, indent: int | None = None, level: int = 0
         else:
             parts = [F.concat(_json_string(_lit(f.name)), _lit(key_sep), py_json(c[f.name], f.dataType, indent, level + 1))
                      for f in dt.fields]
-            out = F.concat(_lit("{" + open_pad), F.concat_ws(item_sep, *parts), _lit(close_pad + "}"))
+            if isinstance(dt, Ragged):  # ``concat_ws`` passes over null parts
+                parts = [F.when(c[f.name].isNotNull(), part) for f, part in zip(dt.fields, parts)]
+            body = F.concat_ws(item_sep, *parts)
+            out = F.when(body == "", _lit("{}")).otherwise(F.concat(_lit("{" + open_pad), body, _lit(close_pad + "}")))
     else:
         # Dates, timestamps, decimals, binary: Python's encoder rejects them; keep their text.
         out = _json_string(py_str(c, dt))
@@ -221,34 +231,38 @@ def _dict_rule(c: Column, dt: T.StructType) -> Column:
     ``content`` (else ``value``); otherwise the dict as indented JSON."""
     as_json = py_json(c, dt, indent=2)
     role = _first_truthy(c, dt, ["role", "from"])
-    key = "content" if _field(dt, "content") is not None else ("value" if _field(dt, "value") is not None else None)
-    if role is None or key is None:
+    text = _first_body(c, dt, ["content", "value"])
+    if role is None or text is None:
         return as_json
-    content = c[key]
-    ctype = _field(dt, key).dataType
-    return F.when(role.isNotNull() & content.isNotNull(),
-                  F.concat(role, _lit(": "), render(content, ctype))).otherwise(as_json)
+    return F.when(role.isNotNull() & text.isNotNull(), F.concat(role, _lit(": "), text)).otherwise(as_json)
+
+
+def _first_body(c: Column, dt: T.StructType, names: list[str]) -> Column | None:
+    """Text of the first of the fields that the object has; null if that field is null. In a ragged object a null
+    field is an absent one."""
+    found = [f for n in names if (f := _field(dt, n)) is not None]
+    texts = [F.when(c[f.name].isNotNull(), render(c[f.name], f.dataType)) for f in found]
+    if not texts:
+        return None
+    return F.coalesce(*texts) if isinstance(dt, Ragged) else texts[0]
 
 
 def _list_item(m: Column, dt: T.DataType) -> Column:
+    if isinstance(dt, T.VariantType):
+        return F.coalesce(mixed_text(m, dt, lambda x, t: _list_item(x, t) if isinstance(t, T.StructType) else py_str(x, t), "None"), _lit("None"))
     if not isinstance(dt, T.StructType):
         return F.coalesce(py_str(m, dt), _lit("None"))
     role = _first_truthy(m, dt, ["from", "role", "speaker"])
     role = F.coalesce(role, _lit("message")) if role is not None else _lit("message")
-    key = "value" if _field(dt, "value") is not None else ("content" if _field(dt, "content") is not None else None)
-    if key is None:
-        body = _dict_rule(m, dt)
-    else:
-        ctype = _field(dt, key).dataType
-        body = F.when(m[key].isNotNull(), render(m[key], ctype)).otherwise(_dict_rule(m, dt))
+    text = _first_body(m, dt, ["value", "content"])
+    body = _dict_rule(m, dt) if text is None else F.coalesce(text, _dict_rule(m, dt))
     return F.when(m.isNull(), _lit("None")).otherwise(F.concat(role, _lit(": "), body))
 
 
 def render(c: Column, dt: T.DataType) -> Column:
     """Conversation rendering; never null (null renders as ``''``)."""
     if isinstance(dt, T.VariantType):
-        from .variant import render_variant
-        return render_variant(c)
+        return F.coalesce(mixed_text(c, dt, render, ""), _lit(""))
     if isinstance(dt, T.StringType):
         return F.coalesce(c, _lit(""))
     if isinstance(dt, T.ArrayType):
@@ -271,8 +285,7 @@ def is_container(dt: T.DataType) -> bool:
 def value_text(c: Column, dt: T.DataType, null_text: str | None = "None") -> Column:
     """Text a search sees for one value: lists/dicts rendered, scalars ``str``-ed."""
     if isinstance(dt, T.VariantType):
-        from .variant import variant_value_text
-        body = variant_value_text(c)
+        body = mixed_text(c, dt, render, "None")
     else:
         body = render(c, dt) if is_container(dt) else py_str(c, dt)
     if null_text is None:
@@ -283,8 +296,6 @@ def value_text(c: Column, dt: T.DataType, null_text: str | None = "None") -> Col
 def preview_source(c: Column, dt: T.DataType) -> Column:
     """What a preview starts from: lists/dicts as JSON, scalars as ``str``, null as ''."""
     if isinstance(dt, T.VariantType):
-        js = F.to_json(c)
-        body = F.when(js.startswith("{") | js.startswith("["), js).otherwise(py_str(c, dt))
-        return F.when(c.isNull(), _lit("")).otherwise(body)
+        return F.when(c.isNull(), _lit("")).otherwise(mixed_text(c, dt, py_json, "None"))
     body = py_json(c, dt) if is_container(dt) else py_str(c, dt)
     return F.when(c.isNull(), _lit("")).otherwise(body)

@@ -67,8 +67,8 @@ def facts(ds: Dataset, aliases: str | Sequence[str] = "report", sample_rows: int
     return step.select(
         *kept, "has_text", "s", "ntok",
         F.length("s").cast("long").alias("tlen"),
-        # 128-bit digest of the stripped text: the duplicate key that is shuffled.
-        F.when(key != "", F.unhex(F.md5(key))).alias("dupkey"),
+        # SHA-256 of the stripped text: the duplicate key that is shuffled.
+        F.when(key != "", F.unhex(F.sha2(key, 256))).alias("dupkey"),
         (key == "").alias("empty_text"),
         has_no_markers(F.col("s"), F.col("__up")).alias("no_markers"),
     )
@@ -200,9 +200,8 @@ def analytics_report(ds: Dataset, seq_len: int = DEFAULT_SEQ_LEN, aliases: str |
 
     Plan: facts → ``posexplode_outer`` of the role markers (one row per marker, the
     other facts kept on the first) → ``GROUPING SETS ((), (len), (tokens),
-    (digest), (role))`` with partial aggregation → one window partitioned by
-    (set, digest) for the running sums the medians need (digest rows each sit
-    alone, the histograms are small) → one final aggregate.
+    (digest), (role))`` with partial aggregation → digests counted again by how often they occur → one window
+    partitioned by set for the running sums the medians need (histograms only) → one final aggregate.
     """
     f = facts(ds, aliases, sample_rows)
     e = f.select(
@@ -225,12 +224,16 @@ def analytics_report(ds: Dataset, seq_len: int = DEFAULT_SEQ_LEN, aliases: str |
     keep = ((gid == _GID["all"]) | ((gid == _GID["text"]) & F.col("tv").isNotNull())
             | ((gid == _GID["tok"]) & F.col("ntok").isNotNull()) | ((gid == _GID["dup"]) & F.col("dk").isNotNull())
             | ((gid == _GID["role"]) & F.col("role").isNotNull()))
+    # Digest rows become a histogram of how often texts occur (v: copies, c: texts), so that what the windows see
+    # does not grow with the number of texts.
+    dup = gid == _GID["dup"]
     g = agg.where(keep).select(
-        "gid", "dk", "role",
-        F.coalesce("tv", "ntok").alias("v"),
-        F.when(gid == _GID["role"], F.col("n")).otherwise(F.col("nf")).alias("c"),
+        "gid", "role",
+        F.when(dup, F.col("nf")).otherwise(F.coalesce("tv", "ntok")).alias("v"),
+        F.when(dup, F.lit(1)).when(gid == _GID["role"], F.col("n")).otherwise(F.col("nf")).alias("c"),
     )
-    part = Window.partitionBy("gid", "dk")
+    g = g.groupBy("gid", "role", "v").agg(F.sum("c").alias("c"))
+    part = Window.partitionBy("gid")
     g = g.withColumn("cum", F.sum("c").over(part.orderBy("v").rowsBetween(Window.unboundedPreceding,
                                                                              Window.currentRow)))
     g = g.withColumn("tot", F.sum("c").over(part))
@@ -258,7 +261,7 @@ def analytics_report(ds: Dataset, seq_len: int = DEFAULT_SEQ_LEN, aliases: str |
     tok = stats(_GID["tok"], "token")
     report = g.agg(
         F.coalesce(F.max(F.when(gid == _GID["all"], F.col("c"))), F.lit(0)).cast("long").alias("sample_size"),
-        F.coalesce(F.sum(F.when(gid == _GID["dup"], F.col("c") - 1)), F.lit(0)).cast("long").alias("duplicate_texts"),
+        F.coalesce(F.sum(F.when(gid == _GID["dup"], (F.col("v") - 1) * F.col("c"))), F.lit(0)).cast("long").alias("duplicate_texts"),
         *tok,
         F.when(F.max(F.when(gid == _GID["tok"], F.col("tot"))).isNotNull(),
                F.coalesce(F.sum(F.when((gid == _GID["tok"]) & (F.col("v") == seq_len), F.col("c"))), F.lit(0)))
@@ -278,12 +281,9 @@ def analytics_report(ds: Dataset, seq_len: int = DEFAULT_SEQ_LEN, aliases: str |
 
 # ---------------------------------------------------------------------- summary
 
-DASHBOARD_SAMPLE = 100
-
-
-def dashboard(ds: Dataset, sample_rows: int | None = DASHBOARD_SAMPLE) -> DataFrame:
-    """The dashboard card (A1, A2, A4): totals plus token and text statistics over
-    the first ``sample_rows`` rows (``None``: all rows), dashboard alias list."""
+def dashboard(ds: Dataset, sample_rows: int | None = None) -> DataFrame:
+    """The dashboard card (A1, A2, A4): totals plus token and text statistics over all rows (or the first
+    ``sample_rows``), dashboard alias list."""
     r = analytics_report(ds, aliases="dashboard", sample_rows=sample_rows)
     return r.select("rows", "files", "bytes", "columns", "sample_size", "token_avg", "token_median", "token_min",
                     "token_max", "text_avg", "text_median")

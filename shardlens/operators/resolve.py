@@ -40,6 +40,3 @@ def resolve_apply(ds: Dataset, aliases: Sequence[str], fn: Callable[[Column, T.D
         out = F.when(cond, branch) if out is None else out.when(cond, branch)
     return missing if out is None else out.otherwise(missing)
 
-
-def resolved_name(ds: Dataset, aliases: Sequence[str]) -> str | None:
-    return resolve(ds.columns, aliases)

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from ..sources import files as FS
-from ..sources.dataset import MAX_BROADCAST_RANGES, Dataset
+from ..sources.dataset import Dataset
 
 
 def file_manifest(ds: Dataset) -> DataFrame:
@@ -19,8 +20,6 @@ def file_manifest(ds: Dataset) -> DataFrame:
     scan reads no column (footers only). The listing keeps files without rows.
     """
     counts = ds.ranges().groupBy(F.col("__path").alias("path")).agg(F.sum("rows").cast("long").alias("rows"))
-    n_files, _ = ds.file_stats()
-    counts = F.broadcast(counts) if n_files <= MAX_BROADCAST_RANGES else counts
     return (ds.listing.join(counts, "path", "left")
             .select("path", "name", F.col("bytes").cast("long").alias("bytes"),
                     F.coalesce("rows", F.lit(0)).cast("long").alias("rows")))
@@ -50,6 +49,7 @@ def shard_schemas(spark: SparkSession, source: str) -> DataFrame:
     Runs before the data is read, since Spark's own scan fails on the first shard
     whose column type differs.
     """
+    ship_package(spark)
     listing = FS.list_files(spark, source, "*.parquet").select("path")
     return listing.mapInPandas(_footer_schemas, "path string, ordinal int, column string, type string")
 
@@ -61,7 +61,8 @@ def schema_drift(spark: SparkSession, source: str) -> DataFrame:
     """
     per_file = shard_schemas(spark, source)
     n_files = FS.list_files(spark, source, "*.parquet").count()
-    tagged = per_file.withColumn("__files", F.lit(n_files)).where(F.col("column") != "")
+    # A file whose footer can't be read is a finding too: it shows under the empty name, never as consistent.
+    tagged = per_file.withColumn("__files", F.lit(n_files))
     grouped = tagged.groupBy("column").agg(
         F.count_distinct("type").cast("long").alias("n_types"),
         F.array_join(F.array_sort(F.collect_set("type")), ", ").alias("types"),
@@ -71,7 +72,7 @@ def schema_drift(spark: SparkSession, source: str) -> DataFrame:
     )
     return grouped.select(
         "column", "n_types", "types", "files",
-        ((F.col("n_types") == 1) & (F.col("files") == F.col("all_files"))).alias("consistent"),
+        ((F.col("column") != "") & (F.col("n_types") == 1) & (F.col("files") == F.col("all_files"))).alias("consistent"),
     ).orderBy("ordinal", "column")
 
 

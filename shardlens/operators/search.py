@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.render import value_text
-from ..sources.dataset import MAX_BROADCAST_RANGES, Dataset, clamp_page
+from ..sources.dataset import Dataset, clamp_page
 from ..sources.readers import KEYS_COL
 from .paging import BUCKET_ROWS, Pager, number_rows
 
@@ -38,8 +38,7 @@ def row_search_text(ds: Dataset, match_names: bool = False, match_nulls: bool =
     null_text = "None" if match_nulls else None
     if ds.has_presence:
         # (position of the key in this row, key, text) per column, sorted by position;
-        # absent keys (position 0) dropped. Texts are built outside any lambda (a
-        # VARIANT column's text comes from an Arrow UDF, which cannot run in one).
+        # absent keys (position 0) dropped. Texts are built outside any lambda.
         items = F.array(*[F.struct(F.array_position(F.col(KEYS_COL), F.lit(name)).alias("p"), F.lit(name).alias("k"),
                                    value_text(F.col(f"`{name}`"), schema[name], null_text).alias("t"))
                           for name in ds.columns])
@@ -80,13 +79,19 @@ def search(ds: Dataset, query: str, column: str = ALL_COLUMNS, max_results: int
     """Matching rows with their ``__row_no`` (F1, F2); with ``max_results`` only the
     first matches in row order, numbered in ``__match_no`` (F3).
 
-    The cap is exact and distributed: no top-k of whole rows is merged in one task
-    (see ``_numbered_matches``).
+    The cap is exact and distributed, and the search ends early: rows are counted from the first on, in ranges that
+    double, until enough match. Only the files of the ranges passed are read, and no top-k of whole rows is merged
+    in one task.
     """
     cond = match_condition(ds, query, column, match_names, match_nulls)
     if max_results is None:
         return ds.positioned().where(cond)
-    return _numbered_matches(ds, cond, lambda total: (1, min(max_results, total)))
+    found, done, step, total = 0, 0, max(1024, BUCKET_ROWS // 16), ds.count()
+    while found < max_results and done < total:
+        found += ds.rows_between(done + 1, done + step).where(cond).count()
+        done, step = done + step, 2 * step
+    hits = ds.rows_between(1, min(done, total)).where(cond)
+    return number_rows(hits, "__row_no", "__match_no").where(F.col("__match_no") <= max_results)
 
 
 def search_stats(ds: Dataset, query: str, column: str = ALL_COLUMNS, match_names: bool = False,
@@ -132,9 +137,8 @@ def _numbered_matches(ds: Dataset, cond: Column, bounds) -> DataFrame:
     if not keep or last < first:
         return ds.positioned().where(F.lit(False)).withColumn("__match_no", F.lit(None).cast("long"))
     lo_row, hi_row = keep[0][0] * BUCKET_ROWS + 1, (keep[-1][0] + 1) * BUCKET_ROWS
-    sub = ds.rows_between(lo_row, hi_row).where(cond).withColumn("__bucket", bucket)
+    sub = ds.rows_between(lo_row, hi_row).withColumn("__bucket", bucket).where(F.col("__bucket").isin([b for b, _ in keep]) & cond)
     offsets = ds.spark.createDataFrame(keep, "__bucket long, __off long")
-    offsets = F.broadcast(offsets) if len(keep) <= MAX_BROADCAST_RANGES else offsets
     rank = F.row_number().over(Window.partitionBy("__bucket").orderBy("__row_no"))
     out = sub.join(offsets, "__bucket").withColumn("__match_no", (F.col("__off") + rank).cast("long"))
     return out.where(F.col("__match_no").between(first, last)).drop("__bucket", "__off")
@@ -162,8 +166,7 @@ class SearchResults:
             from ..session import work_dir
 
             hits = search(self.ds, *self._args)
-            numbered = hits if "__match_no" in hits.columns else number_rows(
-                hits, "__row_no", "__match_no", max_order=self.ds.count())
+            numbered = hits if "__match_no" in hits.columns else number_rows(hits, "__row_no", "__match_no")
             work_dir(self.ds.spark)
             self._hits = numbered.checkpoint(eager=True)
         return self._hits

@@ -302,13 +302,40 @@ def q_quality_scan_head(spark, sf):
 
 
 def q_dashboard(spark, sf):
-    r = profile.dashboard(X.token_documents(spark, sf), sample_rows=profile.DASHBOARD_SAMPLE)
+    r = profile.dashboard(X.token_documents(spark, sf))
     return r.select("rows", "columns", "sample_size", _r6("token_avg"), "token_median", "token_min", "token_max",
                     _r6("text_avg"), "text_median")
 
 
+def q_row_numbers_jsonl(spark, sf):
+    """Positions over JSON Lines exported as several files: every row once, numbered in export order."""
+    ds = open_dataset(spark, X.export_documents(spark, sf, "jsonl"), kind="jsonl")
+    return ds.positioned().select(F.col("__row_no").alias("row_no"), "doc_id")
+
+
+def q_browse_jsonl_page(spark, sf):
+    ds = open_dataset(spark, X.export_documents(spark, sf, "jsonl"), kind="jsonl")
+    return ds.page(4, PAGE_SIZE_TEXT).select(F.col("__row_no").alias("row_no"), "doc_id", "text")
+
+
+def q_browse_csv_page(spark, sf):
+    ds = open_dataset(spark, X.export_documents(spark, sf, "csv"), strict=False)
+    return ds.page(4, PAGE_SIZE_TEXT).select(F.col("__row_no").alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def q_shard_names(spark, sf):
+    """The shard name shown for every row: the name of the file that holds it, one per folder of the fixture."""
+    ds = X.shards(spark, sf)
+    rows = ds.positioned().select("doc_id", "__row_no", "__shard", "__path")
+    named = F.col("__shard") == F.element_at(F.split("__path", "/"), -1)
+    folder = F.regexp_extract("__path", r"shard=(\d+)", 1).cast("long")
+    return rows.select("doc_id", F.col("__row_no").alias("row_no"), folder.alias("folder"), named.alias("named"))
+
+
 # ---------------------------------------------------------------------- registry
 
+PAGE_SIZE_TEXT = 37
+
 QUERIES: dict[str, QueryFn] = {
     "quality_scan": q_quality_scan,
     "quality_report": q_quality_report,
@@ -359,6 +386,10 @@ QUERIES: dict[str, QueryFn] = {
     "inspect_order": q_inspect_order,
     "quality_scan_head": q_quality_scan_head,
     "dashboard": q_dashboard,
+    "row_numbers_jsonl": q_row_numbers_jsonl,
+    "browse_jsonl_page": q_browse_jsonl_page,
+    "browse_csv_page": q_browse_csv_page,
+    "shard_names": q_shard_names,
 }
 
 
@@ -561,8 +592,7 @@ ORACLES["quality_scan_head"] = _quality_sql(
     f"SELECT text AS s FROM ({S.NUMBERED_DOCS}) WHERE row_no <= {REFERENCE_SAMPLE}", None, 1024)
 
 ORACLES["dashboard"] = f"""
-WITH d AS (SELECT text, len({S.TOKENS}) AS ntok FROM ({S.NUMBERED_DOCS})
-           WHERE row_no <= {profile.DASHBOARD_SAMPLE})
+WITH d AS (SELECT text, len({S.TOKENS}) AS ntok FROM documents)
 SELECT (SELECT count(*) FROM documents)::BIGINT AS rows, 'doc_id, text, lang, source, n_chars, tokens' AS columns,
        count(*)::BIGINT AS sample_size, round(avg(ntok), 6) AS token_avg, median(ntok)::DOUBLE AS token_median,
        min(ntok)::BIGINT AS token_min, max(ntok)::BIGINT AS token_max,
@@ -570,5 +600,16 @@ SELECT (SELECT count(*) FROM documents)::BIGINT AS rows, 'doc_id, text, lang, so
        (median(length(text)) FILTER (WHERE text IS NOT NULL))::DOUBLE AS text_median
 FROM d"""
 
+ORACLES["row_numbers_jsonl"] = f"SELECT row_no::BIGINT AS row_no, doc_id FROM ({S.NUMBERED_DOCS})"
+
+for _page in ("browse_jsonl_page", "browse_csv_page"):
+    ORACLES[_page] = f"""
+SELECT row_no::BIGINT AS row_no, doc_id, text FROM ({S.NUMBERED_DOCS})
+WHERE row_no BETWEEN {4 * PAGE_SIZE_TEXT + 1} AND {5 * PAGE_SIZE_TEXT}"""
+
+ORACLES["shard_names"] = f"""
+SELECT doc_id, row_no::BIGINT AS row_no, ((row_no - 1) // {X.ROWS_PER_SHARD})::BIGINT AS folder, true AS named
+FROM ({S.NUMBERED_DOCS})"""
+
 # Results that depend on names or sizes Spark picks for written files: rows-only check.
 NO_ORACLE = {"file_manifest"}

@@ -6,6 +6,7 @@ one. ``get_spark`` is a convenience for scripts and tests.
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -24,12 +25,13 @@ def get_spark(master: str | None = None, app: str = "shardlens", shuffle_partiti
     builder = SparkSession.builder
     if master:
         builder = builder.master(master)
+    if (master or _configured_master() or "local").startswith("local"):
+        # Only here: executors on other hosts must reach the driver under its own address.
+        builder = builder.config("spark.driver.host", "127.0.0.1").config("spark.driver.bindAddress", "127.0.0.1")
     builder = (
         builder
         .appName(app)
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.host", "127.0.0.1")
-        .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -43,13 +45,14 @@ def get_spark(master: str | None = None, app: str = "shardlens", shuffle_partiti
     return spark
 
 
-def _configured_master() -> bool:
-    try:
-        from pyspark import SparkConf
+def _configured_master() -> str | None:
+    """The master the launcher set, if any."""
+    from pyspark import SparkConf
 
-        return SparkConf().contains("spark.master")
-    except Exception:
-        return False
+    try:
+        return SparkConf().get("spark.master")
+    except Exception:  # no JVM can be started from here; the builder will say so
+        return None
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -71,6 +74,7 @@ def work_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir is not set: name a folder on shared storage (executors "
                                "must read what other executors wrote there).")
         current = tempfile.mkdtemp(prefix="shardlens-")
+        atexit.register(shutil.rmtree, current, ignore_errors=True)  # scratch tables go with the session
         if sc is not None:
             sc.setCheckpointDir(current)
             current = sc.getCheckpointDir() or current

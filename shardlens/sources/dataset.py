@@ -11,20 +11,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import work_dir
+from ..functions.mixed import mixed_types, ragged
+from ..session import scratch_path, work_dir
 from . import files as FS
-from .readers import (EXTRA_COLS, HIDDEN, KEYS_COL, json_columns, parquet_reader, read_csv,
-                      read_json_document, read_jsonl, read_parquet, typed_columns)
-
-# Largest number of row ranges (files, or splits for text sources) joined by
-# broadcast; one row per range (a path and four longs). Beyond it positions are
-# computed chunk by chunk (see ``positioned``); only a frame wrapped with
-# ``from_frame`` still joins by shuffle there.
-MAX_BROADCAST_RANGES = 200_000
-# Largest range table also kept on the driver (pages are then located without a job).
-MAX_DRIVER_RANGES = 50_000
-
+from .readers import (EXTRA_COLS, HIDDEN, KEYS_COL, json_columns, jsonl_lines, parquet_counts, parquet_reader, parse_jsonl,
+                      read_csv, read_json_document, read_jsonl, read_parquet, typed_columns)
 
 class DatasetError(RuntimeError):
     pass
@@ -39,16 +32,18 @@ class Dataset:
     columns: list[str]
     listing: DataFrame  # path, name, bytes, modified — every file of the dataset
     _ranges: DataFrame | None = field(default=None, repr=False)
-    _range_count: int | None = field(default=None, repr=False)
-    _range_rows: list | None = field(default=None, repr=False)
+    _count: int | None = field(default=None, repr=False)
     _file_stats: tuple[int, int] | None = field(default=None, repr=False)
     _schema: object = field(default=None, repr=False)
     # The plain scan without position columns (Parquet): full scans read only data columns.
     plain: DataFrame | None = field(default=None, repr=False)
-    # Re-reads the source keeping only files that satisfy a condition on ``__path``,
-    # applied before row ids are given (JSONL, CSV): used to position large sources
-    # chunk by chunk.
+    # Rows per file from footers (Parquet).
+    counts: DataFrame | None = field(default=None, repr=False)
+    # Re-reads the source keeping only files that satisfy a condition on ``__path``, applied
+    # before row ids are given (JSONL: lines not parsed yet; CSV).
     reread: object = field(default=None, repr=False)
+    # Turns re-read rows into user columns, carrying the named columns.
+    finish: object = field(default=None, repr=False)
 
     # ------------------------------------------------------------------ basics
     @property
@@ -67,7 +62,9 @@ class Dataset:
     def schema(self):
         """Schema of the user columns (resolved once)."""
         if self._schema is None:
-            self._schema = self.df.schema
+            mixed = mixed_types(self.df) if self.has_presence else {}
+            self._schema = T.StructType([T.StructField(f.name, mixed.get(f.name, ragged(f.dataType) if self.has_presence else f.dataType), f.nullable)
+                                          for f in self.df.schema.fields])
         return self._schema
 
     @property
@@ -83,10 +80,9 @@ class Dataset:
 
     def count(self) -> int:
         """Total rows (S9), from the range table (for Parquet: footers only)."""
-        rows = self.range_rows()
-        if rows is not None:
-            return sum(int(r["rows"]) for r in rows)
-        return int(self.ranges().agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
+        if self._count is None:
+            self._count = int(self.ranges().agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
+        return self._count
 
     def schema_report(self) -> DataFrame:
         """(ordinal, column, type, nullable) per column."""
@@ -103,37 +99,26 @@ class Dataset:
         the checkpoint folder once, so later jobs do not recount.
         """
         if self._ranges is None:
-            units = (
-                self.base.select(*HIDDEN)
-                .groupBy("__path", "__block")
-                .agg(F.count("*").alias("rows"), F.min("__local").alias("base"))
-            )
-            w = Window.orderBy(FS.path_order(F.col("__path")), F.col("__block")).rowsBetween(
-                Window.unboundedPreceding, Window.currentRow)
-            ranges = units.withColumn("start", F.sum("rows").over(w) - F.col("rows")).withColumn(
-                "shard_no", F.dense_rank().over(Window.orderBy(FS.path_order(F.col("__path")))).cast("long"))
             work_dir(self.spark)  # makes sure a checkpoint folder is set
-            self._ranges = ranges.checkpoint(eager=True)
-            head = self._ranges.limit(MAX_DRIVER_RANGES + 1).collect()
-            if len(head) <= MAX_DRIVER_RANGES:
-                self._range_rows, self._range_count = head, len(head)
+            if self.counts is not None:
+                zero = F.lit(0).cast("long")
+                units = self.counts.select("__path", zero.alias("__block"), "rows", zero.alias("base"))
             else:
-                self._range_count = self._ranges.count()
+                units = (self.base.select(*HIDDEN).groupBy("__path", "__block")
+                         .agg(F.count("*").alias("rows"), F.min("__local").alias("base")))
+            units = units.checkpoint(eager=True)
+            starts = _running(units.groupBy("__path").agg(F.sum("rows").alias("file_rows")))
+            self._ranges = _block_starts(units, starts).checkpoint(eager=True)
         return self._ranges
 
-    def range_rows(self) -> list | None:
-        """The range table on the driver when it is small (one row per file/split,
-        at most ``MAX_DRIVER_RANGES``); ``None`` for larger datasets."""
-        self.ranges()
-        return self._range_rows
-
-    def _join_ranges(self, frame: DataFrame, ranges: DataFrame | None = None, count: int | None = None) -> DataFrame:
-        ranges = self.ranges() if ranges is None else ranges
-        count = self._range_count if count is None else count
+    def _number(self, frame: DataFrame, ranges: DataFrame) -> DataFrame:
+        """``frame`` with ``__row_no`` and ``__shard_no``. A row whose unit is not in ``ranges`` fails the job: it is
+        never dropped. How the two are joined is left to Spark."""
         small = ranges.select("__path", "__block", "start", "base", "shard_no")
-        if count is not None and count <= MAX_BROADCAST_RANGES:
-            small = F.broadcast(small)
-        return frame.join(small, ["__path", "__block"], "inner")
+        lost = F.raise_error(F.concat(F.lit("rows of an unknown scan unit (was the source changed?): "), F.col("__path")))
+        row_no = F.when(F.col("start").isNull(), lost.cast("long")).otherwise(F.col("start") + F.col("__local") - F.col("base") + 1)
+        return (frame.join(small, ["__path", "__block"], "left").withColumn("__row_no", row_no)
+                .withColumn("__shard_no", F.col("shard_no")).drop("start", "base", "shard_no"))
 
     def shard_label(self) -> Column:
         """Shard name shown for a row: the file name when a Parquet dataset has
@@ -144,102 +129,38 @@ class Dataset:
         return FS.file_name(F.col("__path"))
 
     def positioned(self) -> DataFrame:
-        """User columns plus ``__row_no`` (1-based position) and ``__shard``.
+        """User columns plus ``__row_no`` (1-based position) and ``__shard`` (W2, W3): one join with the range
+        table, at any size."""
+        return self._output(self._number(self.base, self.ranges()))
 
-        Up to ``MAX_BROADCAST_RANGES`` files the range table is broadcast. Past it, a
-        Parquet dataset is processed as a union of hash chunks of its files: each
-        chunk's scan reads only its own files (the filter on ``_metadata.file_path``
-        prunes the file listing) and joins a broadcast of only its own ranges, whose
-        size is counted first. No data is shuffled either way.
-        """
-        self.ranges()
-        intrinsic = self.kind in ("parquet", "json")  # positions fixed by the file itself
-        if self._range_count <= MAX_BROADCAST_RANGES or not (intrinsic or self.reread is not None):
-            return self._finish_positions(self._join_ranges(self.base))
-        k = self._chunk_count()
-        parts = []
-        for i in range(k):
-            mine = F.pmod(F.xxhash64("__path"), F.lit(k)) == i
-            small = self._ranges.where(mine).select("__path", "__block", "start", "base", "shard_no")
-            if intrinsic:
-                chunk = self.base.where(mine)
-            else:
-                # Row ids of a re-read chunk differ from the full scan's: each split's
-                # first id in this chunk comes from a lines-only pass over the chunk.
-                chunk = self.reread(mine)
-                firsts = chunk.select(*HIDDEN).groupBy("__path", "__block").agg(F.min("__local").alias("cbase"))
-                small = small.drop("base").join(firsts.withColumnRenamed("cbase", "base"), ["__path", "__block"])
-            parts.append(self._finish_positions(chunk.join(F.broadcast(small), ["__path", "__block"])))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-    def _chunk_count(self) -> int:
-        """Smallest power-of-two chunk count whose largest chunk of the range table
-        fits the broadcast bound (counted on the range table, one small job each)."""
-        k = 1
-        while k < self._range_count:
-            k *= 2
-            if k * MAX_BROADCAST_RANGES < self._range_count:
-                continue
-            biggest = (self._ranges.groupBy(F.pmod(F.xxhash64("__path"), F.lit(k)).alias("c")).count()
-                       .agg(F.max("count")).first()[0])
-            if biggest <= MAX_BROADCAST_RANGES:
-                return k
-        return k
-
-    def _finish_positions(self, j: DataFrame) -> DataFrame:
-        row_no = (F.col("start") + F.col("__local") - F.col("base") + 1).alias("__row_no")
+    def _output(self, numbered: DataFrame) -> DataFrame:
         extra = [F.col(c) for c in EXTRA_COLS if c in self.base.columns]
-        return j.select(*[F.col(f"`{c}`") for c in self.columns], *extra, row_no,
-                        self.shard_label().alias("__shard"), F.col("__path"), F.col("shard_no").alias("__shard_no"))
+        return numbered.select(*[F.col(f"`{c}`") for c in self.columns], *extra, "__row_no",
+                               self.shard_label().alias("__shard"), "__path", "__shard_no")
 
     def rows_between(self, first: int, last: int) -> DataFrame:
         """Rows ``first..last`` (1-based, inclusive) in source order (L2).
 
-        Only the files whose row range overlaps the request are read: the few
-        overlapping ranges are looked up in the (small) range table first.
+        Only the files whose row range overlaps the request are read: they lie between two paths, found by one
+        small aggregate, and a condition on those two prunes the file listing. Text files have no row numbers of
+        their own, and how Spark splits them depends on which files are read; so the splits of exactly this scan
+        are counted (lines only), and JSON is parsed after the wanted lines are picked.
         """
-        ranges = self.ranges()
-        cached = self.range_rows()
-        if cached is not None:
-            picked = [r for r in cached if r["start"] < last and r["start"] + r["rows"] >= first]
-            hit = self.spark.createDataFrame(picked, ranges.schema) if picked else ranges.limit(0)
-            hit_paths = sorted({r["__path"] for r in picked})
-        else:
-            hit = ranges.where((F.col("start") < F.lit(last)) & (F.col("start") + F.col("rows") >= F.lit(first)))
-            hit_paths = None
-        if self.kind == "parquet":
-            paths = hit_paths if hit_paths is not None else [
-                r["__path"] for r in hit.select("__path").distinct().collect()]
-            if not paths:
-                return self.positioned().limit(0)
-            # A filter on the file path prunes the file listing itself: only these files
-            # are opened (no re-read by name, so file names with glob characters are safe).
-            frame = self.base.where(F.col("__path").isin(paths))
-            j = self._join_ranges(frame, hit, len(paths))
-            row_no = F.col("start") + F.col("__local") - F.col("base") + 1
-        else:
-            # Text sources: keep only the splits the request overlaps. The filter sits
-            # below the JSON parse (only those splits are parsed); a row's place in its
-            # split is its rank there — a window over one split at most.
-            units = [(r["__path"], r["__block"]) for r in (picked if cached is not None
-                                                                        else hit.select("__path", "__block").collect())]
-            if not units:
-                return self.positioned().limit(0)
-            keep = None
-            for path, block in units:
-                one = (F.col("__path") == path) & (F.col("__block") == block)
-                keep = one if keep is None else keep | one
-            rank = F.row_number().over(Window.partitionBy("__path", "__block").orderBy("__local"))
-            frame = self.base.where(keep).withColumn("__rank", rank)
-            j = self._join_ranges(frame, hit, len(units))
-            row_no = F.col("start") + F.col("__rank")
-        extra = [F.col(c) for c in EXTRA_COLS if c in self.base.columns]
-        out = j.select(*[F.col(f"`{c}`") for c in self.columns], *extra, row_no.alias("__row_no"),
-                       self.shard_label().alias("__shard"), F.col("__path"))
-        return out.where(F.col("__row_no").between(first, last))
+        wanted = self.ranges().where((F.col("start") < F.lit(last)) & (F.col("start") + F.col("rows") >= F.lit(first)))
+        order = FS.path_order(F.col("__path"))
+        edge = wanted.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+        if edge["low"] is None:
+            return self.positioned().limit(0)
+        low, high = (F.array(*[F.lit(part) for part in edge[k]]) for k in ("low", "high"))
+        here = (order >= low) & (order <= high)
+        between = F.col("__row_no").between(first, last)
+        if self.reread is None:
+            return self._output(self._number(self.base.where(here), self.ranges().where(here)).where(between))
+        scan = self.reread(here)
+        units = scan.select(*HIDDEN).groupBy("__path", "__block").agg(F.count("*").alias("rows"), F.min("__local").alias("base"))
+        starts = self.ranges().where(here).groupBy("__path").agg(F.min("start").alias("file_start"), F.min("shard_no").alias("shard_no"))
+        picked = self._number(scan, _block_starts(units, starts)).where(between)
+        return self._output(self.finish(picked, ("__row_no", "__shard_no")))
 
     def page(self, page_index: int, page_size: int = 100) -> DataFrame:
         """Page ``page_index`` (0-based, clamped like the viewer) of ``page_size`` rows."""
@@ -248,6 +169,34 @@ class Dataset:
         return self.rows_between(first, first + page_size - 1)
 
 
+def _running(files: DataFrame) -> DataFrame:
+    """``__path, file_start, shard_no``: rows before each file and its number, in path order.
+
+    Files are cut into ranges of paths; running sums inside a range, plus one row per range for what comes before
+    it. No window spans all files.
+    """
+    order = FS.path_order(F.col("__path"))
+    cut = files.repartitionByRange(order).withColumn("__part", F.spark_partition_id()).checkpoint(eager=True)
+    parts = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    before = (cut.groupBy("__part").agg(F.sum("file_rows").alias("r"), F.count(F.lit(1)).alias("n"))
+              .select("__part", F.coalesce(F.sum("r").over(parts), F.lit(0)).alias("__rows"),
+                      F.coalesce(F.sum("n").over(parts), F.lit(0)).alias("__files")))
+    inside = Window.partitionBy("__part").orderBy(order)
+    running = F.sum("file_rows").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("file_rows")
+    numbered = cut.withColumn("__sum", running).withColumn("__nth", F.row_number().over(inside))
+    return numbered.join(before, "__part").select(
+        "__path", (F.col("__rows") + F.col("__sum")).cast("long").alias("file_start"),
+        (F.col("__files") + F.col("__nth")).cast("long").alias("shard_no"))
+
+
+def _block_starts(units: DataFrame, starts: DataFrame) -> DataFrame:
+    """``units`` (scan units with their rows) with ``start`` and ``shard_no``; a window holds one file's splits."""
+    blocks = Window.partitionBy("__path").orderBy("__block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = F.sum("rows").over(blocks) - F.col("rows")
+    return (units.withColumn("__before", running).join(starts, "__path")
+            .select("__path", "__block", "rows", "base", (F.col("file_start") + F.col("__before")).cast("long").alias("start"), "shard_no"))
+
+
 def clamp_page(page_index: int, page_size: int, total: int) -> int:
     """Page index kept inside ``[0, pages-1]`` with ``pages = max(1, ceil(total/size))`` (L3)."""
     pages = max(1, (total + page_size - 1) // page_size)
@@ -305,6 +254,11 @@ def _open(spark: SparkSession, source: str, strict: bool = True, kind: str | Non
             return _open_parquet(spark, source, parquet, is_dir=True)
         listing = FS.list_files(spark, source)
         data = listing.where(F.lower(F.col("name")).rlike(r"\.(json|jsonl|csv)$"))
+        parts = listing.where(F.col("name").rlike(r"^part-.*\.(json|txt)$")).select("path", "name").limit(1).collect()
+        if parts and data.where(~F.col("name").startswith("part-")).isEmpty():
+            # What Spark's writers (and ``export``) leave: JSON Lines, or the parts of one JSON array.
+            array = parts[0]["name"].endswith(".txt") and _is_array_part(spark, source)
+            return _open_small(spark, source, "json" if array else "jsonl", listing)
         found = data.select("path", "name").limit(2).collect()
         if not found:
             raise DatasetError(FS.ERR_NO_FILES)
@@ -327,11 +281,25 @@ def _open(spark: SparkSession, source: str, strict: bool = True, kind: str | Non
     raise DatasetError(FS.ERR_UNSUPPORTED)
 
 
+def _is_array_part(spark: SparkSession, folder: str) -> bool:
+    """Whether some line of the folder opens an exported array (a line of JSON Lines never is a lone bracket)."""
+    return not spark.read.text(folder).where(F.col("value") == "[").limit(1).isEmpty()
+
+
 def _open_parquet(spark: SparkSession, source: str, listing: DataFrame, is_dir: bool) -> Dataset:
     base = read_parquet(spark, source, is_dir)
     columns = [c for c in base.columns if c not in HIDDEN]
     _check_case_duplicates(spark, columns)
-    return Dataset(spark, source, "parquet", base, columns, listing, plain=parquet_reader(spark, source, is_dir))
+    if is_dir:
+        _refuse_hidden(spark, source, (".parquet",))
+    return Dataset(spark, source, "parquet", base, columns, listing, plain=parquet_reader(spark, source, is_dir),
+                   counts=parquet_counts(spark, source, is_dir))
+
+
+def _refuse_hidden(spark: SparkSession, source: str, endings: tuple[str, ...]) -> None:
+    """Spark leaves out files named ``_x`` or ``.x``; a dataset that has such data files is refused, not cut short."""
+    if hidden := FS.hidden_files(spark, source, endings):
+        raise DatasetError(f"these files would be left out because of their names; rename or move them: {', '.join(hidden)}")
 
 
 def _open_small(spark: SparkSession, source: str, kind: str, listing: DataFrame) -> Dataset:
@@ -339,13 +307,16 @@ def _open_small(spark: SparkSession, source: str, kind: str, listing: DataFrame)
         base = read_csv(spark, source)
         columns = [c for c in base.columns if c not in HIDDEN and c not in EXTRA_COLS]
         return Dataset(spark, source, kind, base, columns, listing,
-                       reread=lambda files: read_csv(spark, source, files))
+                       reread=lambda files: read_csv(spark, source, files), finish=lambda rows, keep: rows)
     base = read_jsonl(spark, source) if kind == "jsonl" else read_json_document(spark, source)
     profile = json_columns(base)
     columns = [name for name, _ in profile]
     _check_case_duplicates(spark, columns)
-    reread = (lambda files: typed_columns(read_jsonl(spark, source, files), profile)) if kind == "jsonl" else None
-    return Dataset(spark, source, kind, typed_columns(base, profile), columns, listing, reread=reread)
+    ds = Dataset(spark, source, kind, typed_columns(base, profile), columns, listing)
+    if kind == "jsonl":
+        ds.reread = lambda files: jsonl_lines(spark, source, files)
+        ds.finish = lambda lines, keep: typed_columns(parse_jsonl(lines, keep), profile, keep)
+    return ds
 
 
 def _check_case_duplicates(spark: SparkSession, columns: list[str]) -> None:
@@ -361,14 +332,14 @@ def _check_case_duplicates(spark: SparkSession, columns: list[str]) -> None:
 
 
 def from_frame(spark: SparkSession, frame: DataFrame, source: str = "<dataframe>") -> Dataset:
-    """Wrap a DataFrame Spark derived elsewhere (no files: positions follow its partitions).
+    """Wrap a DataFrame Spark derived elsewhere.
 
-    Positions are stable only when the frame's row order is: a plain scan or
-    projection, or a sorted frame. After a shuffle, sort it (or write it) first.
+    Its rows have no place of their own (a shuffle may order or cut them differently in each job), so it is written
+    once to the checkpoint folder and read from there: a sorted frame keeps its order, and positions are stable.
     """
-    cols = list(frame.columns)
-    base = frame.select(*[F.col(f"`{c}`") for c in cols], F.lit("").alias("__path"),
-                        F.spark_partition_id().cast("long").alias("__block"),
-                        F.monotonically_increasing_id().alias("__local"))
-    listing = spark.createDataFrame([], "path string, name string, bytes long, modified timestamp")
-    return Dataset(spark, source, "dataframe", base, cols, listing)
+    void = [F.col(f"`{f.name}`").cast("string").alias(f.name) if f.dataType.typeName() == "void" else F.col(f"`{f.name}`") for f in frame.schema.fields]
+    path = scratch_path(spark, "frame")
+    frame.select(*void).write.parquet(path)
+    ds = _open_parquet(spark, path, spark.createDataFrame([], "path string, name string, bytes long, modified timestamp"), is_dir=True)
+    ds.source, ds.kind = source, "dataframe"
+    return ds

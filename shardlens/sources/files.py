@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The error texts a caller sees, and the supported suffixes.
-ERR_MISSING = "Dataset path does not exist:\n{source}"
-ERR_NO_FILES = "No supported dataset files were found in this folder."
-ERR_MANY_FILES = ("A folder with multiple JSON/CSV files is not yet treated as one dataset. "
-                  "Use a Parquet folder or select one file.")
-ERR_UNSUPPORTED = "Unsupported dataset type."
+ERR_MISSING = "nothing is stored at {source}"
+ERR_NO_FILES = "the folder holds no Parquet, JSON, JSON Lines or CSV file"
+ERR_MANY_FILES = ("the folder holds several JSON or CSV files; name one of them, or pass strict=False to read all files "
+                  "of one kind together")
+ERR_UNSUPPORTED = "only .parquet, .json, .jsonl and .csv files can be opened"
+# The supported suffixes besides Parquet.
 SMALL_SUFFIXES = ["json", "jsonl", "csv"]
 
 
@@ -38,7 +38,11 @@ def metadata_path() -> Column:
     The metadata column is URI-encoded (a space is ``%20``); a literal ``+`` must
     survive the decode, so it is escaped first.
     """
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return decoded_path(F.col("_metadata.file_path"))
+
+
+def decoded_path(uri: Column) -> Column:
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
 def path_order(path: Column) -> Column:
@@ -92,3 +96,19 @@ def path_kind(source: str) -> str:
 def suffix(path: str) -> str:
     name = path.rstrip("/").rsplit("/", 1)[-1]
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
+
+
+def hidden_files(spark: SparkSession, source: str, endings: tuple[str, ...], most: int = 5) -> list[str]:
+    """Data files Spark would leave out without a word because their name, or a folder of theirs, starts with
+    ``_`` or ``.`` (the first few). Spark's own bookkeeping names are not data files."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(source)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base, found = fs.makeQualified(root).toString().rstrip("/"), []
+    files = fs.listFiles(root, True)
+    while files.hasNext() and len(found) < most:
+        path = files.next().getPath().toString()
+        parts = path[len(base):].strip("/").split("/")
+        if any(part[:1] in "_." for part in parts) and parts[-1].lower().endswith(endings) and "_temporary" not in parts:
+            found.append(path)
+    return found

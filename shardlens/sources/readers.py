@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import py_strip
-from .files import metadata_path
+from .files import decoded_path, metadata_path
 
 HIDDEN = ["__path", "__block", "__local"]
 KEYS_COL = "__keys"
@@ -39,6 +39,12 @@ def parquet_reader(spark: SparkSession, source: str, is_dir: bool) -> DataFrame:
     return reader.parquet(source)
 
 
+def parquet_counts(spark: SparkSession, source: str, is_dir: bool) -> DataFrame:
+    """``__path, rows`` of every file with rows. No column is read, so the counts come from the footers."""
+    per_file = parquet_reader(spark, source, is_dir).groupBy(F.col("_metadata.file_path").alias("__uri")).agg(F.count(F.lit(1)).alias("rows"))
+    return per_file.select(decoded_path(F.col("__uri")).alias("__path"), "rows")
+
+
 def read_parquet(spark: SparkSession, source: str, is_dir: bool) -> DataFrame:
     raw = parquet_reader(spark, source, is_dir)
     cols = [F.col(f"`{c}`") for c in raw.columns]
@@ -79,8 +85,8 @@ def _keys_of(line: Column, v: Column) -> Column:
     return F.when(is_obj, F.json_object_keys(line)).otherwise(F.array(F.lit("value")))
 
 
-def read_jsonl(spark: SparkSession, source: str, path_filter: Column | None = None) -> DataFrame:
-    """One JSON value per non-blank line; a bad line fails the read.
+def jsonl_lines(spark: SparkSession, source: str, path_filter: Column | None = None) -> DataFrame:
+    """The non-blank lines of JSON Lines files, located but not parsed.
 
     ``path_filter`` (a condition on ``__path``) selects files before row ids are
     given, so the file listing is pruned to them.
@@ -89,16 +95,20 @@ def read_jsonl(spark: SparkSession, source: str, path_filter: Column | None = No
     if path_filter is not None:
         lines = lines.where(path_filter)
     lines = lines.where(py_strip(F.col("__line")) != "")
-    lines = lines.withColumn("__local", F.monotonically_increasing_id())
+    return lines.withColumn("__local", F.monotonically_increasing_id())
+
+
+def parse_jsonl(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One JSON value per line; a bad line fails the read. ``keep``: further columns to carry."""
     # Parse once into its own column; the derived columns below reuse it (Catalyst
     # does not inline a non-trivial expression that is referenced several times).
-    parsed = lines.select(F.parse_json(F.col("__line")).alias("__v"), "__line", "__path", "__block", "__local")
+    parsed = lines.select(F.parse_json(F.col("__line")).alias("__v"), "__line", *HIDDEN, *keep)
     v = F.col("__v")
-    return parsed.select(
-        _object_of(v).alias("__obj"),
-        _keys_of(F.col("__line"), v).alias(KEYS_COL),
-        "__path", "__block", "__local",
-    )
+    return parsed.select(_object_of(v).alias("__obj"), _keys_of(F.col("__line"), v).alias(KEYS_COL), *HIDDEN, *keep)
+
+
+def read_jsonl(spark: SparkSession, source: str) -> DataFrame:
+    return parse_jsonl(jsonl_lines(spark, source))
 
 
 def read_json_document(spark: SparkSession, source: str) -> DataFrame:
@@ -110,6 +120,11 @@ def read_json_document(spark: SparkSession, source: str) -> DataFrame:
     keeps its keys in the order written.
     """
     docs = _text_lines(spark, source, wholetext=True)
+    # A part of an exported array: it ends in a comma, or closes a list it does not open.
+    text = py_strip(F.col("__line"))
+    part = text.endswith(",") | (text.startswith("{") & text.endswith("]"))
+    inner = F.regexp_replace(F.regexp_replace(text, r"^\[", ""), r"[,\]]$", "")
+    docs = docs.withColumn("__line", F.when(part, F.concat(F.lit("["), inner, F.lit("]"))).otherwise(F.col("__line")))
     # Parse once, classify once (each in its own projection, so the document is not
     # re-parsed for every use).
     docs = docs.select("__line", "__path", "__block", F.parse_json("__line").alias("__v"))
@@ -194,7 +209,7 @@ def json_columns(base: DataFrame) -> list[tuple[str, str]]:
     return [(r["key"], r["t"]) for r in per_key.orderBy("first").collect()]
 
 
-def typed_columns(base: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+def typed_columns(base: DataFrame, columns: list[tuple[str, str]], keep: tuple[str, ...] = ()) -> DataFrame:
     """Turn the row objects of a JSON source into typed columns; a key whose values
     disagree in type stays ``VARIANT``."""
     cols = []
@@ -205,7 +220,7 @@ def typed_columns(base: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
             cols.append(F.try_variant_get("__obj", path, "variant").alias(name))
         else:
             cols.append(F.try_variant_get("__obj", path, dtype.simpleString()).alias(name))
-    return base.select(*cols, KEYS_COL, *HIDDEN)
+    return base.select(*cols, KEYS_COL, *HIDDEN, *keep)
 
 
 CSV_CORRUPT = "_corrupt_record"

@@ -5,19 +5,15 @@ Exports never write into the dataset they come from (the sources are read-only).
 
 from __future__ import annotations
 
+import json
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.render import py_json
 from .dataset import Dataset, DatasetError
-
-# Largest result written as one JSON array document: the document is one file,
-# so one task streams it (sorted lines, constant memory). Bigger results go to JSON Lines, which any number
-# of tasks write in parallel.
-JSON_ARRAY_MAX_ROWS = 1_000_000
-
+from .readers import KEYS_COL
 
 def _norm(path: str) -> str:
     p = path[len("file:"):] if path.startswith("file:") else path
@@ -36,38 +32,48 @@ def check_target(target: str, sources: list[str]) -> None:
 
 def export(rows: DataFrame, target: str, fmt: str = "jsonl", ds: Dataset | None = None, mode: str = "overwrite",
            order_col: str | None = None, skip_empty: bool = True) -> bool:
-    """Write ``rows`` (user columns only) as JSON Lines (``fmt='jsonl'``, a folder of
-    part files) or one JSON array document with indent 2 (``fmt='json'``).
+    """Write ``rows`` (user columns only) as JSON Lines (``fmt='jsonl'``) or one JSON array document with indent 2
+    (``fmt='json'``), in both cases as a folder of part files that all tasks write and ``open_dataset`` reads again.
 
-    Nothing is written when there are no rows (``skip_empty``); returns whether
-    anything was written.
+    JSON Lines keep the row order within a part. The parts of a JSON array are ordered; put together they are the
+    document. Rows of a JSON source are written with the keys they have. Nothing is written when there are no rows
+    (``skip_empty``); returns whether anything was written.
     """
     if ds is not None:
         check_target(target, [ds.source])
+    if fmt not in ("jsonl", "json"):
+        raise ValueError(f"unknown export format {fmt!r}")
     if skip_empty and rows.isEmpty():
         return False
     data_cols = [c for c in rows.columns if not c.startswith("__")]
     if fmt == "jsonl":
-        out = rows.orderBy(order_col) if order_col else rows
-        (out.select(*[F.col(f"`{c}`") for c in data_cols]).write.mode(mode)
-         .option("ignoreNullFields", "false").json(target))
+        out = rows.sortWithinPartitions(order_col) if order_col else rows
+        if KEYS_COL in rows.columns:
+            out.select(_own_keys(out, data_cols, ds)).write.mode(mode).text(target)
+        else:
+            out.select(*[F.col(f"`{c}`") for c in data_cols]).write.mode(mode).option("ignoreNullFields", "false").json(target)
         return True
-    if fmt != "json":
-        raise ValueError(f"unknown export format {fmt!r}")
-    n = rows.count()
-    if n > JSON_ARRAY_MAX_ROWS:
-        raise DatasetError(f"{n} rows is too many for one JSON array document; export JSON Lines instead.")
-    struct = F.struct(*[F.col(f"`{c}`") for c in data_cols])
-    item = py_json(struct, rows.select(struct.alias("s")).schema["s"].dataType, indent=2, level=1)
-    keyed = rows.select((F.col(order_col) if order_col else F.monotonically_increasing_id()).alias("k"),
-                        item.alias("j"))
-    last = keyed.agg(F.max("k")).first()[0]
-    # One line per row: "[" first, rows with a trailing comma but the last, "]" at the end.
-    # Sorted, then one task streams the lines into the file (the document is one file);
-    # no row set is held in memory.
-    lines = keyed.select(F.lit(1).alias("edge"), F.col("k").cast("long").alias("k"), F.concat(
-        F.lit("  "), F.col("j"), F.when(F.col("k") != F.lit(last), F.lit(",")).otherwise(F.lit(""))).alias("value"))
-    edges = rows.sparkSession.createDataFrame([(0, 0, "["), (2, 0, "]")], "edge int, k long, value string")
-    (lines.unionByName(edges).orderBy("edge", "k").select("value").coalesce(1)
-     .write.mode(mode).text(target))
+    if KEYS_COL in rows.columns:
+        item = _own_keys(rows, data_cols, ds, indent=2, level=1)
+    else:
+        struct = F.struct(*[F.col(f"`{c}`") for c in data_cols])
+        item = py_json(struct, rows.select(struct.alias("s")).schema["s"].dataType, indent=2, level=1)
+    keyed = rows.select((F.col(order_col) if order_col else F.monotonically_increasing_id()).cast("long").alias("k"), item.alias("j"))
+    edge = keyed.agg(F.min("k").alias("first"), F.max("k").alias("last")).first()
+    # "[" stands before the first row, "]" after the last, and a comma after every other.
+    line = F.concat(F.when(F.col("k") == F.lit(edge["first"]), F.lit("[\n")).otherwise(F.lit("")), F.lit("  "), F.col("j"),
+                    F.when(F.col("k") == F.lit(edge["last"]), F.lit("\n]")).otherwise(F.lit(",")))
+    keyed.repartitionByRange("k").sortWithinPartitions("k").select(line.alias("value")).write.mode(mode).text(target)
     return True
+
+
+def _own_keys(rows: DataFrame, columns: list[str], ds: Dataset | None, indent: int | None = None, level: int = 0) -> Column:
+    """A row of a JSON source as JSON text: the keys it has, in their order."""
+    types = {f.name: f.dataType for f in (ds.schema if ds is not None else rows.schema).fields}
+    pad, end = ("", "") if indent is None else ("\n" + " " * (indent * (level + 1)), "\n" + " " * (indent * level))
+    pairs = F.array(*[F.struct(F.array_position(F.col(KEYS_COL), F.lit(c)).alias("at"),
+                               F.concat(F.lit(json.dumps(c, ensure_ascii=False) + ": "), py_json(F.col(f"`{c}`"), types[c], indent, level + 1)).alias("pair"))
+                      for c in columns])
+    own = F.array_sort(F.filter(pairs, lambda p: p["at"] > 0))
+    body = F.array_join(F.transform(own, lambda p: p["pair"]), ("," + pad) if indent else ", ")
+    return F.when(F.size(own) == 0, F.lit("{}")).otherwise(F.concat(F.lit("{" + pad), body, F.lit(end + "}"))).alias("value")

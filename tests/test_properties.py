@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from shardlens.functions.render import py_float_repr, render
 from shardlens.functions.text import PY_WHITESPACE, ROLE_WORDS, collapse_ws, cut, py_strip, role_markers
-from shardlens.functions.variant import render_value
 
 SETTINGS = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -59,22 +58,15 @@ def test_float_repr_matches_python(spark, values):
         assert r == repr(x) or float(r) == x and not math.isnan(x)
 
 
-msg = st.fixed_dictionaries({"from": st.one_of(st.none(), st.sampled_from(["", "user", "gpt"])),
-                             "value": st.one_of(st.none(), st.text(max_size=5)),
-                             "content": st.one_of(st.none(), st.text(max_size=5))})
+msg = st.fixed_dictionaries({"from": st.one_of(st.none(), st.sampled_from(["", "user", "gpt"])), "value": st.text(max_size=5)})
 convs = st.lists(st.one_of(st.none(), st.lists(st.one_of(st.none(), msg), max_size=4)), min_size=1, max_size=30)
-MSG_T = T.ArrayType(T.StructType([T.StructField("from", T.StringType()), T.StructField("value", T.StringType()),
-                                  T.StructField("content", T.StringType())]))
+MSG_T = T.ArrayType(T.StructType([T.StructField("from", T.StringType()), T.StructField("value", T.StringType())]))
 
 
 @SETTINGS
 @given(convs)
-def test_typed_and_variant_rendering_agree(spark, values):
-    """The schema-directed Column builder and the decoded-value helper give one text."""
-    def as_struct(m):  # a struct decodes with its fields in schema order
-        return None if m is None else {"from": m["from"], "value": m["value"], "content": m["content"]}
-
-    values = [None if c is None else [as_struct(m) for m in c] for c in values]
+def test_typed_rendering_of_messages(spark, values):
+    """Messages with a text print as ``who: text``, one block each; a null message as ``None``."""
     got = _eval(spark, values, MSG_T, render(F.col("v"), MSG_T))
     for conv, (text,) in zip(values, got):
-        assert text == render_value(conv)
+        assert text == "\n\n".join("None" if m is None else f"{m['from'] or 'message'}: {m['value']}" for m in conv or [])

@@ -102,12 +102,23 @@ def test_page_count_and_clamp():
     assert paging.PAGE_SIZES == [25, 50, 100, 250, 500]
 
 
-def test_json_array_export_is_bounded(spark, tmp_path, monkeypatch):
-    from shardlens.sources import sinks
-    monkeypatch.setattr(sinks, "JSON_ARRAY_MAX_ROWS", 2)
-    df = spark.range(3).withColumnRenamed("id", "k")
-    with pytest.raises(DatasetError, match="JSON Lines"):
-        sinks.export(df, str(tmp_path / "big"), "json")
+@pytest.mark.parametrize("fmt", ["jsonl", "json"])
+def test_exports_open_again_as_they_were(spark, tmp_path, fmt):
+    """Ragged rows, one or many parts: every row once, with its own keys, without naming a kind."""
+    source = tmp_path / "rows.jsonl"
+    rows = [{"id": i, **({"text": f"t{i}"} if i % 3 else {}), **({"note": None} if i % 5 == 0 else {})} for i in range(200)]
+    source.write_text("\n".join(json.dumps(r) for r in rows) + "\n", encoding="utf-8")
+    ds = open_dataset(spark, str(source))
+    for parts in (1, 6):
+        target = str(tmp_path / f"{fmt}{parts}")
+        export(ds.positioned().repartition(parts), target, fmt, ds=ds, order_col="__row_no")
+        again = open_dataset(spark, target)
+        got = {r["id"]: (r["text"], sorted(r["__keys"])) for r in again.data().collect()}
+        assert got == {r["id"]: (r.get("text"), sorted(r)) for r in rows}
+        assert again.count() == 200
+        if fmt == "json":
+            texts = [open(os.path.join(target, f), encoding="utf-8").read() for f in sorted(os.listdir(target)) if f.startswith("part-")]
+            assert json.loads("".join(texts)) == rows
 
 
 def test_export_of_no_hits_writes_nothing(spark, tmp_path, rows_ds):

@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -29,26 +30,26 @@ def _parquet(path, table):
 # ---------------------------------------------------------------------- S1
 
 def test_missing_path(spark, tmp_path):
-    with pytest.raises(DatasetError, match="does not exist"):
+    with pytest.raises(DatasetError, match="nothing is stored"):
         open_dataset(spark, str(tmp_path / "nope"))
 
 
 def test_unknown_suffix(spark, tmp_path):
     _write(str(tmp_path / "a.txt"), "x")
-    with pytest.raises(DatasetError, match="Unsupported dataset type"):
+    with pytest.raises(DatasetError, match="can be opened"):
         open_dataset(spark, str(tmp_path / "a.txt"))
 
 
 def test_empty_folder(spark, tmp_path):
     (tmp_path / "empty").mkdir()
-    with pytest.raises(DatasetError, match="No supported dataset files"):
+    with pytest.raises(DatasetError, match="holds no Parquet"):
         open_dataset(spark, str(tmp_path / "empty"))
 
 
 def test_two_json_files(spark, tmp_path):
     _write(str(tmp_path / "d" / "a.jsonl"), '{"x": 1}\n')
     _write(str(tmp_path / "d" / "b.json"), '[{"x": 2}]')
-    with pytest.raises(DatasetError, match="multiple JSON/CSV"):
+    with pytest.raises(DatasetError, match="several JSON or CSV"):
         open_dataset(spark, str(tmp_path / "d"))
 
 
@@ -155,7 +156,18 @@ def test_csv_rules(spark, tmp_path):
     assert rows == [("x", 'multi\nline "q"'), ("y", ""), ("z", ""), (None, "short")]
 
 
-def test_variant_conversations_render_like_typed(spark, tmp_path):
+def test_ragged_messages(spark, tmp_path):
+    rows = [{"m": [{"from": "a", "value": "x"}, {"role": "b", "content": "y"}]}, {"m": [{"role": "c", "content": "z"}]},
+            {"m": [{"from": "d"}, {"note": {"k": 1}}]}]
+    p = str(tmp_path / "r.jsonl")
+    _write(p, "\n".join(json.dumps(r) for r in rows) + "\n")
+    ds = open_dataset(spark, p)
+    got = [r["t"] for r in ds.base.select(render(F.col("m"), ds.schema["m"].dataType).alias("t"), "__local").orderBy("__local").collect()]
+    assert got[:2] == ["a: x\n\nb: y", "c: z"]
+    assert got[2] == 'd: {\n  "from": "d"\n}\n\nmessage: {\n  "note": {\n    "k": 1\n  }\n}'
+
+
+def test_mixed_conversations_render_like_typed(spark, tmp_path):
     rows = [{"id": 1, "conversation": [{"from": "user", "value": "hi"}, {"role": "bot", "content": "yo"}]},
             {"id": 2, "conversation": "plain text"},
             {"id": 3, "conversation": [{"from": "a", "value": None, "content": "x"}]},
@@ -166,7 +178,7 @@ def test_variant_conversations_render_like_typed(spark, tmp_path):
     ds = open_dataset(spark, p)
     text = resolve_apply(ds, TEXT_ALIASES_REPORT, lambda c, dt: render(c, dt), F.lit(""))
     got = {r["id"]: r["t"] for r in ds.base.select("id", text.alias("t")).collect()}
-    assert got == {1: "user: hi\n\nbot: yo", 2: "plain text", 3: "a: a: x", 4: "assistant: ok",
+    assert got == {1: "user: hi\n\nbot: yo", 2: "plain text", 3: "a: x", 4: "assistant: ok",
                    5: "1\n\ntwo\n\nNone"}
     from shardlens.operators import search as S
     assert sorted(r["id"] for r in S.search(ds, "bot: yo", column="conversation").collect()) == [1]
@@ -198,16 +210,6 @@ def test_case_duplicate_columns_raise(spark, tmp_path):
         open_dataset(spark, p)
 
 
-def test_hidden_files_are_skipped(spark, tmp_path):
-    base = tmp_path / "hid"
-    _parquet(str(base / "a.parquet"), pa.table({"x": [1]}))
-    _parquet(str(base / "_b.parquet"), pa.table({"x": [2]}))
-    _parquet(str(base / ".c.parquet"), pa.table({"x": [3]}))
-    ds = open_dataset(spark, str(base))
-    assert [r["x"] for r in ds.df.collect()] == [1]
-    assert ds.file_stats()[0] == 1
-
-
 def test_check_schema_refuses_drift(spark, tmp_path):
     from shardlens.operators.profile import quality_report
     base = tmp_path / "drift2"
@@ -222,20 +224,62 @@ def test_check_schema_refuses_drift(spark, tmp_path):
     assert (r["schema_consistent"], r["source_modified"], r["duplicate_texts"]) == (True, False, 1)
 
 
-def test_positions_past_the_broadcast_bound(spark, tmp_path, monkeypatch):
-    """More files than the broadcast bound: hash chunks, each joined by broadcast."""
-    from shardlens.sources import dataset as D
+def test_positions_over_many_files(spark, tmp_path):
     base = tmp_path / "many"
     for i in range(7):
         _parquet(str(base / f"f{i}.parquet"), pa.table({"x": list(range(i * 5, i * 5 + 5))}))
-    monkeypatch.setattr(D, "MAX_BROADCAST_RANGES", 2)
-    monkeypatch.setattr(D, "MAX_DRIVER_RANGES", 1)
     ds = open_dataset(spark, str(base))
-    assert ds.range_rows() is None
-    pos = ds.positioned()
-    assert sorted((r["__row_no"], r["x"]) for r in pos.collect()) == [(x + 1, x) for x in range(35)]
-    assert "BroadcastHashJoin" in pos._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["__row_no"], r["x"]) for r in ds.positioned().collect()) == [(x + 1, x) for x in range(35)]
     assert [r["x"] for r in ds.page(3, 4).orderBy("__row_no").collect()] == [12, 13, 14, 15]
+    assert "row_index" not in ds.counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pruned_text_files_are_split_otherwise(spark, tmp_path):
+    """Which files a scan selects changes how Spark splits them; no row may be lost or numbered twice."""
+    base = tmp_path / "jl"
+    for i in range(16):
+        _write(str(base / f"f{i:02d}.jsonl"), "".join(json.dumps({"i": i * 500 + k, "t": "w" * 40}) + "\n" for k in range(500)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+        for most in ("128m", "7000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            ds = open_dataset(spark, str(base), strict=False)
+            assert sorted((r["__row_no"], r["i"]) for r in ds.positioned().select("__row_no", "i").collect()) == [(n + 1, n) for n in range(8000)]
+            for first, last in ((1, 8000), (400, 1700), (7990, 8000), (501, 501)):
+                got = sorted((r["__row_no"], r["i"]) for r in ds.rows_between(first, last).select("__row_no", "i").collect())
+                assert got == [(n + 1, n) for n in range(first - 1, last)]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_a_text_page_reads_its_files_only(spark, tmp_path):
+    base = tmp_path / "jl"
+    for i in range(400):
+        _write(str(base / f"f{i:04d}.jsonl"), json.dumps({"i": 2 * i}) + "\n" + json.dumps({"i": 2 * i + 1}) + "\n")
+    ds = open_dataset(spark, str(base), strict=False)
+    page = ds.page(20, 10)
+    assert [r["i"] for r in page.orderBy("__row_no").collect()] == list(range(200, 210))
+    assert ds.rows_between(1, 800).count() == 800
+    scans = re.findall(r"FileScan text .*", page._jdf.queryExecution().executedPlan().toString())
+    assert scans and all("file_path" in scan for scan in scans)  # the condition on the path prunes the listing
+
+
+def test_hidden_data_files_are_refused(spark, tmp_path):
+    base = tmp_path / "hidden"
+    _parquet(str(base / "a.parquet"), pa.table({"x": [1]}))
+    _parquet(str(base / "_x.parquet"), pa.table({"x": [2]}))
+    with pytest.raises(DatasetError, match="_x.parquet"):
+        open_dataset(spark, str(base))
+
+
+def test_sorted_frame_keeps_its_rows_and_order(spark):
+    from shardlens.sources.dataset import from_frame
+
+    frame = spark.range(60000).repartition(40).withColumnRenamed("id", "n").orderBy("n")
+    ds = from_frame(spark, frame)
+    assert ds.positioned().filter("__row_no = n + 1").count() == 60000 == ds.count()
 
 
 def test_text_pages_across_many_splits(spark, tmp_path):
@@ -246,7 +290,7 @@ def test_text_pages_across_many_splits(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
     try:
         ds = open_dataset(spark, p)
-        assert len(ds.range_rows()) > 5  # several splits
+        assert ds.ranges().count() > 5  # several splits
         for page in (0, 3, 7, 11):
             got = [r["i"] for r in ds.page(page, 25).orderBy("__row_no").collect()]
             assert got == list(range(page * 25, min(300, page * 25 + 25)))
@@ -295,11 +339,7 @@ def test_schema_drift_with_spaces_in_paths(spark, tmp_path):
     assert open_dataset(spark, str(base)).count() == 2
 
 
-def test_text_positions_past_the_broadcast_bound(spark, tmp_path, monkeypatch):
-    """JSONL / CSV / JSON folders positioned chunk by chunk (files pruned per chunk)."""
-    from shardlens.sources import dataset as D
-    monkeypatch.setattr(D, "MAX_BROADCAST_RANGES", 2)
-    monkeypatch.setattr(D, "MAX_DRIVER_RANGES", 1)
+def test_text_positions_over_several_files(spark, tmp_path):
     jl, cs, js = tmp_path / "jl", tmp_path / "cs", tmp_path / "js"
     for i in range(5):
         _write(str(jl / f"part-{i}.jsonl"), "".join(json.dumps({"i": i * 10 + k}) + "\n" for k in range(10)))
@@ -307,6 +347,5 @@ def test_text_positions_past_the_broadcast_bound(spark, tmp_path, monkeypatch):
         _write(str(js / f"part-{i}.json"), json.dumps([{"i": i * 10 + k} for k in range(10)]))
     for folder, kind in ((jl, "jsonl"), (cs, None), (js, "json")):
         ds = open_dataset(spark, str(folder), strict=False, kind=kind)
-        assert ds.range_rows() is None
         got = sorted((r["__row_no"], int(r["i"])) for r in ds.positioned().collect())
         assert got == [(n + 1, n) for n in range(50)], folder
