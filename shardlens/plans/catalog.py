@@ -30,7 +30,7 @@ CAP = 50
 INSPECT_ROW = 42
 EVENTS_WORD = "12.3"
 # The viewer's head sample for analytics and quality (parity mode, D1).
-REFERENCE_SAMPLE = 5000
+REFERENCE_SAMPLE = 300  # a head sample that cuts every test table
 
 
 def _r6(c: str) -> F.Column:
@@ -119,11 +119,20 @@ def q_no_marker_rows(spark, sf):
 
 
 def q_empty_text_rows(spark, sf):
-    return _id_facts(X.documents(spark, sf)).where("empty_text").select("doc_id", "row_no")
+    return _id_facts(X.blanked_documents(spark, sf)).where("empty_text").select("doc_id")
 
 
 def q_empty_token_rows(spark, sf):
-    return _id_facts(X.token_documents(spark, sf)).where(F.col("ntok") == 0).select("doc_id")
+    return _id_facts(X.blanked_documents(spark, sf)).where(F.col("ntok") == 0).select("doc_id")
+
+
+def q_quality_scan_blanked(spark, sf):
+    return profile.quality_scan(X.blanked_documents(spark, sf)).select("rows_checked", "empty_text", "empty_token_lists")
+
+
+def q_file_manifest_totals(spark, sf):
+    m = schema.file_manifest(X.shards(spark, sf))
+    return m.agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), F.max("rows").alias("most"), F.min(F.col("bytes") > 0).alias("sized"))
 
 
 def q_exact_length_rows(spark, sf):
@@ -155,7 +164,7 @@ def q_search_all(spark, sf):
 
 def q_search_all_default(spark, sf):
     ds = X.documents(spark, sf)
-    return _ids(search.search(ds, "Text Src1", match_names=False, match_nulls=False))
+    return _ids(search.search(ds, "En Src1", match_names=False, match_nulls=False))
 
 
 def q_search_column(spark, sf):
@@ -354,6 +363,8 @@ QUERIES: dict[str, QueryFn] = {
     "no_marker_rows": q_no_marker_rows,
     "empty_text_rows": q_empty_text_rows,
     "empty_token_rows": q_empty_token_rows,
+    "quality_scan_blanked": q_quality_scan_blanked,
+    "file_manifest_totals": q_file_manifest_totals,
     "exact_length_rows": q_exact_length_rows,
     "token_projection": q_token_projection,
     "search_all": q_search_all,
@@ -471,9 +482,14 @@ SELECT * FROM (VALUES (1, 'doc_id', 'bigint', true), (2, 'text', 'string', true)
     "pruned_scan": "SELECT doc_id, n_chars FROM documents",
     "no_marker_rows": f"""
 SELECT doc_id, row_no::BIGINT AS row_no FROM ({S.NUMBERED_DOCS}) WHERE {S.no_markers("coalesce(text, '')")}""",
-    "empty_text_rows": f"""
-SELECT doc_id, row_no::BIGINT AS row_no FROM ({S.NUMBERED_DOCS}) WHERE {S.strip("coalesce(text, '')")} = ''""",
-    "empty_token_rows": f"SELECT doc_id FROM documents WHERE len({S.TOKENS}) = 0",
+    "empty_text_rows": f"SELECT doc_id FROM documents WHERE doc_id % {X.BLANK_EVERY} = 0 OR {S.strip("coalesce(text, '')")} = ''",
+    "empty_token_rows": f"SELECT doc_id FROM documents WHERE doc_id % {X.BLANK_EVERY} = 0",
+    "quality_scan_blanked": f"""
+SELECT count(*)::BIGINT AS rows_checked, count(*) FILTER (doc_id % {X.BLANK_EVERY} = 0 OR {S.strip("coalesce(text, '')")} = '')::BIGINT AS empty_text,
+       count(*) FILTER (doc_id % {X.BLANK_EVERY} = 0)::BIGINT AS empty_token_lists FROM documents""",
+    "file_manifest_totals": f"""
+SELECT ceil(count(*) / {X.ROWS_PER_SHARD}.0)::BIGINT AS files, count(*)::BIGINT AS rows, least(count(*), {X.ROWS_PER_SHARD})::BIGINT AS most,
+       true AS sized FROM documents""",
     "exact_length_rows": f"SELECT doc_id FROM documents WHERE len({S.TOKENS}) = {X.TEST_SEQ_LEN}",
     "token_projection": f"""
 WITH t AS (SELECT doc_id, {S.TOKENS} AS tokens FROM documents)
@@ -486,7 +502,7 @@ SELECT doc_id, row_no::BIGINT AS row_no FROM ({S.NUMBERED_DOCS})
 WHERE contains({S.doc_haystack(True, True)}, '{SEARCH_WORD}')""",
     "search_all_default": f"""
 SELECT doc_id, row_no::BIGINT AS row_no FROM ({S.NUMBERED_DOCS})
-WHERE contains({S.doc_haystack(False, False)}, 'text src1')""",
+WHERE contains({S.doc_haystack(False, False)}, 'en src1')""",
     "search_column": f"""
 SELECT doc_id, row_no::BIGINT AS row_no FROM ({S.NUMBERED_DOCS}) WHERE contains(lower(text), 'tion')""",
     "search_literal": f"""

@@ -36,6 +36,18 @@ def token_documents(spark: SparkSession, sf_dir: str) -> Dataset:
     return from_frame(spark, docs.select("*", tokens.alias("tokens")), "documents+tokens")
 
 
+# Every so many documents lose their text and their tokens in ``blanked_documents``.
+BLANK_EVERY = 7
+
+
+def blanked_documents(spark: SparkSession, sf_dir: str) -> Dataset:
+    """``token_documents`` in which every ``BLANK_EVERY``-th document has a blank text and an empty token list."""
+    rows = token_documents(spark, sf_dir).df
+    blank = F.col("doc_id") % BLANK_EVERY == 0
+    return from_frame(spark, rows.withColumns({"text": F.when(blank, F.lit(" \u00a0\n")).otherwise(F.col("text")),
+                                               "tokens": F.when(blank, F.array().cast("array<int>")).otherwise(F.col("tokens"))}), "blanked")
+
+
 def write_token_documents(spark: SparkSession, sf_dir: str) -> str:
     """``documents`` with its ``tokens`` column stored as Parquet (the X1 shape:
     text plus a token list per row), as a real tokenized dataset would be."""
