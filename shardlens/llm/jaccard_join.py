@@ -6,8 +6,9 @@ that a fixed-size count over all documents shows to be common come last, the res
 and n then share one of the first ``n - ceil(3n/4) + 1`` shingles of each (their prefixes), so a tile is what has
 one prefix shingle in common, sorted by size; only sizes within 3/4 of each other are compared.
 
-* A pair of a tile within the size band is a candidate unless the prefix that ends first has too many shingles that
-  no other text has (they can't be shared).
+* A pair of a tile within the size band counts one shared prefix shingle, unless the prefix that ends first has too
+  many shingles that no other text has. It is a candidate if it shares so many of that prefix that the rest, which
+  can't be shared, still allows a link.
 * Candidates are bounded from above by hashed bitmaps, |A and B| <= |A| - bits of A that B lacks, and what passes is
   settled by exact intersection of the sorted arrays.
 * A first pass tries for each text of a tile only the nearest and the farthest candidate in size; that joins groups of
@@ -174,11 +175,31 @@ def _signs(common: np.ndarray):
     return run
 
 
+def least_overlap(n, m):
+    """The smallest overlap with which sets of these sizes link."""
+    return -(-FEWEST * (n + m) // (100 + FEWEST))
+
+
+def _needed(n: int, alone: int, ends: int, m: int, theirs: int, their_ends: int) -> int:
+    """How many prefix shingles two texts must share to link, by the one whose prefix ends first: all its other
+    prefix shingles are its own. 0 if sizes or shingles that no other text has rule the link out."""
+    if 100 * min(n, m) < FEWEST * max(n, m):
+        return 0
+    if ends == their_ends:
+        return 1
+    size, only = (n, alone) if ends < their_ends else (m, theirs)
+    least = least_overlap(n, m)
+    return max(1, least - size + prefix_length(size)) if size - only >= least else 0
+
+
+SMALL_TILE = 32  # rows of a tile compared one by one; larger ones go through arrays
+
+
 class _Band:
-    """Rows of one tile (root, __key, n, alone, ends), in growing columns sorted by n."""
+    """Rows of one large tile (root, __key, n, alone, ends), in growing columns sorted by n."""
 
-    def __init__(self):
-        self.used, self.rows = 0, np.zeros((5, 8), np.int64)
+    def __init__(self, rows: list[tuple]):
+        self.used, self.rows = len(rows), np.array(rows, np.int64).T.copy()
 
     def add(self, row: tuple) -> None:
         if self.used == self.rows.shape[1]:
@@ -186,34 +207,42 @@ class _Band:
         self.rows[:, self.used] = row
         self.used += 1
 
-    def partners(self, row: tuple) -> np.ndarray:
-        """Keys of earlier (smaller) texts of other components that may link with ``row``: sizes allow it, and the
-        one whose prefix ends first has not too many shingles that no other text has."""
+    def partners(self, row: tuple) -> list[tuple[int, int]]:
+        """(key, shared prefix shingles needed) of earlier, smaller texts of other components."""
         root, _, n, alone, ends = row
         first = int(np.searchsorted(100 * self.rows[2, :self.used], FEWEST * n))
         roots, keys, m, theirs, their_ends = self.rows[:, first:self.used]
-        most = np.where(ends < their_ends, n - alone, np.where(their_ends < ends, m - theirs, np.minimum(m, n)))
-        return keys[(roots != root) & links(np.minimum(most, np.minimum(m, n)), m, n)]
+        least = least_overlap(n, m)
+        own = ends < their_ends
+        size, only = np.where(own, n, m), np.where(own, alone, theirs)
+        need = np.where(ends == their_ends, 1, np.maximum(1, least - size + (size - -(-FEWEST * size // 100) + 1)))
+        hit = np.flatnonzero((roots != root) & ((ends == their_ends) | (size - only >= least)))
+        return list(zip(keys[hit].tolist(), need[hit].tolist()))
 
 
 def _band_pairs(every: bool):
-    """Pairs of texts that may link, from rows (token, root, __key, n, alone, ends) sorted by token and size: every
-    pair of a tile, or for each text only the nearest and the farthest in size."""
+    """Pairs (a, b, need) of texts that may link, from rows (token, root, __key, n, alone, ends) sorted by token and
+    size: every pair of a tile, or for each text only the nearest and the farthest in size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, band = None, _Band()
+        token, tile, band = None, [], None
         for batch in batches:
-            a, b = [], []
+            out: list[tuple[int, int, int]] = []
             for t, *row in zip(*(batch.column(c).to_pylist() for c in ("token", "root", "__key", "n", "alone", "ends"))):
                 if t != token:
-                    token, band = t, _Band()
-                if band.used:
+                    token, tile, band = t, [], None
+                if band is None and len(tile) == SMALL_TILE:
+                    band = _Band(tile)
+                if band is not None:
                     hit = band.partners(row)
-                    hit = hit if every or len(hit) < 3 else hit[[0, -1]]
-                    a += [row[1]] * len(hit)
-                    b += hit.tolist()
-                band.add(row)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    band.add(row)
+                else:
+                    hit = [(x[1], need) for x in tile if x[0] != row[0] and (need := _needed(*row[2:], *x[2:]))]
+                    tile.append(row)
+                if not every and len(hit) > 2:
+                    hit = [hit[0], hit[-1]]
+                out += [(min(row[1], k), max(row[1], k), need) for k, need in hit]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["a", "b", "need"])
 
     return run
 
@@ -255,8 +284,11 @@ def with_components(documents: DataFrame) -> DataFrame:
     def candidates(roots: DataFrame, every: bool) -> DataFrame:
         rows = (signs.join(roots, "__key", "left").select(F.coalesce("root", "__key").alias("root"), "__key", "n", "alone", "ends", F.explode("tokens").alias("token"))
                 .repartition(n_tasks, "token").sortWithinPartitions("token", "n", "__key"))
-        return (rows.mapInArrow(frugal(_band_pairs(every)), "a long, b long")
-                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        # A pair comes once from every tile the two share: their shared prefix shingles are counted. (Where only some
+        # pairs of a tile are tried, half as many will do.)
+        return (rows.mapInArrow(frugal(_band_pairs(every)), "a long, b long, need long")
+                .groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need"))
+                .filter("shared >= need" if every else "2 * shared >= need").select("a", "b"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         return (pairs.join(texts.select(F.col("__key").alias("b"), F.col("__z").alias("others")), "b")
