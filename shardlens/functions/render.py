@@ -153,7 +153,7 @@ def py_json(c: Column, dt: T.DataType, indent: int | None = None, level: int = 0
         out = _json_string(c)
     elif isinstance(dt, T.BooleanType):
         out = F.when(c, _lit("true")).otherwise(_lit("false"))
-    elif isinstance(dt, _INTEGRAL):
+    elif isinstance(dt, _INTEGRAL) or isinstance(dt, T.DecimalType) and dt.scale == 0:
         out = c.cast("string")
     elif isinstance(dt, _FLOATING):
         d = c.cast("double")

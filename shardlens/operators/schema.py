@@ -79,7 +79,7 @@ def schema_drift(spark: SparkSession, source: str) -> DataFrame:
 # Python type names a JSON/CSV value takes, by Spark type.
 _PY_TYPE_NAMES = [
     ("string", "str"), ("bigint", "int"), ("int", "int"), ("double", "float"), ("float", "float"),
-    ("boolean", "bool"), ("array", "list"), ("struct", "dict"), ("map", "dict"),
+    ("boolean", "bool"), ("decimal", "int"), ("array", "list"), ("struct", "dict"), ("map", "dict"),
 ]
 _VARIANT_TYPE_NAMES = [
     ("STRING", "str"), ("BIGINT", "int"), ("INT", "int"), ("DOUBLE", "float"), ("DECIMAL", "float"),

@@ -102,7 +102,11 @@ def parse_jsonl(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One JSON value per line; a bad line fails the read. ``keep``: further columns to carry."""
     # Parse once into its own column; the derived columns below reuse it (Catalyst
     # does not inline a non-trivial expression that is referenced several times).
-    parsed = lines.select(F.parse_json(F.col("__line")).alias("__v"), "__line", *HIDDEN, *keep)
+    # Parsed as the one item of a list, since the parser passes over what follows a value.
+    listed = F.parse_json(F.concat(F.lit("["), F.col("__line"), F.lit("]")))
+    parsed = lines.select(F.variant_get(listed, "$", "array<variant>").alias("__all"), "__line", *HIDDEN, *keep)
+    more = F.raise_error(F.concat(F.lit("more than one JSON value in a line of "), F.col("__path")))
+    parsed = parsed.select(F.when(F.size("__all") == 1, F.col("__all")[0]).otherwise(more).alias("__v"), "__line", *HIDDEN, *keep)
     v = F.col("__v")
     return parsed.select(_object_of(v).alias("__obj"), _keys_of(F.col("__line"), v).alias(KEYS_COL), *HIDDEN, *keep)
 
@@ -177,12 +181,12 @@ def variant_type_to_spark(type_text: str) -> T.DataType | None:
         return _SCALARS[t]
     m = re.fullmatch(r"DECIMAL\((\d+),\s*(\d+)\)", t)
     if m:
-        # JSON numbers with a fraction arrive as decimals; Python reads them as floats.
-        return T.DoubleType()
+        # JSON numbers with a fraction arrive as decimals; Python reads them as floats. Whole numbers stay whole.
+        return T.DecimalType(int(m[1]), 0) if int(m[2]) == 0 else T.DoubleType()
     if "VARIANT" in t:
         return None
     ddl = t.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
-    ddl = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", ddl)
+    ddl = re.sub(r"DECIMAL\(\d+,\s*[1-9]\d*\)", "DOUBLE", ddl)
     try:
         return T.DataType.fromDDL(ddl)
     except Exception:

@@ -156,6 +156,24 @@ def test_csv_rules(spark, tmp_path):
     assert rows == [("x", 'multi\nline "q"'), ("y", ""), ("z", ""), (None, "short")]
 
 
+def test_wide_integers_stay_whole(spark, tmp_path):
+    from shardlens.operators import search
+
+    p = str(tmp_path / "w.jsonl")
+    _write(p, '{"n": 12345678901234567890}\n{"n": 7}\n')
+    ds = open_dataset(spark, p)
+    assert [r["t"] for r in ds.base.select(render(F.col("n"), ds.schema["n"].dataType).alias("t")).collect()] == ["12345678901234567890", "7"]
+    assert search.search(ds, "12345678901234567890").count() == 1
+
+
+@pytest.mark.parametrize("line", ['{"a":1} {"a":2}', "[1] garbage", "1, 2"])
+def test_content_after_the_value_fails(spark, tmp_path, line):
+    p = str(tmp_path / "b.jsonl")
+    _write(p, '{"a": 1}\n' + line + "\n")
+    with pytest.raises(Exception):
+        open_dataset(spark, p).df.collect()
+
+
 def test_ragged_messages(spark, tmp_path):
     rows = [{"m": [{"from": "a", "value": "x"}, {"role": "b", "content": "y"}]}, {"m": [{"role": "c", "content": "z"}]},
             {"m": [{"from": "d"}, {"note": {"k": 1}}]}]
