@@ -246,8 +246,11 @@ def read_csv(spark: SparkSession, source: str, path_filter: Column | None = None
     names = reader().option("inferSchema", "false").csv(source).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
                           + [T.StructField(CSV_CORRUPT, T.StringType())])
-    raw = reader().option("columnNameOfCorruptRecord", CSV_CORRUPT).schema(schema).csv(source)
     header = _csv_header_names(spark, source, names)
+    # Columns go by place; a file among several whose header differs fails the read. (Spark can't compare headers
+    # that repeat a name.)
+    same = "false" if header == names else "true"
+    raw = reader().option("enforceSchema", same).option("columnNameOfCorruptRecord", CSV_CORRUPT).schema(schema).csv(source)
     keep: dict[str, str] = {}
     for actual, logical in zip(names, header):
         keep[logical] = actual  # later duplicates overwrite earlier ones

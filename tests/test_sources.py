@@ -339,6 +339,13 @@ def test_csv_header_names_as_written(spark, tmp_path):
     assert [tuple(r) for r in ds.df.collect()] == [("1", "2", "3")]
 
 
+def test_csv_files_with_other_headers_fail(spark, tmp_path):
+    _write(str(tmp_path / "c" / "a.csv"), "id,text\n1,hello\n")
+    _write(str(tmp_path / "c" / "b.csv"), "text,id\nworld,2\n")
+    with pytest.raises(Exception, match="FAILED_READ_FILE|header"):
+        open_dataset(spark, str(tmp_path / "c"), strict=False).df.collect()
+
+
 def test_csv_with_byte_order_mark(spark, tmp_path):
     p = str(tmp_path / "bom.csv")
     with open(p, "w", encoding="utf-8-sig") as fh:
