@@ -33,6 +33,8 @@ from shardlens.llm.common import frugal, kept, table, text_or_empty, written
 
 DOMAINS = ("good", "poor", "toxic")
 WEIGHTS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
+#: In the pipeline toxic documents are gone before: what still looks like one keeps the share it has.
+PIPELINE_WEIGHTS = {"good": 0.85, "poor": 0.15, "toxic": None}
 FIT_ROWS, BUCKETS = 6000, 1 << 14
 STEPS, SHRINK = 200, 1e-3
 PASSES, CLOSE = 80, 1e-6
@@ -123,12 +125,18 @@ def copies(rate: Column) -> Column:
     return F.floor(rate + u).cast("int")
 
 
-def fit_rates(rows: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> list[np.ndarray]:
-    """Gradient steps of the rates, from compact rows (__tokens, __posterior)."""
-    share = np.array([max(0.0, weights.get(d, 0.0)) for d in DOMAINS])
+def shares(weights: Mapping[str, float | None], present: np.ndarray) -> np.ndarray:
+    """Target shares: domains without a weight (None) keep the share present, the others divide the rest."""
+    kept_as_is = np.array([weights.get(d, 0.0) is None for d in DOMAINS])
+    share = np.array([max(0.0, weights.get(d, 0.0) or 0.0) for d in DOMAINS])
     if not share.sum() > 0:
         raise ValueError("no domain has a positive weight")
-    share, pairs = share / share.sum(), [(i, j) for i in range(len(DOMAINS)) for j in range(i, len(DOMAINS))]
+    return np.where(kept_as_is, present, share / share.sum() * (1 - present[kept_as_is].sum()))
+
+
+def fit_rates(rows: DataFrame, weights: Mapping[str, float | None] = WEIGHTS) -> list[np.ndarray]:
+    """Gradient steps of the rates, from compact rows (__tokens, __posterior)."""
+    share, pairs = None, [(i, j) for i in range(len(DOMAINS)) for j in range(i, len(DOMAINS))]
     p = [F.col("__posterior")[k] for k in range(len(DOMAINS))]
     t = F.col("__tokens")
     steps: list[np.ndarray] = []  # accepted ones
@@ -140,7 +148,9 @@ def fit_rates(rows: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> list[n
                        *[F.sum(active * p[i] * p[j]).alias(f"m{i}{j}") for i, j in pairs]).first()
         if not sums["all"]:
             return []
-        off = np.array([sums[f"e{k}"] for k in range(len(DOMAINS))]) / sums["all"] - share
+        reached = np.array([sums[f"e{k}"] for k in range(len(DOMAINS))]) / sums["all"]
+        share = shares(weights, reached) if share is None else share  # the first pass has rates of 1
+        off = reached - share
         if off @ off < best * (1 - 1e-9):
             steps, best, damping, gradient = trial, off @ off, max(damping / 8, 1e-9), off
             moments = np.zeros((len(DOMAINS), len(DOMAINS)))
@@ -154,7 +164,7 @@ def fit_rates(rows: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> list[n
     return steps
 
 
-def with_rates(documents: DataFrame, labels: DataFrame, columns: list[str], weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
+def with_rates(documents: DataFrame, labels: DataFrame, columns: list[str], weights: Mapping[str, float | None] = WEIGHTS) -> DataFrame:
     """``columns`` of all documents with tokens, posterior, rate and copies."""
     rows = kept(with_posteriors(documents, train(documents, labels), columns))
     return rows.withColumn("rate", rate(F.col("__posterior"), fit_rates(rows, weights))).withColumn("copies", copies(F.col("rate")))
@@ -169,7 +179,7 @@ def op1_soft_mixing(spark, sf_dir):
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document appears as often as its copies say (not at all for 0)."""
     weights = train(docs, table(spark, sf_dir, "labels"))
-    steps = fit_rates(kept(with_posteriors(docs, weights, ["doc_id"])))
+    steps = fit_rates(kept(with_posteriors(docs, weights, ["doc_id"])), PIPELINE_WEIGHTS)
     rows = with_posteriors(docs, weights, docs.columns)  # a second pass over the texts, so that they need not be kept
     return (rows.withColumn("__copies", copies(rate(F.col("__posterior"), steps))).filter("__copies > 0")
             .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns))

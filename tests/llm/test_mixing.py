@@ -40,6 +40,14 @@ def test_rates_match_a_dense_solver(spark):
     assert (got >= 0).all() and (got == 0).any() and reached(got) <= reached(r) + 1e-4
 
 
+def test_shares():
+    present = np.array([0.9, 0.08, 0.02])
+    assert np.allclose(mixing.shares({"good": 0.85, "poor": 0.15, "toxic": None}, present), [0.833, 0.147, 0.02])
+    assert np.allclose(mixing.shares({"good": 3, "poor": 1}, present), [0.75, 0.25, 0])
+    with pytest.raises(ValueError):
+        mixing.shares({"toxic": None}, present)
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0), (1, 0, 1), (None, 1, 1), (77, 1, 0), (2, None, 1)]])
 def test_odd_tables(spark, labels):
     docs = spark.createDataFrame([(1, "a b c", 5, "x"), (2, None, 5, "x"), (None, "", 5, "x"), (1, "word " * 40000, 5, "x")], "doc_id long, text string, __copy int, rate string")
@@ -54,6 +62,7 @@ def test_stage(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = mixing.mixed(spark, docs, sf)
     assert out.columns == docs.columns
-    copies = {r.doc_id: r.copies for r in mixing.op1_soft_mixing(spark, sf).collect()}
+    rows = mixing.with_rates(docs, spark.read.parquet(f"{sf}/labels.parquet"), ["doc_id"], mixing.PIPELINE_WEIGHTS)
+    copies = {r.doc_id: r.copies for r in rows.collect()}
     counts = dict(out.groupBy("doc_id").count().collect())
     assert counts == {k: n for k, n in copies.items() if n}
