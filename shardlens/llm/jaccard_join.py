@@ -300,7 +300,13 @@ def with_components(documents: DataFrame) -> DataFrame:
     near = kept(linked(tried))
     roots = components(near).select(F.col("node").alias("__key"), "root")
     rest = kept(linked(candidates(roots, every=True).join(tried, ["a", "b"], "left_anti")))
-    roots = components(near.union(rest)).select(F.col("node").alias("__key"), "root")
+    # The links of the second pass join components, so only those are looked at again.
+    end = lambda c: roots.select(F.col("__key").alias(c), F.col("root").alias(f"root_{c}"))
+    joined = (rest.join(end("a"), "a", "left").join(end("b"), "b", "left")
+              .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).distinct())
+    above = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    lone = above.select(F.col("root").alias("__key"), "root").join(roots.select("__key"), "__key", "left_anti")
+    roots = roots.unionByName(lone).join(above, "root", "left").select("__key", F.coalesce("top", "root").alias("root"))
     documents.sparkSession.sql(f"DROP TABLE {bucketed}")
 
     named = rows.join(roots, "__key", "left").withColumn("root", F.coalesce("root", "__key"))
