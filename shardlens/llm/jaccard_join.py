@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from shardlens.llm import rolling
 from shardlens.llm.common import frugal, kept, table, text_or_empty
 from shardlens.llm.components import components
-from shardlens.llm.passages import LAST, keyed, unkeyed, unpacked
+from shardlens.llm.passages import LAST, Unmet, keyed, unkeyed, unpacked
 
 WORDS = 5
 #: Links need FEWEST/100 of the union; other thresholds are asked for by parameter of the functions.
@@ -141,13 +141,16 @@ def _common_buckets(sets: DataFrame) -> np.ndarray:
 
 
 def _tokens(common: np.ndarray):
+    """Prefix shingles with their text key; a copy that the task has met sends none."""
     packed = np.packbits(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = np.unpackbits(packed).astype(bool)
+        late, unmet = np.unpackbits(packed).astype(bool), Unmet()
         for batch in batches:
             tokens, owners = [], []
             for key, text in zip(batch.column("__key").to_numpy(), batch.column("text")):
+                if not unmet(int(key)):
+                    continue
                 s = shingles(text.as_py().encode())
                 if len(s):
                     tokens.append(ordered(s, late)[:prefix_length(len(s))] >> np.uint64(16))
@@ -268,16 +271,20 @@ def with_components(documents: DataFrame) -> DataFrame:
     tile = W.partitionBy("token")
 
     # Prefix shingles that more than one text has, with the texts that have them: all that can link. The texts are
-    # kept in buckets of their key, so that the joins below do not shuffle them again.
+    # kept in buckets of their key, so that the joins below do not shuffle them again. Copies are one: of those in
+    # several tasks the sets of tokens are merged, and of the rows with the smallest id (or none) one is taken.
     common = _common_buckets(sets)
     prefix = plain.select("__key", "text").mapInArrow(frugal(_tokens(common)), "token long, __key long")
     shared = (prefix.withColumn("many", F.min("__key").over(tile) != F.max("__key").over(tile)).filter("many")
-              .groupBy("__key").agg(F.collect_list("token").alias("tokens")))
-    first = rows.groupBy("__key").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("__first"))
+              .groupBy("__key").agg(F.collect_set("token").alias("tokens")))
+    first = (rows.groupBy("__key", F.coalesce("doc_id", F.lit(LAST)).alias("__doc")).agg(F.count("*").alias("n"))
+             .groupBy("__key").agg(F.min(F.struct("__doc", "n")).alias("least"))
+             .select("__key", F.col("least.__doc").alias("__first"), (F.col("least.n") > 1).alias("__tied")))
     wanted = shared.join(first.hint("shuffle_hash"), "__key")
     bucketed = f"jaccard_texts_{uuid.uuid4().hex[:12]}"
-    (keyed(documents.select("doc_id", "text")).join(wanted.hint("shuffle_hash"), "__key").filter("NOT (__doc > __first)")
-     .select("__key", "__z", "tokens").write.bucketBy(n_tasks, "__key").format("parquet").saveAsTable(bucketed))
+    found = keyed(documents.select("doc_id", "text")).join(wanted.hint("shuffle_hash"), "__key").filter("NOT (__doc > __first)")
+    one = found.filter("__tied").select("__key", "__z", "tokens").dropDuplicates(["__key"])
+    (found.filter("NOT __tied").select("__key", "__z", "tokens").unionByName(one).write.bucketBy(n_tasks, "__key").format("parquet").saveAsTable(bucketed))
     texts = documents.sparkSession.table(bucketed)
     signs = kept(texts.mapInArrow(frugal(_signs(common)), "__key long, n long, alone long, ends long, tokens array<long>"))
 

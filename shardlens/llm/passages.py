@@ -64,6 +64,23 @@ def keyed(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(frugal(run), schema)
 
 
+class Unmet:
+    """Whether a key is new to the task. What it remembers is bounded, so a copy may pass again; what follows merges those."""
+
+    MOST = 200_000
+
+    def __init__(self):
+        self.met: set[int] = set()
+
+    def __call__(self, key: int) -> bool:
+        if key in self.met:
+            return False
+        if len(self.met) >= self.MOST:
+            self.met.clear()
+        self.met.add(key)
+        return True
+
+
 def unpacked(column: pa.Array) -> Iterator[bytes]:
     """The texts of a compressed column; null is empty."""
     import zstandard

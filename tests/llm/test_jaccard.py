@@ -100,3 +100,17 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (200, 300), (300, 200)] + [(1000, 1001 + i) for i in range(50)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert all(got[i] == 0 for i in range(41)) and got[95] == got[100] == 90 and got[300] == 200 and got[1050] == 1000 and len(got) == 41 + 3 + 2 + 51
+
+
+def test_copies_are_one(spark, monkeypatch):
+    """Of many copies, tied by id or not, one row and each shared shingle once go into the tiles."""
+    made = []
+    monkeypatch.setattr(J, "kept", lambda df, kept=J.kept: made.append(kept(df)) or made[-1])
+    words = [f"w{i}" for i in range(60)]
+    copy, near = " ".join(words), " ".join(words[:-1] + ["other"])
+    rows = [(None, copy)] * 40 + [(7, near)] * 30 + [(i, near) for i in range(8, 20)]
+    got = J.with_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "n_shingles", "component_id").collect()
+    assert collections.Counter(tuple(r) for r in got) == brute(rows)
+    signs = next(df for df in made if "tokens" in df.columns).collect()
+    assert len(signs) == len({r["__key"] for r in signs}) == 2
+    assert all(0 < len(r.tokens) == len(set(r.tokens)) <= J.prefix_length(r.n) for r in signs)
