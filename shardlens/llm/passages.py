@@ -4,12 +4,15 @@
    smallest gram hash in it. Only the hashes are shuffled.
 2. A window function per anchor keeps those that more than one text shows (or one text twice, where that counts).
 3. Those go back to their texts by text key; each text sends the *contexts* of its shared anchors: the units of the
-   windows in that group. Equal texts send theirs once.
-4. Contexts meet by anchor, sorted, and are worked on in bounded batches that end between anchors.
+   windows in that group. Equal texts send theirs once. An anchor of over ``CONTEXTS`` contexts is grouped one level
+   finer: each of its windows goes by its own hash, without content, and what a task finds repeated is settled there.
+4. Contexts meet by anchor, sorted, and are worked on in bounded batches that end between anchors. Windows of hot
+   anchors meet by hash, sorted by id; they stream past the first row of their group.
 5. Marked spans go back to the texts. Both joins use one and the same shuffle of the texts, which travel compressed.
 
 Only what has a shared anchor is moved with content, so the volume follows the repeated part of the corpus.
-Texts are keyed by a 64-bit hash; anchors have 48 bits, and a chance match only makes a context travel in vain.
+Texts are keyed by a 64-bit hash; anchors have 48 bits, and a chance match only makes a context travel in vain. Windows
+of hot anchors are equal if their anchor and 63 bits of their hash are.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ from shardlens.llm import rolling
 from shardlens.llm.common import frugal, text_or_empty
 
 LAST = (1 << 63) - 1  # documents without an id come after all others
-#: Contexts worked on at once; a batch ends at the next change of anchor.
+#: Contexts worked on at once; a batch ends at the next change of anchor. An anchor that has more is hot.
 CONTEXTS = 10_000
+WINDOWS = 500_000  # of hot anchors, looked at together in a task
 
 
 @dataclass(frozen=True)
@@ -103,46 +107,112 @@ def unkeyed(rows: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def _anchor_rows(rule: Rule):
+    """Anchors of a text with the number of their contexts; a copy that the task has met sends none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unmet = Unmet()
         for batch in batches:
             keys = batch.column("__key").to_numpy(zero_copy_only=False)
-            hashes, again, owners = [], [], []
+            hashes, again, owners, times = [], [], [], []
             for key, text in zip(keys, batch.column("text")):
+                if not unmet(int(key)):
+                    continue
                 units = rule.units(text.as_py().encode())
-                h = rolling.distinct(rolling.anchors(units, rule.gram, rule.window)[2])
+                every = np.sort(rolling.anchors(units, rule.gram, rule.window)[2])
+                h = rolling.distinct(every)
                 hashes.append(h)
                 owners.append(np.full(len(h), key))
+                times.append(np.diff(np.append(np.searchsorted(every, h), len(every))).astype(np.int32))
                 if rule.within:
                     again.append(rolling.repeated(units, rule.gram, h))
-            columns = [pa.array(np.concatenate(hashes)), pa.array(np.concatenate(owners))]
+            if not hashes:
+                continue
+            columns = [pa.array(np.concatenate(x)) for x in (hashes, owners, times)]
             if rule.within:
                 columns.append(pa.array(np.concatenate(again)))
-            yield pa.RecordBatch.from_arrays(columns, ["hash", "__key", "again"][:len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, ["hash", "__key", "times", "again"][:len(columns)])
 
     return run
 
 
 def shared_anchors(documents: DataFrame, rule: Rule) -> DataFrame:
-    """Per text key the hashes of its anchors that repeat."""
+    """Per text key the hashes of its anchors that repeat, and which of them are hot."""
     rows = (documents.select(F.xxhash64(text_or_empty()).alias("__key"), text_or_empty().alias("text"))
-            .mapInArrow(frugal(_anchor_rows(rule)), "hash long, __key long" + ", again boolean" * rule.within))
+            .mapInArrow(frugal(_anchor_rows(rule)), "hash long, __key long, times int" + ", again boolean" * rule.within))
     same = W.partitionBy("hash")
     repeats = (F.min("__key").over(same) != F.max("__key").over(same))
     if rule.within:
         repeats = repeats | F.col("again")
-    return (rows.withColumn("repeats", repeats).filter("repeats")
-            .groupBy("__key").agg(F.collect_set("hash").alias("hashes")))
+    return (rows.withColumn("repeats", repeats).withColumn("hot", F.sum("times").over(same) > CONTEXTS).filter("repeats")
+            .groupBy("__key").agg(F.collect_set("hash").alias("hashes"), F.collect_set(F.expr("CASE WHEN hot THEN hash END")).alias("hot")))
+
+
+COLUMNS = "hash long, __key long, __doc long, at int, more array<int>, window long, context binary"
+TOP = np.uint64(1 << 63)  # set in what windows of hot anchors meet by, not in anchors
+
+
+def _hot_rows(rule: Rule, key, doc, place, anchor, window) -> pa.RecordBatch:
+    """Windows (in the order of texts and places) of hot anchors as rows without content: those that a task's batch
+    shows to be repeated as spans, ``window`` being their negative length; and what other batches must know of, by
+    the hash of the window, ``window`` being its anchor."""
+    order = np.lexsort((doc, anchor, window))
+    begins = np.ones(len(order), bool)
+    begins[1:] = (window[order][1:] != window[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])
+    group = np.cumsum(begins) - 1
+    sure, asked = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    if rule.within:
+        sure[order] = np.bincount(group)[group] > 1
+        asked[order] = begins
+    else:
+        least = doc[order][begins][group]
+        sure[order] = doc[order] > least
+        asked = ~sure
+    at = np.flatnonzero(sure)
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) > 1) | (key[at][1:] != key[at][:-1]) | (np.diff(place[at]) != 1)
+    first, last = at[new], at[np.append(new[1:], True)[:len(at)]]
+    span = -(place[last] + rule.window - place[first])
+    met = np.concatenate([key[first].view(np.uint64), window[asked]]) | TOP
+    both = lambda x: np.concatenate([x[first], x[asked]])
+    n = len(met)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(met.view(np.int64)), pa.array(both(key)), pa.array(both(doc)), pa.array(both(place).astype(np.int32)), pa.nulls(n, pa.list_(pa.int32())),
+         pa.array(np.concatenate([span, anchor[asked]])), pa.nulls(n, pa.binary())], ["hash", "__key", "__doc", "at", "more", "window", "context"])
+
+
+def _known(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the hashes are among the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(hashes), bool)
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
 
 
 def _context_rows(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unmet = Unmet()  # of rows with one text and one id
         for batch in batches:
-            known = batch.column("hashes")
+            known, hot = batch.column("hashes"), batch.column("hot")
             ends, flat = known.offsets.to_numpy(), known.values.to_numpy()
+            hot_ends, hot_flat = hot.offsets.to_numpy(), hot.values.to_numpy()
+            windows: list[tuple[np.ndarray, ...]] = []
+            waiting = 0
             for i, raw in enumerate(unpacked(batch.column("__z"))):
-                at, n, h = rolling.anchors(rule.units(raw), rule.gram, rule.window)
-                own = np.sort(flat[ends[i]:ends[i + 1]])
-                use = own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h
+                if not unmet(batch.column("__key")[i].as_py()):
+                    continue
+                units = rule.units(raw)
+                at, n, h = rolling.anchors(units, rule.gram, rule.window)
+                use = _known(h, np.sort(flat[ends[i]:ends[i + 1]]))
+                many = _known(h, np.sort(hot_flat[hot_ends[i]:hot_ends[i + 1]]))
+                if many.any():
+                    size = n[many]
+                    place = np.repeat(at[many] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    own = [np.full(len(place), batch.column(c)[i].as_py()) for c in ("__key", "__doc")]
+                    windows.append((*own, place, np.repeat(h[many], size), rolling.grams(units, rule.window)[place] | TOP))
+                    waiting += len(place)
+                    if waiting >= WINDOWS:
+                        yield _hot_rows(rule, *map(np.concatenate, zip(*windows)))
+                        windows, waiting = [], 0
+                use &= ~many
                 at, stop, h = at[use], (at + n)[use] + rule.window - 1, h[use]
                 more = pa.nulls(len(h), pa.list_(pa.int32()))
                 if rule.words:
@@ -158,15 +228,28 @@ def _context_rows(rule: Rule):
                     more = pa.array([x[1:] or None for x in once.values()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h), pa.array(np.full(len(h), batch.column("__key")[i].as_py())),
-                     pa.array(np.full(len(h), batch.column("__doc")[i].as_py())), pa.array(at.astype(np.int32)), more, pa.array(parts, pa.binary())],
-                    ["hash", "__key", "__doc", "at", "more", "context"])
+                     pa.array(np.full(len(h), batch.column("__doc")[i].as_py())), pa.array(at.astype(np.int32)), more, pa.nulls(len(h), pa.int64()), pa.array(parts, pa.binary())],
+                    ["hash", "__key", "__doc", "at", "more", "window", "context"])
+            if windows:
+                yield _hot_rows(rule, *map(np.concatenate, zip(*windows)))
 
     return run
 
 
-def _by_anchor(work: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]]):
+def _spans(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(start << 32 | end)], ["__key", "span"])
+
+
+def _by_anchor(rule: Rule, work: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]]):
     """Batches of whole anchors from rows sorted by hash, given to ``work``; it returns the numbers of the rows it
-    marks, and where in their contexts the marks start and end."""
+    marks, and where in their contexts the marks start and end. Windows of hot anchors are settled as they pass."""
+
+    def settled(rows: np.ndarray) -> np.ndarray:
+        """Which of the windows (hash, window, __doc, ...; sorted) start elsewhere too."""
+        begins = np.ones(rows.shape[1], bool)
+        begins[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
+        group = np.cumsum(begins) - 1
+        return np.bincount(group)[group] > 1 if rule.within else rows[2] > rows[2, begins][group]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -178,11 +261,23 @@ def _by_anchor(work: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarr
             other = np.repeat(np.arange(len(row)), times_more(more))
             place = np.concatenate([table.column("at").to_numpy()[row], more.flatten().to_numpy(zero_copy_only=False)]).astype(np.int64)
             row, start, end = (np.concatenate([x, x[other]]) for x in (row, start, end))
-            span = (place + start << 32) | (place + end)
-            key = table.column("__key").to_numpy()[row]
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(span)], ["__key", "span"])
+            return _spans(table.column("__key").to_numpy()[row], place + start, place + end)
 
+        first = np.zeros((5, 0), np.int64)  # row of the last group of windows
         for batch in batches:
+            hot = batch.filter(batch.column("window").is_valid())
+            if hot.num_rows:
+                batch = batch.filter(batch.column("window").is_null())
+                known = np.array([hot.column(c).to_numpy() for c in ("hash", "window", "__doc", "__key", "at")], np.int64)
+                sure = known[:, known[1] < 0]
+                yield _spans(sure[3], sure[4], sure[4] - sure[1])
+                asked = np.concatenate([first, known[:, known[1] >= 0]], axis=1)
+                if asked.shape[1]:
+                    marks = asked[:, settled(asked)]
+                    yield _spans(marks[3], marks[4], marks[4] + rule.window)
+                    first = asked[:, (asked[:2] == asked[:2, -1:]).all(axis=0).argmax()][:, None]
+            if not batch.num_rows:
+                continue
             held.append(batch)
             rows += batch.num_rows
             if rows >= CONTEXTS:
@@ -210,10 +305,10 @@ def marked(documents: DataFrame, rule: Rule, work) -> DataFrame:
     wanted = shared_anchors(documents, rule).join(info.hint("shuffle_hash"), "__key")
     # (The filter is not an equality, which would become a join key and give this join a shuffle of its own.)
     contexts = (texts.join(wanted.hint("shuffle_hash"), "__key").filter("NOT (__doc > __first)")
-                .mapInArrow(frugal(_context_rows(rule)), "hash long, __key long, __doc long, at int, more array<int>, context binary"))
+                .mapInArrow(frugal(_context_rows(rule)), COLUMNS))
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = (contexts.repartition(n, "hash").sortWithinPartitions("hash")
-             .mapInArrow(frugal(_by_anchor(work), CONTEXTS), "__key long, span long"))
+    spans = (contexts.repartition(n, "hash").sortWithinPartitions("hash", "window", "__doc")
+             .mapInArrow(frugal(_by_anchor(rule, work), CONTEXTS), "__key long, span long"))
     found = spans.groupBy("__key").agg(F.collect_list("span").alias("__spans"))
     both = info.join(found, "__key", "left")
     return texts.join(both.hint("shuffle_hash"), "__key")

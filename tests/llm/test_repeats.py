@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from shardlens.llm import phrase_dedup, suffix_dedup
+from shardlens.llm import passages, phrase_dedup, suffix_dedup
 
 
 def awkward(seed):
@@ -130,3 +130,28 @@ def test_stage_keeps_columns_and_whole_characters(spark):
     rows = [(1, text, "en"), (2, text, "en"), (3, "x" + text + "yé", "de"), (4, None, None), (5, "", "fr")]
     out = {r.doc_id: r for r in suffix_dedup.without_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()}
     assert set(out) == {1, 3, 4, 5} and out[3].text == "xyé" and out[4].text is None and out[5].text == "" and out[3].lang == "de"
+
+
+@pytest.mark.parametrize("module, work, query, brute", [(suffix_dedup, "match", "remove_repeats", brute_bytes), (phrase_dedup, "locate", "remove_passages", brute_words)])
+@pytest.mark.parametrize("seed", range(2))
+def test_hot_anchors_are_bounded(spark, monkeypatch, module, work, query, brute, seed):
+    """A passage that many different texts share is never worked on as one group; the results stay whole."""
+    most, whole = 20, getattr(module, work)
+
+    def strict(table):
+        assert table.num_rows <= 3 * most
+        return whole(table)
+
+    monkeypatch.setattr(passages, "CONTEXTS", most)
+    monkeypatch.setattr(module, work, strict)
+    rnd = random.Random(seed)
+    prose = lambda n: " ".join(f"{rnd.randrange(10 ** 6):x}" for _ in range(n))
+    line, tied = prose(40), prose(50)
+    rows = [(rnd.choice([None, rnd.randrange(300)]), " ".join([prose(rnd.randint(0, 30)), line, prose(rnd.randint(0, 30))] * rnd.choice([1, 1, 1, 2]))) for _ in range(250)]
+    rows += [(None, tied)] * 100 + [(5, "x " + tied)] + awkward(seed)
+    out = getattr(module, query)(frame(spark, rows)).collect()
+    if brute is brute_bytes:
+        got = collections.Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept or b"").hexdigest()) for r in out)
+    else:
+        got = collections.Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256((r.kept or "").encode()).hexdigest()) for r in out)
+    assert got == brute(rows)
