@@ -1,10 +1,10 @@
 """Exact top-k search over binary codes by incremental multi-index hashing (operator 7); DataFrame functions only.
 
-A vector's code has a bit for each of its first 64 components: whether it is positive. Codes are cut into 4
-segments of 16 bits, each with its own index. Round by round the search radius of the segments grows: round s looks
-up all segment values that differ in exactly s bits from the query's. After it every code within 4s + 3 of the query
-has been seen (of 4 segments one differs in at most s bits), so a query is finished once its k-th verified distance
-is at most that; the others go on. Equal codes are one, with their k + 1 smallest ids (a result never needs more).
+A vector's code has a bit for each of its components: whether it is positive. It is kept in words of 64 bits, as many
+as the longest vector needs. Codes are cut into segments of 16 bits, 4 a word, each with its own index. Round by
+round the search radius of the segments grows: round s looks up all segment values that differ in exactly s bits from
+the query's. After it every code within m(s + 1) - 1 of the query has been seen (of m segments one differs in at most
+s bits), so a query is finished once its k-th verified distance is at most that; the others go on. Equal codes are one, with their k + 1 smallest ids (a result never needs more).
 
 Defined results: the neighbours of a query are the other rows by (distance, vec_id); a null vector has no code and is
 neither query nor neighbour; null and NaN components give bit 0, missing ones too; repeated ids are one row each
@@ -20,18 +20,25 @@ from pyspark.sql import functions as F
 from shardlens.llm.common import kept, table
 
 K, SEGMENTS, BITS = 10, 4, 16
+WORD = SEGMENTS * BITS
 EVERY = 100  # ids divisible by this are the queries
 SALTS = 64
 
 
-def code(embedding: Column) -> Column:
-    first = F.slice(embedding, 1, SEGMENTS * BITS)
+def code(embedding: Column, words: int) -> Column:
     positive = lambda x: F.coalesce((x > 0) & ~F.isnan(x), F.lit(False)).cast("long")
-    return F.aggregate(first, F.lit(0).cast("long"), lambda bits, x: F.shiftleft(bits, 1).bitwiseOR(positive(x)))
+    word = lambda w: F.aggregate(F.sequence(F.lit(w * WORD), F.lit(w * WORD + WORD - 1)), F.lit(0).cast("long"),
+                                 lambda bits, i: F.shiftleft(bits, 1).bitwiseOR(positive(F.get(embedding, i))))
+    return F.array(*[word(w) for w in range(words)])
 
 
-def _segments(codes: DataFrame, name: str) -> DataFrame:
-    parts = F.array(*[F.shiftrightunsigned(F.col(name), BITS * i).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")) for i in range(SEGMENTS)])
+def distance(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
+def _segments(codes: DataFrame, name: str, words: int) -> DataFrame:
+    parts = F.array(*[F.shiftrightunsigned(F.get(F.col(name), F.lit(w)), BITS * i).bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))
+                      for w in range(words) for i in range(SEGMENTS)])
     return codes.select(name, F.posexplode(parts).alias("segment", "value"))
 
 
@@ -46,25 +53,28 @@ def _smallest(rows: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, distance) for the rows of ``queries`` among ``vectors``; both have vec_id, embedding."""
     spark = vectors.sparkSession
-    known = vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", code(F.col("embedding")).alias("code")).distinct()
+    longest = vectors.select("embedding").unionByName(queries.select("embedding")).agg(F.max(F.size("embedding"))).first()[0]
+    words = max(1, -(-(longest or 0) // WORD))
+    segments = SEGMENTS * words
+    known = vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", code(F.col("embedding"), words).alias("code")).distinct()
     ids = _smallest(known, "code", ["vec_id"], k + 1)
     members = kept(ids.groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))  # k + 1 at most
-    index = kept(_segments(members.select("code"), "code").repartition("segment", "value"))
-    asked = queries.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").alias("query_id"), code(F.col("embedding")).alias("query")).distinct()
+    index = kept(_segments(members.select("code"), "code", words).repartition("segment", "value"))
+    asked = queries.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").alias("query_id"), code(F.col("embedding"), words).alias("query")).distinct()
     active = kept(asked.select("query").distinct())
     flips = spark.range(1 << BITS).select(F.col("id").alias("flip"), F.bit_count("id").alias("flipped"))  # 2^16 rows, always
 
     seen, answers = None, None
     for radius in range(BITS + 1):
-        mine = flips.filter(F.col("flipped") == radius).crossJoin(spark.range(SEGMENTS).select(F.col("id").cast("int").alias("segment")))
-        probes = _segments(active, "query").join(F.broadcast(mine), "segment").select("query", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+        mine = flips.filter(F.col("flipped") == radius).crossJoin(spark.range(segments).select(F.col("id").cast("int").alias("segment")))
+        probes = _segments(active, "query", words).join(F.broadcast(mine), "segment").select("query", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
         hits = probes.join(index, ["segment", "value"]).select("query", "code").distinct()
-        rows = hits.withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))))
+        rows = hits.withColumn("distance", distance(F.col("query"), F.col("code")))
         rows = rows.join(members, "code").select("query", "distance", F.explode("ids").alias("vec_id"))
         if seen is not None:
             rows = rows.unionByName(seen.join(active, "query", "left_semi"))
         best = kept(_smallest(rows.distinct(), "query", ["distance", "vec_id"], k + 1))
-        covered = SEGMENTS * (radius + 1) - 1
+        covered = segments * (radius + 1) - 1
         done = (best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
                 .filter(f"n > {k} AND far <= {covered}" if radius < BITS else "true").select("query"))
         part = best.join(done, "query", "left_semi")

@@ -99,3 +99,18 @@ def test_search_odd_vectors(spark):
     assert got == {(0, 1): (100, 63), (0, 2): (2, 64), (0, 3): (3, 64), (100, 1): (2, 1), (100, 2): (3, 1), (100, 3): (0, 63)}
     none = spark.createDataFrame([], SCHEMA)
     assert code_search.nearest(none, none).collect() == []
+
+
+def test_codes_are_as_long_as_the_vectors(spark):
+    """Vectors that differ beyond their 64th component only, and vectors of other lengths, whose missing components give 0."""
+    x = np.random.default_rng(8).standard_normal((150, 130)).astype(np.float32)
+    x[:, :64] = 1
+    length = [130 - i % 3 * 30 for i in range(150)]
+    rows = spark.createDataFrame([(i, x[i, :n].tolist(), 0, 0) for i, n in enumerate(length)], SCHEMA)
+    got = code_search.nearest(rows, rows.filter("vec_id < 3"), 5).collect()
+    bits = np.array([(x[i] > 0) & (np.arange(130) < n) for i, n in enumerate(length)])
+    want = set()
+    for q in range(3):
+        best = sorted((int((bits[q] != bits[i]).sum()), i) for i in range(150) if i != q)[:5]
+        want |= {(q, rank, i, d) for rank, (d, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
