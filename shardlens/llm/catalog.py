@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from shardlens.llm import bpe, code_search, html_text, jaccard_join, mixing, phrase_dedup, sharding, suffix_dedup, toxicity, vector_links
+from shardlens.llm import (bpe, code_search, html_text, jaccard_join, lexical_search, mixing, phrase_dedup, sharding, suffix_dedup, toxicity,
+                           vector_links)
 
 QUERIES = {
     "op1_soft_mixing": mixing.op1_soft_mixing,
@@ -15,10 +16,12 @@ QUERIES = {
     "op8_run_length_dedup": suffix_dedup.op8_run_length_dedup,
     "op9_collision_counting": vector_links.op9_collision_counting,
     "op10_size_banded_jaccard": jaccard_join.op10_size_banded_jaccard,
+    "op13_nra_search": lexical_search.op13_nra_search,
 }
 
 ORACLES = {
     "op6_rendezvous_sharding": sharding.ORACLE_SQL,
     "op7_multi_index_search": code_search.ORACLE_SQL,
     "op9_collision_counting": vector_links.ORACLE_SQL,
+    "op13_nra_search": lexical_search.ORACLE_SQL,
 }
