@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shardlens.llm import (bpe, code_search, html_text, jaccard_join, lexical_search, mixing, phrase_dedup, sharding, suffix_dedup, toxicity,
+from shardlens.llm import (bpe, code_search, collocations, html_text, jaccard_join, lexical_search, mixing, phrase_dedup, sharding, suffix_dedup, toxicity,
                            vector_links)
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_run_length_dedup": suffix_dedup.op8_run_length_dedup,
     "op9_collision_counting": vector_links.op9_collision_counting,
     "op10_size_banded_jaccard": jaccard_join.op10_size_banded_jaccard,
+    "op11_trie_collocations": collocations.op11_trie_collocations,
     "op13_nra_search": lexical_search.op13_nra_search,
 }
 
@@ -23,5 +24,6 @@ ORACLES = {
     "op6_rendezvous_sharding": sharding.ORACLE_SQL,
     "op7_multi_index_search": code_search.ORACLE_SQL,
     "op9_collision_counting": vector_links.ORACLE_SQL,
+    "op11_trie_collocations": collocations.ORACLE_SQL,
     "op13_nra_search": lexical_search.ORACLE_SQL,
 }
