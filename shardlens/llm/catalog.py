@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from shardlens.llm import (bpe, code_search, collocations, html_text, jaccard_join, lexical_search, mixing, phrase_dedup, sharding, suffix_dedup, toxicity,
-                           vector_links)
+from shardlens.llm import (bpe, code_search, collocations, html_text, jaccard_join, lexical_search, mixing, phrase_dedup,
+                           quality_outliers, sharding, suffix_dedup, toxicity, vector_links)
 
 QUERIES = {
     "op1_soft_mixing": mixing.op1_soft_mixing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_collision_counting": vector_links.op9_collision_counting,
     "op10_size_banded_jaccard": jaccard_join.op10_size_banded_jaccard,
     "op11_trie_collocations": collocations.op11_trie_collocations,
+    "op12_mcd_outliers": quality_outliers.op12_mcd_outliers,
     "op13_nra_search": lexical_search.op13_nra_search,
 }
 

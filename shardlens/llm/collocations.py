@@ -467,19 +467,18 @@ def op11_trie_collocations(spark, sf_dir):
 
 
 _PIECES = r"""string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')"""
-_GRAMS = " UNION ALL ".join(
-    f"SELECT lang, {k} AS words, unnest(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS phrase FROM w"
-    for k in range(1, LEVELS + 1))
 ORACLE_SQL = f"""
-WITH p AS (SELECT coalesce(lang, '{UNKNOWN}') AS lang, unnest({_PIECES}) AS piece FROM documents),
-w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
-f AS (SELECT lang, words, phrase, count(*)::bigint AS n FROM ({_GRAMS}) GROUP BY ALL),
+WITH p AS (SELECT lang, row_number() OVER () AS id, piece FROM (SELECT coalesce(lang, '{UNKNOWN}') AS lang, unnest({_PIECES}) AS piece FROM documents)),
+w AS (SELECT lang, id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT lang, id, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p)),
+g AS (SELECT lang, w, w || ' ' || lead(w) OVER o AS ww, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS www FROM w WINDOW o AS (PARTITION BY id ORDER BY i)),
+f AS (SELECT lang, words, phrase, count(*)::bigint AS n FROM (SELECT lang, 1 AS words, w AS phrase FROM g UNION ALL SELECT lang, 2, ww FROM g UNION ALL SELECT lang, 3, www FROM g)
+      WHERE phrase IS NOT NULL GROUP BY ALL),
 total AS (SELECT lang, sum(n)::bigint AS n FROM f WHERE words = 1 GROUP BY lang),
 c AS (SELECT lang, words, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND n >= {LEAST}),
 cut AS (SELECT lang, phrase, words, a, unnest(range(1, words)) AS k, w FROM c),
-scored AS (SELECT cut.*, h.n AS l, t.n AS r, ((1000000 * a::hugeint * a) // (h.n::hugeint * t.n))::bigint AS score FROM cut
-           JOIN f h ON h.lang = cut.lang AND h.phrase = array_to_string(cut.w[1:k], ' ')
-           JOIN f t ON t.lang = cut.lang AND t.phrase = array_to_string(cut.w[k + 1:], ' ')),
+heads AS MATERIALIZED (SELECT cut.*, f.n AS l FROM cut JOIN f ON f.lang = cut.lang AND f.phrase = array_to_string(cut.w[1:k], ' ')),
+scored AS (SELECT h.*, f.n AS r, ((1000000 * a::hugeint * a) // (l::hugeint * f.n))::bigint AS score
+           FROM heads h JOIN f ON f.lang = h.lang AND f.phrase = array_to_string(h.w[k + 1:], ' ')),
 low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 longer AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, a, array_to_string(w[i:i + 1], ' ') AS phrase FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE words = 3)) GROUP BY ALL),
 kept AS (SELECT low.* FROM low LEFT JOIN longer g USING (lang, phrase) WHERE g.a IS NULL OR 100 * g.a < {COVERED} * low.a),
