@@ -3,14 +3,14 @@
 A phrase is a word sequence inside one piece of a text, counted per language. Mining is Apriori's: a phrase can only be
 frequent if its parts are.
 
-1. *Bounds.* For each level (1, 2, 3 words) every task hashes the phrases of its texts whose parts may both be
+1. *Bounds.* Level by level (1 and 2 words in one pass, then 3) every task hashes the phrases of its texts whose parts may both be
    frequent, and Spark sums the hashes. A sum bounds the count of each phrase with that hash from above. The hashes
    that reach the least count become a bitmap of at most ``2 ** BITS`` bits, the filter of the next level and of step 2.
 2. *Candidates.* Phrases that pass the bitmaps of their level, their parts too, are gathered once each. Chance hits
    make them more than needed, never fewer.
 3. *Counts.* Candidates are dealt by hash into shards of about ``PHRASES`` phrases. A task builds each shard's trie as a
-   double array (``base``, ``check``) over the words' numbers, three bytes each. Shard by shard the trie is broadcast
-   (its size is bounded by ``PHRASES``, whatever the corpus) and every task moves the states of all positions of its
+   double array (``base``, ``check``) over the words' numbers, three bytes each. A few shards at a time the tries are broadcast
+   (their size is bounded by ``PHRASES``, whatever the corpus) and every task moves the states of all positions of its
    texts at once, level by level, in numpy; states that accept are counted with bincount. Spark sums the counts; only these
    counts say what is frequent and enter the scores.
 
@@ -38,51 +38,49 @@ from pyspark.sql import functions as F
 
 from shardlens.llm.common import frugal, kept, table, written
 
-LEVELS, LEAST, FIRST, COVERED = 3, 10, 2000, 50
+LEVELS, AT_ONCE = 3, [(1, 2), (3, 3)]  # levels whose bounds are found in one pass: most pairs consist of frequent words anyway
+LEAST, FIRST, COVERED = 10, 2000, 50
 UNKNOWN = "und"
 BITS, BITS_EACH = 27, 128  # a bitmap has 128 bits for each frequent hash, and 2 ** 27 (16 MB) at most
-PHRASES = 1 << 20
-CHUNK = 4 << 20
+PHRASES, TOGETHER = 1 << 18, 8  # phrases a trie, tries counted in one pass
+CHUNK = 8 << 20
 DIGITS, DIGIT = 3, 8  # a word's number is three digits of eight bits in the trie
 # Bytes that end a piece, bytes that end a word; A-Z are lower-cased.
 ENDS_PIECE, ENDS_WORD = b".,;:!?\n\x0b\x0c\r", b" \t"
-CLASS = np.zeros(256, np.uint8)
-CLASS[list(ENDS_WORD)], CLASS[list(ENDS_PIECE)] = 1, 2
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+CLASS = bytes(1 if b in ENDS_WORD else 2 if b in ENDS_PIECE else 0 for b in range(256))
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+LONG_WORD = 128
 
 
 # ------------------------------------------------------------------ words of a chunk of texts
 
 class Words:
-    """The words of some texts: their number among the different words, their piece, their text's language."""
+    """The words of some texts: their bytes, their piece, their text's language."""
 
     def __init__(self, texts: pa.LargeBinaryArray, languages: pa.StringArray):
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1].copy() if len(texts) else np.zeros(1, np.int64)
         first, last = int(offsets[0]), int(offsets[-1])
-        data = np.frombuffer(texts.buffers()[2], np.uint8)[first:last] if last > first else np.zeros(0, np.uint8)
+        data = texts.buffers()[2].slice(first, last - first).to_pybytes() if last > first else b""
         offsets -= first
-        kind = CLASS[data]
+        kind = np.frombuffer(data.translate(CLASS), np.uint8)
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
-        word = np.r_[kind == 0, False]
-        before = np.r_[False, word[:-1]]
-        starts = np.flatnonzero(word & (edge | ~before))
-        ends = np.flatnonzero(before & (edge | ~word))
-        ends = ends[: len(starts)]
-        cuts = np.cumsum(np.r_[kind == 2, False] | edge, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
-        self.piece = cuts[starts]
-        plain = LOWER[data[kind == 0]]
-        lengths = np.r_[0, np.cumsum(ends - starts)]
-        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(lengths.astype(np.int64)), pa.py_buffer(plain)])
-        coded = packed.dictionary_encode()
-        self.ids, self.known = np.asarray(coded.indices).astype(np.int64), coded.dictionary
+        word = np.zeros(len(data) + 1, bool)
+        word[:-1] = kind == 0
+        before = np.zeros(len(data) + 1, bool)
+        before[1:] = word[:-1]
+        self.starts = np.flatnonzero(word & (edge | ~before))
+        self.lengths = np.flatnonzero(before & (edge | ~word)) - self.starts
+        text = np.searchsorted(offsets, self.starts, side="right") - 1
+        edge[:-1] |= kind == 2
+        self.piece = np.cumsum(edge, dtype=np.int32 if len(data) < 1 << 31 else np.int64)[self.starts]
+        self.data = data.translate(LOWER) + bytes(8)
+        self._known = None
         tongues = languages.dictionary_encode()
-        text = np.searchsorted(offsets, starts, side="right") - 1
-        self.language, self.languages = np.asarray(tongues.indices)[text].astype(np.int64), tongues.dictionary.to_pylist()
+        self.language, self.languages = np.asarray(tongues.indices).astype(np.int64)[text], tongues.dictionary.to_pylist()
 
     def __len__(self) -> int:
-        return len(self.ids)
+        return len(self.starts)
 
     def together(self, words: int) -> np.ndarray:
         """For each position, whether a phrase of so many words starts there."""
@@ -91,10 +89,39 @@ class Words:
             out[: len(self) - words + 1] = self.piece[words - 1:] == self.piece[: len(self) - words + 1]
         return out
 
+    def bytes_of(self, at: np.ndarray) -> pa.LargeBinaryArray:
+        """The words at these positions."""
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        place = np.arange(int(ends[-1]) if len(at) else 0) + np.repeat(self.starts[at] - (ends - lengths), lengths)
+        packed = np.frombuffer(self.data, np.uint8)[place]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(packed)])
+
+    def known(self) -> pa.DictionaryArray:
+        """All words, each as its number among the different ones."""
+        if self._known is None:
+            self._known = self.bytes_of(np.arange(len(self))).dictionary_encode()
+        return self._known
+
     def phrases(self, at: np.ndarray, words: int) -> pa.Array:
-        parts = [pc.cast(self.known.take(pa.array(self.ids[at + i])), pa.large_string()) for i in range(words)]
+        parts = [pc.cast(self.bytes_of(at + i), pa.large_string()) for i in range(words)]
         return parts[0] if words == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
 
+    def hashes(self) -> np.ndarray:
+        """A hash of each word, eight bytes at a time; of long ones, by the library."""
+        blocks = np.ndarray(len(self.data) - 7, "<u8", self.data, strides=(1,))
+        out = self.lengths.astype(np.uint64)
+        for k in range(0, LONG_WORD, 8):
+            at = np.flatnonzero(self.lengths > k)
+            if len(at) == 0:
+                break
+            left = np.minimum(self.lengths[at] - k, 8).astype(np.uint64)
+            block = blocks[self.starts[at] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+            out[at] = _mixed(out[at], block)
+        for i in np.flatnonzero(self.lengths > LONG_WORD):
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.starts[i]:self.starts[i] + self.lengths[i]])
+        return out
+
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     """Rows (lang, text) as words, about ``CHUNK`` bytes of whole texts at a time."""
@@ -149,9 +176,8 @@ class Bitmap:
 
 def frequent(words: Words, bitmaps: list[Bitmap], levels: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Level by level: where phrases start that pass the bitmaps there are, their parts too, and their hashes."""
-    own = np.array([xxhash.xxh3_64_intdigest(w) for w in words.known.to_pylist()], np.uint64)
+    symbol = words.hashes()
     tongue = np.array([xxhash.xxh3_64_intdigest(w.encode(), seed=1) for w in words.languages], np.uint64)
-    symbol = own[words.ids] if len(words) else np.zeros(0, np.uint64)
     state = tongue[words.language] if len(words) else np.zeros(0, np.uint64)
     able = np.ones(len(words), bool)
     for k in range(1, levels + 1):
@@ -166,22 +192,23 @@ def frequent(words: Words, bitmaps: list[Bitmap], levels: int) -> Iterator[tuple
         yield starts, state[starts]
 
 
-def bounds(texts: DataFrame, bitmaps: list[Bitmap], level: int) -> DataFrame:
-    """Hashes of ``level`` words whose occurrences reach ``LEAST``."""
+def bounds(texts: DataFrame, bitmaps: list[Bitmap], levels: int) -> DataFrame:
+    """(level, hash): the hashes of levels ``len(bitmaps) + 1`` to ``levels`` whose occurrences reach ``LEAST``."""
     shared = texts.sparkSession.sparkContext.broadcast(bitmaps)  # 2 ** BITS bits a level at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in chunks(batches):
-            *_, (_, hashes) = frequent(words, shared.value, level)
-            found, times = np.unique(hashes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times, pa.int64())], ["hash", "times"])
+            for k, (_, hashes) in enumerate(frequent(words, shared.value, levels), 1):
+                if k > len(shared.value):
+                    found, times = np.unique(hashes, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), k, np.int32)), pa.array(found.view(np.int64)), pa.array(times, pa.int64())],
+                                                     ["level", "hash", "times"])
 
-    return (texts.mapInArrow(frugal(run), "hash long, times long").groupBy("hash").agg(F.sum("times").alias("times"))
-            .filter(F.col("times") >= LEAST).select("hash"))
+    return (texts.mapInArrow(frugal(run), "level int, hash long, times long").groupBy("level", "hash").agg(F.sum("times").alias("times"))
+            .filter(F.col("times") >= LEAST).select("level", "hash"))
 
 
 def bitmap_of(hashes: DataFrame) -> Bitmap:
-    hashes = kept(hashes)
     width = min(BITS, max(16, (hashes.count() * BITS_EACH).bit_length()))
     place = F.shiftrightunsigned("hash", 64 - width) + 1  # buckets count from place 1
     parts = (hashes.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket"))
@@ -341,9 +368,9 @@ class Trie:
         """The states that the positions of ``words`` are in after the language, one word, two words, …"""
         number = {t: i for i, t in enumerate(self.languages)}
         tongue = np.array([number.get(t, -1) for t in words.languages], np.int64)[words.language] if len(words) else np.zeros(0, np.int64)
-        known = pc.index_in(words.known, value_set=self.words)
-        own = np.asarray(pc.fill_null(known, -1)).astype(np.int64)
-        symbol = own[words.ids] if len(words) else np.zeros(0, np.int64)
+        known = words.known()
+        own = np.asarray(pc.fill_null(pc.index_in(known.dictionary, value_set=self.words), -1)).astype(np.int64)
+        symbol = own[np.asarray(known.indices)] if len(words) else np.zeros(0, np.int64)
         at = np.flatnonzero(tongue >= 0)
         states = np.zeros(len(at), np.int64)
         for d in digits_of(tongue[at]):
@@ -398,29 +425,32 @@ def counts(texts: DataFrame, found: DataFrame) -> DataFrame:
     found = written(found.withColumn("number", number.cast("int")), "numbered-phrases")
     tries = written(tries_of(found), "tries")
     parts = []
-    for shard in range(shards):
-        row = tries.filter(F.col("shard") == shard).first()
-        if row is None:
-            continue
-        shared = spark.sparkContext.broadcast(tuple(row)[1:])
+    for low in range(0, shards, TOGETHER):
+        rows = [tries.filter(F.col("shard") == shard).first() for shard in range(low, min(shards, low + TOGETHER))]
+        shared = [spark.sparkContext.broadcast(tuple(row)) for row in rows if row is not None]
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            trie = _unpack(*shared.value)
-            accepts = np.full(len(trie.array.base), -1, np.int32)
-            accepts[trie.ends] = np.arange(len(trie.ends))
-            times = np.zeros(len(trie.ends), np.int64)
+            tries = [(b.value[0], _unpack(*b.value[1:])) for b in shared]
+            times = [np.zeros(len(trie.ends), np.int64) for _, trie in tries]
+            accepts = []
+            for _, trie in tries:
+                accepts.append(np.full(len(trie.array.base), -1, np.int32))
+                accepts[-1][trie.ends] = np.arange(len(trie.ends))
             for words in chunks(batches):
-                for states in trie.visits(words):
-                    own = accepts[states]
-                    times += np.bincount(own[own >= 0], minlength=len(times))
-            at = np.flatnonzero(times)
-            for i in range(0, len(at), 100_000):
-                part = at[i:i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(times[part])], ["number", "times"])
-
-        parts.append(kept(texts.mapInArrow(frugal(run), "number int, times long").groupBy("number").agg(F.sum("times").alias("n"))
-                          .withColumn("shard", F.lit(shard))))
-        shared.destroy()
+                for (_, trie), accepted, sums in zip(tries, accepts, times):
+                    for states in trie.visits(words):
+                        own = accepted[states]
+                        sums += np.bincount(own[own >= 0], minlength=len(sums))
+            for (shard, _), sums in zip(tries, times):
+                at = np.flatnonzero(sums)
+                for i in range(0, len(at), 100_000):
+                    part = at[i:i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), shard, np.int32)), pa.array(part.astype(np.int32)), pa.array(sums[part])],
+                                                     ["shard", "number", "times"])
+
+        parts.append(kept(texts.mapInArrow(frugal(run), "shard int, number int, times long").groupBy("shard", "number").agg(F.sum("times").alias("n"))))
+        for b in shared:
+            b.destroy()
     sums = parts[0]
     for part in parts[1:]:
         sums = sums.unionByName(part)
@@ -434,8 +464,9 @@ def collocations(documents: DataFrame, first: int = FIRST) -> DataFrame:
     spark = documents.sparkSession
     texts = texts_of(documents)
     bitmaps: list[Bitmap] = []
-    for level in range(1, LEVELS + 1):
-        bitmaps.append(bitmap_of(bounds(texts, bitmaps, level)))
+    for first_level, last in AT_ONCE:
+        passed = kept(bounds(texts, bitmaps, last))
+        bitmaps += [bitmap_of(passed.filter(F.col("level") == k)) for k in range(first_level, last + 1)]
     found = candidates(texts, bitmaps)
     if not bitmaps[0].bits.any():
         return spark.createDataFrame([], "lang string, rank int, phrase string, a long, l long, r long, n long, score long")
