@@ -12,7 +12,7 @@ of its language and source: the Mahalanobis distance to the minimum-covariance-d
 The estimate is found by concentration steps over all rows, none sampled: distances to the present estimate are binned,
 the bins that hold the closest ``SHARE`` of a group are summed into the next estimate. There are two starts, both
 deterministic (medians with absolute deviations, spatial signs); after ``TRIED`` steps the one with the smaller
-determinant goes on until no sum changes. Vectors are whole numbers in units of ``1 / SCALE``, so sums are exact and do not
+determinant goes on while it falls (by ``EASE`` of its logarithm at least). Vectors are whole numbers in units of ``1 / SCALE``, so sums are exact and do not
 depend on the order of the rows. Sums and histograms are aggregated in Spark, map-side first, so a hot source costs no
 more than any other; numpy only inverts the small matrix of each group. ``FLOOR`` is added to each spread: most groups have
 texts without any symbol.
@@ -45,8 +45,8 @@ EXTRA_LINES = 5
 FLOOR = (0.05, 0.05, 0.1, 0.1)
 P = len(FLOOR)
 SHARE, SURE, LEAST = 0.75, 1 - 1e-6, 50
-SCALE, SIGN_SCALE, BINS = 4096, 1024, 64
-TRIED, MOST_STEPS = 2, 25
+SCALE, SIGN_SCALE, BINS = 4096, 1024, 32
+TRIED, MOST_STEPS, EASE = 2, 25, 1e-3
 # White space, the symbols that are counted, and the bytes that continue a character.
 SPACE, SYMBOLS, CONTINUING = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(0x80, 0xC0))
 
@@ -134,21 +134,7 @@ def invert(mean: np.ndarray, spread: np.ndarray) -> tuple[list[float], list[floa
     return mean.tolist(), [float((inverse[i, j] + inverse[j, i]) / 2) for i, j in PAIRS], float(np.linalg.slogdet(whole)[1])
 
 
-STATE = "key string, start int, n long, sums array<long>, mean array<double>, inverse array<double>, size double"
-
-
-def _estimates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums of the closest rows of each group as its next estimate."""
-    for b in batches:
-        out = []
-        for r in b.itertuples():
-            sums = np.array(r.sums, np.float64)
-            mean = sums[:P] / r.n / SCALE
-            spread = np.zeros((P, P))
-            for (i, j), s in zip(PAIRS, sums[P:]):
-                spread[i, j] = spread[j, i] = s / r.n / SCALE ** 2 - mean[i] * mean[j]
-            out.append((r.key, r.start, r.n, list(r.sums), *invert(mean, spread)))
-        yield pd.DataFrame(out, columns=["key", "start", "n", "sums", "mean", "inverse", "size"])
+STATE = "key string, start int, n long, mean array<double>, inverse array<double>, size double"
 
 
 def distance(mean: str = "mean", inverse: str = "inverse") -> Column:
@@ -161,23 +147,29 @@ def distance(mean: str = "mean", inverse: str = "inverse") -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def _middle(rows: DataFrame, columns: list[Column]) -> DataFrame:
-    """(key, i, middle): the lower median of each column in each group, from histograms of whole numbers."""
-    each = rows.select("key", F.posexplode(F.array(*columns)).alias("i", "value")).groupBy("key", "i", "value").agg(F.count(F.lit(1)).alias("n"))
-    up, group = W.partitionBy("key", "i").orderBy("value"), W.partitionBy("key", "i")
-    each = each.withColumn("upto", F.sum("n").over(up)).withColumn("all", F.sum("n").over(group))
-    return each.filter(2 * F.col("upto") >= F.col("all")).groupBy("key", "i").agg(F.min("value").alias("middle"))
+def _middle(values: np.ndarray, times: np.ndarray) -> float:
+    """The lower median of a histogram."""
+    order = np.argsort(values, kind="stable")
+    return values[order][np.searchsorted(2 * np.cumsum(times[order]), times.sum())]
 
 
-def _wide(middles: DataFrame, name: str) -> DataFrame:
-    return middles.groupBy("key").agg(*[F.max(F.when(F.col("i") == i, F.col("middle"))).alias(f"{name}{i}") for i in range(P)])
+def _middles(histogram: pd.DataFrame) -> pd.DataFrame:
+    """Medians and median absolute deviations of one group, from the histograms of its components."""
+    row = {"key": histogram["key"].iloc[0]}
+    for i, part in histogram.groupby("i"):
+        values, times = part["value"].to_numpy(), part["n"].to_numpy()
+        row[f"m{i}"] = int(_middle(values, times))
+        row[f"s{i}"] = int(_middle(np.abs(values - row[f"m{i}"]), times))
+    return pd.DataFrame([row])
 
 
 def starts(rows: DataFrame) -> DataFrame:
     """Two estimates to start from: medians with absolute deviations; medians with the covariance of spatial signs."""
-    medians = kept(_wide(_middle(rows, [F.col(f"z{i}") for i in range(P)]), "m"))
-    centred = rows.join(medians, "key").select("key", *[(F.col(f"z{i}") - F.col(f"m{i}")).alias(f"o{i}") for i in range(P)])
-    spreads = _wide(_middle(centred, [F.abs(F.col(f"o{i}")) for i in range(P)]), "s")
+    each = rows.select("key", F.posexplode(F.array(*[f"z{i}" for i in range(P)])).alias("i", "value"))
+    histogram = each.groupBy("key", "i", "value").agg(F.count(F.lit(1)).alias("n"))  # whole numbers in a fixed range
+    schema = "key string, " + ", ".join(f"{c}{i} long" for i in range(P) for c in "ms")
+    middles = kept(histogram.groupBy("key").applyInPandas(lambda h: _middles(h)[[f.strip().split(" ")[0] for f in schema.split(",")]], schema))
+    centred = rows.join(middles, "key").select("key", *[(F.col(f"z{i}") - F.col(f"m{i}")).alias(f"o{i}") for i in range(P)])
     length = F.sqrt(sum((F.col(f"o{i}").cast("double") * F.col(f"o{i}") for i in range(P)), F.lit(0.0)))
     sign = [F.when(length > 0, F.round(F.col(f"o{i}") / length * SIGN_SCALE)).otherwise(0).cast("long") for i in range(P)]
     signs = (centred.select("key", *[s.alias(f"u{i}") for i, s in enumerate(sign)]).groupBy("key")
@@ -193,24 +185,34 @@ def starts(rows: DataFrame) -> DataFrame:
                 for (i, j), s in zip(PAIRS, r.signs):
                     shape[i, j] = shape[j, i] = s
                 shape *= wide.sum() / max(np.trace(shape), 1)
-                out += [(r.key, 0, 0, [], *invert(mean, np.diag(wide))), (r.key, 1, 0, [], *invert(mean, shape))]
-            yield pd.DataFrame(out, columns=["key", "start", "n", "sums", "mean", "inverse", "size"])
+                out += [(r.key, 0, 0, *invert(mean, np.diag(wide))), (r.key, 1, 0, *invert(mean, shape))]
+            yield pd.DataFrame(out, columns=["key", "start", "n", "mean", "inverse", "size"])
+
+    return middles.join(signs, "key").mapInPandas(first, STATE)
+
 
-    return medians.join(spreads, "key").join(signs, "key").mapInPandas(first, STATE)
+def _closest(bins: pd.DataFrame) -> pd.DataFrame:
+    """The next estimate of one group: the sums of the closest bins that hold ``SHARE`` of its rows."""
+    bins = bins.sort_values("bin")
+    upto = bins["n"].cumsum().to_numpy()
+    edge = int(np.searchsorted(upto, math.ceil(SHARE * upto[-1])))
+    n = int(upto[edge])
+    sums = [int(bins[f"a{k}"].iloc[:edge + 1].sum()) for k in range(P + len(PAIRS))]
+    mean = np.array(sums[:P], np.float64) / n / SCALE
+    spread = np.zeros((P, P))
+    for (i, j), s in zip(PAIRS, sums[P:]):
+        spread[i, j] = spread[j, i] = s / n / SCALE ** 2 - mean[i] * mean[j]
+    return pd.DataFrame([(bins["key"].iloc[0], bins["start"].iloc[0], n, *invert(mean, spread))], columns=["key", "start", "n", "mean", "inverse", "size"])
 
 
 def concentrated(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """The estimates from the rows closest to the present ones."""
+    """The estimates from the rows closest to the present ones. Rows are summed by bins of their distance, map-side
+    first; a group has a few hundred bins, whatever its rows."""
     bins = F.floor(F.log(distance() + 1e-12) * BINS)
     placed = rows.join(state.select("key", "start", "mean", "inverse"), "key").select("key", "start", *[f"z{i}" for i in range(P)], bins.alias("bin"))
-    histogram = placed.groupBy("key", "start", "bin").agg(F.count(F.lit(1)).alias("n"))  # a few thousand bins a group
-    up, group = W.partitionBy("key", "start").orderBy("bin"), W.partitionBy("key", "start")
-    edge = (histogram.withColumn("upto", F.sum("n").over(up)).withColumn("all", F.sum("n").over(group))
-            .filter(F.col("upto") >= F.ceil(SHARE * F.col("all"))).groupBy("key", "start").agg(F.min("bin").alias("edge")))
     sums = [F.sum(f"z{i}") for i in range(P)] + [F.sum(F.col(f"z{i}") * F.col(f"z{j}")) for i, j in PAIRS]
-    close = (placed.join(edge, ["key", "start"]).filter(F.col("bin") <= F.col("edge")).groupBy("key", "start")
-             .agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("sums")))
-    return close.mapInPandas(_estimates, STATE)
+    summed = placed.groupBy("key", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *[s.alias(f"a{k}") for k, s in enumerate(sums)])
+    return summed.groupBy("key", "start").applyInPandas(lambda b: _closest(b), STATE)
 
 
 def estimates(rows: DataFrame) -> DataFrame:
@@ -220,10 +222,13 @@ def estimates(rows: DataFrame) -> DataFrame:
         state = kept(concentrated(rows, state))
     best = F.row_number().over(W.partitionBy("key").orderBy("size", "start"))
     state = kept(state.withColumn("__i", best).filter("__i = 1").drop("__i"))
-    for _ in range(MOST_STEPS):
-        before, state = state, kept(concentrated(rows, state))
-        if state.join(before.select("key", F.col("sums").alias("old")), "key").filter(F.col("sums") != F.col("old")).isEmpty():
+    going = state
+    for _ in range(MOST_STEPS):  # a group goes on while its determinant falls
+        before = state.select("key", F.col("size").alias("old"))
+        going = kept(concentrated(rows, going).join(before, "key").filter(F.col("size") < F.col("old") - EASE).drop("old"))
+        if going.isEmpty():
             break
+        state = kept(state.join(going, "key", "left_anti").unionByName(going))
     return state
 
 
