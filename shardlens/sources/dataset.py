@@ -40,7 +40,7 @@ class Dataset:
     # Rows per file from footers (Parquet).
     counts: DataFrame | None = field(default=None, repr=False)
     # Re-reads the source keeping only files that satisfy a condition on ``__path``, applied
-    # before row ids are given (JSONL: lines not parsed yet; CSV).
+    # before row ids are given (JSONL: lines not parsed yet).
     reread: object = field(default=None, repr=False)
     # Turns re-read rows into user columns, carrying the named columns.
     finish: object = field(default=None, repr=False)
@@ -241,6 +241,7 @@ def _open(spark: SparkSession, source: str, strict: bool = True, kind: str | Non
             raise DatasetError(FS.ERR_MISSING.format(source=source))
         if kind == "parquet":
             return _open_parquet(spark, source, FS.list_files(spark, source, "*.parquet"), is_dir=where != "file")
+        _refuse_hidden(spark, source, FS.DATA_ENDINGS)
         return _open_small(spark, source, kind, FS.list_files(spark, source))
     kind_of_path = FS.path_kind(source)
     if kind_of_path == "missing":
@@ -252,13 +253,14 @@ def _open(spark: SparkSession, source: str, strict: bool = True, kind: str | Non
         parquet = FS.list_files(spark, source, "*.parquet")
         if parquet.limit(1).count() > 0:
             return _open_parquet(spark, source, parquet, is_dir=True)
+        _refuse_hidden(spark, source, FS.DATA_ENDINGS)
         listing = FS.list_files(spark, source)
         data = listing.where(F.lower(F.col("name")).rlike(r"\.(json|jsonl|csv)$"))
         parts = listing.where(F.col("name").rlike(r"^part-.*\.(json|txt)$")).select("path", "name").limit(1).collect()
         if parts and data.where(~F.col("name").startswith("part-")).isEmpty():
             # What Spark's writers (and ``export``) leave: JSON Lines, or the parts of one JSON array.
             array = parts[0]["name"].endswith(".txt") and _is_array_part(spark, source)
-            return _open_small(spark, source, "json" if array else "jsonl", listing)
+            return _open_small(spark, source, "json" if array else "jsonl", listing, glob="part-*")
         found = data.select("path", "name").limit(2).collect()
         if not found:
             raise DatasetError(FS.ERR_NO_FILES)
@@ -270,9 +272,10 @@ def _open(spark: SparkSession, source: str, strict: bool = True, kind: str | Non
                 F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).alias("k")).distinct().collect()]
             if len(kinds) > 1:
                 raise DatasetError(FS.ERR_MANY_FILES)
-            return _open_small(spark, source, kinds[0], data)
+            return _open_small(spark, source, kinds[0], data, glob=FS.any_case(kinds[0]))
         return _open_small(spark, found[0]["path"], FS.suffix(found[0]["name"]), data)
 
+    _refuse_hidden(spark, source, FS.DATA_ENDINGS)
     sfx = FS.suffix(source)
     if sfx == "parquet":
         return _open_parquet(spark, source, FS.list_files(spark, source), is_dir=False)
@@ -286,11 +289,11 @@ def _is_array_part(spark: SparkSession, folder: str) -> bool:
     return not spark.read.text(folder).where(F.col("value") == "[").limit(1).isEmpty()
 
 
-def _open_parquet(spark: SparkSession, source: str, listing: DataFrame, is_dir: bool) -> Dataset:
+def _open_parquet(spark: SparkSession, source: str, listing: DataFrame, is_dir: bool, own: bool = False) -> Dataset:
     base = read_parquet(spark, source, is_dir)
     columns = [c for c in base.columns if c not in HIDDEN]
     _check_case_duplicates(spark, columns)
-    if is_dir:
+    if is_dir and not own:
         _refuse_hidden(spark, source, (".parquet",))
     return Dataset(spark, source, "parquet", base, columns, listing, plain=parquet_reader(spark, source, is_dir),
                    counts=parquet_counts(spark, source, is_dir))
@@ -302,19 +305,21 @@ def _refuse_hidden(spark: SparkSession, source: str, endings: tuple[str, ...]) -
         raise DatasetError(f"these files would be left out because of their names; rename or move them: {', '.join(hidden)}")
 
 
-def _open_small(spark: SparkSession, source: str, kind: str, listing: DataFrame) -> Dataset:
+def _open_small(spark: SparkSession, source: str, kind: str, listing: DataFrame, glob: str | None = None) -> Dataset:
     if kind == "csv":
-        base = read_csv(spark, source)
-        columns = [c for c in base.columns if c not in HIDDEN and c not in EXTRA_COLS]
-        return Dataset(spark, source, kind, base, columns, listing,
-                       reread=lambda files: read_csv(spark, source, files), finish=lambda rows, keep: rows)
-    base = read_jsonl(spark, source) if kind == "jsonl" else read_json_document(spark, source)
+        try:
+            base, columns = read_csv(spark, source, glob)
+        except ValueError as other:
+            raise DatasetError(str(other)) from other
+        _check_case_duplicates(spark, columns)
+        return Dataset(spark, source, kind, base, columns, listing)
+    base = read_jsonl(spark, source, glob) if kind == "jsonl" else read_json_document(spark, source, glob)
     profile = json_columns(base)
     columns = [name for name, _ in profile]
     _check_case_duplicates(spark, columns)
     ds = Dataset(spark, source, kind, typed_columns(base, profile), columns, listing)
     if kind == "jsonl":
-        ds.reread = lambda files: jsonl_lines(spark, source, files)
+        ds.reread = lambda files: jsonl_lines(spark, source, files, glob)
         ds.finish = lambda lines, keep: typed_columns(parse_jsonl(lines, keep), profile, keep)
     return ds
 
@@ -340,6 +345,6 @@ def from_frame(spark: SparkSession, frame: DataFrame, source: str = "<dataframe>
     void = [F.col(f"`{f.name}`").cast("string").alias(f.name) if f.dataType.typeName() == "void" else F.col(f"`{f.name}`") for f in frame.schema.fields]
     path = scratch_path(spark, "frame")
     frame.select(*void).write.parquet(path)
-    ds = _open_parquet(spark, path, spark.createDataFrame([], "path string, name string, bytes long, modified timestamp"), is_dir=True)
+    ds = _open_parquet(spark, path, spark.createDataFrame([], "path string, name string, bytes long, modified timestamp"), is_dir=True, own=True)
     ds.source, ds.kind = source, "dataframe"
     return ds

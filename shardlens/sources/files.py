@@ -6,9 +6,14 @@ so it works for any file system Spark can read and never loads file bodies.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import parallelism, ship_package, work_dir
+
 ERR_MISSING = "nothing is stored at {source}"
 ERR_NO_FILES = "the folder holds no Parquet, JSON, JSON Lines or CSV file"
 ERR_MANY_FILES = ("the folder holds several JSON or CSV files; name one of them, or pass strict=False to read all files "
@@ -16,6 +21,8 @@ ERR_MANY_FILES = ("the folder holds several JSON or CSV files; name one of them,
 ERR_UNSUPPORTED = "only .parquet, .json, .jsonl and .csv files can be opened"
 # The supported suffixes besides Parquet.
 SMALL_SUFFIXES = ["json", "jsonl", "csv"]
+# Endings of data files, exported parts included.
+DATA_ENDINGS = (".parquet", ".json", ".jsonl", ".csv", ".txt")
 
 
 def list_files(spark: SparkSession, source: str, glob: str | None = None) -> DataFrame:
@@ -98,17 +105,66 @@ def suffix(path: str) -> str:
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
-def hidden_files(spark: SparkSession, source: str, endings: tuple[str, ...], most: int = 5) -> list[str]:
-    """Data files Spark would leave out without a word because their name, or a folder of theirs, starts with
-    ``_`` or ``.`` (the first few). Spark's own bookkeeping names are not data files."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(source)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    base, found = fs.makeQualified(root).toString().rstrip("/"), []
-    files = fs.listFiles(root, True)
-    while files.hasNext() and len(found) < most:
-        path = files.next().getPath().toString()
-        parts = path[len(base):].strip("/").split("/")
-        if any(part[:1] in "_." for part in parts) and parts[-1].lower().endswith(endings) and "_temporary" not in parts:
-            found.append(path)
+def any_case(ending: str) -> str:
+    """A glob for names with this ending in any case."""
+    return "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in ending)
+
+
+def is_hidden(name: str) -> bool:
+    """Whether Spark passes over a file or folder of this name."""
+    return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+
+
+WALK = "path string, hidden boolean, folder boolean"
+
+
+def _list_folders(source: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
+
+        filesystem = arrow_fs(source)[0]
+        for batch in batches:
+            for folder, hidden in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = filesystem.get_file_info(pafs.FileSelector(folder))
+                for at in range(0, len(found), 10_000):
+                    some = found[at:at + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([f.path for f in some], pa.string()),
+                                                      pa.array([hidden or is_hidden(f.base_name) for f in some], pa.bool_()),
+                                                      pa.array([f.type == pafs.FileType.Directory for f in some], pa.bool_())], ["path", "hidden", "folder"])
+    return run
+
+
+def walk(spark: SparkSession, source: str) -> DataFrame:
+    """(path, hidden, folder): everything below a folder, also what Spark's own listing passes over.
+
+    Folders are rows: round by round, one for each level of nesting, the tasks list the folders that the round before
+    found. The driver sees how many there are, no names.
+    """
+    work_dir(spark)
+    ship_package(spark)
+    level, folders, found = spark.createDataFrame([(arrow_fs(source)[1], False)], "path string, hidden boolean"), 1, None
+    while folders:
+        spread = level.select("path", "hidden").repartition(min(folders, 4 * parallelism(spark)))
+        here = spread.mapInArrow(_list_folders(source), WALK).checkpoint(eager=True)
+        found = here if found is None else found.unionByName(here)
+        level = here.filter("folder")
+        folders = level.count()
     return found
+
+
+def hidden_files(spark: SparkSession, source: str, endings: tuple[str, ...], most: int = 5) -> list[str]:
+    """Data files Spark would leave out without a word because of their name or a folder's (the first few). What Spark's
+    writers leave while they work is none. In stores that PyArrow has no file system for, none are seen."""
+    where = path_kind(source)
+    if where == "file":
+        return [source] if is_hidden(source.rstrip("/").rsplit("/", 1)[-1]) else []
+    if where != "dir":
+        return []
+    root = arrow_fs(source)[1].rstrip("/")
+    names = F.lower("path")
+    ends = names.endswith(endings[0])
+    for e in endings[1:]:
+        ends = ends | names.endswith(e)
+    rows = (walk(spark, source).filter(F.col("hidden") & ~F.col("folder") & ends & ~F.col("path").contains("/_temporary/"))
+            .orderBy("path").limit(most).collect())
+    return [source.rstrip("/") + r["path"][len(root):] for r in rows]

@@ -8,9 +8,10 @@ locate every row in the source,
 * ``__local`` – increasing position of the row inside that split,
 
 from which ``Dataset`` derives 1-based global row numbers without any global sort.
-For Parquet the position is the file's own ``_metadata.row_index``. For text
-formats it is ``monotonically_increasing_id``, which is consecutive within a scan
-task, and every split is read by one task.
+For Parquet the position is the file's own ``_metadata.row_index``. For JSON Lines
+it is ``monotonically_increasing_id``, which is consecutive within a scan task, and
+every split is read by one task. JSON documents and CSV are cut into records once
+(:mod:`.records`), which carry their place.
 """
 
 from __future__ import annotations
@@ -23,11 +24,14 @@ from pyspark.sql import types as T
 
 from ..functions.text import py_strip
 from .files import decoded_path, metadata_path
+from .records import csv_records, json_records
 
 HIDDEN = ["__path", "__block", "__local"]
 KEYS_COL = "__keys"
 CORRUPT_COL = "__corrupt"
 EXTRA_COLS = [KEYS_COL, CORRUPT_COL]
+# Fixed value: the text of the key under which the viewer keeps CSV fields beyond the header.
+EXTRA_FIELDS = "None"
 
 
 def parquet_reader(spark: SparkSession, source: str, is_dir: bool) -> DataFrame:
@@ -56,16 +60,12 @@ def read_parquet(spark: SparkSession, source: str, is_dir: bool) -> DataFrame:
     )
 
 
-def _text_lines(spark: SparkSession, source: str, wholetext: bool = False) -> DataFrame:
-    # ``text()`` has its own ``wholetext`` argument, which overrides an option.
-    raw = spark.read.text(source, wholetext=wholetext)
-    value = F.col("value")
-    if wholetext:
-        # One value per file: drop a UTF-8 byte order mark at its start (the line
-        # reader already skips it).
-        value = F.when(value.startswith("\ufeff"), F.substring(value, 2, 1 << 30)).otherwise(value)
-    return raw.select(
-        value.alias("__line"),
+def _text_lines(spark: SparkSession, source: str, glob: str | None = None) -> DataFrame:
+    reader = spark.read.option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.text(source).select(
+        F.col("value").alias("__line"),
         metadata_path().alias("__path"),
         F.col("_metadata.file_block_start").alias("__block"),
     )
@@ -85,13 +85,13 @@ def _keys_of(line: Column, v: Column) -> Column:
     return F.when(is_obj, F.json_object_keys(line)).otherwise(F.array(F.lit("value")))
 
 
-def jsonl_lines(spark: SparkSession, source: str, path_filter: Column | None = None) -> DataFrame:
+def jsonl_lines(spark: SparkSession, source: str, path_filter: Column | None = None, glob: str | None = None) -> DataFrame:
     """The non-blank lines of JSON Lines files, located but not parsed.
 
     ``path_filter`` (a condition on ``__path``) selects files before row ids are
     given, so the file listing is pruned to them.
     """
-    lines = _text_lines(spark, source)
+    lines = _text_lines(spark, source, glob)
     if path_filter is not None:
         lines = lines.where(path_filter)
     lines = lines.where(py_strip(F.col("__line")) != "")
@@ -111,60 +111,17 @@ def parse_jsonl(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return parsed.select(_object_of(v).alias("__obj"), _keys_of(F.col("__line"), v).alias(KEYS_COL), *HIDDEN, *keep)
 
 
-def read_jsonl(spark: SparkSession, source: str) -> DataFrame:
-    return parse_jsonl(jsonl_lines(spark, source))
+def read_jsonl(spark: SparkSession, source: str, glob: str | None = None) -> DataFrame:
+    return parse_jsonl(jsonl_lines(spark, source, glob=glob))
 
 
-def read_json_document(spark: SparkSession, source: str) -> DataFrame:
-    """A whole JSON document: a list of rows, ``{"data": [...]}``, ``{"rows": [...]}``
-    or a single object. The document is parsed in one task (it is one value).
+def read_json_document(spark: SparkSession, source: str, glob: str | None = None) -> DataFrame:
+    """JSON documents: a list of rows, ``{"data": [...]}``, ``{"rows": [...]}`` or a single value.
 
-    Values come from the parsed variant; the key order of each object comes from
-    its own JSON text (``from_json`` to ``array<string>`` keeps it), so every row
-    keeps its keys in the order written.
+    The texts of the rows are cut out by as many tasks as the files have splits (:mod:`.records`); each is then one
+    JSON value like a line of JSON Lines. The parts of an exported array are read as the one list they form.
     """
-    docs = _text_lines(spark, source, wholetext=True)
-    # A part of an exported array: it ends in a comma, or closes a list it does not open.
-    text = py_strip(F.col("__line"))
-    part = text.endswith(",") | (text.startswith("{") & text.endswith("]"))
-    inner = F.regexp_replace(F.regexp_replace(text, r"^\[", ""), r"[,\]]$", "")
-    docs = docs.withColumn("__line", F.when(part, F.concat(F.lit("["), inner, F.lit("]"))).otherwise(F.col("__line")))
-    # Parse once, classify once (each in its own projection, so the document is not
-    # re-parsed for every use).
-    docs = docs.select("__line", "__path", "__block", F.parse_json("__line").alias("__v"))
-    doc, v = F.col("__line"), F.col("__v")
-    docs = docs.select("*", F.schema_of_variant(v).alias("__kind"),
-                       F.schema_of_variant(F.try_variant_get(v, "$.data", "variant")).alias("__dkind"),
-                       F.schema_of_variant(F.try_variant_get(v, "$.rows", "variant")).alias("__rkind"))
-    kind = F.col("__kind")
-    sub_kinds = {"$.data": F.col("__dkind"), "$.rows": F.col("__rkind")}
-
-    def is_list(path: str) -> Column:
-        return F.coalesce(sub_kinds[path].startswith("ARRAY"), F.lit(False))
-
-    def pick(path: str | None) -> Column:
-        if path is None:
-            return F.struct(F.variant_get(v, "$", "array<variant>").alias("v"),
-                            F.from_json(doc, "array<string>").alias("t"))
-        return F.struct(F.variant_get(v, path, "array<variant>").alias("v"),
-                        F.from_json(F.get_json_object(doc, path), "array<string>").alias("t"))
-
-    chosen = (
-        F.when(kind.startswith("ARRAY"), pick(None))
-        .when(kind.startswith("OBJECT") & is_list("$.data"), pick("$.data"))
-        .when(kind.startswith("OBJECT") & is_list("$.rows"), pick("$.rows"))
-        .otherwise(F.struct(F.array(v).alias("v"), F.array(doc).alias("t")))
-    )
-    # Values come from the variant array; each object's key order from its own text.
-    items = docs.select("__path", "__block",
-                        F.posexplode(F.arrays_zip(chosen["v"].alias("v"), chosen["t"].alias("t"))).alias("__local", "__it"))
-    item = F.col("__it.v")
-    is_obj = F.schema_of_variant(item).startswith("OBJECT")
-    return items.select(
-        _object_of(item).alias("__obj"),
-        F.when(is_obj, F.json_object_keys(F.col("__it.t"))).otherwise(F.array(F.lit("value"))).alias(KEYS_COL),
-        "__path", "__block", "__local",
-    )
+    return parse_jsonl(json_records(spark, source, glob))
 
 
 _SCALARS = {
@@ -227,59 +184,27 @@ def typed_columns(base: DataFrame, columns: list[tuple[str, str]], keep: tuple[s
     return base.select(*cols, KEYS_COL, *HIDDEN, *keep)
 
 
-CSV_CORRUPT = "_corrupt_record"
-
-
-def read_csv(spark: SparkSession, source: str, path_filter: Column | None = None) -> DataFrame:
-    """Header row, every value a string, quoted newlines and doubled quotes.
-
-    Empty fields (quoted or not) read as ``''``; a missing trailing field is null.
-    Spark reads empty fields as null, so the file is read with an explicit
-    all-string schema plus ``_corrupt_record``: rows with the header's field count
-    get ``''`` for their nulls, ragged rows keep them. When a header repeats a name
-    the last such column wins.
-    """
-    def reader():
-        return (spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
-                .option("mode", "PERMISSIVE"))
-
-    names = reader().option("inferSchema", "false").csv(source).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
-                          + [T.StructField(CSV_CORRUPT, T.StringType())])
-    header = _csv_header_names(spark, source, names)
-    # Columns go by place; a file among several whose header differs fails the read. (Spark can't compare headers
-    # that repeat a name.)
-    same = "false" if header == names else "true"
-    raw = reader().option("enforceSchema", same).option("columnNameOfCorruptRecord", CSV_CORRUPT).schema(schema).csv(source)
-    keep: dict[str, str] = {}
-    for actual, logical in zip(names, header):
-        keep[logical] = actual  # later duplicates overwrite earlier ones
-    ordered_logical = list(dict.fromkeys(header))
-    whole = F.col(CSV_CORRUPT).isNull()
-    cols = [F.when(whole, F.coalesce(F.col(f"`{keep[n]}`"), F.lit(""))).otherwise(F.col(f"`{keep[n]}`")).alias(n)
-            for n in ordered_logical]
-    base = raw.select(
-        *cols,
-        F.col(CSV_CORRUPT).alias(CORRUPT_COL),
-        metadata_path().alias("__path"),
-        F.col("_metadata.file_block_start").alias("__block"),
-    )
-    if path_filter is not None:
-        base = base.where(path_filter)
-    return base.withColumn("__local", F.monotonically_increasing_id())
-
-
-def _csv_header_names(spark: SparkSession, source: str, spark_names: list[str]) -> list[str]:
-    """The header as written, position by position.
+def read_csv(spark: SparkSession, source: str, glob: str | None = None) -> tuple[DataFrame, list[str]]:
+    """The base frame and its columns: header row, every value a string, quoted newlines and doubled quotes.
 
-    Spark renames repeated header names (``id`` → ``id0``, ``id2``); the first record
-    read without header handling (by the same CSV parser, one row) gives the names
-    back. Blank names keep Spark's own.
+    Rows are cut out and split into fields by as many tasks as the files have splits (:mod:`.records`), and kept. Empty
+    fields (quoted or not) are ``''``, missing trailing ones null; when a header repeats a name the last such column
+    wins. Fields beyond the header are a list in a further column, there if any row has some; its name is the text of
+    the key the viewer files them under.
     """
-    first = (spark.read.option("header", "false").option("multiLine", "true").option("escape", '"')
-             .csv(source).limit(1).collect())
-    if not first:
-        return list(spark_names)
-    written = list(first[0])
-    return [w if w not in (None, "") and i < len(written) else n
-            for i, (n, w) in enumerate(zip(spark_names, written + [None] * len(spark_names)))]
+    rows = csv_records(spark, source, glob)
+    headers = [r["fields"] for r in rows.filter("is_header").select("fields").distinct().limit(2).collect()]
+    if len(headers) > 1:
+        raise ValueError(f"the files differ in their header: {headers[0]} and {headers[1]}")
+    header = [name or f"_c{i}" for i, name in enumerate(headers[0])] if headers else []
+    place = {name: i for i, name in enumerate(header)}  # later repeats overwrite earlier ones
+    data = rows.filter(~F.col("is_header"))
+    cols = [F.get("fields", F.lit(i)).alias(name) for name, i in place.items()]
+    width, columns = F.size("fields"), list(place)
+    if not data.filter(width > len(header)).isEmpty():
+        extra = EXTRA_FIELDS if EXTRA_FIELDS not in place else EXTRA_FIELDS + "_"
+        cols.append(F.when(width > len(header), F.slice("fields", len(header) + 1, F.greatest(width - len(header), F.lit(0)))).alias(extra))
+        columns.append(extra)
+    quoted = F.transform("fields", lambda f: F.when(f.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(f, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(f))
+    base = data.select(*cols, F.when(width != len(header), F.array_join(quoted, ",")).alias(CORRUPT_COL), *HIDDEN)
+    return base, columns

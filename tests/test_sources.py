@@ -216,9 +216,10 @@ def test_csv_malformed_rows_reported(spark, tmp_path):
     p = str(tmp_path / "m.csv")
     _write(p, "a,b\n1,2\n3\n4,5,6\n")
     ds = open_dataset(spark, p)
-    assert ds.columns == ["a", "b"]
+    assert ds.columns == ["a", "b", "None"]  # fields beyond the header are a list of their own
+    assert [tuple(r) for r in ds.df.collect()] == [("1", "2", None), ("3", None, None), ("4", "5", ["6"])]
     got = sorted((r["row_no"], r["record"]) for r in malformed_rows(ds).collect())
-    assert [g[0] for g in got] == [2, 3]
+    assert got == [(2, "3"), (3, "4,5,6")]
 
 
 def test_case_duplicate_columns_raise(spark, tmp_path):
@@ -292,6 +293,54 @@ def test_hidden_data_files_are_refused(spark, tmp_path):
         open_dataset(spark, str(base))
 
 
+@pytest.mark.parametrize("names, kind, strict", [
+    (("a.jsonl", "_b.jsonl"), None, True), (("a.jsonl", ".b.JSONL"), None, False), (("a.csv", "sub/.c.csv"), None, True),
+    (("a.json", "_sub/b.json"), None, True), (("a.jsonl", "_b.jsonl"), "jsonl", True), (("_a.jsonl",), None, True),
+])
+def test_hidden_files_of_any_kind_are_refused(spark, tmp_path, names, kind, strict):
+    """Spark would leave them out without a word."""
+    for name in names:
+        _write(str(tmp_path / "h" / name), '{"a": 1}\n')
+    hidden = re.escape(names[-1].split("/")[-1])
+    with pytest.raises(DatasetError, match=hidden):
+        open_dataset(spark, str(tmp_path / "h"), strict=strict, kind=kind)
+    with pytest.raises(DatasetError, match="_a.jsonl"):
+        _write(str(tmp_path / "_a.jsonl"), "{}\n")
+        open_dataset(spark, str(tmp_path / "_a.jsonl"))
+
+
+def test_bookkeeping_of_writers_is_not_data(spark, tmp_path):
+    spark.range(3).write.json(str(tmp_path / "w"))
+    _write(str(tmp_path / "w" / "_temporary" / "0" / "part-9.json"), "{}\n")
+    assert open_dataset(spark, str(tmp_path / "w")).count() == 3
+
+
+def test_nested_folders_of_one_kind_are_read_whole(spark, tmp_path):
+    for i, name in enumerate(("a.jsonl", "x/b.JSONL", "x/y/c.jsonl")):
+        _write(str(tmp_path / "n" / name), json.dumps({"i": i}) + "\n")
+    _write(str(tmp_path / "n" / "README.md"), "no data\n")
+    ds = open_dataset(spark, str(tmp_path / "n"), strict=False)
+    assert sorted(r["i"] for r in ds.df.collect()) == [0, 1, 2]
+
+
+def test_walk_of_many_files(spark, tmp_path):
+    """Tasks list the folders; the driver makes no call a file."""
+    import time
+
+    from shardlens.sources.files import hidden_files, walk
+
+    for i in range(3000):
+        path = tmp_path / "many" / f"d{i % 30}" / f"f{i}.jsonl"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.touch()
+    (tmp_path / "many" / "d7" / ".h.jsonl").touch()
+    found = walk(spark, str(tmp_path / "many"))
+    assert found.filter("NOT folder").count() == 3001 and found.filter("folder").count() == 30
+    start = time.time()
+    assert hidden_files(spark, str(tmp_path / "many"), (".jsonl",)) == [str(tmp_path / "many" / "d7" / ".h.jsonl")]
+    assert time.time() - start < 10
+
+
 def test_sorted_frame_keeps_its_rows_and_order(spark):
     from shardlens.sources.dataset import from_frame
 
