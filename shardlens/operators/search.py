@@ -11,7 +11,8 @@ the word ``none``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.render import value_text
@@ -20,6 +21,8 @@ from ..sources.readers import KEYS_COL
 from .paging import BUCKET_ROWS, Pager, number_rows
 
 ALL_COLUMNS = "__all__"
+#: Positions in a bitmap (fixed by Spark's bitmap functions), bitmaps counted together, positions listed in a condition.
+BITS_A_BUCKET, STRETCH, LISTED = 1 << 15, 1 << 15, 1000
 
 
 def normalise_query(query: str) -> str:
@@ -115,33 +118,54 @@ def search_page(ds: Dataset, query: str, page_index: int, page_size: int = 100,
     return _numbered_matches(ds, cond, bounds)
 
 
+def match_bitmaps(ds: Dataset, cond: Column) -> DataFrame:
+    """(bucket, bits, n): the positions of the matches as bitmaps, 4 KB for each 2^15 positions that hold any; kept."""
+    from ..session import work_dir
+
+    work_dir(ds.spark)
+    row = F.col("__row_no")
+    marks = ds.positioned().where(cond).groupBy(F.bitmap_bucket_number(row).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(row)).alias("bits"))
+    return marks.select("bucket", "bits", F.bitmap_count("bits").alias("n")).checkpoint(eager=True)
+
+
 def _numbered_matches(ds: Dataset, cond: Column, bounds) -> DataFrame:
     """Matches number ``first..last`` (``bounds(total matches)``) with ``__match_no``.
 
-    Pass 1 counts matches per bucket of 2^20 positions (a small table). The wanted
-    matches lie in a run of buckets, i.e. one contiguous row range, so pass 2 reads
-    only the files covering that range (``rows_between``) and ranks the matches
-    inside each bucket (a window over one bucket at most) plus the bucket's offset.
+    The condition is evaluated once, in one scan that leaves bitmaps of the matching positions. Counts of the bitmaps,
+    first of stretches of ``STRETCH`` buckets, then of the buckets of the wanted stretches, lead to the page's buckets;
+    their bitmaps give its exact positions, and only those rows are fetched.
     """
-    bucket = F.floor((F.col("__row_no") - 1) / F.lit(BUCKET_ROWS)).cast("long")
-    counts = (ds.positioned().where(cond).groupBy(bucket.alias("__bucket")).agg(F.count(F.lit(1)).alias("__n"))
-              .orderBy("__bucket").collect())
-    total = sum(int(r["__n"]) for r in counts)
-    first, last = bounds(total)
-    keep, before = [], 0
-    for r in counts:
-        b, n = int(r["__bucket"]), int(r["__n"])
+    marks = match_bitmaps(ds, cond)
+    stretch = F.floor(F.col("bucket") / STRETCH).cast("long")
+    long_counts = marks.groupBy(stretch.alias("stretch")).agg(F.sum("n").alias("n")).orderBy("stretch").collect()  # one row for 2^30 positions
+    first, last = bounds(sum(int(r["n"]) for r in long_counts))
+    nothing = ds.positioned().where(F.lit(False)).withColumn("__match_no", F.lit(None).cast("long"))
+    wanted, before = _overlapping([(r["stretch"], r["n"]) for r in long_counts], first, last)
+    if not wanted or last < first:
+        return nothing
+    counts = marks.where(stretch.isin(wanted)).select("bucket", "n").orderBy("bucket").collect()
+    wanted, more = _overlapping([(r["bucket"], r["n"]) for r in counts], first - before, last - before)
+    positions = []
+    for r in marks.where(F.col("bucket").isin(wanted)).orderBy("bucket").select("bucket", "bits").collect():  # at most one a match of the page
+        bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+        positions += ((r["bucket"] - 1) * BITS_A_BUCKET + 1 + np.flatnonzero(bits)).tolist()
+    skip = first - before - more - 1
+    positions = positions[skip:skip + last - first + 1]
+    numbers = ds.spark.createDataFrame([(p, first + i) for i, p in enumerate(positions)], "__row_no long, __match_no long")
+    rows = ds.rows_between(positions[0], positions[-1], positions if len(positions) <= LISTED else None)
+    return rows.join(F.broadcast(numbers), "__row_no").select(*rows.columns, "__match_no")
+
+
+def _overlapping(counts: list[tuple[int, int]], first: int, last: int) -> tuple[list[int], int]:
+    """The entries that matches number ``first..last`` lie in, and how many matches come before them."""
+    out, before, skipped = [], 0, 0
+    for name, n in counts:
         if before < last and before + n >= first:
-            keep.append((b, before))
+            out.append(name)
+        elif not out:
+            skipped += n
         before += n
-    if not keep or last < first:
-        return ds.positioned().where(F.lit(False)).withColumn("__match_no", F.lit(None).cast("long"))
-    lo_row, hi_row = keep[0][0] * BUCKET_ROWS + 1, (keep[-1][0] + 1) * BUCKET_ROWS
-    sub = ds.rows_between(lo_row, hi_row).withColumn("__bucket", bucket).where(F.col("__bucket").isin([b for b, _ in keep]) & cond)
-    offsets = ds.spark.createDataFrame(keep, "__bucket long, __off long")
-    rank = F.row_number().over(Window.partitionBy("__bucket").orderBy("__row_no"))
-    out = sub.join(offsets, "__bucket").withColumn("__match_no", (F.col("__off") + rank).cast("long"))
-    return out.where(F.col("__match_no").between(first, last)).drop("__bucket", "__off")
+    return out, skipped
 
 
 class SearchResults:

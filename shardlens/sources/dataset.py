@@ -92,9 +92,9 @@ class Dataset:
 
     # ------------------------------------------------------------------ positions
     def ranges(self) -> DataFrame:
-        """One row per scan unit: ``__path, __block, rows, base, start, shard_no``.
+        """One row per scan unit: ``__path, __block, rows, base, start, shard_no, file_start``.
 
-        ``start`` is the number of rows before the unit in path order. The frame is
+        ``start`` is the number of rows before the unit in path order, ``file_start`` before its file. The frame is
         as small as the number of files (splits for text sources) and is written to
         the checkpoint folder once, so later jobs do not recount.
         """
@@ -138,29 +138,47 @@ class Dataset:
         return numbered.select(*[F.col(f"`{c}`") for c in self.columns], *extra, "__row_no",
                                self.shard_label().alias("__shard"), "__path", "__shard_no")
 
-    def rows_between(self, first: int, last: int) -> DataFrame:
-        """Rows ``first..last`` (1-based, inclusive) in source order (L2).
+    def rows_between(self, first: int, last: int, only: list[int] | None = None) -> DataFrame:
+        """Rows ``first..last`` (1-based, inclusive) in source order (L2); with ``only``, of those the ones at these positions.
 
-        Only the files whose row range overlaps the request are read: they lie between two paths, found by one
-        small aggregate, and a condition on those two prunes the file listing. Text files have no row numbers of
-        their own, and how Spark splits them depends on which files are read; so the splits of exactly this scan
-        are counted (lines only), and JSON is parsed after the wanted lines are picked.
+        Only the files whose row range overlaps the request are read. One small job on the range table finds the scan
+        units that do. A page touches a few (``FEW`` at most is looked for): they go into the scan as plain conditions, so
+        that nothing is joined. If there are more, the files between the first and the last are joined with the range
+        table; the rows are the same.
         """
-        wanted = self.ranges().where((F.col("start") < F.lit(last)) & (F.col("start") + F.col("rows") >= F.lit(first)))
-        order = FS.path_order(F.col("__path"))
-        edge = wanted.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
-        if edge["low"] is None:
+        ranges = self.ranges()
+        wanted = ranges.where((F.col("start") < F.lit(last)) & (F.col("start") + F.col("rows") >= F.lit(first)))
+        if only is not None:
+            wanted = wanted.where(F.exists(F.lit(only).cast("array<long>"), lambda p: (p > F.col("start")) & (p <= F.col("start") + F.col("rows"))))
+        units = wanted.limit(FEW + 1).collect()
+        if not units:
             return self.positioned().limit(0)
-        low, high = (F.array(*[F.lit(part) for part in edge[k]]) for k in ("low", "high"))
-        here = (order >= low) & (order <= high)
         between = F.col("__row_no").between(first, last)
+        if only is not None:
+            between = between & F.array_contains(F.lit(only).cast("array<long>"), F.col("__row_no"))
+        few = len(units) <= FEW
+        if few:
+            here = F.col("__path").isin(sorted({u["__path"] for u in units}))
+        else:
+            order = FS.path_order(F.col("__path"))
+            edge = wanted.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+            low, high = (F.array(*[F.lit(part) for part in edge[k]]) for k in ("low", "high"))
+            here = (order >= low) & (order <= high)
         if self.reread is None:
-            return self._output(self._number(self.base.where(here), self.ranges().where(here)).where(between))
+            base = self.base.where(here)
+            numbered = _literally(base, units) if few else self._number(base, ranges.where(here))
+            return self._output(numbered.where(between))
+        # Text files have no row numbers of their own, and how Spark splits them depends on which files are read: the
+        # splits of exactly this scan are counted (lines only), and JSON is parsed after the wanted lines are picked.
         scan = self.reread(here)
-        units = scan.select(*HIDDEN).groupBy("__path", "__block").agg(F.count("*").alias("rows"), F.min("__local").alias("base"))
-        starts = self.ranges().where(here).groupBy("__path").agg(F.min("start").alias("file_start"), F.min("shard_no").alias("shard_no"))
-        picked = self._number(scan, _block_starts(units, starts)).where(between)
-        return self._output(self.finish(picked, ("__row_no", "__shard_no")))
+        counted = scan.select(*HIDDEN).groupBy("__path", "__block").agg(F.count("*").alias("rows"), F.min("__local").alias("base"))
+        found = _of_this_scan(counted.limit(SPLITS + 1).collect(), units, first, last) if few else None
+        if found is not None:
+            picked = _literally(scan, found)
+        else:
+            starts = ranges.where(here).groupBy("__path").agg(F.min("file_start").alias("file_start"), F.min("shard_no").alias("shard_no"))
+            picked = self._number(scan, _block_starts(counted, starts))
+        return self._output(self.finish(picked.where(between), ("__row_no", "__shard_no")))
 
     def page(self, page_index: int, page_size: int = 100) -> DataFrame:
         """Page ``page_index`` (0-based, clamped like the viewer) of ``page_size`` rows."""
@@ -169,6 +187,34 @@ class Dataset:
         return self.rows_between(first, first + page_size - 1)
 
 
+#: Scan units of a request that are looked for at most, and splits of their files, to go into the scan as plain conditions.
+FEW, SPLITS = 64, 1000
+
+
+def _literally(frame: DataFrame, units: list) -> DataFrame:
+    """The rows of ``frame`` that lie in these few scan units, with ``__row_no`` and ``__shard_no``."""
+    row_no, shard_no, inside = F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(False)
+    for u in units:
+        own = (F.col("__path") == F.lit(u["__path"])) & (F.col("__block") == F.lit(u["__block"]))
+        row_no = F.when(own, F.col("__local") + F.lit(u["start"] - u["base"] + 1)).otherwise(row_no)
+        shard_no = F.when(own, F.lit(u["shard_no"])).otherwise(shard_no)
+        inside = inside | own
+    return frame.where(inside).withColumn("__row_no", row_no.cast("long")).withColumn("__shard_no", shard_no.cast("long"))
+
+
+def _of_this_scan(counted: list, units: list, first: int, last: int) -> list | None:
+    """The splits of a scan of the files of ``units`` that overlap the request, with their starts; None if they are too many."""
+    if len(counted) > SPLITS:
+        return None
+    out = []
+    for path, (start, shard_no) in {u["__path"]: (u["file_start"], u["shard_no"]) for u in units}.items():
+        for r in sorted((r for r in counted if r["__path"] == path), key=lambda r: r["__block"]):
+            if start < last and start + r["rows"] >= first:
+                out.append({"__path": path, "__block": r["__block"], "start": start, "base": r["base"], "shard_no": shard_no})
+            start += r["rows"]
+    return out if len(out) <= FEW else None
+
+
 def _running(files: DataFrame) -> DataFrame:
     """``__path, file_start, shard_no``: rows before each file and its number, in path order.
 
@@ -194,7 +240,7 @@ def _block_starts(units: DataFrame, starts: DataFrame) -> DataFrame:
     blocks = Window.partitionBy("__path").orderBy("__block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = F.sum("rows").over(blocks) - F.col("rows")
     return (units.withColumn("__before", running).join(starts, "__path")
-            .select("__path", "__block", "rows", "base", (F.col("file_start") + F.col("__before")).cast("long").alias("start"), "shard_no"))
+            .select("__path", "__block", "rows", "base", (F.col("file_start") + F.col("__before")).cast("long").alias("start"), "shard_no", "file_start"))
 
 
 def clamp_page(page_index: int, page_size: int, total: int) -> int:
