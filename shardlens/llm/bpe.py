@@ -15,7 +15,8 @@ decodes to the empty text; ids that the vocabulary lacks are passed over; null i
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardlens.llm.common import frugal, table, tokenizer_path
+from shardlens.llm.common import Recent, frugal, table, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept with their ids in each Python worker, and the longest such word; a bound on memory alone.
-CACHED_WORDS, CACHED_LENGTH = 250_000, 64
-CACHED_PAIRS = 250_000
+#: Words, runs of text and token pairs kept in each Python worker (twice as many at most), and the longest such word; a
+#: bound on memory alone.
+CACHED_WORDS, CACHED_CHUNKS, CACHED_PAIRS, CACHED_LENGTH = 120_000, 60_000, 100_000, 64
 #: Bytes of decoded text in one outgoing batch.
 BATCH = 4 << 20
 END = 256  # symbol of a byte that ends a word: byte + END
@@ -81,18 +82,22 @@ class WordBpe:
         vocab = model["vocab"]
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b if not a.endswith(suffix) else a])
                        for rank, (a, b) in enumerate(pairs)}
-        self.pair_table: dict[tuple[int, int], bool] = {}
+        self.pair_table = Recent(self.stay_apart, CACHED_PAIRS)
+        self.byte_character = {b: chr(c) for c, b in self.symbol_of.items()}
         self.automaton = ahocorasick.Automaton()
-        for i, word in self.symbols.items():
-            if self.merged(word) == [i]:  # a token that no merges produce can't be in a result
-                self.automaton.add_word(word, (i, len(word)))
+        made = {word: i for i, word in self.symbols.items() if self.merged(word) == [i]}  # no others can be in a result
+        self.length, self.shorter = [0] * (max(strings) + 1), [-1] * (max(strings) + 1)
+        for word, i in made.items():
+            self.automaton.add_word(word, (i, len(word)))
+            self.length[i] = len(word)
+            self.shorter[i] = next((made[word[:n]] for n in range(len(word) - 1, 0, -1) if word[:n] in made), -1)
         self.automaton.make_automaton()
 
         encoded = [(strings.get(i, "") + " ").encode() if i in strings else b"" for i in range(max(strings) + 1)]
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in encoded])])
         self.blob = np.frombuffer(b"".join(encoded), np.uint8)
-        self.words = _Known(self.encode_piece)
-        self.chunks = _Known(self.encode_chunk)
+        self.words = Recent(self.encode_piece, CACHED_WORDS, CACHED_LENGTH)
+        self.chunks = Recent(self.encode_chunk, CACHED_CHUNKS, CACHED_LENGTH)
 
     def merged(self, symbols: str) -> list[int]:
         """The merges applied in rank order, leftmost first."""
@@ -105,58 +110,59 @@ class WordBpe:
             ids[i:i + 2] = [self.merges[ids[i], ids[i + 1]][1]]
         return ids
 
-    def compatible(self, left: int, right: int) -> bool:
-        """Whether the two tokens stay as they are side by side."""
-        found = self.pair_table.get((left, right))
-        if found is None:
-            if len(self.pair_table) >= CACHED_PAIRS:
-                self.pair_table.clear()
-            found = self.merged(self.symbols[left] + self.symbols[right]) == [left, right]
-            self.pair_table[left, right] = found
-        return found
+    def stay_apart(self, pair: int) -> bool:
+        """Whether the two tokens (in one number) stay as they are side by side."""
+        left, right = pair >> 32, pair & 0xFFFFFFFF
+        return self.merged(self.symbols[left] + self.symbols[right]) == [left, right]
 
     def cut(self, word: str) -> list[int]:
         """Token ids of one word given as symbols: the longest matches if they are compatible, else backtracking."""
-        longest = [token for _, (token, _) in self.automaton.iter_long(word)]
-        if all(map(self.compatible, longest, longest[1:])) and sum(len(self.symbols[t]) for t in longest) == len(word):
+        pairs, longest, covered, before = self.pair_table, [], 0, -1
+        for _, (token, length) in self.automaton.iter_long(word):
+            if before >= 0 and not pairs[before << 32 | token]:
+                break
+            longest.append(token)
+            covered, before = covered + length, token
+        if covered == len(word):
             return longest
-        at: list[list[tuple[int, int]]] = [[] for _ in word]
+        best = [-1] * len(word)  # the longest token that starts here; its prefixes that are tokens follow in ``shorter``
         for last, (token, length) in self.automaton.iter(word):
-            at[last - length + 1].append((token, last + 1))  # at one start, longer tokens come later
-        closed = bytearray(len(word) + 1)
+            best[last - length + 1] = token  # at one start, longer tokens come later
+        length, shorter, closed = self.length, self.shorter, bytearray(len(word) + 1)
         out: list[int] = []
-        trail: list[tuple[int, int]] = []
-        start, choice = 0, len(at[0]) - 1
+        start, token = 0, best[0]
         while start < len(word):
-            while choice >= 0:
-                token, stop = at[start][choice]
-                if not closed[stop] and (not out or self.compatible(out[-1], token)):
+            while token >= 0:
+                stop = start + length[token]
+                if not closed[stop] and (not out or pairs[out[-1] << 32 | token]):
                     break
-                choice -= 1
-            if choice >= 0:
+                token = shorter[token]
+            if token >= 0:
                 out.append(token)
-                trail.append((start, choice))
                 start = stop
-                choice = len(at[start]) - 1 if start < len(word) else 0
+                token = best[start] if start < len(word) else -1
             else:
                 closed[start] = 1
-                out.pop()
-                start, choice = trail.pop()
-                choice -= 1
+                token = out.pop()
+                start -= length[token]
+                token = shorter[token]
         return out
 
     def encode_chunk(self, chunk: str) -> bytes:
         """Ids (int32 bytes) of a run of text without white space."""
         word = chunk.rstrip(",.")
-        if word.isascii() and word.isalpha() and len(word) >= len(chunk) - 1:  # one word, and a mark at most
-            return self.words[word.lower()] + (self.words[chunk[-1]] if len(word) < len(chunk) else b"")
+        if len(word) >= len(chunk) - 1 and word.isalpha() and (word.isascii() or _is_latin(word)):  # one word, and a mark at most
+            piece = word.lower()
+            if not piece.isascii():
+                piece = "".join(map(self.byte_character.__getitem__, piece.encode()))
+            return self.words[piece] + (self.words[chunk[-1]] if len(word) < len(chunk) else b"")
         ids = [self.words[piece] for piece, _ in self.pieces(self.normalize(chunk))]
         return ids[0] if len(ids) == 1 else b"".join(ids)
 
     def encode_piece(self, piece: str) -> bytes:
         """Ids of one word in byte-level characters."""
         raw = piece.translate(self.symbol_of)
-        return np.array(self.cut(raw[:-1] + chr(ord(raw[-1]) + END)), np.int32).tobytes()
+        return array("i", self.cut(raw[:-1] + chr(ord(raw[-1]) + END))).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         look, parts = self.chunks.__getitem__, []
@@ -177,20 +183,13 @@ class WordBpe:
         return self.blob[place].tobytes()[:-1].decode()
 
 
-class _Known(dict):
-    """Ids of words or runs of text, made on demand; emptied when full."""
-
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, text: str) -> bytes:
-        ids = self.make(text)
-        if len(text) <= CACHED_LENGTH:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[text] = ids
-        return ids
+def _is_latin(word: str) -> bool:
+    """Whether all letters are of the first 256 characters: there, composed forms and lower case are the same everywhere."""
+    try:
+        word.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def _chunks(text: str) -> list[str]:

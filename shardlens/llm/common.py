@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -49,6 +50,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+#: Called at the end of every function wrapped by :func:`frugal`, in its worker: caches that may have grown with the data.
+AT_END: list[Callable[[], None]] = []
+
+
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 1000) -> Callable:
     """A function for ``mapInArrow`` that sees batches of at most ``rows`` rows and, at its end, gives the memory it
     used back: Python workers outlive their tasks, and several wait beside each running one."""
@@ -59,10 +64,38 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
         try:
             yield from run(small)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            give_back()
 
     return bounded
+
+
+def give_back() -> None:
+    for forget in AT_END:
+        forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+class Recent(dict):
+    """A cache of at most ``2 * most`` entries, made on demand: those met since the last but one time that ``most`` new ones
+    had come. What is common stays, what came once goes. Keys longer than ``longest`` are not kept."""
+
+    def __init__(self, make: Callable, most: int, longest: int | None = None):
+        super().__init__()
+        self.make, self.most, self.longest, self.older = make, most, longest, {}
+
+    def __missing__(self, key):
+        if self.longest is not None and len(key) > self.longest:
+            return self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value

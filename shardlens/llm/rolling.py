@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from shardlens.llm.common import AT_END
+
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(int(_ODD), -1, 1 << 64))
@@ -45,7 +47,15 @@ class _Powers:
         return self.up, self.down
 
 
+    def forget(self) -> None:
+        """After a very long text: back to a usual size."""
+        if len(self.up) > MOST_POWERS:
+            self.up, self.down = self.up[:MOST_POWERS].copy(), self.down[:MOST_POWERS].copy()
+
+
+MOST_POWERS = 1 << 18
 _powers = _Powers()
+AT_END.append(_powers.forget)
 
 
 def word_units(raw: bytes) -> np.ndarray:

@@ -20,13 +20,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shardlens.llm import rolling
-from shardlens.llm.common import frugal, table
+from shardlens.llm.common import frugal, give_back, table
 from shardlens.llm.passages import Rule, marked, mask_of, runs, unpacked
 
 LONG, GRAM = 50, 16
@@ -206,8 +207,12 @@ def without_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     A cut inside a character takes the whole character."""
 
     @F.pandas_udf("string")
-    def readable(raw):
-        return raw.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
+    def readable(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for raw in batches:
+                yield raw.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
+        finally:
+            give_back()
 
     kept = remove_repeats(docs).filter("size(spans) = 0 OR octet_length(kept) > 0")
     kept = kept.withColumn("text", readable("kept"))

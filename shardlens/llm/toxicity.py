@@ -26,11 +26,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shardlens.llm.common import table, text_or_empty, written
+from shardlens.llm.common import Recent, frugal, table, text_or_empty, written
 
 FOLDS = 5
 POSITIVES, UNLABELLED = 4000, 8000
@@ -38,7 +39,7 @@ FEATURES, LEAST_Z, LEAST_ROWS, LEAST_SHARE = 4096, 4.0, 4, 0.5
 STEPS, RATE, SHRINK = 400, 0.1, 1e-4
 BEGINNINGS = (4, 5, 6)
 REPEATED, DENSE = 2, 0.006
-CACHED_WORDS = 300_000
+CACHED_WORDS = 60_000
 words = re.compile(r"\w+").findall
 
 
@@ -74,18 +75,14 @@ class Model:
     """Weights of features; a score is the sigmoid of the bias plus the weights a text shows."""
 
     def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias, self.seen = weights, bias, {}
+        self.weights, self.bias = weights, bias
         self.known = {f.partition("\t")[0] for f in weights}
+        self.seen = Recent(lambda word: tuple(f for f in features(word) if f in self.known), CACHED_WORDS)
 
     def score(self, text: str) -> float:
         seen, counts, found = self.seen, {}, words(text.lower())
         for word, n in Counter(found).items():
-            own = seen.get(word)
-            if own is None:
-                if len(seen) >= CACHED_WORDS:
-                    seen.clear()
-                own = seen[word] = tuple(f for f in features(word) if f in self.known)
-            for f in own:
+            for f in seen[word]:
                 counts[f] = counts.get(f, 0) + n
         shown = sorted(x for f, n in counts.items() for x in levels(f, n, len(found)))
         z = self.bias + math.fsum(self.weights.get(x, 0.0) for x in shown)
@@ -137,7 +134,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
 
     p, u = F.col("p") / n_p, F.col("u") / n_u
     spread = F.sqrt(F.greatest(u * (1 - u), F.lit(1 / n_u)) * (1 / n_p + 1 / n_u))
-    counts = (sample.mapInPandas(_count_features, "feature string, p long, u long")
+    counts = (sample.mapInArrow(frugal(_count_features), "feature string, p long, u long")
               .groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
               .withColumn("z", (p - u) / spread).filter(f"z >= {LEAST_Z} AND p >= {LEAST_ROWS}").filter(prior * p >= LEAST_SHARE * u))
     names = [r["feature"] for r in counts.orderBy(F.desc("z"), "feature").limit(FEATURES).collect()]
@@ -145,48 +142,55 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
         return Model({}, math.log(prior / (1 - prior)) if prior < 1 else math.inf)
     number = {f: i for i, f in enumerate(names)}
 
-    def active(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"positive": b["positive"],
-                                "ids": [sorted(number[f] for f in text_features(t) if f in number) for t in b["text"]]})
+            ids = [sorted(number[f] for f in text_features(t.as_py()) if f in number) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("positive"), pa.array(ids, pa.list_(pa.int32()))], ["positive", "ids"])
 
-    shown = sample.mapInPandas(active, "positive boolean, ids array<int>").collect()  # bounded by the sample
+    shown = sample.mapInArrow(frugal(active), "positive boolean, ids array<int>").collect()  # bounded by the sample
     shown.sort(key=lambda r: (not r["positive"], r["ids"]))
     rows = {k: [np.array(r["ids"], np.int64) for r in shown if r["positive"] == k] for k in (True, False)}
     weights, bias = fit_pu(rows[True], rows[False], len(names), prior)
     return Model({f: float(w) for f, w in zip(names, weights)}, bias)
 
 
-def _count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         p, u = Counter(), Counter()
-        for positive, text in zip(b["positive"], b["text"]):
-            (p if positive else u).update(text_features(text))
+        for positive, text in zip(b.column("positive").to_pylist(), b.column("text")):
+            (p if positive else u).update(text_features(text.as_py()))
         names = list(p.keys() | u.keys())
-        yield pd.DataFrame({"feature": names, "p": [p[f] for f in names], "u": [u[f] for f in names]})
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([p[f] for f in names], pa.int64()),
+                                          pa.array([u[f] for f in names], pa.int64())], ["feature", "p", "u"])
 
 
-def score(text: Column, model: Model) -> Column:
-    """Scores from 0 to 1 of whole texts."""
+def scored(documents: DataFrame, model: Model, score: str = "score") -> DataFrame:
+    """``documents`` with the scores, from 0 to 1, of their whole texts; a column of that name is replaced."""
+    documents = documents.drop(score) if score != "text" else documents
     weights, bias = model.weights, model.bias
+    schema = T.StructType([*documents.schema.fields, T.StructField(score, T.DoubleType())])
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(weights, bias)
-        for texts in batches:
-            yield pd.Series([own.score(t) for t in texts], dtype="float64")
+        for b in batches:
+            found = [own.score(t or "") for t in b.column("text").cast(pa.string()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, score])
 
-    return scores(F.coalesce(text.cast("string"), F.lit("")))
+    return documents.mapInArrow(frugal(run), schema)
 
 
 def op4_nnpu_toxicity(spark, sf_dir):
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(documents, labels)
-    return (documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text"), model).alias("score"))
+    rows = scored(documents.select("doc_id", F.col("text").cast("string").alias("text")), model)
+    return (rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score")
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
 
 
 def without_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the model rejects go, the rest stay as they are."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return docs.filter(score(F.col("text"), model) < 0.5)
+    name = "__score"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, model, name).filter(F.col(name) < 0.5).drop(name)

@@ -49,6 +49,6 @@ def test_registered():
     from __spark_entry__ import oracle_sql, queries
 
     names = queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
-    assert {"op6_rendezvous_sharding", "op7_multi_index_search", "op9_collision_counting"} <= set(oracle_sql())
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
+    assert {"op6_rendezvous_sharding", "op7_multi_index_search", "op9_collision_counting", "op11_trie_collocations", "op13_nra_search"} <= set(oracle_sql())
     assert tokenizer_path("word_bpe_49k.json").endswith("word_bpe_49k.json")

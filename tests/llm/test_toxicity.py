@@ -42,6 +42,6 @@ def test_odd_tables(spark, label_rows):
     d = spark.createDataFrame([(1, "a b", "x"), (2, None, "x"), (2, "", "x"), (None, "word " * 50000, "x")], "doc_id long, text string, score string")
     l = spark.createDataFrame(label_rows, "doc_id long, toxic int")
     model = toxicity.train(d, l)
-    got = d.select(toxicity.score(F.col("text"), model).alias("s")).collect()
+    got = toxicity.scored(d, model, "s").collect()
     assert len(got) == 4 and all(0 <= r.s < 0.5 for r in got)
     assert toxicity.train(d.limit(0), l).score("a") == 0.0
