@@ -41,6 +41,7 @@ from shardlens.llm.common import frugal, kept, table, written
 LEVELS, AT_ONCE = 3, [(1, 2), (3, 3)]  # levels whose bounds are found in one pass: most pairs consist of frequent words anyway
 LEAST, FIRST, COVERED = 10, 2000, 50
 UNKNOWN = "und"
+HASH = 40  # bits of a phrase's hash, below its level's number
 BITS, BITS_EACH = 27, 128  # a bitmap has 128 bits for each frequent hash, and 2 ** 27 (16 MB) at most
 PHRASES, TOGETHER = 1 << 18, 8  # phrases a trie, tries counted in one pass
 CHUNK = 8 << 20
@@ -170,7 +171,7 @@ class Bitmap:
         self.width, self.bits = width, bits
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
-        place = (hashes >> np.uint64(64 - self.width)).astype(np.int64)
+        place = (hashes >> np.uint64(HASH - self.width)).astype(np.int64)
         return (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -187,9 +188,9 @@ def frequent(words: Words, bitmaps: list[Bitmap], levels: int) -> Iterator[tuple
         if k > 1:
             able = able & np.r_[able[1:], False] & words.together(k) if len(words) else able
         if k <= len(bitmaps):
-            able = able & bitmaps[k - 1].holds(state)
+            able = able & bitmaps[k - 1].holds(state >> np.uint64(64 - HASH))
         starts = np.flatnonzero(able)
-        yield starts, state[starts]
+        yield starts, state[starts] >> np.uint64(64 - HASH)
 
 
 def bounds(texts: DataFrame, bitmaps: list[Bitmap], levels: int) -> DataFrame:
@@ -201,16 +202,15 @@ def bounds(texts: DataFrame, bitmaps: list[Bitmap], levels: int) -> DataFrame:
             for k, (_, hashes) in enumerate(frequent(words, shared.value, levels), 1):
                 if k > len(shared.value):
                     found, times = np.unique(hashes, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), k, np.int32)), pa.array(found.view(np.int64)), pa.array(times, pa.int64())],
-                                                     ["level", "hash", "times"])
+                    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64) | k << HASH), pa.array(times, pa.int64())], ["key", "times"])
 
-    return (texts.mapInArrow(frugal(run), "level int, hash long, times long").groupBy("level", "hash").agg(F.sum("times").alias("times"))
-            .filter(F.col("times") >= LEAST).select("level", "hash"))
+    often = texts.mapInArrow(frugal(run), "key long, times long").groupBy("key").agg(F.sum("times").alias("times")).filter(F.col("times") >= LEAST)
+    return often.select(F.shiftright("key", HASH).alias("level"), F.col("key").bitwiseAND(F.lit((1 << HASH) - 1)).alias("hash"))
 
 
 def bitmap_of(hashes: DataFrame) -> Bitmap:
     width = min(BITS, max(16, (hashes.count() * BITS_EACH).bit_length()))
-    place = F.shiftrightunsigned("hash", 64 - width) + 1  # buckets count from place 1
+    place = F.shiftright("hash", HASH - width) + 1  # buckets count from place 1
     parts = (hashes.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket"))
              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")))
     bits = np.zeros(1 << (width - 3), np.uint8)
@@ -227,20 +227,25 @@ def candidates(texts: DataFrame, bitmaps: list[Bitmap]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in chunks(batches):
-            tongues = pa.array(words.languages, pa.string())
+            tongues = pa.array(words.languages, pa.large_string())
             seen = np.unique(words.language)
-            yield _named(tongues.take(pa.array(seen)), 0, pa.array([""] * len(seen), pa.large_string()))
+            yield _entries(tongues.take(pa.array(seen)), pa.array([""] * len(seen), pa.large_string()))
             for k, (starts, hashes) in enumerate(frequent(words, shared.value, LEVELS), 1):
                 _, at = np.unique(hashes, return_index=True)
                 if len(at):
                     at = starts[at]
-                    yield _named(tongues.take(pa.array(words.language[at])), k, words.phrases(at, k))
+                    yield _entries(tongues.take(pa.array(words.language[at])), words.phrases(at, k))
 
-    return texts.mapInArrow(frugal(run), "lang string, words int, phrase string").distinct()
+    phrase = F.substring_index("entry", "\n", -1)  # a line feed ends a piece, so no phrase holds one
+    spaces = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit("")))
+    return (texts.mapInArrow(frugal(run), "entry string").distinct().withColumn("phrase", phrase)
+            .select(F.left("entry", F.length("entry") - F.length("phrase") - 1).alias("lang"),
+                    F.when(F.col("phrase") == "", 0).otherwise(spaces + 1).cast("int").alias("words"), "phrase"))
 
 
-def _named(lang: pa.Array, words: int, phrase: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(lang), words, np.int32)), pc.cast(phrase, pa.string())], ["lang", "words", "phrase"])
+def _entries(lang: pa.Array, phrase: pa.Array) -> pa.RecordBatch:
+    joined = pc.binary_join_element_wise(lang, phrase, pa.scalar("\n", pa.large_string()))
+    return pa.RecordBatch.from_arrays([pc.cast(joined, pa.string())], ["entry"])
 
 
 # ------------------------------------------------------------------ the trie
