@@ -8,6 +8,7 @@ schema-directed builders like any other; scalars print by their own kind. Everyt
 
 from __future__ import annotations
 
+import copy
 import re
 from collections.abc import Callable
 
@@ -33,7 +34,8 @@ class Mixed(T.VariantType):
 
 
 class Ragged(T.StructType):
-    """The merged type of JSON objects that need not all have its keys: a null field counts as an absent key."""
+    """The merged type of JSON objects that need not all have its keys. Which keys an object has, and in what order, its
+    text says (:func:`with_raw`); where no text is known, a null field counts as an absent key."""
 
     @classmethod
     def typeName(cls) -> str:
@@ -49,6 +51,64 @@ def ragged(dt: T.DataType) -> T.DataType:
     return dt
 
 
+# ------------------------------------------------------------------ the text a value was read from
+
+def with_raw(dt: T.DataType, raw: Column | None) -> T.DataType:
+    """``dt`` for values read from these JSON texts, if the text tells more than the value: the keys of objects, and
+    whether a number was written as a whole one."""
+    if raw is None or not _tells_more(dt):
+        return dt
+    out = copy.copy(dt)
+    out.raw = raw
+    return out
+
+
+def raw_of(dt: T.DataType) -> Column | None:
+    return getattr(dt, "raw", None)
+
+
+def without_raw(dt: T.DataType) -> T.DataType:
+    """``dt`` for frames that do not carry the texts."""
+    out = copy.copy(dt)
+    out.__dict__.pop("raw", None)
+    return out
+
+
+def _tells_more(dt: T.DataType) -> bool:
+    if isinstance(dt, T.ArrayType):
+        return _tells_more(dt.elementType)
+    return isinstance(dt, (Ragged, T.VariantType, T.DoubleType, T.DecimalType))
+
+
+def own_keys(raw: Column) -> Column:
+    """The keys of an object in the order written; a repeated one counts once, at its first place."""
+    return F.array_distinct(F.json_object_keys(raw))
+
+
+def field_type(dt: T.StructType, f: T.StructField) -> T.DataType:
+    raw = raw_of(dt)
+    return f.dataType if raw is None else with_raw(f.dataType, F.try_element_at(F.from_json(raw, "map<string,string>"), F.lit(f.name)))
+
+
+def item_texts(dt: T.ArrayType) -> Column | None:
+    """The texts of the items of a list, if they tell more than the items."""
+    raw = raw_of(dt)
+    return None if raw is None else F.from_json(raw, "array<string>")
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def written_number(raw: Column) -> Column:
+    """A JSON number as Python prints it: whole as written, else as a float."""
+    from .render import py_float_repr
+
+    return (F.when(raw == "-0", F.lit("0")).when(raw.rlike(r"^-?[0-9]+$"), raw)
+            .otherwise(py_float_repr(raw.try_cast("double"))))
+
+
 def mixed_types(frame: DataFrame) -> dict[str, Mixed]:
     """The ``Mixed`` type of every ``VARIANT`` column of ``frame``, from one aggregate over all rows and a level."""
     names = [f.name for f in frame.schema.fields if isinstance(f.dataType, T.VariantType)]
@@ -99,11 +159,13 @@ def mixed_text(c: Column, dt: T.DataType, container: Callable[[Column, T.DataTyp
     JSON null; a missing value stays null."""
     from .render import py_float_repr
 
-    shape, types = _shape(c), getattr(dt, "types", {})
+    shape, types, raw = _shape(c), getattr(dt, "types", {}), raw_of(dt)
     out = F.when(shape == "VOID", F.lit(null).cast("string"))
     for s in SHAPES:
-        value = F.to_json(c) if s not in types else container(F.try_variant_get(c, "$", types[s].simpleString()), types[s])
+        value = F.to_json(c) if s not in types else container(F.try_variant_get(c, "$", types[s].simpleString()), with_raw(types[s], raw))
         out = out.when(shape.startswith(s), value)
+    if raw is not None:
+        out = out.when(shape.rlike("^(BIGINT|INT|DOUBLE|FLOAT|DECIMAL)"), written_number(raw))
     truth = F.try_variant_get(c, "$", "boolean")
     fraction = shape.startswith("DOUBLE") | shape.startswith("FLOAT") | shape.rlike(r"^DECIMAL\(\d+, ?[1-9]")
     return (out.when(shape == "BOOLEAN", F.when(truth, F.lit("True")).otherwise(F.lit("False")))

@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .mixed import Ragged, mixed_text
+from .mixed import Ragged, bound, field_type, item_texts, mixed_text, own_keys, raw_of, with_raw, written_number
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATING = (T.FloatType, T.DoubleType)
@@ -75,6 +75,8 @@ def py_str(c: Column, dt: T.DataType) -> Column:
         return F.when(c, _lit("True")).when(~c, _lit("False"))
     if isinstance(dt, _INTEGRAL):
         return c.cast("string")
+    if isinstance(dt, (T.DoubleType, T.DecimalType)) and raw_of(dt) is not None:
+        return F.when(c.isNotNull(), written_number(raw_of(dt)))
     if isinstance(dt, _FLOATING):
         return py_float_repr(c)
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
@@ -101,13 +103,34 @@ def _py_str_repr(s: Column) -> Column:
     return F.when(use_double, F.concat(_lit('"'), esc, _lit('"'))).otherwise(single)
 
 
+def _items(c: Column, dt: T.ArrayType, text) -> Column:
+    """``text(item, type)`` of each item of a list."""
+    texts = item_texts(dt)
+    if texts is None:
+        return F.transform(c, lambda x: text(x, dt.elementType))
+    return bound(texts, lambda found: F.transform(c, lambda x, i: text(x, with_raw(dt.elementType, F.get(found, i)))))
+
+
+def _own_pairs(c: Column, dt: T.StructType, pair) -> Column:
+    """``pair(field, type)`` of the fields an object has, null ones too, in the order written."""
+    def of(keys: Column) -> Column:
+        each = F.array(*[F.struct(F.array_position(keys, _lit(f.name)).alias("at"), pair(f, field_type(dt, f)).alias("pair")) for f in dt.fields])
+        return F.transform(F.array_sort(F.filter(each, lambda p: p["at"] > 0)), lambda p: p["pair"])
+    if not dt.fields:
+        return F.array().cast("array<string>")
+    return bound(own_keys(raw_of(dt)), of)
+
+
 def py_repr(c: Column, dt: T.DataType) -> Column:
     """``repr(value)``; null → ``None``."""
     if isinstance(dt, T.StringType):
         out = _py_str_repr(c)
     elif isinstance(dt, T.ArrayType):
-        inner = F.transform(c, lambda x: py_repr(x, dt.elementType))
+        inner = _items(c, dt, py_repr)
         out = F.concat(_lit("["), F.array_join(inner, ", "), _lit("]"))
+    elif isinstance(dt, T.StructType) and raw_of(dt) is not None:
+        pairs = _own_pairs(c, dt, lambda f, t: F.concat(_lit(repr(f.name) + ": "), py_repr(c[f.name], t)))
+        out = F.concat(_lit("{"), F.array_join(pairs, ", "), _lit("}"))
     elif isinstance(dt, T.StructType):
         parts = [F.concat(_lit(repr(f.name) + ": "), py_repr(c[f.name], f.dataType)) for f in dt.fields]
         if isinstance(dt, Ragged):
@@ -153,6 +176,8 @@ def py_json(c: Column, dt: T.DataType, indent: int | None = None, level: int = 0
         out = _json_string(c)
     elif isinstance(dt, T.BooleanType):
         out = F.when(c, _lit("true")).otherwise(_lit("false"))
+    elif isinstance(dt, (T.DoubleType, T.DecimalType)) and raw_of(dt) is not None:
+        out = written_number(raw_of(dt))
     elif isinstance(dt, _INTEGRAL) or isinstance(dt, T.DecimalType) and dt.scale == 0:
         out = c.cast("string")
     elif isinstance(dt, _FLOATING):
@@ -160,7 +185,7 @@ def py_json(c: Column, dt: T.DataType, indent: int | None = None, level: int = 0
         out = (F.when(F.isnan(d), _lit("NaN")).when(d == float("inf"), _lit("Infinity"))
                .when(d == float("-inf"), _lit("-Infinity")).otherwise(py_float_repr(d)))
     elif isinstance(dt, T.ArrayType):
-        inner = F.transform(c, lambda x: py_json(x, dt.elementType, indent, level + 1))
+        inner = _items(c, dt, lambda x, t: py_json(x, t, indent, level + 1))
         out = F.when(F.size(c) == 0, _lit("[]")).otherwise(
             F.concat(_lit("[" + open_pad), F.array_join(inner, item_sep), _lit(close_pad + "]")))
     elif isinstance(dt, T.MapType):
@@ -170,6 +195,10 @@ def py_json(c: Column, dt: T.DataType, indent: int | None = None, level: int = 0
     elif isinstance(dt, T.StructType):
         if not dt.fields:
             out = _lit("{}")
+        elif raw_of(dt) is not None:
+            pairs = _own_pairs(c, dt, lambda f, t: F.concat(_json_string(_lit(f.name)), _lit(key_sep), py_json(c[f.name], t, indent, level + 1)))
+            out = bound(pairs, lambda own: F.when(F.size(own) == 0, _lit("{}")).otherwise(
+                F.concat(_lit("{" + open_pad), F.array_join(own, item_sep), _lit(close_pad + "}"))))
         else:
             parts = [F.concat(_json_string(_lit(f.name)), _lit(key_sep), py_json(c[f.name], f.dataType, indent, level + 1))
                      for f in dt.fields]
@@ -222,7 +251,7 @@ def _first_truthy(c: Column, dt: T.StructType, names: list[str]) -> Column | Non
     for name in names:
         f = _field(dt, name)
         if f is not None:
-            picks.append(F.when(_truthy(c[name], f.dataType), py_str(c[name], f.dataType)))
+            picks.append(F.when(_truthy(c[name], f.dataType), py_str(c[name], field_type(dt, f))))
     return F.coalesce(*picks) if picks else None
 
 
@@ -238,13 +267,21 @@ def _dict_rule(c: Column, dt: T.StructType) -> Column:
 
 
 def _first_body(c: Column, dt: T.StructType, names: list[str]) -> Column | None:
-    """Text of the first of the fields that the object has; null if that field is null. In a ragged object a null
-    field is an absent one."""
+    """Text of the first of the fields that the object has; null if that field is null. The object's text is looked at
+    only where a field is null; without a text, a null field of a ragged object is an absent one."""
     found = [f for n in names if (f := _field(dt, n)) is not None]
-    texts = [F.when(c[f.name].isNotNull(), render(c[f.name], f.dataType)) for f in found]
+    texts = [F.when(c[f.name].isNotNull(), render(c[f.name], field_type(dt, f))) for f in found]
     if not texts:
         return None
-    return F.coalesce(*texts) if isinstance(dt, Ragged) else texts[0]
+    if not isinstance(dt, Ragged):
+        return texts[0]
+    if raw_of(dt) is None:
+        return F.coalesce(*texts)
+    out = F.lit(None).cast("string")
+    for f in reversed(found):
+        there = F.array_contains(own_keys(raw_of(dt)), _lit(f.name))
+        out = F.when(c[f.name].isNotNull(), render(c[f.name], field_type(dt, f))).when(there, F.lit(None).cast("string")).otherwise(out)
+    return out
 
 
 def _list_item(m: Column, dt: T.DataType) -> Column:
@@ -266,7 +303,11 @@ def render(c: Column, dt: T.DataType) -> Column:
     if isinstance(dt, T.StringType):
         return F.coalesce(c, _lit(""))
     if isinstance(dt, T.ArrayType):
-        parts = F.transform(c, lambda m: _list_item(m, dt.elementType))
+        texts = item_texts(dt)
+        if texts is None:
+            parts = F.transform(c, lambda m: _list_item(m, dt.elementType))
+        else:  # not computed unless an item needs its text
+            parts = F.transform(c, lambda m, i: _list_item(m, with_raw(dt.elementType, F.get(texts, i))))
         return F.coalesce(F.array_join(parts, "\n\n"), _lit(""))
     if isinstance(dt, T.MapType):
         # Arrow hands a map to Python as a list of (key, value) tuples.
@@ -296,6 +337,6 @@ def value_text(c: Column, dt: T.DataType, null_text: str | None = "None") -> Col
 def preview_source(c: Column, dt: T.DataType) -> Column:
     """What a preview starts from: lists/dicts as JSON, scalars as ``str``, null as ''."""
     if isinstance(dt, T.VariantType):
-        return F.when(c.isNull(), _lit("")).otherwise(mixed_text(c, dt, py_json, "None"))
+        return F.when(c.isNull(), _lit("")).otherwise(mixed_text(c, dt, py_json, ""))
     body = py_json(c, dt) if is_container(dt) else py_str(c, dt)
     return F.when(c.isNull(), _lit("")).otherwise(body)

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fields import FLAG_ALIASES, MODEL_ALIASES, TEXT_ALIASES_BROWSER, TOKEN_ALIASES
-from ..functions.render import preview_source, py_json, py_repr, py_str, render
+from ..functions.render import preview_source, py_repr, py_str, render
 from ..functions.text import collapse_ws, cut, py_strip
 from ..sources import files as FS
 from ..sources.dataset import Dataset, clamp_page
 from ..sources.readers import KEYS_COL
+from ..sources.sinks import row_json
 from .profile import token_count
 from .resolve import resolve_apply
 
@@ -126,24 +127,25 @@ def inspect_record(ds: Dataset, row_no: int) -> DataFrame:
     ``display`` is the rendered text, or the whole row as indented JSON when the
     row has no text field.
     """
-    schema = ds.schema
     row = ds.rows_between(row_no, row_no)
-    whole = py_json(F.struct(*[F.col(f"`{c}`") for c in ds.columns]), schema, indent=2)
+    whole = row_json(row, ds.columns, ds, indent=2)
     display = resolve_apply(ds, TEXT_ALIASES_BROWSER,
                             lambda c, dt: F.when(c.isNull(), whole).otherwise(render(c, dt)), whole)
+    return row.select(F.col("__row_no").alias("row_no"), display.alias("display"), *token_projection(ds))
 
+
+def token_projection(ds: Dataset) -> list[Column]:
+    """``token_count, token_head, token_min, token_max`` of a row (P4): null unless its token field is a list."""
     def tok(fn):
         return resolve_apply(ds, TOKEN_ALIASES, lambda c, dt: fn(c, dt) if isinstance(dt, T.ArrayType) else F.lit(None),
                              F.lit(None))
 
-    return row.select(
-        F.col("__row_no").alias("row_no"),
-        display.alias("display"),
+    return [
         tok(lambda c, dt: F.size(c).cast("long")).cast("long").alias("token_count"),
         tok(lambda c, dt: py_repr(F.slice(c, 1, TOKEN_HEAD), dt)).cast("string").alias("token_head"),
         tok(lambda c, dt: F.array_min(c)).cast("long").alias("token_min"),
         tok(lambda c, dt: F.array_max(c)).cast("long").alias("token_max"),
-    )
+    ]
 
 
 def shard_ranges(ds: Dataset) -> DataFrame:

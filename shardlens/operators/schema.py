@@ -96,6 +96,8 @@ def column_types(ds: Dataset) -> DataFrame:
     """
     from pyspark.sql import types as T
 
+    from ..functions.mixed import raw_of
+
     fields = ds.schema.fields
     if ds.kind == "parquet":
         rows = [(i + 1, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)]
@@ -111,6 +113,9 @@ def column_types(ds: Dataset) -> DataFrame:
                 cond = kind.startswith(prefix)
                 name = F.when(cond, F.lit(py)) if name is None else name.when(cond, F.lit(py))
             aggs.append(F.coalesce(name.otherwise(F.lit("NoneType")), F.lit("NoneType")).alias(f.name))
+        elif raw_of(f.dataType) is not None and not isinstance(f.dataType, (T.ArrayType, T.StructType)):
+            first = F.min_by(raw_of(f.dataType), F.when(c.isNotNull(), pos))  # a number: whole or not as written
+            aggs.append(F.when(F.count(c) == 0, F.lit("NoneType")).when(first.rlike(r"^-?[0-9]+$"), F.lit("int")).otherwise(F.lit("float")).alias(f.name))
         else:
             simple = f.dataType.simpleString().split("<")[0]
             py = dict(_PY_TYPE_NAMES).get(simple, simple)

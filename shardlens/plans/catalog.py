@@ -15,9 +15,10 @@ from pyspark.sql import types as T
 
 from ..operators import paging, profile, schema, search
 from ..operators.resolve import resolve_apply
-from ..functions.fields import FLAG_ALIASES, TEXT_ALIASES_REPORT
-from ..functions.render import py_repr, render
+from ..functions.fields import FLAG_ALIASES, TEXT_ALIASES_REPORT, text_aliases
+from ..functions.render import render
 from ..sources.dataset import open_dataset
+from ..sources.sinks import row_json
 from . import fixtures as X
 from . import sql as S
 
@@ -141,14 +142,41 @@ def q_exact_length_rows(spark, sf):
 
 def q_token_projection(spark, sf):
     ds = X.token_documents(spark, sf)
-    t = F.col("tokens")
-    return ds.df.select(
-        "doc_id",
-        F.size(t).cast("long").alias("n_tokens"),
-        F.array_min(t).cast("long").alias("token_min"),
-        F.array_max(t).cast("long").alias("token_max"),
-        py_repr(F.slice(t, 1, paging.TOKEN_HEAD), T.ArrayType(T.IntegerType())).alias("token_head"),
-    )
+    return ds.df.select("doc_id", *paging.token_projection(ds)).withColumnRenamed("token_count", "n_tokens")
+
+
+def q_token_column(spark, sf):
+    """The summary of a dataset with token lists names their column."""
+    return profile.dataset_summary(X.token_documents(spark, sf)).select("rows", "n_columns", "columns", "token_column")
+
+
+def q_alias_orders(spark, sf):
+    """Each view takes the text from another column of the same rows."""
+    ds = X.aliased_documents(spark, sf)
+    views = [resolve_apply(ds, text_aliases(v), lambda c, dt: render(c, dt), F.lit("")).alias(f"{v}_text") for v in ("dashboard", "browser", "profile")]
+    return ds.df.select("doc_id", *views)
+
+
+def q_model_page(spark, sf):
+    """A page of the conversation turns, whose ``role`` is shown as the model."""
+    return paging.browse(open_dataset(spark, f"{sf.rstrip('/')}/conversations.parquet"), 1, PAGE_SIZE)
+
+
+def q_json_rows(spark, sf):
+    """Every row as the one line of JSON that an encoder writes."""
+    ds = X.token_documents(spark, sf)
+    return ds.df.select("doc_id", row_json(ds.df, ["doc_id", "lang", "tokens"], ds).alias("line"))
+
+
+def q_render_ragged_conversations(spark, sf):
+    ds = open_dataset(spark, X.write_ragged_conversations_jsonl(spark, sf), kind="jsonl")
+    text = resolve_apply(ds, TEXT_ALIASES_REPORT, lambda c, dt: render(c, dt), F.lit(""))
+    return ds.base.select("conv_id", text.alias("text"))
+
+
+def q_preview_json_objects(spark, sf):
+    ds = open_dataset(spark, X.write_objects_jsonl(spark, sf), kind="jsonl")
+    return ds.base.select("doc_id", paging.short_text(F.col("meta"), ds.schema["meta"].dataType, paging.BROWSE_PREVIEW).alias("preview"))
 
 
 # ---------------------------------------------------------------------- search
@@ -162,6 +190,11 @@ def q_search_all(spark, sf):
     return _ids(search.search(ds, SEARCH_WORD, match_names=True, match_nulls=True))
 
 
+def q_search_empty(spark, sf):
+    """A blank query keeps every row."""
+    return _ids(search.search(X.documents(spark, sf), " \t "))
+
+
 def q_search_all_default(spark, sf):
     ds = X.documents(spark, sf)
     return _ids(search.search(ds, "En Src1", match_names=False, match_nulls=False))
@@ -367,6 +400,13 @@ QUERIES: dict[str, QueryFn] = {
     "file_manifest_totals": q_file_manifest_totals,
     "exact_length_rows": q_exact_length_rows,
     "token_projection": q_token_projection,
+    "token_column": q_token_column,
+    "alias_orders": q_alias_orders,
+    "model_page": q_model_page,
+    "json_rows": q_json_rows,
+    "render_ragged_conversations": q_render_ragged_conversations,
+    "preview_json_objects": q_preview_json_objects,
+    "search_empty": q_search_empty,
     "search_all": q_search_all,
     "search_all_default": q_search_all_default,
     "search_column": q_search_column,
@@ -497,6 +537,22 @@ SELECT doc_id, len(tokens)::BIGINT AS n_tokens, list_min(tokens)::BIGINT AS toke
        list_max(tokens)::BIGINT AS token_max,
        '[' || array_to_string(tokens[1:{paging.TOKEN_HEAD}], ', ') || ']' AS token_head
 FROM t""",
+    "token_column": """
+SELECT count(*)::BIGINT AS rows, 6::BIGINT AS n_columns, 'doc_id, text, lang, source, n_chars, tokens' AS columns, 'tokens' AS token_column FROM documents""",
+    "alias_orders": "SELECT doc_id, coalesce(text, '') AS dashboard_text, coalesce(lang, '') AS browser_text, source || ': ' || lang AS profile_text FROM documents",
+    "model_page": f"""
+SELECT row_no::BIGINT AS row_no, role AS model, {S.preview('text', paging.BROWSE_PREVIEW)} AS preview,
+       NULL::BIGINT AS n_tokens, false AS flagged, '' AS shard
+FROM (SELECT *, row_number() OVER () AS row_no FROM conversations) WHERE row_no BETWEEN {PAGE_SIZE + 1} AND {2 * PAGE_SIZE}""",
+    "json_rows": f"""
+SELECT doc_id, '{{"doc_id": ' || doc_id || ', "lang": "' || lang || '", "tokens": [' || array_to_string({S.TOKENS}, ', ') || ']}}' AS line FROM documents""",
+    "render_ragged_conversations": """
+SELECT conv_id, string_agg(role || ': ' || CASE WHEN turn % 2 = 0 THEN role || ': ' ELSE '' END || text, chr(10) || chr(10) ORDER BY turn) AS text
+FROM conversations GROUP BY conv_id""",
+    "preview_json_objects": """
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '{"z": ' || n_chars || ', "a": null, "lang": "' || lang || '"}'
+       WHEN 1 THEN '{"lang": "' || lang || '", "n": {"a": null, "z": ' || n_chars || '}}' ELSE '{}' END AS preview FROM documents""",
+    "search_empty": f"SELECT doc_id, row_no::BIGINT AS row_no FROM ({S.NUMBERED_DOCS})",
     "search_all": f"""
 SELECT doc_id, row_no::BIGINT AS row_no FROM ({S.NUMBERED_DOCS})
 WHERE contains({S.doc_haystack(True, True)}, '{SEARCH_WORD}')""",

@@ -61,10 +61,8 @@ def conversation_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``{from, value}`` messages in turn order."""
     conv = table(spark, sf_dir, "conversations")
     msgs = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    # Sorted by conversation so row positions are the same in every job that reads it
-    # (a shuffle alone leaves the order of rows inside a partition open).
     return msgs.select("conv_id", F.transform("m", lambda x: F.struct(
-        x["role"].alias("from"), x["text"].alias("value"))).alias("conversation")).orderBy("conv_id")
+        x["role"].alias("from"), x["text"].alias("value"))).alias("conversation"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> Dataset:
@@ -158,3 +156,38 @@ def write_event_props_jsonl(spark: SparkSession, sf_dir: str) -> str:
     target = scratch_path(spark, "events-jsonl")
     ev.orderBy("event_id").select(line.alias("value")).write.text(target)
     return target
+
+
+def write_ragged_conversations_jsonl(spark: SparkSession, sf_dir: str) -> str:
+    """``conversations`` as JSON Lines whose messages differ in their keys: in even turns ``from``, a null ``value`` and
+    ``content``, in odd ones ``role`` and ``content``."""
+    conv = table(spark, sf_dir, "conversations")
+    opts = {"ignoreNullFields": "false"}
+    empty = F.lit(None).cast("string")
+    message = (F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("role").alias("from"), empty.alias("value"), F.col("text").alias("content")), opts))
+               .otherwise(F.to_json(F.struct("role", F.col("text").alias("content")), opts)))
+    rows = conv.select("conv_id", "turn", message.alias("m")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "m"))).alias("ms"))
+    line = F.concat(F.lit('{"conv_id": '), F.col("conv_id").cast("string"), F.lit(', "conversation": ['), F.array_join("ms.m", ", "), F.lit("]}"))
+    target = scratch_path(spark, "ragged-conversations")
+    rows.select(line.alias("value")).write.text(target)
+    return target
+
+
+def write_objects_jsonl(spark: SparkSession, sf_dir: str) -> str:
+    """A JSON object for each document: its keys stand in another order, or are null or absent, by ``doc_id``."""
+    docs = table(spark, sf_dir, "documents")
+    opts = {"ignoreNullFields": "false"}
+    size, nothing = F.col("n_chars").alias("z"), F.lit(None).cast("string").alias("a")
+    meta = (F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(size, nothing, "lang"), opts))
+            .when(F.col("doc_id") % 3 == 1, F.to_json(F.struct("lang", F.struct(nothing, size).alias("n")), opts)).otherwise(F.lit("{}")))
+    line = F.concat(F.lit('{"doc_id": '), F.col("doc_id").cast("string"), F.lit(', "meta": '), meta, F.lit("}"))
+    target = scratch_path(spark, "objects")
+    docs.select(line.alias("value")).write.text(target)
+    return target
+
+
+def aliased_documents(spark: SparkSession, sf_dir: str) -> Dataset:
+    """``documents`` under three text columns, of which each view's alias list means another."""
+    message = F.struct(F.col("source").alias("from"), F.col("lang").alias("value"))
+    return from_frame(spark, table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("text").alias("prompt"), F.col("lang").alias("Chat_String"), F.array(message).alias("conversation")), "aliased")

@@ -107,4 +107,5 @@ def ship_package(spark: SparkSession) -> None:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     folder = tempfile.mkdtemp(prefix="shardlens-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.addPyFile(shutil.make_archive(os.path.join(folder, "shardlens"), "zip", root, "shardlens"))

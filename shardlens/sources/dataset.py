@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.mixed import mixed_types, ragged
+from ..functions.mixed import mixed_types, ragged, with_raw
 from ..session import scratch_path, work_dir
 from . import files as FS
-from .readers import (EXTRA_COLS, HIDDEN, KEYS_COL, json_columns, jsonl_lines, parquet_counts, parquet_reader, parse_jsonl,
+from .readers import (EXTRA_COLS, HIDDEN, KEYS_COL, RAW_COL, json_columns, jsonl_lines, parquet_counts, parquet_reader, parse_jsonl,
                       read_csv, read_json_document, read_jsonl, read_parquet, typed_columns)
 
 class DatasetError(RuntimeError):
@@ -56,15 +56,18 @@ class Dataset:
         """User columns plus the per-row key list of JSON sources, for full scans."""
         if not self.has_presence:
             return self.df
-        return self.base.select(*[F.col(f"`{c}`") for c in self.columns], F.col(KEYS_COL))
+        return self.base.select(*[F.col(f"`{c}`") for c in self.columns], F.col(KEYS_COL), F.col(RAW_COL))
 
     @property
     def schema(self):
         """Schema of the user columns (resolved once)."""
         if self._schema is None:
-            mixed = mixed_types(self.df) if self.has_presence else {}
-            self._schema = T.StructType([T.StructField(f.name, mixed.get(f.name, ragged(f.dataType) if self.has_presence else f.dataType), f.nullable)
-                                          for f in self.df.schema.fields])
+            fields = self.df.schema.fields
+            if self.has_presence:
+                mixed = mixed_types(self.df)
+                fields = [T.StructField(f.name, with_raw(mixed.get(f.name, ragged(f.dataType)), F.try_element_at(F.col(RAW_COL), F.lit(f.name))), f.nullable)
+                          for f in fields]
+            self._schema = T.StructType(list(fields))
         return self._schema
 
     @property
@@ -359,8 +362,11 @@ def _open_small(spark: SparkSession, source: str, kind: str, listing: DataFrame,
             raise DatasetError(str(other)) from other
         _check_case_duplicates(spark, columns)
         return Dataset(spark, source, kind, base, columns, listing)
-    base = read_jsonl(spark, source, glob) if kind == "jsonl" else read_json_document(spark, source, glob)
-    profile = json_columns(base)
+    if kind == "jsonl":
+        base, checked = read_jsonl(spark, source, glob), read_jsonl(spark, source, glob, strict=True)
+    else:
+        base, checked = read_json_document(spark, source, glob)
+    profile = json_columns(checked)
     columns = [name for name, _ in profile]
     _check_case_duplicates(spark, columns)
     ds = Dataset(spark, source, kind, typed_columns(base, profile), columns, listing)

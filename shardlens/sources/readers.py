@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.mixed import own_keys
 from ..functions.text import py_strip
 from .files import decoded_path, metadata_path
 from .records import csv_records, json_records
@@ -29,7 +30,9 @@ from .records import csv_records, json_records
 HIDDEN = ["__path", "__block", "__local"]
 KEYS_COL = "__keys"
 CORRUPT_COL = "__corrupt"
-EXTRA_COLS = [KEYS_COL, CORRUPT_COL]
+#: The text of each field of a JSON row, by key.
+RAW_COL = "__raw"
+EXTRA_COLS = [KEYS_COL, CORRUPT_COL, RAW_COL]
 # Fixed value: the text of the key under which the viewer keeps CSV fields beyond the header.
 EXTRA_FIELDS = "None"
 
@@ -82,7 +85,16 @@ def _object_of(v: Column) -> Column:
 def _keys_of(line: Column, v: Column) -> Column:
     """Keys of the row object in the order they were written."""
     is_obj = F.schema_of_variant(v).startswith("OBJECT")
-    return F.when(is_obj, F.json_object_keys(line)).otherwise(F.array(F.lit("value")))
+    return F.when(is_obj, own_keys(line)).otherwise(F.array(F.lit("value")))
+
+
+def _raw_of(line: Column, v: Column) -> Column:
+    is_obj = F.schema_of_variant(v).startswith("OBJECT")
+    return F.when(is_obj, F.from_json(line, "map<string,string>")).otherwise(F.create_map(F.lit("value"), line))
+
+
+#: Spark's setting under which the last of repeated keys counts; taken up when an expression is resolved.
+LAST_KEY_COUNTS = "spark.sql.variant.allowDuplicateKeys"
 
 
 def jsonl_lines(spark: SparkSession, source: str, path_filter: Column | None = None, glob: str | None = None) -> DataFrame:
@@ -98,30 +110,43 @@ def jsonl_lines(spark: SparkSession, source: str, path_filter: Column | None = N
     return lines.withColumn("__local", F.monotonically_increasing_id())
 
 
-def parse_jsonl(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One JSON value per line; a bad line fails the read. ``keep``: further columns to carry."""
-    # Parse once into its own column; the derived columns below reuse it (Catalyst
-    # does not inline a non-trivial expression that is referenced several times).
-    # Parsed as the one item of a list, since the parser passes over what follows a value.
-    listed = F.parse_json(F.concat(F.lit("["), F.col("__line"), F.lit("]")))
-    parsed = lines.select(F.variant_get(listed, "$", "array<variant>").alias("__all"), "__line", *HIDDEN, *keep)
-    more = F.raise_error(F.concat(F.lit("more than one JSON value in a line of "), F.col("__path")))
-    parsed = parsed.select(F.when(F.size("__all") == 1, F.col("__all")[0]).otherwise(more).alias("__v"), "__line", *HIDDEN, *keep)
-    v = F.col("__v")
-    return parsed.select(_object_of(v).alias("__obj"), _keys_of(F.col("__line"), v).alias(KEYS_COL), *HIDDEN, *keep)
-
-
-def read_jsonl(spark: SparkSession, source: str, glob: str | None = None) -> DataFrame:
-    return parse_jsonl(jsonl_lines(spark, source, glob=glob))
-
-
-def read_json_document(spark: SparkSession, source: str, glob: str | None = None) -> DataFrame:
+def parse_jsonl(lines: DataFrame, keep: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
+    """One JSON value per line; a bad line fails the read; of repeated keys the last counts. ``keep``: further columns to
+    carry. ``strict`` also finds what follows a value (once, when a dataset is opened)."""
+    spark = lines.sparkSession
+    before = spark.conf.get(LAST_KEY_COUNTS, "false")
+    spark.conf.set(LAST_KEY_COUNTS, "true")
+    try:
+        # Parse once into its own column; the derived columns below reuse it (Catalyst
+        # does not inline a non-trivial expression that is referenced several times).
+        # Parsed as the one item of a list, since the parser passes over what follows a value.
+        line = F.col("__line")
+        listed = F.parse_json(F.concat(F.lit("["), line, F.lit("]")))
+        parsed = lines.select(F.variant_get(listed, "$", "array<variant>").alias("__all"), "__line", *HIDDEN, *keep)
+        one = F.size("__all") == 1
+        if strict:  # a line that closes that list itself does not pass as a member of an object
+            one = one & (~F.contains(line, F.lit("]")) | F.try_parse_json(F.concat(F.lit('{"v":'), line, F.lit("}"))).isNotNull())
+        more = F.raise_error(F.concat(F.lit("more than one JSON value in a line of "), F.col("__path")))
+        parsed = parsed.select(F.when(one, F.col("__all")[0]).otherwise(more).alias("__v"), "__line", *HIDDEN, *keep)
+        v = F.col("__v")
+        return parsed.select(_object_of(v).alias("__obj"), _keys_of(line, v).alias(KEYS_COL), _raw_of(line, v).alias(RAW_COL), *HIDDEN, *keep)
+    finally:
+        spark.conf.set(LAST_KEY_COUNTS, before)
+
+
+def read_jsonl(spark: SparkSession, source: str, glob: str | None = None, strict: bool = False) -> DataFrame:
+    return parse_jsonl(jsonl_lines(spark, source, glob=glob), strict=strict)
+
+
+def read_json_document(spark: SparkSession, source: str, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
     """JSON documents: a list of rows, ``{"data": [...]}``, ``{"rows": [...]}`` or a single value.
 
     The texts of the rows are cut out by as many tasks as the files have splits (:mod:`.records`); each is then one
-    JSON value like a line of JSON Lines. The parts of an exported array are read as the one list they form.
+    JSON value like a line of JSON Lines. The parts of an exported array are read as the one list they form. Returned as
+    :func:`read_jsonl` does, without and with the strict check.
     """
-    return parse_jsonl(json_records(spark, source, glob))
+    records = json_records(spark, source, glob)
+    return parse_jsonl(records), parse_jsonl(records, strict=True)
 
 
 _SCALARS = {
@@ -181,7 +206,7 @@ def typed_columns(base: DataFrame, columns: list[tuple[str, str]], keep: tuple[s
             cols.append(F.try_variant_get("__obj", path, "variant").alias(name))
         else:
             cols.append(F.try_variant_get("__obj", path, dtype.simpleString()).alias(name))
-    return base.select(*cols, KEYS_COL, *HIDDEN, *keep)
+    return base.select(*cols, KEYS_COL, RAW_COL, *HIDDEN, *keep)
 
 
 def read_csv(spark: SparkSession, source: str, glob: str | None = None) -> tuple[DataFrame, list[str]]:

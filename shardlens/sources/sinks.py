@@ -10,10 +10,12 @@ import os
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.mixed import without_raw
 from ..functions.render import py_json
 from .dataset import Dataset, DatasetError
-from .readers import KEYS_COL
+from .readers import KEYS_COL, RAW_COL
 
 def _norm(path: str) -> str:
     p = path[len("file:"):] if path.startswith("file:") else path
@@ -49,15 +51,11 @@ def export(rows: DataFrame, target: str, fmt: str = "jsonl", ds: Dataset | None
     if fmt == "jsonl":
         out = rows.sortWithinPartitions(order_col) if order_col else rows
         if KEYS_COL in rows.columns:
-            out.select(_own_keys(out, data_cols, ds)).write.mode(mode).text(target)
+            out.select(row_json(out, data_cols, ds).alias("value")).write.mode(mode).text(target)
         else:
             out.select(*[F.col(f"`{c}`") for c in data_cols]).write.mode(mode).option("ignoreNullFields", "false").json(target)
         return True
-    if KEYS_COL in rows.columns:
-        item = _own_keys(rows, data_cols, ds, indent=2, level=1)
-    else:
-        struct = F.struct(*[F.col(f"`{c}`") for c in data_cols])
-        item = py_json(struct, rows.select(struct.alias("s")).schema["s"].dataType, indent=2, level=1)
+    item = row_json(rows, data_cols, ds if KEYS_COL in rows.columns else None, indent=2, level=1)
     keyed = rows.select((F.col(order_col) if order_col else F.monotonically_increasing_id()).cast("long").alias("k"), item.alias("j"))
     edge = keyed.agg(F.min("k").alias("first"), F.max("k").alias("last")).first()
     # "[" stands before the first row, "]" after the last, and a comma after every other.
@@ -67,13 +65,18 @@ def export(rows: DataFrame, target: str, fmt: str = "jsonl", ds: Dataset | None
     return True
 
 
-def _own_keys(rows: DataFrame, columns: list[str], ds: Dataset | None, indent: int | None = None, level: int = 0) -> Column:
-    """A row of a JSON source as JSON text: the keys it has, in their order."""
+def row_json(rows: DataFrame, columns: list[str], ds: Dataset | None, indent: int | None = None, level: int = 0) -> Column:
+    """A row as JSON text; one of a JSON source with the keys it has, in their order."""
     types = {f.name: f.dataType for f in (ds.schema if ds is not None else rows.schema).fields}
+    if RAW_COL not in rows.columns:
+        types = {name: without_raw(dt) for name, dt in types.items()}
+    if KEYS_COL not in rows.columns:
+        struct = F.struct(*[F.col(f"`{c}`") for c in columns])
+        return py_json(struct, T.StructType([T.StructField(c, types[c]) for c in columns]), indent, level)
     pad, end = ("", "") if indent is None else ("\n" + " " * (indent * (level + 1)), "\n" + " " * (indent * level))
     pairs = F.array(*[F.struct(F.array_position(F.col(KEYS_COL), F.lit(c)).alias("at"),
                                F.concat(F.lit(json.dumps(c, ensure_ascii=False) + ": "), py_json(F.col(f"`{c}`"), types[c], indent, level + 1)).alias("pair"))
                       for c in columns])
     own = F.array_sort(F.filter(pairs, lambda p: p["at"] > 0))
     body = F.array_join(F.transform(own, lambda p: p["pair"]), ("," + pad) if indent else ", ")
-    return F.when(F.size(own) == 0, F.lit("{}")).otherwise(F.concat(F.lit("{" + pad), body, F.lit(end + "}"))).alias("value")
+    return F.when(F.size(own) == 0, F.lit("{}")).otherwise(F.concat(F.lit("{" + pad), body, F.lit(end + "}")))

@@ -196,12 +196,65 @@ def test_mixed_conversations_render_like_typed(spark, tmp_path):
     ds = open_dataset(spark, p)
     text = resolve_apply(ds, TEXT_ALIASES_REPORT, lambda c, dt: render(c, dt), F.lit(""))
     got = {r["id"]: r["t"] for r in ds.base.select("id", text.alias("t")).collect()}
-    assert got == {1: "user: hi\n\nbot: yo", 2: "plain text", 3: "a: x", 4: "assistant: ok",
+    assert got == {1: "user: hi\n\nbot: yo", 2: "plain text", 3: "a: a: x", 4: "assistant: ok",
                    5: "1\n\ntwo\n\nNone"}
     from shardlens.operators import search as S
     assert sorted(r["id"] for r in S.search(ds, "bot: yo", column="conversation").collect()) == [1]
 
 
+def _jsonl(spark, tmp_path, lines):
+    p = str(tmp_path / "raw.jsonl")
+    _write(p, "\n".join(lines) + "\n")
+    return open_dataset(spark, p)
+
+
+def test_nested_keys_as_written(spark, tmp_path):
+    """Order, nulls and absence of keys at every depth: in previews, displays, exports and rendering."""
+    lines = ['{"m": {"z": 1, "a": null}}', '{"m": {"a": [{"q": null, "b": 2}, {"b": {}}], "z": 5}}', '{"m": {}}', '{"m": null}', '{}',
+             '{"m": {"z": 1.0, "a": [], "y": 1e2}}']
+    ds = _jsonl(spark, tmp_path, lines)
+    from shardlens.functions.render import preview_source, py_json
+    rows = [json.loads(line) for line in lines]
+    m = F.col("m")
+    got = ds.positioned().orderBy("__row_no").select(preview_source(m, ds.schema["m"].dataType).alias("p"), py_json(m, ds.schema["m"].dataType, 2).alias("j")).collect()
+    assert [r["p"] for r in got] == ["" if r.get("m") is None else json.dumps(r["m"]) for r in rows]
+    assert [r["j"] for r in got] == [json.dumps(r.get("m"), indent=2) for r in rows]
+    from shardlens.sources.sinks import export
+    out = str(tmp_path / "out")
+    export(ds.positioned().coalesce(1), out, "jsonl", ds, order_col="__row_no")
+    assert sorted(r["value"] for r in spark.read.text(out).collect()) == sorted(json.dumps(r) for r in rows)
+
+
+def test_messages_with_null_and_absent_fields(spark, tmp_path):
+    lines = ['{"m": [{"from": "a", "value": null, "content": "x"}, {"role": "b", "content": "y"}]}', '{"m": [{"from": "c", "content": "z", "value": "v"}, null, 7, 2.5, "t"]}']
+    ds = _jsonl(spark, tmp_path, lines)
+    got = [r["t"] for r in ds.positioned().orderBy("__row_no").select(render(F.col("m"), ds.schema["m"].dataType).alias("t")).collect()]
+    assert got == ["a: a: x\n\nb: y", "c: v\n\nNone\n\n7\n\n2.5\n\nt"]
+
+
+def test_numbers_as_written(spark, tmp_path):
+    from shardlens.functions.render import py_str
+
+    ds = _jsonl(spark, tmp_path, ['{"n": 1, "l": [1, 2.5, -0, 12345678901234567890]}', '{"n": 2.5}', '{"n": 1e2}', '{"n": null}', '{"n": 3.0, "l": []}'])
+    got = [tuple(r) for r in ds.positioned().orderBy("__row_no").select(*[py_str(F.col(c), ds.schema[c].dataType).alias(c) for c in ("n", "l")]).collect()]
+    assert got == [("1", "[1, 2.5, 0, 12345678901234567890]"), ("2.5", "None"), ("100.0", "None"), (None, "None"), ("3.0", "[]")]
+    types = {r["column_name"]: r["type_name"] for r in schema.column_types(ds).collect()}
+    assert types == {"n": "int", "l": "list"}  # of the first value
+
+
+def test_of_repeated_keys_the_last_counts(spark, tmp_path):
+    ds = _jsonl(spark, tmp_path, ['{"a": 1, "b": 2, "a": 3}', '{"b": {"x": 1, "x": 2}}'])
+    assert ds.columns == ["a", "b"]
+    assert ds.df.select(F.col("a").cast("string")).orderBy("a").collect()[-1][0] == "3"
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+
+
+def test_a_line_may_not_close_what_it_does_not_open(spark, tmp_path):
+    for line in ('{"a":1}],[2', '{"a": 1}] garbage', '1}, {"b": 2'):
+        with pytest.raises(Exception):
+            _jsonl(spark, tmp_path, ['{"a": [1]}', line])
+
+
 def test_json_document_keeps_key_order(spark, tmp_path):
     p = str(tmp_path / "k.json")
     _write(p, '{"data": [{"zeta": 1, "alpha": "a"}, {"mid": null, "zeta": 2}, "x"]}')
