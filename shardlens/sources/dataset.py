@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.mixed import mixed_types, ragged, with_raw
 from ..session import scratch_path, work_dir
 from . import files as FS
-from .readers import (EXTRA_COLS, HIDDEN, KEYS_COL, RAW_COL, json_columns, jsonl_lines, parquet_counts, parquet_reader, parse_jsonl,
+from .readers import (EXTRA_COLS, HIDDEN, KEYS_COL, OPEN_KEYS, RAW_COL, json_columns, jsonl_lines, parquet_counts, parquet_reader, open_keys, parse_jsonl,
                       read_csv, read_json_document, read_jsonl, read_parquet, typed_columns)
 
 class DatasetError(RuntimeError):
@@ -367,12 +367,19 @@ def _open_small(spark: SparkSession, source: str, kind: str, listing: DataFrame,
     else:
         base, checked = read_json_document(spark, source, glob)
     profile = json_columns(checked)
-    columns = [name for name, _ in profile]
-    _check_case_duplicates(spark, columns)
-    ds = Dataset(spark, source, kind, typed_columns(base, profile), columns, listing)
+    if profile is None:
+        columns, shaped = [OPEN_KEYS], open_keys
+    else:
+        columns = [name for name, _ in profile]
+        _check_case_duplicates(spark, columns)
+
+        def shaped(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+            return typed_columns(rows, profile, keep)
+
+    ds = Dataset(spark, source, kind, shaped(base), columns, listing)
     if kind == "jsonl":
         ds.reread = lambda files: jsonl_lines(spark, source, files, glob)
-        ds.finish = lambda lines, keep: typed_columns(parse_jsonl(lines, keep), profile, keep)
+        ds.finish = lambda lines, keep: shaped(parse_jsonl(lines, keep), keep)
     return ds
 
 

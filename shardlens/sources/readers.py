@@ -175,8 +175,12 @@ def variant_type_to_spark(type_text: str) -> T.DataType | None:
         return None
 
 
-def json_columns(base: DataFrame) -> list[tuple[str, str]]:
-    """``(key, type text)`` of a JSON source, keys in first-seen order.
+#: Keys that are made columns at most. Rows that use more take ids as keys: they are one map column, ``OPEN_KEYS``.
+KEY_LIMIT, OPEN_KEYS = 10_000, "fields"
+
+
+def json_columns(base: DataFrame) -> list[tuple[str, str]] | None:
+    """``(key, type text)`` of a JSON source, keys in first-seen order (S6, S11); none if there are more than ``KEY_LIMIT``.
 
     One pass: every row object is exploded into its fields (``variant_explode``);
     grouping by key gives both the key's first position (row order, then the key's
@@ -192,7 +196,15 @@ def json_columns(base: DataFrame) -> list[tuple[str, str]]:
                        F.array_position(F.col(KEYS_COL), F.col("key")).alias("kpos"))).alias("first"),
         F.schema_of_variant_agg("value").alias("t"),
     )
-    return [(r["key"], r["t"]) for r in per_key.orderBy("first").collect()]
+    found = per_key.limit(KEY_LIMIT + 1).collect()
+    if len(found) > KEY_LIMIT:
+        return None
+    return [(r["key"], r["t"]) for r in sorted(found, key=lambda r: tuple(r["first"]))]
+
+
+def open_keys(base: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows as one map from their keys to the text of their fields."""
+    return base.select(F.col(RAW_COL).alias(OPEN_KEYS), *HIDDEN, *keep)
 
 
 def typed_columns(base: DataFrame, columns: list[tuple[str, str]], keep: tuple[str, ...] = ()) -> DataFrame:

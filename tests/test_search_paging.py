@@ -6,6 +6,7 @@ import os
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from shardlens import DatasetError, open_dataset
 from shardlens.operators import paging, search
@@ -201,3 +202,46 @@ def test_capped_search_is_exact_without_top_k(spark, tmp_path, monkeypatch):
     capped = search.search(ds, "hit", column="text", max_results=10)
     assert sorted(r["id"] for r in capped.collect()) == [k for k in range(36) if k % 3][:10]
     assert "TakeOrderedAndProject" not in capped._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("few, listed", [(64, 1000), (0, 0)])
+def test_pages_by_conditions_and_by_joins_agree(spark, tmp_path, monkeypatch, few, listed):
+    """The rows of a page are the same whether its scan units are few enough to be conditions or not."""
+    import json
+
+    from shardlens import open_dataset
+    from shardlens.operators import search
+    from shardlens.sources import dataset as D
+
+    monkeypatch.setattr(D, "FEW", few)
+    monkeypatch.setattr(search, "LISTED", listed)
+    for i in range(6):
+        (tmp_path / f"f{i}.jsonl").write_text("".join(json.dumps({"i": i * 40 + k, "t": "hit" if k % 7 == 0 else "no"}) + "\n" for k in range(40)))
+    text = open_dataset(spark, str(tmp_path), strict=False)
+    spark.range(0, 240).repartitionByRange(5, "id").selectExpr("id AS i", "IF(id % 40 % 7 = 0, 'hit', 'no') AS t").sortWithinPartitions("i").write.parquet(str(tmp_path / "p"))
+    for ds in (text, open_dataset(spark, str(tmp_path / "p"))):
+        for first, last in ((1, 240), (39, 42), (100, 100), (200, 300), (241, 250)):
+            got = sorted((r["__row_no"], r["i"]) for r in ds.rows_between(first, last).collect())
+            assert got == [(n + 1, n) for n in range(first - 1, min(last, 240))]
+        assert sorted(r["i"] for r in ds.rows_between(5, 200, [5, 77, 200]).collect()) == [4, 76, 199]
+        hits = [n for n in range(240) if n % 40 % 7 == 0]
+        for page in (0, 1, 3, 99):
+            rows = search.search_page(ds, "hit", page, 10, column="t").orderBy("__match_no").collect()
+            at = min(page, 3) * 10
+            assert [(r["__match_no"], r["i"]) for r in rows] == [(at + k + 1, n) for k, n in enumerate(hits[at:at + 10])]
+
+
+def test_search_pages_over_many_bitmaps(spark, monkeypatch):
+    """Matches in several bitmaps and stretches of bitmaps; the condition is evaluated in one scan."""
+    from shardlens.operators import search
+    from shardlens.sources.dataset import from_frame
+
+    monkeypatch.setattr(search, "STRETCH", 2)
+    ds = from_frame(spark, spark.range(0, 300_000, 1, 4).selectExpr("id", "IF(id % 9973 = 5, 'needle', 'hay') AS t"))
+    want = [n for n in range(300_000) if n % 9973 == 5]
+    for page in range(4):
+        rows = search.search_page(ds, "needle", page, 9, column="t").orderBy("__match_no").collect()
+        assert [(r["__match_no"], r["id"]) for r in rows] == [(page * 9 + k + 1, n) for k, n in enumerate(want[page * 9:page * 9 + 9])]
+    assert search.search_page(ds, "needle", 0, 9, column="t", max_results=4).count() == 4
+    assert search.search_page(ds, "absent", 0, 9, column="t").count() == 0
+    assert search.match_bitmaps(ds, F.col("t") == "needle").count() == 10

@@ -255,6 +255,21 @@ def test_a_line_may_not_close_what_it_does_not_open(spark, tmp_path):
             _jsonl(spark, tmp_path, ['{"a": [1]}', line])
 
 
+def test_ids_as_keys_are_one_map(spark, tmp_path, monkeypatch):
+    """More keys than can be columns: none are collected, rows, pages and searches work."""
+    from shardlens.operators import search
+    from shardlens.sources import readers
+
+    monkeypatch.setattr(readers, "KEY_LIMIT", 100)
+    ds = _jsonl(spark, tmp_path, [json.dumps({f"id{i}": i, f"id{i + 1}": {"x": f"v{i}"}}) for i in range(300)])
+    assert ds.columns == ["fields"] and ds.count() == 300
+    assert [r["fields"] for r in ds.rows_between(7, 7).collect()] == [{"id6": "6", "id7": '{"x":"v6"}'}]
+    assert search.search(ds, "v123").count() == 1
+    (tmp_path / "o.json").write_text(json.dumps({f"id{i}": [i] for i in range(1000)}))
+    ds = open_dataset(spark, str(tmp_path / "o.json"))
+    assert ds.columns == ["fields"] and ds.df.select(F.size("fields")).first()[0] == 1000
+
+
 def test_json_document_keeps_key_order(spark, tmp_path):
     p = str(tmp_path / "k.json")
     _write(p, '{"data": [{"zeta": 1, "alpha": "a"}, {"mid": null, "zeta": 2}, "x"]}')
