@@ -42,7 +42,7 @@ def main() -> None:
 
     docs = X.documents(spark, sf_dir)
     tokens = open_dataset(spark, X.write_token_documents(spark, sf_dir))
-    conv = X.conversations(spark, sf_dir)
+    conv = X.conversations(spark, sf_dir, ordered=False)
     sharded = X.shards(spark, sf_dir)
     jsonl = open_dataset(spark, X.export_documents(spark, sf_dir, "jsonl"), kind="jsonl")
     # Warm-up: JVM start, range tables (written once per dataset), code generation.

@@ -53,11 +53,11 @@ def q_quality_scan_tokens(spark, sf):
 
 
 def q_quality_scan_conversations(spark, sf):
-    return profile.quality_scan(X.conversations(spark, sf))
+    return profile.quality_scan(X.conversations(spark, sf, ordered=False))
 
 
 def q_analytics_report(spark, sf):
-    r = profile.analytics_report(X.conversations(spark, sf), with_files=False)
+    r = profile.analytics_report(X.conversations(spark, sf, ordered=False), with_files=False)
     return r.select("rows", "columns", "sample_size", "duplicate_texts", "token_avg", "token_median", "token_min",
                     "token_max", "exact_length", _r6("text_avg"), "text_median", "text_min", "text_max",
                     "detected_roles")
@@ -85,11 +85,11 @@ def q_duplicate_texts(spark, sf):
 
 
 def q_role_counts(spark, sf):
-    return profile.role_counts(X.conversations(spark, sf))
+    return profile.role_counts(X.conversations(spark, sf, ordered=False))
 
 
 def q_render_conversations(spark, sf):
-    ds = X.conversations(spark, sf)
+    ds = X.conversations(spark, sf, ordered=False)
     text = resolve_apply(ds, TEXT_ALIASES_REPORT, lambda c, dt: render(c, dt), F.lit(""))
     return ds.df.select("conv_id", text.alias("text"))
 

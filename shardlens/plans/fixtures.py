@@ -65,8 +65,10 @@ def conversation_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         x["role"].alias("from"), x["text"].alias("value"))).alias("conversation"))
 
 
-def conversations(spark: SparkSession, sf_dir: str) -> Dataset:
-    return from_frame(spark, conversation_frame(spark, sf_dir), "conversations")
+def conversations(spark: SparkSession, sf_dir: str, ordered: bool = True) -> Dataset:
+    """``ordered`` by ``conv_id``, for what shows positions; reports need none."""
+    frame = conversation_frame(spark, sf_dir)
+    return from_frame(spark, frame.orderBy("conv_id") if ordered else frame, "conversations")
 
 
 def flagged_labels(spark: SparkSession, sf_dir: str) -> Dataset:
