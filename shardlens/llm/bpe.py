@@ -26,14 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardlens.llm.common import Recent, frugal, table, tokenizer_path
+from shardlens.llm.common import Recent, frugal, small_batches, table, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words, runs of text and token pairs kept in each Python worker (twice as many at most), and the longest such word; a
 #: bound on memory alone.
 CACHED_WORDS, CACHED_CHUNKS, CACHED_PAIRS, CACHED_LENGTH = 120_000, 60_000, 100_000, 64
 #: Bytes of decoded text in one outgoing batch.
-BATCH = 4 << 20
+BATCH = 2 << 20
 END = 256  # symbol of a byte that ends a word: byte + END
 
 
@@ -240,6 +240,7 @@ def _integers(ids) -> np.ndarray:
 def with_tokens(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the ids of ``text`` and what they decode to; columns of these two names are replaced.
     Both directions in one pass and one Python worker, in batches of bounded size."""
+    small_batches(df.sparkSession)
     df = df.drop(*({ids, decoded} - {text}))
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
 

@@ -15,7 +15,18 @@ from pyspark.sql import functions as F
 from shardlens.session import scratch_path, ship_package, work_dir
 
 
+#: Bytes of a batch that goes to or comes from Python. Spark's default is 64 MB, which each running task holds
+#: several times, in the JVM and in Python. A session that sets a size of its own keeps it.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_SETTING, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
