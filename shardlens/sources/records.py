@@ -214,12 +214,18 @@ class _JsonSplit(_Split):
         self.skip = from_offset if self.starts else 0
         self.bracket = self.starts and target == 1 and depth == 0  # the opening bracket is still to come
         self.closed = not self.starts and target != WHOLE and depth < target
-        self.open, self.at = [], 0
+        self.open, self.at, self.held = [], 0, []
 
     def more(self, found: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if self.last:  # no separator follows the file's last piece: one waits until another comes
+            found = [*self.held, *found]
+            found, self.held = found[:-1], found[-1:]
+        if found:
+            yield from self._more(b",".join(found) + b",")
+
+    def _more(self, text: bytes) -> Iterator[pa.RecordBatch]:
         if self.before:
             return
-        text = b",".join(found) + b","
         if self.closed:
             self._nothing_but_blanks(text)
             return
@@ -267,15 +273,17 @@ class _JsonSplit(_Split):
         return self.part or (self.opening and self.starts)
 
     def end(self) -> Iterator[pa.RecordBatch]:
+        if self.held and self.held[0]:
+            yield from self._more(self.held[0])
         if self.before or self.closed:
             return
-        left = b"".join(self.open)[:-1].decode()  # the last byte is the separator of the last piece
+        left = b"".join(self.open).decode()
         if self.last:  # the end of the file
             if self.target != WHOLE and not self.part:
                 raise ValueError(f"{self.place[0]}: the list is not closed")
             self.record(left.removeprefix("\ufeff"), True, self._opens())
         elif self.open:
-            self.rest(left, self._opens())
+            self.rest(left[:-1], self._opens())  # the last character is the separator of the last piece
         yield from self.out()
 
 

@@ -92,6 +92,21 @@ def test_one_list_is_read_by_several_tasks(spark, tmp_path, splits):
     assert ds.count() == 3000 and ds.df.agg(F.sum("n")).first()[0] == sum(range(3000))
 
 
+@pytest.mark.parametrize("size", [150, 1000])
+def test_parts_of_an_exported_array(spark, tmp_path, splits, size):
+    """What stands behind a part's last comma is no record, wherever the split of it starts; an empty item is still refused."""
+    splits(size)
+    rows = [{"i": i, "t": 'a, "b"]' * (i % 3)} for i in range(30)]
+    for n in range(3):
+        items = "".join("  " + json.dumps(row) + ",\n" for row in rows[10 * n:10 * n + 10])
+        _write(tmp_path / f"part-{n}.txt", ("[\n" if n == 0 else "") + (items if n < 2 else items[:-2] + "\n]\n"))
+    ds = open_dataset(spark, str(tmp_path), kind="json")
+    assert ds.count() == 30 and [r["i"] for r in ds.positioned().orderBy("__row_no").collect()] == list(range(30))
+    _write(tmp_path / "part-1.txt", '  {"i": 1},\n,\n  {"i": 2},\n')
+    with pytest.raises(Exception):
+        open_dataset(spark, str(tmp_path), kind="json").df.collect()
+
+
 @pytest.mark.parametrize("text, size", [("[1, 2", 1000), ("[1, 2] 3", 4), ("[1,, 2]", 1000), ("[1, ]", 1000), ('{"a": 1} x', 1000), ('[{"a": 1}}', 6), ("[1 2]", 1000)])
 def test_broken_documents_fail(spark, tmp_path, splits, text, size):
     splits(size)
