@@ -10,9 +10,10 @@ one prefix shingle in common, sorted by size; only sizes within 3/4 of each othe
   many shingles that no other text has. It is a candidate if it shares so many of that prefix that the rest, which
   can't be shared, still allows a link.
 * Candidates are bounded from above by hashed bitmaps, |A and B| <= |A| - bits of A that B lacks, and what passes is
-  settled by exact intersection of the sorted arrays.
-* A first pass tries for each text of a tile only the nearest and the farthest candidate in size; that joins groups of
-  near copies without all their pairs. The second pass tries every candidate pair between different components. No
+  settled by exact intersection of the sorted arrays. In tiles of more than ``SMALL_TILE`` rows each row brings a bitmap,
+  so that the many pairs of a large tile that can't link are never sent.
+* A first pass tries for each text of a tile only the nearest and the farthest candidate in size, and the first by an
+  order that all tiles share; that joins groups of near copies without all their pairs. The second pass tries every candidate pair between different components. No
   tile is cut short, so no link that matters to the components is lost.
 
 Texts are keyed by a 64-bit hash, so equal texts are one; shingle hashes have 64 bits. Components come from links
@@ -162,7 +163,8 @@ def _tokens(common: np.ndarray):
 
 
 def _signs(common: np.ndarray):
-    """Per text (__key, __z, tokens) its set size, how many prefix shingles no other text has, and where its prefix ends."""
+    """Per text (__key, __z, tokens) its set size, how many prefix shingles no other text has, where its prefix ends, and
+    a bitmap for large tiles."""
     packed = np.packbits(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +174,9 @@ def _signs(common: np.ndarray):
             n = [len(s) for s in sets]
             alone = np.array([prefix_length(x) for x in n]) - batch.column("tokens").value_lengths().to_numpy()
             ends = [order_of_last(ordered(s, late)[:prefix_length(len(s))], late) for s in sets]
+            sketches = [bitmap(s, SKETCH).tobytes() if big else None for s, big in zip(sets, batch.column("large").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(n, pa.int64()), pa.array(alone, pa.int64()), pa.array(ends, pa.int64()),
-                                              batch.column("tokens")], ["__key", "n", "alone", "ends", "tokens"])
+                                              pa.array(sketches, pa.binary()), batch.column("tokens")], ["__key", "n", "alone", "ends", "sketch", "tokens"])
 
     return run
 
@@ -196,22 +199,25 @@ def _needed(n: int, alone: int, ends: int, m: int, theirs: int, their_ends: int)
 
 
 SMALL_TILE = 32  # rows of a tile compared one by one; larger ones go through arrays
+LARGE = 1 << 62  # added to the token of a larger tile
+SKETCH, COMPARED = 1024, 1 << 14  # bits of the bitmaps in large tiles, bitmaps compared at once
 
 
 class _Band:
-    """Rows of one large tile (root, __key, n, alone, ends), in growing columns sorted by n."""
+    """Rows of one large tile (root, __key, n, alone, ends) and their bitmaps, in growing arrays sorted by n."""
 
-    def __init__(self, rows: list[tuple]):
-        self.used, self.rows = len(rows), np.array(rows, np.int64).T.copy()
+    def __init__(self):
+        self.used, self.rows, self.sketches = 0, np.zeros((5, SMALL_TILE), np.int64), np.zeros((SMALL_TILE, SKETCH // 64), np.uint64)
 
-    def add(self, row: tuple) -> None:
+    def add(self, row: list, sketch: np.ndarray) -> None:
         if self.used == self.rows.shape[1]:
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)], axis=1)
-        self.rows[:, self.used] = row
+            self.sketches = np.concatenate([self.sketches, np.zeros_like(self.sketches)])
+        self.rows[:, self.used], self.sketches[self.used] = row, sketch
         self.used += 1
 
-    def partners(self, row: tuple) -> list[tuple[int, int]]:
-        """(key, shared prefix shingles needed) of earlier, smaller texts of other components."""
+    def partners(self, row: list, sketch: np.ndarray) -> list[tuple[int, int]]:
+        """(key, shared prefix shingles needed) of earlier, smaller texts of other components that may link."""
         root, _, n, alone, ends = row
         first = int(np.searchsorted(100 * self.rows[2, :self.used], FEWEST * n))
         roots, keys, m, theirs, their_ends = self.rows[:, first:self.used]
@@ -220,30 +226,37 @@ class _Band:
         size, only = np.where(own, n, m), np.where(own, alone, theirs)
         need = np.where(ends == their_ends, 1, np.maximum(1, least - size + (size - -(-FEWEST * size // 100) + 1)))
         hit = np.flatnonzero((roots != root) & ((ends == their_ends) | (size - only >= least)))
+        near = [part[links(most_shared(sketch, n, self.sketches[first + part], m[part]), n, m[part])]
+                for part in (hit[at:at + COMPARED] for at in range(0, len(hit), COMPARED))]
+        hit = np.concatenate([hit[:0], *near])
         return list(zip(keys[hit].tolist(), need[hit].tolist()))
 
 
+def _rank(hit: tuple[int, int]) -> int:
+    """An order of texts that is the same in all tiles and has nothing to do with their sizes."""
+    return hit[0] * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+
+
 def _band_pairs(every: bool):
-    """Pairs (a, b, need) of texts that may link, from rows (token, root, __key, n, alone, ends) sorted by token and
-    size: every pair of a tile, or for each text only the nearest and the farthest in size."""
+    """Pairs (a, b, need) of texts that may link, from rows (token, root, __key, n, alone, ends, sketch) sorted by token
+    and size: every pair of a tile, or for each text only the nearest, the farthest in size and the first by rank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, tile, band = None, [], None
         for batch in batches:
             out: list[tuple[int, int, int]] = []
-            for t, *row in zip(*(batch.column(c).to_pylist() for c in ("token", "root", "__key", "n", "alone", "ends"))):
+            for t, sketch, *row in zip(*(batch.column(c).to_pylist() for c in ("token", "sketch", "root", "__key", "n", "alone", "ends"))):
                 if t != token:
-                    token, tile, band = t, [], None
-                if band is None and len(tile) == SMALL_TILE:
-                    band = _Band(tile)
+                    token, tile, band = t, [], _Band() if t >= LARGE else None
                 if band is not None:
-                    hit = band.partners(row)
-                    band.add(row)
+                    bits = np.frombuffer(sketch, np.uint64)
+                    hit = band.partners(row, bits)
+                    band.add(row, bits)
                 else:
                     hit = [(x[1], need) for x in tile if x[0] != row[0] and (need := _needed(*row[2:], *x[2:]))]
                     tile.append(row)
                 if not every and len(hit) > 2:
-                    hit = [hit[0], hit[-1]]
+                    hit = {hit[0], hit[-1], min(hit, key=_rank)}
                 out += [(min(row[1], k), max(row[1], k), need) for k, need in hit]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["a", "b", "need"])
 
@@ -275,8 +288,9 @@ def with_components(documents: DataFrame) -> DataFrame:
     # several tasks the sets of tokens are merged, and of the rows with the smallest id (or none) one is taken.
     common = _common_buckets(sets)
     prefix = plain.select("__key", "text").mapInArrow(frugal(_tokens(common)), "token long, __key long")
-    shared = (prefix.withColumn("many", F.min("__key").over(tile) != F.max("__key").over(tile)).filter("many")
-              .groupBy("__key").agg(F.collect_set("token").alias("tokens")))
+    large = F.when(F.count("*").over(tile) > SMALL_TILE, F.lit(LARGE)).otherwise(F.lit(0))
+    shared = (prefix.withColumn("many", F.min("__key").over(tile) != F.max("__key").over(tile)).withColumn("large", large).filter("many")
+              .groupBy("__key").agg(F.collect_set(F.col("token") + F.col("large")).alias("tokens")))
     first = (rows.groupBy("__key", F.coalesce("doc_id", F.lit(LAST)).alias("__doc")).agg(F.count("*").alias("n"))
              .groupBy("__key").agg(F.min(F.struct("__doc", "n")).alias("least"))
              .select("__key", F.col("least.__doc").alias("__first"), (F.col("least.n") > 1).alias("__tied")))
@@ -286,10 +300,12 @@ def with_components(documents: DataFrame) -> DataFrame:
     one = found.filter("__tied").select("__key", "__z", "tokens").dropDuplicates(["__key"])
     (found.filter("NOT __tied").select("__key", "__z", "tokens").unionByName(one).write.bucketBy(n_tasks, "__key").format("parquet").saveAsTable(bucketed))
     texts = documents.sparkSession.table(bucketed)
-    signs = kept(texts.mapInArrow(frugal(_signs(common)), "__key long, n long, alone long, ends long, tokens array<long>"))
+    signs = kept(texts.withColumn("large", F.array_max("tokens") >= LARGE)
+                 .mapInArrow(frugal(_signs(common)), "__key long, n long, alone long, ends long, sketch binary, tokens array<long>"))
 
     def candidates(roots: DataFrame, every: bool) -> DataFrame:
-        rows = (signs.join(roots, "__key", "left").select(F.coalesce("root", "__key").alias("root"), "__key", "n", "alone", "ends", F.explode("tokens").alias("token"))
+        rows = (signs.join(roots, "__key", "left").select(F.coalesce("root", "__key").alias("root"), "__key", "n", "alone", "ends", "sketch", F.explode("tokens").alias("token"))
+                .withColumn("sketch", F.when(F.col("token") >= LARGE, F.col("sketch")))
                 .repartition(n_tasks, "token").sortWithinPartitions("token", "n", "__key"))
         # A pair comes once from every tile the two share: their shared prefix shingles are counted. (Where only some
         # pairs of a tile are tried, half as many will do.)

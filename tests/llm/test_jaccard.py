@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shardlens.llm import jaccard_join as J
@@ -114,3 +115,15 @@ def test_copies_are_one(spark, monkeypatch):
     signs = next(df for df in made if "tokens" in df.columns).collect()
     assert len(signs) == len({r["__key"] for r in signs}) == 2
     assert all(0 < len(r.tokens) == len(set(r.tokens)) <= J.prefix_length(r.n) for r in signs)
+
+
+def test_pairs_of_a_large_tile_that_cannot_link_are_not_sent():
+    """A tile of 300 texts that share most of their shingles, yet too few to link, and of 20 that do link."""
+    rng = np.random.default_rng(5)
+    core, near = rng.integers(0, 1 << 63, 60, dtype=np.uint64), rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+    sets = [np.unique(np.r_[core, rng.integers(0, 1 << 63, 40, dtype=np.uint64)]) for _ in range(300)]
+    sets += [np.unique(np.r_[near[:95], rng.integers(0, 1 << 63, 5, dtype=np.uint64)]) for _ in range(20)]
+    rows = [{"token": J.LARGE + 7, "root": k, "__key": k, "n": len(x), "alone": 0, "ends": 5, "sketch": J.bitmap(x, J.SKETCH).tobytes()} for k, x in enumerate(sets)]
+    pairs = {(a, b) for out in J._band_pairs(True)(iter([pa.RecordBatch.from_pylist(rows)])) for a, b in zip(*(out.column(c).to_pylist() for c in "ab"))}
+    linked = {(a, b) for b in range(len(sets)) for a in range(b) if J.links(J.overlap(sets[a], sets[b]), len(sets[a]), len(sets[b]))}
+    assert len(linked) == 190 and linked <= pairs and len(pairs) < 500
