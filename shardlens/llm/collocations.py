@@ -10,7 +10,7 @@ frequent if its parts are.
    make them more than needed, never fewer.
 3. *Counts.* Candidates are dealt by hash into shards of about ``PHRASES`` phrases. A task builds each shard's trie as a
    double array (``base``, ``check``) over the words' numbers, three bytes each. A few shards at a time the tries are broadcast
-   (their size is bounded by ``PHRASES``, whatever the corpus) and every task moves the states of all positions of its
+   (as many as ``TOGETHER`` bytes hold, one at least; a trie's size is bounded by ``PHRASES``, whatever the corpus) and every task moves the states of all positions of its
    texts at once, level by level, in numpy; states that accept are counted with bincount. Spark sums the counts; only these
    counts say what is frequent and enter the scores.
 
@@ -43,8 +43,8 @@ LEAST, FIRST, COVERED = 10, 2000, 50
 UNKNOWN = "und"
 HASH = 40  # bits of a phrase's hash, below its level's number
 BITS, BITS_EACH = 27, 128  # a bitmap has 128 bits for each frequent hash, and 2 ** 27 (16 MB) at most
-PHRASES, TOGETHER = 1 << 18, 8  # phrases a trie, tries counted in one pass
-CHUNK = 8 << 20
+PHRASES, TOGETHER = 1 << 18, 48 << 20  # phrases a trie, bytes of the tries counted in one pass
+CHUNK = 4 << 20
 DIGITS, DIGIT = 3, 8  # a word's number is three digits of eight bits in the trie
 # Bytes that end a piece, bytes that end a word; A-Z are lower-cased.
 ENDS_PIECE, ENDS_WORD = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -420,6 +420,18 @@ def tries_of(found: DataFrame) -> DataFrame:
     return found.groupBy("shard").applyInArrow(build, "shard int, languages array<string>, words binary, base binary, check binary, ends binary")
 
 
+def passes(sizes: list[tuple[int, int]]) -> list[list[int]]:
+    """Tries, by (shard, bytes), counted together: no more than ``TOGETHER`` bytes, or one."""
+    groups, room = [], 0
+    for shard, size in sizes:
+        if size > room:
+            groups.append([])
+            room = TOGETHER
+        groups[-1].append(shard)
+        room -= size
+    return groups
+
+
 def counts(texts: DataFrame, found: DataFrame) -> DataFrame:
     """(lang, words, phrase, n) of all candidates, by their tries."""
     spark = texts.sparkSession
@@ -429,10 +441,12 @@ def counts(texts: DataFrame, found: DataFrame) -> DataFrame:
     number = F.row_number().over(W.partitionBy("shard").orderBy("lang", "phrase", "words")) - 1  # about PHRASES a shard
     found = written(found.withColumn("number", number.cast("int")), "numbered-phrases")
     tries = written(tries_of(found), "tries")
+    size = sum((F.octet_length(c) for c in ("words", "base", "check", "ends")), F.lit(0)).alias("size")
+    sizes = [(r["shard"], r["size"]) for r in tries.select("shard", size).orderBy("shard").collect()]  # one row a trie
     parts = []
-    for low in range(0, shards, TOGETHER):
-        rows = [tries.filter(F.col("shard") == shard).first() for shard in range(low, min(shards, low + TOGETHER))]
-        shared = [spark.sparkContext.broadcast(tuple(row)) for row in rows if row is not None]
+    for group in passes(sizes) or [[]]:
+        # One at a time: the driver holds no more than one trie.
+        shared = [spark.sparkContext.broadcast(tuple(tries.filter(F.col("shard") == shard).first())) for shard in group]
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             tries = [(b.value[0], _unpack(*b.value[1:])) for b in shared]

@@ -99,3 +99,11 @@ def test_double_array_holds_its_paths_and_nothing_else():
     other[:, 0], other[:, 1] = paths[rng.integers(0, len(paths), 5000), 0], rng.integers(0, 3, 5000)
     reached = walk(other) >= 0
     assert [bool(r) for r in reached] == [tuple(p) in known for p in other.tolist()]
+
+
+def test_tries_counted_together_are_bounded_in_bytes():
+    sizes = [(shard, size << 20) for shard, size in enumerate([20, 20, 20, 5, 60, 1, 1])]
+    groups = C.passes(sizes)
+    assert [shard for group in groups for shard in group] == list(range(7)) and C.passes([]) == []
+    assert all(len(group) == 1 or sum(dict(sizes)[shard] for shard in group) <= C.TOGETHER for group in groups)
+    assert [len(group) for group in groups] == [2, 2, 1, 2]
