@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from ..functions.render import value_text
 from ..sources.dataset import Dataset, clamp_page
 from ..sources.readers import KEYS_COL
-from .paging import BUCKET_ROWS, Pager, number_rows
+from .paging import Pager, number_rows
 
 ALL_COLUMNS = "__all__"
 #: Positions in a bitmap (fixed by Spark's bitmap functions), bitmaps counted together, positions listed in a condition.
 BITS_A_BUCKET, STRETCH, LISTED = 1 << 15, 1 << 15, 1000
+BUCKET_ROWS = 1 << 20  # a capped search first counts a sixteenth of so many rows
 
 
 def normalise_query(query: str) -> str:

@@ -245,3 +245,21 @@ def test_search_pages_over_many_bitmaps(spark, monkeypatch):
     assert search.search_page(ds, "needle", 0, 9, column="t", max_results=4).count() == 4
     assert search.search_page(ds, "absent", 0, 9, column="t").count() == 0
     assert search.match_bitmaps(ds, F.col("t") == "needle").count() == 10
+
+
+def test_hits_are_numbered_by_many_tasks(spark):
+    """However the hits lie, no task gets all of their rows."""
+    from shardlens.operators.paging import number_rows
+
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k) for k in names}
+    spark.conf.set(names[0], "false")
+    try:
+        hits = spark.range(1, 200_001).selectExpr("id * 2 AS at")
+        rows = number_rows(hits, "at", "no").select("at", "no", F.spark_partition_id().alias("p"))
+        got = rows.groupBy("p").agg(F.count("*").alias("n"), F.sum(F.abs(F.col("no") * 2 - F.col("at"))).alias("off")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(r["n"] for r in got) == 200_000 and not any(r["off"] for r in got)
+    assert max(r["n"] for r in got) < 150_000
