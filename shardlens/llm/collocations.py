@@ -1,4 +1,4 @@
-"""Phrase collocations by level-wise mining with broadcast double-array tries (operator 11).
+"""Phrase collocations by level-wise mining and tries dealt by hash (operator 11).
 
 A phrase is a word sequence inside one piece of a text, counted per language. Mining is Apriori's: a phrase can only be
 frequent if its parts are.
@@ -6,15 +6,16 @@ frequent if its parts are.
 1. *Bounds.* Level by level (1 and 2 words in one pass, then 3) every task hashes the phrases of its texts whose parts may both be
    frequent, and Spark sums the hashes. A sum bounds the count of each phrase with that hash from above. The hashes
    that reach the least count become a bitmap of at most ``2 ** BITS`` bits, the filter of the next level and of step 2.
-2. *Candidates.* Phrases that pass the bitmaps of their level, their parts too, are gathered once each. Chance hits
-   make them more than needed, never fewer.
-3. *Counts.* Candidates are dealt by hash into shards of about ``PHRASES`` phrases. A task builds each shard's trie as a
-   double array (``base``, ``check``) over the words' numbers, three bytes each. A few shards at a time the tries are broadcast
-   (as many as ``TOGETHER`` bytes hold, one at least; a trie's size is bounded by ``PHRASES``, whatever the corpus) and every task moves the states of all positions of its
-   texts at once, level by level, in numpy; states that accept are counted with bincount. Spark sums the counts; only these
-   counts say what is frequent and enter the scores.
-
-A language is the first symbol of its phrases; its own state counts all words (n). Texts are cut into words without
+2. *Tries of the texts.* In a third and last pass a task counts the phrases that pass the bitmaps of their level, their parts
+   too, in a trie of its own texts (``HELD`` words at a time): a node is its parent and one more word, so only equal phrases meet.
+   Chance hits make them more than needed, never fewer. The phrases and their times are dealt by hash into shards.
+3. *Tries of the shards.* A task gathers what all texts have of its shard, about ``PHRASES`` different phrases or fewer: what is known
+   goes down the shard's double array (``base``, ``check``) over the words' numbers, three bytes each, and is added where it ends;
+   the rest is put into it. ``TOGETHER`` bytes of paths are worked on at a time. Only these counts say what is frequent and enter the scores.
+
+The texts are read three times, whatever their size, and no trie passes through the driver or is sent to all tasks.
+
+A language is the first symbol of its phrases; its own node counts all words (n). Texts are cut into words without
 Python strings: bytes are classed through a table, words are their buffer and offsets, equal words one number.
 
 Score of a cut: ``floor(1000000 * a * a / (l * r))`` in exact decimals; the lowest cut counts, ties to the shorter first part.
@@ -43,8 +44,10 @@ LEAST, FIRST, COVERED = 10, 2000, 50
 UNKNOWN = "und"
 HASH = 40  # bits of a phrase's hash, below its level's number
 BITS, BITS_EACH = 27, 128  # a bitmap has 128 bits for each frequent hash, and 2 ** 27 (16 MB) at most
-PHRASES, TOGETHER = 1 << 18, 48 << 20  # phrases a trie, bytes of the tries counted in one pass
-CHUNK = 4 << 20
+PHRASES, TOGETHER = 1 << 17, 48 << 20  # phrases a shard, bytes of the paths that a shard's trie takes at a time
+TASKS = 8  # a shard's share of the tasks that read the texts, at most
+CHUNK, HELD = 4 << 20, 3 << 20  # bytes of texts cut at a time, words counted in one trie or hashes summed at a time
+ROWS = 1 << 17  # of a batch
 DIGITS, DIGIT = 3, 8  # a word's number is three digits of eight bits in the trie
 # Bytes that end a piece, bytes that end a word; A-Z are lower-cased.
 ENDS_PIECE, ENDS_WORD = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -76,7 +79,7 @@ class Words:
         edge[:-1] |= kind == 2
         self.piece = np.cumsum(edge, dtype=np.int32 if len(data) < 1 << 31 else np.int64)[self.starts]
         self.data = data.translate(LOWER) + bytes(8)
-        self._known = None
+        self._known = self._hashes = None
         tongues = languages.dictionary_encode()
         self.language, self.languages = np.asarray(tongues.indices).astype(np.int64)[text], tongues.dictionary.to_pylist()
 
@@ -104,12 +107,10 @@ class Words:
             self._known = self.bytes_of(np.arange(len(self))).dictionary_encode()
         return self._known
 
-    def phrases(self, at: np.ndarray, words: int) -> pa.Array:
-        parts = [pc.cast(self.bytes_of(at + i), pa.large_string()) for i in range(words)]
-        return parts[0] if words == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
-
     def hashes(self) -> np.ndarray:
         """A hash of each word, eight bytes at a time; of long ones, by the library."""
+        if self._hashes is not None:
+            return self._hashes
         blocks = np.ndarray(len(self.data) - 7, "<u8", self.data, strides=(1,))
         out = self.lengths.astype(np.uint64)
         for k in range(0, LONG_WORD, 8):
@@ -121,6 +122,7 @@ class Words:
             out[at] = _mixed(out[at], block)
         for i in np.flatnonzero(self.lengths > LONG_WORD):
             out[i] = xxhash.xxh3_64_intdigest(self.data[self.starts[i]:self.starts[i] + self.lengths[i]])
+        self._hashes = out
         return out
 
 
@@ -155,7 +157,7 @@ def texts_of(documents: DataFrame) -> DataFrame:
                             F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
-# ------------------------------------------------------------------ bounds and candidates
+# ------------------------------------------------------------------ bounds
 
 def _mixed(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     out = (state ^ symbol) * np.uint64(0x9E3779B97F4A7C15)
@@ -164,6 +166,10 @@ def _mixed(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def tongues_hashed(languages: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w.encode(), seed=1) for w in languages], np.uint64)
+
+
 class Bitmap:
     """Hashes that may be frequent: a bit for each value of their leading ``width`` bits."""
 
@@ -178,8 +184,7 @@ class Bitmap:
 def frequent(words: Words, bitmaps: list[Bitmap], levels: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Level by level: where phrases start that pass the bitmaps there are, their parts too, and their hashes."""
     symbol = words.hashes()
-    tongue = np.array([xxhash.xxh3_64_intdigest(w.encode(), seed=1) for w in words.languages], np.uint64)
-    state = tongue[words.language] if len(words) else np.zeros(0, np.uint64)
+    state = tongues_hashed(words.languages)[words.language] if len(words) else np.zeros(0, np.uint64)
     able = np.ones(len(words), bool)
     for k in range(1, levels + 1):
         ahead = np.zeros(len(words), np.uint64)
@@ -197,12 +202,22 @@ def bounds(texts: DataFrame, bitmaps: list[Bitmap], levels: int) -> DataFrame:
     """(level, hash): the hashes of levels ``len(bitmaps) + 1`` to ``levels`` whose occurrences reach ``LEAST``."""
     shared = texts.sparkSession.sparkContext.broadcast(bitmaps)  # 2 ** BITS bits a level at most
 
+    def summed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        found, times = np.unique(np.concatenate(held), return_counts=True)
+        for i in range(0, len(found), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(found[i:i + ROWS]), pa.array(times[i:i + ROWS], pa.int64())], ["key", "times"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for words in chunks(batches):
             for k, (_, hashes) in enumerate(frequent(words, shared.value, levels), 1):
                 if k > len(shared.value):
-                    found, times = np.unique(hashes, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64) | k << HASH), pa.array(times, pa.int64())], ["key", "times"])
+                    held.append(hashes.astype(np.int64) | k << HASH)
+            if sum(map(len, held)) >= HELD:
+                yield from summed(held)
+                held = []
+        if held:
+            yield from summed(held)
 
     often = texts.mapInArrow(frugal(run), "key long, times long").groupBy("key").agg(F.sum("times").alias("times")).filter(F.col("times") >= LEAST)
     return often.select(F.shiftright("key", HASH).alias("level"), F.col("key").bitwiseAND(F.lit((1 << HASH) - 1)).alias("hash"))
@@ -221,34 +236,110 @@ def bitmap_of(hashes: DataFrame) -> Bitmap:
     return Bitmap(width, bits)
 
 
-def candidates(texts: DataFrame, bitmaps: list[Bitmap]) -> DataFrame:
-    """(lang, words, phrase), each once: every phrase that may be frequent, and each language as the phrase of no words."""
+# ------------------------------------------------------------------ tries of the texts
+
+class TextTrie:
+    """Phrases that pass the bitmaps, counted over some texts."""
+
+    def __init__(self):
+        self.languages: dict[str, int] = {}
+        self.words: dict[bytes, int] = {}
+        self.hashes: list[np.ndarray] = []  # of words, in the order of their numbers
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # for each position: language, word, words of the longest phrase there
+        self.size = 0
+
+    def add(self, words: Words, bitmaps: list[Bitmap]) -> None:
+        depth = np.zeros(len(words), np.int8)
+        for k, (starts, _) in enumerate(frequent(words, bitmaps, LEVELS), 1):
+            depth[starts] = k
+        known = words.known()
+        indices = np.asarray(known.indices)
+        hashes = np.empty(len(known.dictionary), np.uint64)
+        hashes[indices] = words.hashes()
+        before = len(self.words)
+        own = np.array([self.words.setdefault(w, len(self.words)) for w in known.dictionary.to_pylist()], np.int32)
+        fresh = own >= before  # these are numbered in the order of the dictionary
+        self.hashes.append(hashes[fresh])
+        tongue = np.array([self.languages.setdefault(w, len(self.languages)) for w in words.languages], np.int32)
+        self.held.append((tongue[words.language], own[indices], depth))
+        self.size += len(words)
+
+    def levels(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For no word, one, two, …: paths (rows of the language and words, -1 behind their end), times and hashes of the phrases.
+
+        A node is its parent's number and a word's, so equal phrases have one node and others have others.
+        """
+        tongue, symbol, depth = (np.concatenate(c) for c in zip(*self.held))
+        symbols = np.concatenate(self.hashes)
+        paths = np.full((len(self.languages), LEVELS + 1), -1, np.int32)
+        paths[:, 0] = np.arange(len(paths))
+        state = tongues_hashed(list(self.languages))
+        yield paths, np.bincount(tongue, minlength=len(paths)), state
+        at, node = np.arange(len(symbol)), tongue.astype(np.int64)
+        for k in range(1, LEVELS + 1):
+            going = depth[at] >= k
+            at = at[going]
+            nodes, node, times = np.unique(node[going] << 32 | symbol[at + k - 1], return_inverse=True, return_counts=True)
+            parent, own = nodes >> 32, nodes & 0xFFFFFFFF
+            paths, state = paths[parent], _mixed(state[parent], symbols[own])
+            paths[:, k] = own
+            yield paths, times, state
+
+    def dealt(self, shards: int) -> Iterator[pa.RecordBatch]:
+        """One row a shard: the phrases that its hashes deal to it, with the words they need."""
+        if not self.size:
+            return
+        paths, times, state = (np.concatenate(c) for c in zip(*self.levels()))
+        paths, times, state = paths[times > 0], times[times > 0], state[times > 0]
+        shard = (state % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        paths, times = paths[order], times[order]
+        edges = np.searchsorted(shard[order], np.arange(shards + 1))
+        words, number = pa.array(list(self.words), pa.large_binary()), np.full(len(self.words) + 1, -1, np.int32)
+        for s in np.flatnonzero(np.diff(edges)):
+            part = paths[edges[s]:edges[s + 1]]
+            used = np.unique(part[:, 1:])
+            used = used[used >= 0]
+            number[used] = np.arange(len(used))  # the last place stays -1, for no word
+            columns = [part[:, 0], *(number[part[:, k]] for k in range(1, LEVELS + 1)), times[edges[s]:edges[s + 1]]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s], pa.int32()), pa.array([list(self.languages)], pa.list_(pa.string())),
+                 pa.array([_packed_columns([words.take(pa.array(used))])], pa.binary()), pa.array([_packed_columns([pa.array(c) for c in columns])], pa.binary()),
+                 pa.array([len(part)], pa.int32())], SHARE.names)
+
+
+SHARE = pa.schema([("shard", pa.int32()), ("languages", pa.list_(pa.string())), ("words", pa.binary()), ("phrases", pa.binary()), ("size", pa.int32())])
+
+
+def _packed_columns(columns: list[pa.Array]) -> bytes:
+    parts = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays(columns, [str(i) for i in range(len(columns))])
+    with pa.ipc.new_stream(parts, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return parts.getvalue().to_pybytes()
+
+
+def _columns(packed: bytes) -> list[pa.Array]:
+    return next(iter(pa.ipc.open_stream(packed))).columns
+
+
+def text_tries(texts: DataFrame, bitmaps: list[Bitmap], shards: int) -> DataFrame:
+    """(shard, languages, words, phrases, size): of the tries of all tasks, what each shard gets."""
     shared = texts.sparkSession.sparkContext.broadcast(bitmaps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = TextTrie()
         for words in chunks(batches):
-            tongues = pa.array(words.languages, pa.large_string())
-            seen = np.unique(words.language)
-            yield _entries(tongues.take(pa.array(seen)), pa.array([""] * len(seen), pa.large_string()))
-            for k, (starts, hashes) in enumerate(frequent(words, shared.value, LEVELS), 1):
-                _, at = np.unique(hashes, return_index=True)
-                if len(at):
-                    at = starts[at]
-                    yield _entries(tongues.take(pa.array(words.language[at])), words.phrases(at, k))
-
-    phrase = F.substring_index("entry", "\n", -1)  # a line feed ends a piece, so no phrase holds one
-    spaces = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit("")))
-    return (texts.mapInArrow(frugal(run), "entry string").distinct().withColumn("phrase", phrase)
-            .select(F.left("entry", F.length("entry") - F.length("phrase") - 1).alias("lang"),
-                    F.when(F.col("phrase") == "", 0).otherwise(spaces + 1).cast("int").alias("words"), "phrase"))
+            trie.add(words, shared.value)
+            if trie.size >= HELD:
+                yield from trie.dealt(shards)
+                trie = TextTrie()
+        yield from trie.dealt(shards)
 
+    return texts.mapInArrow(frugal(run), "shard int, languages array<string>, words binary, phrases binary, size int")
 
-def _entries(lang: pa.Array, phrase: pa.Array) -> pa.RecordBatch:
-    joined = pc.binary_join_element_wise(lang, phrase, pa.scalar("\n", pa.large_string()))
-    return pa.RecordBatch.from_arrays([pc.cast(joined, pa.string())], ["entry"])
 
-
-# ------------------------------------------------------------------ the trie
+# ------------------------------------------------------------------ tries of the shards
 
 class DoubleArray:
     """A trie over digits: state s goes by digit d to ``base[s] + d`` if that place has ``check`` s. State 0 is the root."""
@@ -265,7 +356,7 @@ class DoubleArray:
     def of(cls, paths: np.ndarray) -> tuple[DoubleArray, np.ndarray]:
         """The trie of ``paths`` (rows of digits, -1 behind their end), and the state each ends in."""
         n, depth = paths.shape
-        order = np.lexsort(paths.T[::-1])
+        order = np.lexsort(_sort_keys(paths)[::-1]) if n else np.zeros(0, np.int64)
         ordered = paths[order]
         # node[i, j]: number of the trie node that the first j digits of row i lead to; the root is 0
         node, parents, digits, total = np.zeros(n, np.int64), [], [], 1
@@ -291,6 +382,18 @@ class DoubleArray:
         return cls(out_base, out_check), ends
 
 
+def _sort_keys(paths: np.ndarray) -> list[np.ndarray]:
+    """Columns that order rows of digits as these do, several digits in each."""
+    width, each = DIGIT + 1, 63 // (DIGIT + 1)
+    keys = []
+    for j in range(0, paths.shape[1], each):
+        key = np.zeros(len(paths), np.int64)
+        for digits in paths[:, j:j + each].T:
+            key = key << width | (digits.astype(np.int64) + 1)
+        keys.append(key)
+    return keys
+
+
 def _packed(parent: np.ndarray, digit: np.ndarray, total: int) -> tuple[np.ndarray, tuple[np.ndarray, int]]:
     """Places for all nodes of a trie: the children of a node stand at its base plus their digits, none twice.
 
@@ -349,131 +452,87 @@ def digits_of(numbers: np.ndarray) -> list[np.ndarray]:
 
 
 class Trie:
-    """Phrases of one shard: the numbers of its languages and words, the double array, the state each phrase ends in."""
-
-    def __init__(self, languages: list[str], words: pa.Array, array: DoubleArray, ends: np.ndarray):
-        self.languages, self.words, self.array, self.ends = languages, words, array, ends
-
-    @classmethod
-    def of(cls, lang: pa.Array, level: np.ndarray, phrase: pa.Array) -> Trie:
-        tongues = lang.dictionary_encode()
-        split = pc.split_pattern(phrase, " ")
-        flat = split.flatten().dictionary_encode()
-        at = np.asarray(split.offsets)[:-1].astype(np.int64)
-        ids = np.asarray(flat.indices).astype(np.int64)
-        columns = digits_of(np.asarray(tongues.indices).astype(np.int64))
-        for k in range(LEVELS):
-            has = level > k
-            own = ids[np.minimum(at + k, max(0, len(ids) - 1))] if len(ids) else np.zeros(len(at), np.int64)
-            columns += [np.where(has, d, -1) for d in digits_of(own)]
-        array, ends = DoubleArray.of(np.stack(columns, axis=1) if len(at) else np.zeros((0, DIGITS * (LEVELS + 1)), np.int64))
-        return cls(tongues.dictionary.to_pylist(), pc.cast(flat.dictionary, pa.large_binary()), array, ends)
-
-    def visits(self, words: Words) -> Iterator[np.ndarray]:
-        """The states that the positions of ``words`` are in after the language, one word, two words, …"""
-        number = {t: i for i, t in enumerate(self.languages)}
-        tongue = np.array([number.get(t, -1) for t in words.languages], np.int64)[words.language] if len(words) else np.zeros(0, np.int64)
-        known = words.known()
-        own = np.asarray(pc.fill_null(pc.index_in(known.dictionary, value_set=self.words), -1)).astype(np.int64)
-        symbol = own[np.asarray(known.indices)] if len(words) else np.zeros(0, np.int64)
-        at = np.flatnonzero(tongue >= 0)
-        states = np.zeros(len(at), np.int64)
-        for d in digits_of(tongue[at]):
-            states = self.array.step(states, d)
-        yield states[states >= 0]
-        for k in range(LEVELS):
-            going = states >= 0
-            at, states = at[going], states[going]
-            here = words.together(k + 1)[at]
-            at, states = at[here], states[here]
-            wanted = symbol[at + k]
-            at, states, wanted = at[wanted >= 0], states[wanted >= 0], wanted[wanted >= 0]
-            for d in digits_of(wanted):
-                states = self.array.step(states, d)
-            yield states[states >= 0]
-
-
-def _pack(trie: Trie) -> list[bytes]:
-    parts = pa.BufferOutputStream()
-    with pa.ipc.new_stream(parts, pa.schema([("w", pa.large_binary())])) as out:
-        out.write_batch(pa.RecordBatch.from_arrays([trie.words], ["w"]))
-    return [parts.getvalue().to_pybytes(), trie.array.base.tobytes(), trie.array.check.tobytes(), trie.ends.astype(np.int32).tobytes()]
-
-
-def _unpack(languages: list[str], words: bytes, base: bytes, check: bytes, ends: bytes) -> Trie:
-    column = pa.ipc.open_stream(words).read_all().column(0).combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    return Trie(languages, column, DoubleArray(np.frombuffer(base, np.int32), np.frombuffer(check, np.int32)), np.frombuffer(ends, np.int32).astype(np.int64))
-
-
-def tries_of(found: DataFrame) -> DataFrame:
-    """One row a shard: its trie, packed, built by a task."""
-
-    def build(batch: pa.Table) -> pa.Table:
-        batch = batch.sort_by("number").combine_chunks()
-        lang, level, phrase = (batch.column(n).combine_chunks() for n in ("lang", "words", "phrase"))
-        trie = Trie.of(lang, np.asarray(level), phrase)
-        parts = [pa.array([x], pa.binary()) for x in _pack(trie)]
-        return pa.Table.from_arrays([pa.array([batch.column("shard")[0].as_py()], pa.int32()), pa.array([trie.languages], pa.list_(pa.string())), *parts],
-                                    ["shard", "languages", "words", "base", "check", "ends"])
-
-    return found.groupBy("shard").applyInArrow(build, "shard int, languages array<string>, words binary, base binary, check binary, ends binary")
+    """Phrases of one shard as rows of digits, and their times; ``entry`` has the row that ends in a state, or -1."""
+
+    def __init__(self):
+        self.paths, self.times = np.zeros((0, DIGITS * (LEVELS + 1)), np.int16), np.zeros(0, np.int64)
+        self.array, _ = DoubleArray.of(self.paths)
+        self.entry = np.full(len(self.array.base), -1, np.int64)
+
+    def walk(self, paths: np.ndarray) -> np.ndarray:
+        """The row of each path, or -1."""
+        states = np.zeros(len(paths), np.int64)
+        for digits in paths.T:
+            states = np.where(digits < 0, states, self.array.step(states, np.maximum(digits, 0)))
+        return np.where(states >= 0, self.entry[states], -1)
+
+    def add(self, paths: np.ndarray, times: np.ndarray) -> None:
+        """Known phrases are counted where they end; with the others the trie is built anew."""
+        at = self.walk(paths) if len(self.paths) else np.full(len(paths), -1, np.int64)
+        met = at >= 0
+        np.add.at(self.times, at[met], times[met])
+        if met.all():
+            return
+        paths, times = np.concatenate([self.paths, paths[~met]]), np.concatenate([self.times, times[~met]])
+        self.array, ends = DoubleArray.of(paths)
+        row, sums = np.full(len(self.array.base), -1, np.int64), np.zeros(len(self.array.base), np.int64)
+        row[ends] = np.arange(len(ends))
+        np.add.at(sums, ends, times)
+        states = np.flatnonzero(row >= 0)
+        self.paths, self.times = paths[row[states]], sums[states]
+        self.entry = row
+        self.entry[states] = np.arange(len(states))
 
 
 def passes(sizes: list[tuple[int, int]]) -> list[list[int]]:
-    """Tries, by (shard, bytes), counted together: no more than ``TOGETHER`` bytes, or one."""
+    """Parts of a shard, by (number, bytes), counted together: no more than ``TOGETHER`` bytes, or one."""
     groups, room = [], 0
-    for shard, size in sizes:
+    for number, size in sizes:
         if size > room:
             groups.append([])
             room = TOGETHER
-        groups[-1].append(shard)
+        groups[-1].append(number)
         room -= size
     return groups
 
 
-def counts(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """(lang, words, phrase, n) of all candidates, by their tries."""
-    spark = texts.sparkSession
-    found = written(found, "phrases")
-    shards = max(1, -(-found.count() // PHRASES))
-    found = found.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase", "words"), F.lit(shards)).cast("int"))
-    number = F.row_number().over(W.partitionBy("shard").orderBy("lang", "phrase", "words")) - 1  # about PHRASES a shard
-    found = written(found.withColumn("number", number.cast("int")), "numbered-phrases")
-    tries = written(tries_of(found), "tries")
-    size = sum((F.octet_length(c) for c in ("words", "base", "check", "ends")), F.lit(0)).alias("size")
-    sizes = [(r["shard"], r["size"]) for r in tries.select("shard", size).orderBy("shard").collect()]  # one row a trie
-    parts = []
-    for group in passes(sizes) or [[]]:
-        # One at a time: the driver holds no more than one trie.
-        shared = [spark.sparkContext.broadcast(tuple(tries.filter(F.col("shard") == shard).first())) for shard in group]
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            tries = [(b.value[0], _unpack(*b.value[1:])) for b in shared]
-            times = [np.zeros(len(trie.ends), np.int64) for _, trie in tries]
-            accepts = []
-            for _, trie in tries:
-                accepts.append(np.full(len(trie.array.base), -1, np.int32))
-                accepts[-1][trie.ends] = np.arange(len(trie.ends))
-            for words in chunks(batches):
-                for (_, trie), accepted, sums in zip(tries, accepts, times):
-                    for states in trie.visits(words):
-                        own = accepted[states]
-                        sums += np.bincount(own[own >= 0], minlength=len(sums))
-            for (shard, _), sums in zip(tries, times):
-                at = np.flatnonzero(sums)
-                for i in range(0, len(at), 100_000):
-                    part = at[i:i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), shard, np.int32)), pa.array(part.astype(np.int32)), pa.array(sums[part])],
-                                                     ["shard", "number", "times"])
-
-        parts.append(kept(texts.mapInArrow(frugal(run), "shard int, number int, times long").groupBy("shard", "number").agg(F.sum("times").alias("n"))))
-        for b in shared:
-            b.destroy()
-    sums = parts[0]
-    for part in parts[1:]:
-        sums = sums.unionByName(part)
-    return found.join(sums, ["shard", "number"]).select("lang", "words", "phrase", "n")
+def shard_counts(batch: pa.Table) -> pa.Table:
+    """(lang, words, phrase, n) of a shard: the languages, and the phrases that its trie counts ``LEAST`` times."""
+    languages: dict[str, int] = {}
+    words: dict[bytes, int] = {}
+    trie = Trie()
+    wide = DIGITS * (LEVELS + 1) * 8
+    for group in passes([(i, n * wide) for i, n in enumerate(batch.column("size").to_pylist())]):
+        paths, times = [], []
+        for i in group:
+            row = batch.slice(i, 1)
+            tongue = np.array([languages.setdefault(w, len(languages)) for w in row.column("languages")[0].as_py()], np.int64)
+            own = np.array([words.setdefault(w, len(words)) for w in _columns(row.column("words")[0].as_py())[0].to_pylist()] + [-1], np.int64)
+            lang, *numbers, n = (np.asarray(c) for c in _columns(row.column("phrases")[0].as_py()))
+            columns = digits_of(tongue[lang])
+            for number in numbers:
+                columns += [np.where(number < 0, -1, d) for d in digits_of(own[number])]
+            paths.append(np.stack(columns, axis=1).astype(np.int16))
+            times.append(n)
+        trie.add(np.concatenate(paths), np.concatenate(times))
+    often = (trie.times >= LEAST) | (trie.paths[:, DIGITS] < 0)
+    paths, times = trie.paths[often].astype(np.int64), trie.times[often]
+    lang, *numbers = (sum(paths[:, DIGITS * k + i] << DIGIT * (DIGITS - 1 - i) for i in range(DIGITS)) for k in range(LEVELS + 1))
+    texts = pc.cast(pa.array(list(words), pa.large_binary()), pa.large_string())
+    parts = [texts.take(pa.array(number, mask=number < 0)) for number in numbers]
+    parts[0] = pc.fill_null(parts[0], "")  # no word
+    phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()), null_handling="skip")
+    level = sum((number >= 0).astype(np.int32) for number in numbers)
+    return pa.Table.from_arrays([pa.array(list(languages), pa.string()).take(pa.array(lang)), pa.array(level, pa.int32()), pc.cast(phrase, pa.string()), pa.array(times, pa.int64())],
+                                ["lang", "words", "phrase", "n"])
+
+
+def candidates(texts: DataFrame, bitmaps: list[Bitmap]) -> DataFrame:
+    """(lang, words, phrase, n): every phrase that the tries count ``LEAST`` times, and each language as the phrase of no words."""
+    shards = max(1, sum(int(np.bitwise_count(b.bits).sum()) for b in bitmaps) // PHRASES,
+                 texts.rdd.getNumPartitions() // TASKS)  # many texts with few different phrases are many shares
+    dealt = text_tries(texts, bitmaps, shards).repartitionById(shards, F.col("shard"))  # by hash some tasks would get several
+    return dealt.groupBy("shard").applyInArrow(shard_counts, "lang string, words int, phrase string, n long")
 
 
 # ------------------------------------------------------------------ scores
@@ -486,10 +545,9 @@ def collocations(documents: DataFrame, first: int = FIRST) -> DataFrame:
     for first_level, last in AT_ONCE:
         passed = kept(bounds(texts, bitmaps, last))
         bitmaps += [bitmap_of(passed.filter(F.col("level") == k)) for k in range(first_level, last + 1)]
-    found = candidates(texts, bitmaps)
     if not bitmaps[0].bits.any():
         return spark.createDataFrame([], "lang string, rank int, phrase string, a long, l long, r long, n long, score long")
-    known = written(counts(texts, found), "phrase-counts")
+    known = written(candidates(texts, bitmaps), "phrase-counts")
     total = known.filter("words = 0").select("lang", F.col("n").alias("all"))
     often = known.filter((F.col("words") > 0) & (F.col("n") >= LEAST))
     phrases = often.filter("words > 1").select("lang", "words", "phrase", F.col("n").alias("a"))

@@ -5,6 +5,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from shardlens.llm import collocations as C
@@ -107,3 +109,48 @@ def test_tries_counted_together_are_bounded_in_bytes():
     assert [shard for group in groups for shard in group] == list(range(7)) and C.passes([]) == []
     assert all(len(group) == 1 or sum(dict(sizes)[shard] for shard in group) <= C.TOGETHER for group in groups)
     assert [len(group) for group in groups] == [2, 2, 1, 2]
+
+
+def test_texts_are_read_three_times_however_many_the_candidates(spark, monkeypatch):
+    """Two passes for the bounds, one for the tries: not one more for every few tries."""
+    monkeypatch.setattr(C, "PHRASES", 20)
+    monkeypatch.setattr(C, "TOGETHER", 1)
+    rows, read = made(3), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    frame = spark.createDataFrame(rows, "lang string, text string").repartition(3).mapInArrow(seen, "lang string, text string")
+    out = C.collocations(frame).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    assert sorted(tuple(r) for r in out.collect()) == plain(rows, C.LEAST, C.FIRST)
+    assert read.value == 3 * len(rows)
+
+
+@pytest.mark.parametrize("together", [1, 48 << 20])
+def test_tries_of_texts_meet_in_the_tries_of_shards(monkeypatch, together):
+    """Words and languages are numbered anew in each trie, and a phrase adds up whichever texts it comes from."""
+    monkeypatch.setattr(C, "LEAST", 1)
+    monkeypatch.setattr(C, "TOGETHER", together)
+    rows = [(lang or "und", text) for lang, text in made(4, 60)]
+    everything, shares = [C.Bitmap(16, np.full(8192, 255, np.uint8))] * 3, []
+    for part in (rows[:25], rows[25:27], rows[27:][::-1]):
+        trie = C.TextTrie()
+        for at in range(0, len(part), 10):
+            lang, text = zip(*part[at:at + 10])
+            trie.add(C.Words(pa.array([t.encode() for t in text], pa.large_binary()), pa.array(lang)), everything)
+        shares += trie.dealt(3)
+    whole, found = pa.Table.from_batches(shares), Counter()
+    for shard in range(3):
+        part = whole.filter(pa.compute.equal(whole["shard"], shard))
+        counted = [(r["lang"], r["words"], r["phrase"], r["n"]) for r in C.shard_counts(part).to_pylist()]
+        assert counted and not {r[:3] for r in counted} & found.keys()
+        found.update({r[:3]: r[3] for r in counted})
+    wanted = Counter()
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text.translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            wanted.update([(lang, 0, "")] * len(w))
+            wanted.update((lang, k, " ".join(w[i:i + k])) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    assert found == wanted
