@@ -46,7 +46,7 @@ HASH = 40  # bits of a phrase's hash, below its level's number
 BITS, BITS_EACH = 27, 128  # a bitmap has 128 bits for each frequent hash, and 2 ** 27 (16 MB) at most
 PHRASES, TOGETHER = 1 << 17, 48 << 20  # phrases a shard, bytes of the paths that a shard's trie takes at a time
 TASKS = 8  # a shard's share of the tasks that read the texts, at most
-CHUNK, HELD = 4 << 20, 3 << 20  # bytes of texts cut at a time, words counted in one trie or hashes summed at a time
+CHUNK, HELD = 2 << 20, 1 << 20  # bytes of texts cut at a time, words counted in one trie or hashes summed at a time
 ROWS = 1 << 17  # of a batch
 DIGITS, DIGIT = 3, 8  # a word's number is three digits of eight bits in the trie
 # Bytes that end a piece, bytes that end a word; A-Z are lower-cased.
@@ -360,7 +360,6 @@ class DoubleArray:
         ordered = paths[order]
         # node[i, j]: number of the trie node that the first j digits of row i lead to; the root is 0
         node, parents, digits, total = np.zeros(n, np.int64), [], [], 1
-        at_level = [node.copy()]
         fresh = np.r_[True, np.zeros(n - 1, bool)] if n else np.zeros(0, bool)
         for j in range(depth):
             has = ordered[:, j] >= 0
@@ -371,7 +370,6 @@ class DoubleArray:
             digits.append(ordered[new, j])
             node = np.where(has, number, node)
             total += int(new.sum())
-            at_level.append(node.copy())
         parent, digit = np.concatenate([[-1], *parents]).astype(np.int64), np.concatenate([[0], *digits]).astype(np.int64)
         place, base = _packed(parent, digit, total)
         out_base, out_check = np.zeros(base[1], np.int32), np.full(base[1], -2, np.int32)
@@ -501,7 +499,7 @@ def shard_counts(batch: pa.Table) -> pa.Table:
     languages: dict[str, int] = {}
     words: dict[bytes, int] = {}
     trie = Trie()
-    wide = DIGITS * (LEVELS + 1) * 8
+    wide = DIGITS * (LEVELS + 1) * 16  # a path, its keys and its nodes while the trie is built
     for group in passes([(i, n * wide) for i, n in enumerate(batch.column("size").to_pylist())]):
         paths, times = [], []
         for i in group:
